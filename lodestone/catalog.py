@@ -1,0 +1,11 @@
+"""Every query of the engine outside subpackage llm, with the SQL that checks it."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import quality_rules, simhash
 from .shared import table
 
 
@@ -14,9 +14,38 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", *[F.col(f"_{x}").alias(x) for x in names])
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM t WHERE len(w) >= 5),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i+1], w[i+2], w[i+3], w[i+4]) AS c FROM p),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM g, (SELECT unnest(range(5)) AS k) WHERE c > 1 GROUP BY doc_id),
+m AS (SELECT t.doc_id, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(r, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN c ON t.doc_id = c.doc_id),
+f AS (SELECT *, n_words < 10 AS f1, 100 * n_repeat_words > 20 * n_words AS f2, n_symbols > 0.1::DOUBLE * n_words AS f3,
+    n_dup_lines > 0.3::DOUBLE * n_lines AS f4, (word_chars / greatest(n_words, 1)) NOT BETWEEN 2.5 AND 12 AS f5 FROM m),
+u AS (SELECT doc_id, host, rule, failed FROM f, LATERAL (SELECT unnest([1, 2, 3, 4, 5]) AS rule, unnest([f1, f2, f3, f4, f5]) AS failed)),
+h AS (SELECT host, rule, count(*) AS n, sum(failed::INT)::DOUBLE AS k FROM u GROUP BY host, rule),
+q AS (SELECT rule, sum(k) / sum(n) AS mean, var_pop(k / n) AS v FROM h GROUP BY rule),
+s AS (SELECT rule, mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1), 1000) ELSE 1000 END AS strength FROM q),
+b AS (SELECT doc_id, bool_or(failed AND (k + strength * mean) / (n + strength) > 0.02) AS habit
+    FROM u JOIN h USING (host, rule) JOIN s USING (rule) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND NOT habit AS kept
+FROM f JOIN b USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op9_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_quality_rules": OP9_SQL}

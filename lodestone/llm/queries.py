@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash
+from . import html_text, quality_rules, simhash
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"), keep=("doc_id",))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -44,7 +48,7 @@ FROM f JOIN b USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op4_html_extraction, op9_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, quality_rules, simhash
+from . import embedding_dedup, html_text, quality_rules, simhash
 from .shared import table
 
 
@@ -18,6 +18,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
+    own = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), own.alias("kept"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"), keep=("doc_id",))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,9 +53,20 @@ FROM f JOIN b USING (doc_id)
 """
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
+FROM embeddings LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON vec_id = k.x LEFT JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON vec_id = m.x
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_html_extraction, op9_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op4_html_extraction, op7_embedding_near_dedup, op9_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op7_embedding_near_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, quality_rules, simhash
+from . import embedding_dedup, html_text, pieces, quality_rules, simhash
 from .shared import table
 
+#: The SentencePiece model of the registered queries.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -18,6 +21,14 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), MODEL).withColumnRenamed("id", "doc_id")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.counted(table(spark, sf_dir, "documents"), MODEL).withColumnRenamed("id", "doc_id")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
     own = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
@@ -65,7 +76,7 @@ FROM embeddings LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON vec_i
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_html_extraction, op7_embedding_near_dedup, op9_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op4_html_extraction, op5_sentencepiece, op6_token_counts, op7_embedding_near_dedup, op9_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, pieces, quality_rules, simhash
+from . import embedding_dedup, html_text, pieces, quality_model, quality_rules, simhash
 from .shared import table
 
 #: The SentencePiece model of the registered queries.
@@ -35,6 +35,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), own.alias("kept"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"), keep=("doc_id",))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -76,7 +80,7 @@ FROM embeddings LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON vec_i
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_html_extraction, op5_sentencepiece, op6_token_counts, op7_embedding_near_dedup, op9_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op4_html_extraction, op5_sentencepiece, op6_token_counts, op7_embedding_near_dedup, op8_quality_classifier, op9_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict:

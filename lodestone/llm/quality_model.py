@@ -52,7 +52,7 @@ def votes(text: bytes) -> list[int]:
     return [
         GOOD if n >= 20 else ABSTAIN,
         bad((len(text) - len(text.translate(None, SYMBOLS))) / n, 0.2),
-        bad(upper / max(letters, 1), 0.3),
+        bad(upper / letters, 0.3) if letters >= 20 else ABSTAIN,
         bad(again, 0.2),
         bad((text.count(b"!!") + text.count(b"??")) / n, 0.1),
         bad(sum(x.count(b"|") > 2 for x in lines) / len(lines), 0.3),

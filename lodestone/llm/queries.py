@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, pieces, quality_model, quality_rules, simhash
+from . import embedding_dedup, html_text, packing, pieces, quality_model, quality_rules, simhash
 from .shared import table
 
 #: The SentencePiece model of the registered queries.
@@ -17,6 +17,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
@@ -80,7 +84,7 @@ FROM embeddings LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON vec_i
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_html_extraction, op5_sentencepiece, op6_token_counts, op7_embedding_near_dedup, op8_quality_classifier, op9_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_html_extraction, op5_sentencepiece, op6_token_counts, op7_embedding_near_dedup, op8_quality_classifier, op9_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import checkpoint_dir, saved
 
-GROUP_BYTES, STEP_BYTES, HOT = 16 << 20, 2 << 20, 4096
+GROUP_BYTES, STEP_BYTES, HOT = 8 << 20, 1 << 20, 4096
 PRIME = 0x100000001B3
 U = np.uint64
 
@@ -48,7 +48,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for spans of bytes."""
-    up, down = _powers(1 << max(22, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
@@ -285,7 +285,7 @@ def covered(kind: Kind, docs: DataFrame, id_col: str, text_col: str, finish, sch
     """finish(table of a group's rows, its texts, for each text the mask of its symbols that lie in a repeat), by group."""
     spark = docs.sparkSession
     texts = stored(docs, id_col, text_col, keep)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = saved(_repeated_anchors(kind, texts, parts))
     answers = saved(_window_answers(kind, texts, anchors, parts))
     both = anchors.select("g", F.lit(0).alias("step"), "bucket", "data").union(answers.select("g", F.lit(1).alias("step"), "bucket", "data"))

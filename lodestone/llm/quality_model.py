@@ -32,7 +32,7 @@ FUNCTION_WORDS = frozenset(
     .split()
 )
 SYMBOLS, UPPER, LETTERS = b"#*$%&|<>=_~^{}[]\\", bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
-BUCKETS, SAMPLE, EPOCHS, CACHED = 1 << 16, 20_000, 60, 200_000
+BUCKETS, SAMPLE, EPOCHS, CACHED = 1 << 16, 8_000, 60, 200_000
 
 
 def votes(text: bytes) -> list[int]:
@@ -151,22 +151,18 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.bias + total / len(w), -500, 500))))
 
 
-def fitted(rows: list[tuple[list[int], list[float], float]], rate: float = 0.1, decay: float = 1e-5) -> Model:
-    """Logistic regression by Adam over all rows (buckets, shares, target) at once."""
-    weights, bias = np.zeros(BUCKETS), 0.0
-    rows = [r for r in rows if r[0]]
-    if not rows:
+def fitted(sizes: np.ndarray, bucket: np.ndarray, share: np.ndarray, target: np.ndarray, rate: float = 0.1, decay: float = 1e-5) -> Model:
+    """Logistic regression by Adam over all rows at once; row i has sizes[i] of the buckets and shares. Both classes weigh the same."""
+    weights, bias, n = np.zeros(BUCKETS), 0.0, len(sizes)
+    if not len(bucket):
         return Model(weights, bias)
-    at = np.concatenate([np.full(len(b), i) for i, (b, _, _) in enumerate(rows)])
-    bucket = np.concatenate([np.asarray(b, np.int64) for b, _, _ in rows])
-    share = np.concatenate([np.asarray(s) for _, s, _ in rows])
-    target = np.array([y for _, _, y in rows])
-    weight = np.where(target > 0.5, 0.5 / max(target.sum(), 1), 0.5 / max((1 - target).sum(), 1))
+    at = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    weight = np.where(target > 0.5, 1 / max(target.sum(), 1), 1 / max((1 - target).sum(), 1))
     weight = weight / weight.mean()
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for t in range(1, EPOCHS + 1):
-        z = np.bincount(at, share * weights[bucket], len(rows)) + bias
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target) / len(rows)
+        z = np.bincount(at, share * weights[bucket], n) + bias
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target) / n
         g, gb = np.bincount(bucket, share * error[at], BUCKETS) + decay * weights, error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -200,8 +196,11 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32())), pa.array([pattern(votes(t)) for t in texts], pa.int64())], ["b", "s", "pattern"])
 
     taken = rows.where(F.pmod(F.col("h"), F.lit(every)) == 0).select("text", "h").mapInArrow(featured, "b array<int>, s array<float>, pattern long").toArrow()
-    data = zip(taken["b"].to_pylist(), taken["s"].to_pylist(), taken["pattern"].to_pylist(), strict=True)
-    return fitted([(b, s, known[p]) for b, s, p in data]), known
+    taken = taken.combine_chunks()
+    sizes = taken["b"].combine_chunks().value_lengths().to_numpy()
+    flat = [taken[c].combine_chunks().flatten().to_numpy() for c in ("b", "s")]
+    target = np.array([known[p] for p in taken["pattern"].to_pylist()])
+    return fitted(sizes, *flat, target), known
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

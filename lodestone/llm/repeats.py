@@ -18,16 +18,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint_dir, saved
+from .shared import checkpoint_dir, released, saved
 
-GROUP_BYTES, STEP_BYTES, HOT = 8 << 20, 1 << 20, 4096
+GROUP_BYTES, STEP_BYTES, HOT, CELLS = 8 << 20, 1 << 19, 4096, 500_000
 PRIME = 0x100000001B3
 U = np.uint64
 
@@ -48,7 +48,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for spans of bytes."""
-    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
@@ -143,6 +143,16 @@ def _of_group(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], pa.Tabl
     return docs, t["row"].to_numpy(), t["text"].to_pylist(), t
 
 
+def _releasing(f):
+    @wraps(f)
+    def run(*tables: pa.Table) -> pa.Table:
+        out = f(*tables)
+        released()
+        return out
+
+    return run
+
+
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
@@ -177,6 +187,7 @@ REPLY = "g int, bucket int, data binary"
 def _repeated_anchors(kind: Kind, texts: DataFrame, buckets: int) -> DataFrame:
     """(g, bucket, data): for each distinct anchor of a group in order, 0, 1 if it occurs elsewhere, 2 if it is hot."""
 
+    @_releasing
     def sent(t: pa.Table) -> pa.Table:
         docs, _, raw, _ = _of_group(t)
         key, counts, several = _distinct_anchors(kind, docs, raw)
@@ -185,6 +196,7 @@ def _repeated_anchors(kind: Kind, texts: DataFrame, buckets: int) -> DataFrame:
             rows.append((g, b, key[lo:hi].tobytes() + np.minimum(counts[lo:hi], 65535).astype(np.uint16).tobytes() + several[lo:hi].tobytes()))
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["g", "bucket", "data"])
 
+    @_releasing
     def answered(t: pa.Table) -> pa.Table:
         blobs = t["data"].to_pylist()
         sizes = [len(b) // 11 for b in blobs]
@@ -226,8 +238,8 @@ def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarr
                 first = last = anchor
             else:
                 anchor, first, last = s.anchor[runs], s.first[runs], s.last[runs]
-            for lo in range(0, len(runs), 20_000):
-                part = slice(lo, lo + 20_000)
+            for lo in range(0, len(runs), CELLS // width):
+                part = slice(lo, lo + CELLS // width)
                 place = anchor[part, None] - left + at
                 inside = (place >= first[part, None]) & (place < last[part, None] + kind.size)
                 m = np.where(inside, s.symbols[np.clip(place, 0, len(s.symbols) - 1)], 0)
@@ -257,6 +269,7 @@ def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarr
 def _window_answers(kind: Kind, texts: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
     """(g, bucket, data): for each distinct snippet of a group in order, the bits of its windows."""
 
+    @_releasing
     def sent(t: pa.Table, replies: pa.Table) -> pa.Table:
         docs, _, raw, _ = _of_group(t)
         answer = _joined(replies)
@@ -267,6 +280,7 @@ def _window_answers(kind: Kind, texts: DataFrame, anchors: DataFrame, buckets: i
                 rows = [(g, b, kind.packed(x, lo, hi)) for b, lo, hi in _slices(_bucket_of(x["key"], buckets))]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["g", "bucket", "data"])
 
+    @_releasing
     def answered(t: pa.Table) -> pa.Table:
         bits = kind.found(t["data"].to_pylist())
         return pa.table([t["g"], t["bucket"], pa.array([np.packbits(b, axis=1).tobytes() for b in bits], pa.binary())], names=["g", "bucket", "data"])
@@ -290,6 +304,7 @@ def covered(kind: Kind, docs: DataFrame, id_col: str, text_col: str, finish, sch
     answers = saved(_window_answers(kind, texts, anchors, parts))
     both = anchors.select("g", F.lit(0).alias("step"), "bucket", "data").union(answers.select("g", F.lit(1).alias("step"), "bucket", "data"))
 
+    @_releasing
     def of(t: pa.Table, replies: pa.Table) -> pa.Table:
         owners, _, raw, t = _of_group(t)
         step = replies["step"].to_numpy()

@@ -9,30 +9,32 @@ in the order of the suffix that follows its Lyndon prefix."""
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import U, Kind, covered, mixed, span_hashes
+from .repeats import STEP_BYTES, U, Kind, covered, mixed, span_hashes
 
 WINDOW = 100
 
 
-def suffix_array(text: bytes | list[int]) -> list[int]:
+def suffix_array(text: Sequence[int]) -> list[int]:
     """Starts of the suffixes of text in lexicographic order; a suffix stands before those that it begins."""
     n = len(text)
     if n < 2:
         return list(range(n))
-    order = sorted(range(n), key=text.__getitem__)
-    group, place, size = [0] * n, [0] * n, [0] * n  # first slot of its group; slot; members of the group at a first slot
+    order = array("i", sorted(range(n), key=text.__getitem__))
+    group, place, size = (array("i", bytes(4 * n)) for _ in range(3))  # first slot of its group; slot; members of the group at a first slot
     first = 0
     for slot, i in enumerate(order):
         if slot and text[i] != text[order[slot - 1]]:
             first = slot
         group[i], place[i] = first, slot
         size[first] += 1
-    length, before = [1] * n, [-1] * n  # of the known Lyndon prefix; the previous suffix of a lower group
+    length, before = array("i", [1]) * n, array("i", [-1]) * n  # of the known Lyndon prefix; the previous suffix of a lower group
     end = n
     while end:
         own = group[order[end - 1]]
@@ -63,31 +65,33 @@ def suffix_array(text: bytes | list[int]) -> list[int]:
                     group[j] = new
                     length[j] -= times * each
         end = own
-    following: list[list[int]] = [[] for _ in range(n + 1)]
+    last, earlier = array("i", [-1]) * (n + 1), array("i", [-1]) * n  # chains of the suffixes whose Lyndon prefix ends at a place
     for i in range(n):
-        following[i + length[i]].append(i)
-    free, out = list(range(n)), [0] * n
-    for i in following[n]:
-        out[free[group[i]]] = i
-        free[group[i]] += 1
-    for slot in range(n):
-        for i in following[out[slot]]:
-            out[free[group[i]]] = i
-            free[group[i]] += 1
-    return out
+        after = i + length[i]
+        earlier[i] = last[after]
+        last[after] = i
+    free, out = array("i", range(n)), array("i", bytes(4 * n))
+    for slot in range(-1, n):
+        i = last[n if slot < 0 else out[slot]]
+        while i >= 0:
+            at = group[i]
+            out[free[at]] = i
+            free[at] += 1
+            i = earlier[i]
+    return out.tolist()
 
 
 def equal_windows(contents: list[bytes], size: int) -> list[list[tuple[int, int]]]:
     """Classes of at least two equal windows (content, start), by a suffix array over all contents."""
-    joined: list[int] = []
+    joined = array("H")
     starts = []
     for c in contents:
         starts.append(len(joined))
-        joined.extend(b + 1 for b in c)
+        joined.extend(array("H", [b + 1 for b in c]))
         joined.append(0)
-    owner = [-1] * len(joined)
+    owner = array("i", [-1]) * len(joined)
     for k, (s, c) in enumerate(zip(starts, contents, strict=True)):
-        owner[s : s + len(c) - size + 1] = [k] * (len(c) - size + 1)
+        owner[s : s + len(c) - size + 1] = array("i", [k]) * (len(c) - size + 1)
     classes: list[list[tuple[int, int]]] = []
     now: list[tuple[int, int]] = []
     last = None
@@ -118,12 +122,20 @@ class Bytes(Kind):
         return span_hashes(symbols, at, at + self.gram)
 
     def row_hashes(self, m: np.ndarray, extent: np.ndarray) -> np.ndarray:
-        at = np.arange(len(m)) * m.shape[1]
-        return mixed(span_hashes(m.ravel(), at, at + m.shape[1]) ^ (extent[:, 0].astype(U) * U(512) + extent[:, 1].astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
+        rows = max(1, STEP_BYTES // m.shape[1])
+        h = np.empty(len(m), U)
+        for lo in range(0, len(m), rows):
+            at = np.arange(len(m[lo : lo + rows])) * m.shape[1]
+            h[lo : lo + rows] = span_hashes(m[lo : lo + rows].ravel(), at, at + m.shape[1])
+        return mixed(h ^ (extent[:, 0].astype(U) * U(512) + extent[:, 1].astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
 
     def anchor_hashes(self, m: np.ndarray) -> np.ndarray:
-        at = np.arange(len(m)) * m.shape[1] + self.size - self.gram
-        return span_hashes(m.ravel(), at, at + self.gram)
+        rows = max(1, STEP_BYTES // m.shape[1])
+        h = np.empty(len(m), U)
+        for lo in range(0, len(m), rows):
+            at = np.arange(len(m[lo : lo + rows])) * m.shape[1] + self.size - self.gram
+            h[lo : lo + rows] = span_hashes(m[lo : lo + rows].ravel(), at, at + self.gram)
+        return h
 
     def packed(self, x: dict, lo: int, hi: int) -> bytes:
         part = slice(lo, hi)
@@ -142,14 +154,25 @@ class Bytes(Kind):
         windows = (extent[:, 0] - extent[:, 1]).astype(np.int64) + 1
         length = windows + self.size - 1
         begin = np.cumsum(length) - length
-        of = np.repeat(np.arange(len(owner)), windows)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        h = span_hashes(np.frombuffer(data, np.uint8), begin[of] + at, begin[of] + at + self.size)
-        _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-        again = counts[inverse] > 1  # a filter: what isn't here has no equal
+        h, whole = np.empty(int(windows.sum()), U), np.frombuffer(data, np.uint8)
+        edges = np.searchsorted(begin, np.arange(0, len(whole) + STEP_BYTES, STEP_BYTES))
+        first = np.cumsum(windows) - windows
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if lo < hi:  # so that no table of powers must cover the whole
+                n = windows[lo:hi]
+                s = np.repeat(begin[lo:hi] - begin[lo] - (first[lo:hi] - first[lo]), n) + np.arange(n.sum())
+                h[first[lo] : first[hi - 1] + windows[hi - 1]] = span_hashes(whole[begin[lo] : begin[hi - 1] + length[hi - 1]], s, s + self.size)
+        ordered = np.sort(h)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        del ordered
+        again = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h if len(twice) else np.zeros(len(h), bool)
+        del h  # a filter: what isn't here has no equal
+        hits = np.flatnonzero(again)
+        of = np.searchsorted(first, hits, side="right") - 1
+        at = hits - first[of]
         bits = np.zeros((len(owner), left + 1), bool)
         if again.any():
-            entry, place = of[again], at[again]
+            entry, place = of, at
             cut = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
             entry, lo, hi = entry[cut], place[cut], place[np.append(cut[1:], len(place)) - 1]
             groups: dict[int, dict[tuple[bytes, int], list[int]]] = {}

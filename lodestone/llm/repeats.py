@@ -16,7 +16,7 @@ content instead: the prefix that partitions is as long as it must be. A partitio
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, wraps
 
@@ -143,10 +143,24 @@ def _of_group(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], pa.Tabl
     return docs, t["row"].to_numpy(), t["text"].to_pylist(), t
 
 
-def _releasing(f):
+def _releasing(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f for one table of a group, giving freed memory back after each."""
+
     @wraps(f)
-    def run(*tables: pa.Table) -> pa.Table:
-        out = f(*tables)
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        released()
+        return out
+
+    return run
+
+
+def _releasing_both(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """f for two tables of a group, giving freed memory back after each."""
+
+    @wraps(f)
+    def run(t: pa.Table, other: pa.Table) -> pa.Table:
+        out = f(t, other)
         released()
         return out
 
@@ -269,7 +283,7 @@ def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarr
 def _window_answers(kind: Kind, texts: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
     """(g, bucket, data): for each distinct snippet of a group in order, the bits of its windows."""
 
-    @_releasing
+    @_releasing_both
     def sent(t: pa.Table, replies: pa.Table) -> pa.Table:
         docs, _, raw, _ = _of_group(t)
         answer = _joined(replies)
@@ -304,7 +318,7 @@ def covered(kind: Kind, docs: DataFrame, id_col: str, text_col: str, finish, sch
     answers = saved(_window_answers(kind, texts, anchors, parts))
     both = anchors.select("g", F.lit(0).alias("step"), "bucket", "data").union(answers.select("g", F.lit(1).alias("step"), "bucket", "data"))
 
-    @_releasing
+    @_releasing_both
     def of(t: pa.Table, replies: pa.Table) -> pa.Table:
         owners, _, raw, t = _of_group(t)
         step = replies["step"].to_numpy()

@@ -4,7 +4,7 @@ Every text gets a 64-bit fingerprint over its word shingles. Fingerprints link w
 A covering family of bit masks finds every such pair: bit i carries a non-zero vector m(i) of three bits, and the
 mask of vector x keeps the bits with <m(i), x> = 1. Two differing bits span at most two of three dimensions, so some
 non-zero x is orthogonal to both, and under its mask the two fingerprints are equal. Two independent families are
-used together (7 x 7 masks): a bucket then fixes 52 of the 64 bits, so that it holds at most 2**13 fingerprints however
+used together (7 x 7 masks): a bucket then fixes at least 51 of the 64 bits, so that it holds at most 2**13 fingerprints however
 large a group of copies is. Equal fingerprints are one row before any bucket is made."""
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ RADIUS = 2
 
 def covering_masks() -> list[int]:
     """The 49 masks, as signed 64-bit numbers."""
-    first, second = [1 + i % 7 for i in range(64)], [1 + i // 7 % 7 for i in range(64)]
+    first = [1 + i % 7 for i in range(64)]
+    second = [1 + (i // 7 if i < 49 else 3 * i + 5 * (i // 7)) % 7 for i in range(64)]  # all 49 pairs once, the rest spread over them
     odd = lambda a, b: bin(a & b).count("1") % 2
     masks = [sum(1 << i for i in range(64) if odd(first[i], x) or odd(second[i], y)) for x in range(1, 8) for y in range(1, 8)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]

@@ -10,7 +10,7 @@ equals. Equal windows have equal anchors at equal places, so that
 4. groups put the answers back on their texts.
 
 Copies inside a group are one snippet, so a passage that a third of all texts share is sent once for each group. If an
-anchor is still very frequent, because what stands around it varies, each of its windows is sent under its own whole
+anchor still has very many contents, because what stands around it varies, each of its windows is sent under its own whole
 content instead: the prefix that partitions is as long as it must be. A partition is a bounded share of its input."""
 
 from __future__ import annotations
@@ -178,21 +178,31 @@ def _slices(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield from zip(buckets[cut].tolist(), cut.tolist(), np.append(cut[1:], len(buckets)).tolist(), strict=True)
 
 
+def _content_hashes(kind: Kind, s: Step, first: np.ndarray, last: np.ndarray, extent: np.ndarray) -> np.ndarray:
+    """Of the symbols from each first window to the end of the last, and of where the anchor stands in them."""
+    place = extent[:, 0].astype(U) * U(512) + extent[:, 1].astype(U) + U(1)
+    return mixed(span_hashes(s.symbols, first, last + kind.size) ^ place * U(0x9E3779B97F4A7C15))
+
+
 def _distinct_anchors(kind: Kind, docs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct anchor hashes in order, their counts, and whether two texts (or places, if these count) hold each."""
-    keys, owners, base = [], [], 0
+    """Distinct anchor hashes in order, how many contents each has, and whether two texts (or places, if these count) hold it."""
+    keys, contents, owners, base = [], [], [], 0
     for s in kind.steps(texts):
         keys.append(s.key)
+        contents.append(_content_hashes(kind, s, s.first, s.last, np.stack([s.anchor - s.first, s.anchor - s.last], 1)))
         owners.append(docs[s.text + base])
         base += len(s.texts)
-    key = np.concatenate(keys) if keys else np.zeros(0, U)
+    key, content = (np.concatenate(x) if x else np.zeros(0, U) for x in (keys, contents))
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    order = np.argsort(key, kind="stable")
-    key, owner = key[order], owner[order]
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(cut, len(key)))
-    several = counts > 1 if kind.own_starts else (np.maximum.reduceat(owner, cut) > np.minimum.reduceat(owner, cut) if len(cut) else counts > 1)
-    return key[cut], counts, several
+    if not len(key):
+        return key, np.zeros(0, np.int64), np.zeros(0, bool)
+    order = np.lexsort((content, key))
+    key, content, owner = key[order], content[order], owner[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    cut = np.flatnonzero(new)
+    new[1:] |= content[1:] != content[:-1]
+    several = np.diff(np.append(cut, len(key))) > 1 if kind.own_starts else np.maximum.reduceat(owner, cut) > np.minimum.reduceat(owner, cut)
+    return key[cut], np.add.reduceat(new.astype(np.int64), cut), several
 
 
 REPLY = "g int, bucket int, data binary"
@@ -228,17 +238,19 @@ def _repeated_anchors(kind: Kind, texts: DataFrame, buckets: int) -> DataFrame:
     return anchors.groupBy("bucket").applyInArrow(answered, REPLY)
 
 
-def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarray) -> tuple[list[tuple], dict]:
-    """The runs at repeated anchors: for each step (step, which runs, number of their snippet), and distinct snippets.
+def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarray, contents: bool = True) -> tuple[list[tuple], dict]:
+    """The runs at repeated anchors: for each step (step, number of texts before it), and the distinct snippets.
 
     A snippet holds the symbols from the first window to the end of the last, at fixed places around the anchor (those
-    outside are 0), and the owner (text, then start of the anchor if starts count) that is the least of its copies.
-    Runs at hot anchors give a snippet for each window, which then starts at the anchor's place."""
+    outside are 0; m, made for distinct snippets only and if contents are wanted), and the owner (text, then start of
+    the anchor if starts count) that is the least of its copies. Runs at hot anchors give a snippet for each window,
+    which then starts at the anchor's place."""
     left = kind.size - kind.gram
     width = left + kind.size
+    at, rows = np.arange(width), max(1, CELLS // width)
     uniques = _distinct_anchors(kind, docs, texts)[0]
-    placed, found, base = [], [], 0
-    at = np.arange(width)
+    placed, found, made, base = [], [], [], 0
+    seen = np.zeros(0, U)
     for s in kind.steps(texts):
         flag = answer[np.searchsorted(uniques, s.key)]
         for hot in (False, True):
@@ -252,32 +264,35 @@ def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarr
                 first = last = anchor
             else:
                 anchor, first, last = s.anchor[runs], s.first[runs], s.last[runs]
-            for lo in range(0, len(runs), CELLS // width):
-                part = slice(lo, lo + CELLS // width)
-                place = anchor[part, None] - left + at
-                inside = (place >= first[part, None]) & (place < last[part, None] + kind.size)
-                m = np.where(inside, s.symbols[np.clip(place, 0, len(s.symbols) - 1)], 0)
-                owner = docs[s.text[runs[part]] + base]
-                start = anchor[part] - s.bounds[s.text[runs[part]]] if kind.own_starts else np.zeros(len(owner), np.int64)
-                extent = np.stack([anchor[part] - first[part], anchor[part] - last[part]], 1).astype(np.int16)
-                found.append((m, owner, start, extent, runs[part], anchor[part], s.text[runs[part]] + base, np.full(len(owner), hot)))
+            extent = np.stack([anchor - first, anchor - last], 1).astype(np.int16)
+            same = _content_hashes(kind, s, first, last, extent)
+            start = anchor - s.bounds[s.text[runs]] if kind.own_starts else np.zeros(len(runs), np.int64)
+            found.append((same, docs[s.text[runs] + base], start, extent, same if hot else s.key[runs], anchor, s.text[runs] + base))
+            if contents:
+                own, one = np.unique(same, return_index=True)
+                one = one[~np.isin(own, seen)]
+                seen = np.concatenate([seen, same[one]])
+                for lo in range(0, len(one), rows):
+                    part = one[lo : lo + rows]
+                    place = anchor[part, None] - left + at
+                    inside = (place >= first[part, None]) & (place < last[part, None] + kind.size)
+                    made.append(np.where(inside, s.symbols[np.clip(place, 0, len(s.symbols) - 1)], 0))
         placed.append((s, base))
         base += len(s.texts)
     if not found:
         return placed, {}
-    m, owner, start, extent, runs, anchor, text, hot = (np.concatenate([f[i] for f in found]) for i in range(8))
-    same = kind.row_hashes(m, extent)
+    same, owner, start, extent, key, anchor, text = (np.concatenate([f[i] for f in found]) for i in range(7))
     order = np.lexsort((start, owner, same))
-    cut = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
-    member = np.empty(len(order), np.int64)
-    member[order] = np.cumsum(np.concatenate([[False], same[order][1:] != same[order][:-1]]))
-    rep = order[cut]
-    key = np.where(hot[rep], same[rep], kind.anchor_hashes(m[rep]))
-    by = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+    rep = order[new]
+    by = np.argsort(key[rep], kind="stable")
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
+    member = np.empty(len(order), np.int64)
+    member[order] = rank[np.cumsum(new) - 1]
     rep = rep[by]
-    return placed, {"key": key[by], "m": m[rep], "owner": owner[rep], "start": start[rep], "extent": extent[rep], "member": rank[member], "of_owner": owner, "of_start": start, "anchor": anchor, "text": text, "of_extent": extent}
+    m = np.concatenate(made)[np.argsort(seen, kind="stable")[by]] if contents else None
+    return placed, {"key": key[rep], "m": m, "owner": owner[rep], "start": start[rep], "extent": extent[rep], "member": member, "of_owner": owner, "of_start": start, "anchor": anchor, "text": text, "of_extent": extent}
 
 
 def _window_answers(kind: Kind, texts: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
@@ -323,7 +338,7 @@ def covered(kind: Kind, docs: DataFrame, id_col: str, text_col: str, finish, sch
         owners, _, raw, t = _of_group(t)
         step = replies["step"].to_numpy()
         answer = _joined(replies.filter(pa.array(step == 0)))
-        placed, x = _snippets(kind, owners, raw, answer)
+        placed, x = _snippets(kind, owners, raw, answer, contents=False)
         masks: list[np.ndarray] = []
         if x:
             width = -(-(kind.size - kind.gram + 1) // 8)

@@ -40,19 +40,6 @@ class Words(Kind):
             h = h * U(PRIME) + symbols[i : n + i]
         return mixed(h)
 
-    def row_hashes(self, m: np.ndarray, extent: np.ndarray) -> np.ndarray:
-        h = extent[:, 0].astype(U) * U(64) + extent[:, 1].astype(U) + U(1)
-        for i in range(m.shape[1]):
-            h = (h ^ (h >> U(29))) * U(PRIME) + m[:, i]
-        return mixed(h)
-
-    def anchor_hashes(self, m: np.ndarray) -> np.ndarray:
-        left = self.size - self.gram
-        h = m[:, left].copy()
-        for i in range(1, self.gram):
-            h = h * U(PRIME) + m[:, left + i]
-        return mixed(h)
-
     def packed(self, x: dict, lo: int, hi: int) -> bytes:
         """Words as 32 bits of their hashes; an anchor's five are told apart by 64 bits more, its own hash."""
         part = slice(lo, hi)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from .repeats import STEP_BYTES, U, Kind, covered, mixed, span_hashes
 
-WINDOW = 100
+WINDOW, PART_WINDOWS = 100, 400_000
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
@@ -121,22 +121,6 @@ class Bytes(Kind):
         at = np.arange(max(len(symbols) - self.gram + 1, 0))
         return span_hashes(symbols, at, at + self.gram)
 
-    def row_hashes(self, m: np.ndarray, extent: np.ndarray) -> np.ndarray:
-        rows = max(1, STEP_BYTES // m.shape[1])
-        h = np.empty(len(m), U)
-        for lo in range(0, len(m), rows):
-            at = np.arange(len(m[lo : lo + rows])) * m.shape[1]
-            h[lo : lo + rows] = span_hashes(m[lo : lo + rows].ravel(), at, at + m.shape[1])
-        return mixed(h ^ (extent[:, 0].astype(U) * U(512) + extent[:, 1].astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
-
-    def anchor_hashes(self, m: np.ndarray) -> np.ndarray:
-        rows = max(1, STEP_BYTES // m.shape[1])
-        h = np.empty(len(m), U)
-        for lo in range(0, len(m), rows):
-            at = np.arange(len(m[lo : lo + rows])) * m.shape[1] + self.size - self.gram
-            h[lo : lo + rows] = span_hashes(m[lo : lo + rows].ravel(), at, at + self.gram)
-        return h
-
     def packed(self, x: dict, lo: int, hi: int) -> bytes:
         part = slice(lo, hi)
         extent = x["extent"][part]
@@ -154,6 +138,22 @@ class Bytes(Kind):
         windows = (extent[:, 0] - extent[:, 1]).astype(np.int64) + 1
         length = windows + self.size - 1
         begin = np.cumsum(length) - length
+        bits = np.zeros((len(owner), left + 1), bool)
+        order = np.argsort(key, kind="stable")  # equal windows have equal keys, so a part of the keys is enough at a time
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        before = np.cumsum(windows[order]) - windows[order]
+        part = before[np.flatnonzero(new)][np.cumsum(new) - 1] // PART_WINDOWS
+        for one in np.split(order, np.flatnonzero(part[1:] != part[:-1]) + 1):
+            content = b"".join([data[b : b + n] for b, n in zip(begin[one].tolist(), length[one].tolist(), strict=True)])
+            bits[one] = self._found(owner[one], start[one], key[one], extent[one], content)
+        return np.split(bits, np.cumsum(sizes)[:-1])
+
+    def _found(self, owner: np.ndarray, start: np.ndarray, key: np.ndarray, extent: np.ndarray, data: bytes) -> np.ndarray:
+        """A row of bits for each snippet; data holds their contents one after another."""
+        left = self.size - self.gram
+        windows = (extent[:, 0] - extent[:, 1]).astype(np.int64) + 1
+        length = windows + self.size - 1
+        begin = np.cumsum(length) - length
         h, whole = np.empty(int(windows.sum()), U), np.frombuffer(data, np.uint8)
         edges = np.searchsorted(begin, np.arange(0, len(whole) + STEP_BYTES, STEP_BYTES))
         first = np.cumsum(windows) - windows
@@ -193,7 +193,7 @@ class Bytes(Kind):
                         placed = [(least[k][0], least[k][1] - (least[k][3] - i), least[k][2], least[k][3] - i) for k, i in same]
                         for p in sorted(placed)[1:]:
                             bits[p[2], p[3]] = True
-        return np.split(bits, np.cumsum(sizes)[:-1])
+        return bits
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

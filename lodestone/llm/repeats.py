@@ -119,7 +119,7 @@ class Kind:
         a = leftmost_least(grams, self.size - self.gram + 1)[p]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]))
         end = np.append(new[1:], len(p)) - 1
-        return Step(texts, symbols, bounds, a[new], grams[a[new]], p[new], p[end], text[new])
+        return Step(texts, symbols, bounds, a[new], mixed(grams[a[new]] + U(PRIME)), p[new], p[end], text[new])  # mixed, as least hashes are all low
 
 
 def stored(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -81,34 +81,34 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     return out.tolist()
 
 
+def repeated_windows(contents: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, content, start) of every window that equals another one, by a suffix array over all contents."""
+    lengths = np.array([len(c) for c in contents], np.int64)
+    if not (lengths >= size).any():
+        return (np.zeros(0, np.int64),) * 3
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    joined = np.zeros(int(lengths.sum()) + len(contents), np.uint16)  # a 0 ends each content
+    joined[np.arange(len(joined) - len(contents)) + np.repeat(np.arange(len(contents)), lengths)] = np.frombuffer(b"".join(contents), np.uint8).astype(np.uint16) + 1
+    order = np.array(suffix_array(array("H", joined.tobytes())), np.int64)
+    content = np.searchsorted(begin, order, side="right") - 1
+    start = order - begin[content]
+    whole = start <= lengths[content] - size
+    order, content, start = order[whole], content[whole], start[whole]
+    windows = np.lib.stride_tricks.sliding_window_view(joined, size)
+    same = np.zeros(len(order) + 1, bool)  # whether a window equals the one before it in order
+    for lo in range(1, len(order), STEP_BYTES // size):
+        hi = min(lo + STEP_BYTES // size, len(order))
+        same[lo:hi] = (windows[order[lo:hi]] == windows[order[lo - 1 : hi - 1]]).all(1)
+    again = same[:-1] | same[1:]
+    return np.cumsum(~same[:-1])[again], content[again], start[again]
+
+
 def equal_windows(contents: list[bytes], size: int) -> list[list[tuple[int, int]]]:
-    """Classes of at least two equal windows (content, start), by a suffix array over all contents."""
-    joined = array("H")
-    starts = []
-    for c in contents:
-        starts.append(len(joined))
-        joined.extend(array("H", [b + 1 for b in c]))
-        joined.append(0)
-    owner = array("i", [-1]) * len(joined)
-    for k, (s, c) in enumerate(zip(starts, contents, strict=True)):
-        owner[s : s + len(c) - size + 1] = array("i", [k]) * (len(c) - size + 1)
-    classes: list[list[tuple[int, int]]] = []
-    now: list[tuple[int, int]] = []
-    last = None
-    for i in suffix_array(joined):
-        k = owner[i]
-        if k < 0:
-            continue
-        at = i - starts[k]
-        window = contents[k][at : at + size]
-        if window != last:
-            if len(now) > 1:
-                classes.append(now)
-            now, last = [], window
-        now.append((k, at))
-    if len(now) > 1:
-        classes.append(now)
-    return classes
+    """The same as classes of at least two windows (content, start)."""
+    classes: dict[int, list[tuple[int, int]]] = {}
+    for c, k, i in zip(*(x.tolist() for x in repeated_windows(contents, size)), strict=True):
+        classes.setdefault(c, []).append((k, i))
+    return list(classes.values())
 
 
 class Bytes(Kind):
@@ -189,10 +189,12 @@ class Bytes(Kind):
                         if x != e:
                             bits[x, back - n + 1 : back + 1] = True
                 if len(contents) > 1:
-                    for same in equal_windows([c for c, _ in contents], self.size):
-                        placed = [(least[k][0], least[k][1] - (least[k][3] - i), least[k][2], least[k][3] - i) for k, i in same]
-                        for p in sorted(placed)[1:]:
-                            bits[p[2], p[3]] = True
+                    own = np.array(least, np.int64)  # of each content: owner and start of its least entry, the entry, windows before the anchor
+                    cls, k, i = repeated_windows([c for c, _ in contents], self.size)
+                    back = own[k, 3] - i
+                    order = np.lexsort((own[k, 1] - back, own[k, 0], cls))
+                    later = order[1:][cls[order][1:] == cls[order][:-1]]
+                    bits[own[k[later], 2], back[later]] = True
         return bits
 
 

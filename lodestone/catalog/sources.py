@@ -120,9 +120,10 @@ def stream_resample(spark, d):
     path = f"{d}/events.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
     rows = source.select(F.col("user_id").alias("entity"), F.col("event_type").alias("metric"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    name = "resample_" + uuid.uuid4().hex
-    run = resampled_stream(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", scratch(spark)).start()
-    run.awaitTermination(600)
-    return spark.table(name).select("entity", "metric", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n", "max_value")
+    totals, out = resampled_stream(rows), scratch(spark)
+    spark.createDataFrame([], totals.schema).write.parquet(out)  # what a stream without a batch leaves
+    whole = totals.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).outputMode("complete")
+    whole.trigger(availableNow=True).option("checkpointLocation", scratch(spark)).start().awaitTermination()
+    return spark.read.parquet(out).select("entity", "metric", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n", "max_value")
 
 

@@ -138,10 +138,10 @@ def redundancy_jaccard(spark, d):
 
 @query()
 def greedy_mmr(spark, d):
-    docs = load(spark, d, "documents").where("lang = 'en'")
+    docs = load(spark, d, "documents")
     scores = R.ranked(R.bm25(docs, "doc_id", "text", "the and of"), "score", "doc_id", 40)
-    terms = docs.select("doc_id", F.col("source").alias("format"), F.slice(F.array_distinct(X.words(F.col("text"))), 1, 50).alias("terms"))
-    c = scores.join(terms, "doc_id").select(F.lit("q").alias("query"), F.col("doc_id").alias("id"), (F.col("score") / 100).alias("relevance"), "format", "terms")
+    terms = F.array_distinct(X.words(F.col("text"))).alias("terms")
+    c = scores.join(docs, "doc_id").select(F.lit("q").alias("query"), F.col("doc_id").alias("id"), (F.col("score") / 100).alias("relevance"), F.col("source").alias("format"), terms)
     return R.selected(c)
 
 

@@ -18,3 +18,13 @@ def test_stream_is_read_to_its_end(spark, tmp_path, monkeypatch):
     found = catalog.queries()["stream_resample"](spark, str(tmp_path / "some")).collect()
     assert len(found) == 15 and sum(r["n"] for r in found) == 300
     assert catalog.queries()["stream_resample"](spark, str(tmp_path / "none")).collect() == []
+
+
+def test_mmr_reads_whole_texts_of_all_languages(spark, tmp_path):
+    header = "the and of " + " ".join(f"head{i}" for i in range(60))
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(200))
+    rows = [(k, f"{header} {body(k)}", "en" if k % 2 else "fr", "web") for k in range(4)]
+    rows.append((4, f"opening words {header} {body(3)}", "en", "web"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["id"] for r in catalog.queries()["greedy_mmr"](spark, str(tmp_path)).collect()}
+    assert {0, 1, 2} < found and len(found & {3, 4}) == 1

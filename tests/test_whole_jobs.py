@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lodestone import catalog
@@ -28,3 +29,11 @@ def test_mmr_reads_whole_texts_of_all_languages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r["id"] for r in catalog.queries()["greedy_mmr"](spark, str(tmp_path)).collect()}
     assert {0, 1, 2} < found and len(found & {3, 4}) == 1
+
+
+def test_no_alternate_of_a_large_group_is_lost(spark, tmp_path):
+    n = 1_000_003
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.queries()["evidence_identity_dedup"](spark, str(tmp_path))
+    row = found.select("kept", "n", F.size(F.split("alternates", ",")).alias("m"), F.col("alternates").endswith(f", {n - 1}]").alias("last")).first()
+    assert tuple(row) == (0, n, n - 1, True)

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, quality_model, quality_rules, simhash, substring_dedup
+from lodestone.llm import near_copies, packing, quality_model, quality_rules, substring_dedup
 from lodestone.llm.shared import checkpoint_dir
 
 
@@ -23,7 +23,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality_classifier),
     ("quality rules", rules),
-    ("simhash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("substring dedup", passages),
     ("best-fit packing", pack),
 ]

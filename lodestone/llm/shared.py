@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names. Only a local session, as in tests, gets a temporary one where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
     return sc.getCheckpointDir()
 
 
@@ -43,49 +46,76 @@ def released() -> None:
         trim(0)
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
     """Tables of whole groups from batches sorted by keys, with the offsets where groups start, and the end.
 
-    Only the last group of a batch is carried over, so memory holds a batch and one group."""
+    Only the last group of a batch is carried over. A group that grows beyond most rows, if given, comes in pieces
+    instead, each with None for its offsets, so that memory holds a batch and most rows."""
     kept: list[pa.RecordBatch] = []
-
-    def starts(t: pa.Table) -> np.ndarray:
-        new = np.zeros(t.num_rows, bool)
-        new[:1] = True
-        for k in keys:
-            v = t.column(k).to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        return np.flatnonzero(new)
-
+    carried, over, last = 0, False, None
     for b in batches:
         if not b.num_rows:
             continue
-        kept.append(b)
-        t = pa.Table.from_batches(kept)
-        s = starts(t)
-        if len(s) > 1:
-            yield t.slice(0, int(s[-1])), s
-            kept = t.slice(int(s[-1])).to_batches()
+        values = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        new[0] = last is None or any(v[0] != x for v, x in zip(values, last, strict=True))
+        last = [v[-1] for v in values]
+        at = np.flatnonzero(new)
+        if over:
+            head = int(at[0]) if len(at) else b.num_rows
+            if head:
+                yield pa.Table.from_batches([b.slice(0, head)]), None
+            if head == b.num_rows:
+                continue
+            over, b, at = False, b.slice(head), at - head
+        if len(at) and (carried or len(at) > 1):
+            end = int(at[-1])
+            starts = np.concatenate([[0] * bool(carried), at + carried]).astype(np.int64)
+            if starts[-1]:
+                yield pa.Table.from_batches([*kept, b.slice(0, end)]), np.unique(starts)
+            kept, carried = [b.slice(end)], b.num_rows - end
+        else:
+            kept.append(b)
+            carried += b.num_rows
+        if most is not None and carried > most:
+            yield pa.Table.from_batches(kept), None
+            kept, carried, over = [], 0, True
     if kept:
-        t = pa.Table.from_batches(kept)
-        yield t, np.append(starts(t), t.num_rows)
+        yield pa.Table.from_batches(kept), np.array([0, carried])
+
+
+HEAVY, HUBS = 256, 100_000
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, which holds each key once; the rows of a frequent key are dealt over several tasks.
+
+    A key is frequent if it has more than HEAVY rows and more than a HUBS-th of all; its row of table is copied for each
+    part, and its rows are dealt by column spread. There are at most HUBS such keys, so that their list is broadcast."""
+    heavy = max(HEAVY, rows.count() // HUBS)
+    hubs = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy).select(key, F.ceil(F.col("_n") / heavy).cast("int").alias("_parts")))
+    dealt = rows.join(hubs, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    copied = table.join(hubs, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Rows (node, component): the smallest node reachable over edges (u, v), for each node on an edge.
 
-    Alternates the large-star and small-star steps: each hooks neighbours to the smallest one, so that no
-    step holds a component in one task. Null ends and loops are left out; an empty input gives no rows.
-    Raises if it hasn't converged after max_rounds, which chains of 2**max_rounds nodes would need."""
+    Alternates the large-star and small-star steps: each hooks neighbours to the smallest one, so that no step holds a
+    component in one task, and the edges of a node with many are dealt over tasks. Null ends and loops are left out; an
+    empty input gives no rows. Raises if it hasn't converged after max_rounds, which chains of 2**max_rounds nodes would
+    need."""
     now = saved(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(joined(both, low, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
-        small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = joined(large, low, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         now = saved(small)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:

@@ -3,7 +3,8 @@
 Overlapping heuristics vote good, bad or nothing on every document. Expectation-maximisation over the counts of vote
 patterns (at most 3**8 rows, whatever the data) estimates how each heuristic votes on good and on bad documents.
 Posterior labels of a bounded sample then train a logistic scorer over hashed features of words, which
-judges every document, also those that no heuristic knows."""
+judges every document, also those that no heuristic knows. If the sample lacks good or bad documents, the posteriors
+judge alone."""
 
 from __future__ import annotations
 
@@ -154,8 +155,6 @@ class Scorer:
 def fitted(sizes: np.ndarray, bucket: np.ndarray, share: np.ndarray, target: np.ndarray, rate: float = 0.1, decay: float = 1e-5) -> Model:
     """Logistic regression by Adam over all rows at once; row i has sizes[i] of the buckets and shares. Both classes weigh the same."""
     weights, bias, n = np.zeros(BUCKETS), 0.0, len(sizes)
-    if not len(bucket):
-        return Model(weights, bias)
     at = np.repeat(np.arange(n, dtype=np.int32), sizes)
     weight = np.where(target > 0.5, 1 / max(target.sum(), 1), 1 / max((1 - target).sum(), 1))
     weight = weight / weight.mean()
@@ -170,11 +169,14 @@ def fitted(sizes: np.ndarray, bucket: np.ndarray, share: np.ndarray, target: np.
     return Model(weights, float(bias))
 
 
-def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Model, dict[int, float]]:
+def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Model | None, dict[int, float]]:
     """The scorer, and the posterior of each vote pattern.
 
-    The votes of all documents are counted. About sample of them, taken by a hash of id and text, train the scorer."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)).alias("h"))
+    The votes of all documents are counted. At most sample of them train the scorer, the first by a hash of id, text and
+    place in the input, so that rows that repeat are sampled like any others. There is no scorer if the sample holds less
+    than one document's weight of good or of bad ones; then the posteriors judge."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text, F.monotonically_increasing_id()).alias("h"))
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -184,25 +186,43 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
 
     counts = {r["pattern"]: r["n"] for r in rows.select("text").mapInArrow(voted, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     if not counts:
-        return Model(np.zeros(BUCKETS), 0.0), {}
+        return None, {}
     known = posteriors(counts)
-    every = max(1, -(-sum(counts.values()) // sample))
+    share = min(1.0, 1.2 * sample / sum(counts.values()))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Known(word_features)
         for b in batches:
             texts = b.column(0).to_pylist()
             found = [features(t, of) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32())), pa.array([pattern(votes(t)) for t in texts], pa.int64())], ["b", "s", "pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32())), pa.array([pattern(votes(t)) for t in texts], pa.int64()), b.column(1)], ["b", "s", "pattern", "h"])
 
-    taken = rows.where(F.pmod(F.col("h"), F.lit(every)) == 0).select("text", "h").mapInArrow(featured, "b array<int>, s array<float>, pattern long").toArrow()
+    near = rows.where(F.shiftrightunsigned("h", 11) < int(share * 2**53))
+    taken = near.select("text", "h").mapInArrow(featured, "b array<int>, s array<float>, pattern long, h long").orderBy("h").limit(sample).toArrow()
     taken = taken.combine_chunks()
+    target = np.array([known[p] for p in taken["pattern"].to_pylist()])
+    if min(target.sum(), (1 - target).sum()) < 1:
+        return None, known
     sizes = taken["b"].combine_chunks().value_lengths().to_numpy()
     flat = [taken[c].combine_chunks().flatten().to_numpy() for c in ("b", "s")]
-    target = np.array([known[p] for p in taken["pattern"].to_pylist()])
     return fitted(sizes, *flat, target), known
 
 
+class Judge:
+    """Weak label, score and verdict of a text; without a scorer the weak label is the score."""
+
+    def __init__(self, model: Model | None, known: dict[int, float]):
+        self.known, self.scorer = known, Scorer(model) if model else None
+
+    def weak(self, text: bytes) -> float:
+        return self.known.get(pattern(votes(text)), 0.5)
+
+    def score(self, text: bytes) -> float:
+        if self.scorer:
+            return self.scorer.probability(text)
+        return self.weak(text) if text.split() else 0.0
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Rows (id, weak, score, kept) for each row of docs: posterior of its votes, probability of the scorer, verdict.
 
@@ -212,12 +232,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     shared = docs.sparkSession.sparkContext.broadcast((model, known))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
-        scorer = Scorer(model)
+        judge = Judge(*shared.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            scores = [scorer.probability(t) for t in texts]
-            weak = [known.get(pattern(votes(t)), 0.5) for t in texts]
+            scores, weak = [judge.score(t) for t in texts], [judge.weak(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weak), pa.array(scores), pa.array([s >= 0.5 for s in scores])], ["id", "weak", "score", "kept"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -226,12 +244,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
-    model, _ = trained(docs, id_col, text_col, sample)
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared, at = docs.sparkSession.sparkContext.broadcast(trained(docs, id_col, text_col, sample)), docs.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        judge = Judge(*shared.value)
         for b in batches:
-            yield b.filter(pa.array([scorer.probability(t or b"") >= 0.5 for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([judge.score(t or b"") >= 0.5 for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(of, docs.schema)

@@ -1,6 +1,8 @@
+import os
 import random
 
 import duckdb
+import pytest
 
 from lodestone.llm import quality_model as M
 from lodestone.llm import quality_rules as Q
@@ -67,3 +69,30 @@ def test_classifier_on_edges(spark, documents, corpus, no_documents):
     assert all(not r["kept"] for r in out if r["id"] in (67, 68))
     assert M.accepted(documents).columns == documents.columns
     assert M.scored(no_documents).collect() == [] and M.accepted(no_documents).collect() == []
+
+
+@pytest.mark.parametrize("n", [2000, 20_001])
+def test_rows_without_ids_get_both_verdicts(spark, n):
+    good, bad = "the cat and the dog are in the house of a man that was old and it is as it was for him to be there", "### $$$ " * 30
+    df = spark.range(n).selectExpr("cast(null as long) AS doc_id", f"CASE WHEN id % 2 = 0 THEN '{good}' ELSE rpad('{bad}', length('{good}'), '#') END AS text")
+    verdicts = {(r["text"] == good) for r in M.accepted(df, sample=500).distinct().collect()}
+    assert verdicts == {True} and M.accepted(df, sample=500).count() == (n + 1) // 2
+
+
+def test_one_class_alone(spark):
+    good = spark.range(50).selectExpr("id AS doc_id", "concat('the cat and the dog are in the house of a man that was old and it is as it was for ', id) AS text")
+    assert M.accepted(good).count() == 50
+    assert M.accepted(spark.range(5).selectExpr("id AS doc_id", "cast(null as string) AS text")).count() == 0
+
+
+def test_votes_of_long_texts():
+    long = b"the word of a man and " * 200_000
+    assert len(M.votes(long)) == M.HEURISTICS and M.features(long, M.Known(M.word_features))[0]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_against_labels(spark):
+    d = "/root/testdata/sf0.01"
+    out = M.scored(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet").withColumnRenamed("doc_id", "id"), "id").select("quality", "kept").collect()
+    bad, good = [r["kept"] for r in out if r["quality"] == 0], [r["kept"] for r in out if r["quality"] == 1]
+    assert len(bad) > 20 and len(good) > 20 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.98 * len(good)

@@ -5,7 +5,11 @@ A covering family of bit masks finds every such pair: bit i carries a non-zero v
 mask of vector x keeps the bits with <m(i), x> = 1. Two differing bits span at most two of three dimensions, so some
 non-zero x is orthogonal to both, and under its mask the two fingerprints are equal. Two independent families are
 used together (7 x 7 masks): a bucket then fixes at least 51 of the 64 bits, so that it holds at most 2**13 fingerprints however
-large a group of copies is. Equal fingerprints are one row before any bucket is made."""
+large a group of copies is. Equal fingerprints are one row before any bucket is made.
+
+Near copies by shingle sets differ in more bits. For them the bits are halved: of up to 2 r + 1 differing bits one half
+has at most r, and vectors m(i) of r + 1 bits cover these in 2**(r + 1) - 1 masks. Each bucket reports a tree of the
+fingerprints that are near; the connected groups are candidates, and near_copies compares their sets."""
 
 from __future__ import annotations
 
@@ -16,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, saved, sorted_groups
+from . import near_copies
+from .shared import components, joined, partitions_for, saved, sorted_groups
 
 RADIUS = 2
+#: Differing bits, of a half and of the whole, for near copies. Sets of five-word shingles of similarity 0.8 have
+#: fingerprints over three-word shingles that differ in some 8 bits.
+HALF_RADIUS, NEAR_RADIUS = 5, 13
 
 
 def covering_masks() -> list[int]:
@@ -110,13 +118,80 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = saved(fps.groupBy("fp").agg(F.min("id").alias("rep")))
     found = components(bucket_edges(distinct.where("rep is not null")))
     named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, "fp").select("id", "fp", "component")
+    return joined(fps, named, "fp", "id").select("id", "fp", "component")
+
+
+def half_masks(radius: int = HALF_RADIUS) -> list[int]:
+    """Masks, as unsigned numbers, of which one leaves out all differing bits of any pair with at most radius in a half."""
+    top = 1 << radius  # m(i) = top + i: every vector but top itself keeps half of the 32 bits
+    kept = [sum(1 << i for i in range(32) if bin((top + i % top) & x).count("1") % 2) for x in range(1, 2 * top)]
+    return kept + [m << 32 for m in kept]
+
 
+def near_edges(nodes: DataFrame, n: int) -> DataFrame:
+    """Edges (u, v) that join nodes (fp, h) of one bucket whose fingerprints differ in at most NEAR_RADIUS bits."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in half_masks()]
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: one of each group of near-duplicates, that with the smallest id.
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.array(masks, np.int64)
+        turn = np.uint64(0x9E3779B97F4A7C15)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                fp = b.column(0).to_numpy()
+                key = ((fp[:, None] & at).view(np.uint64) + np.arange(1, len(at) + 1, dtype=np.uint64)) * turn
+                key = (key ^ (key >> np.uint64(32))) * turn
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), *(pa.array(np.repeat(b.column(i).to_numpy(), len(at))) for i in (0, 1))], ["key", "fp", "h"])
 
-    Where rows with one id differ, each that is its group's smallest id stays once; rows without an id stay."""
-    found = simhash_components(docs, id_col, text_col).where("id = component").select(F.col("id").alias("_kept_id")).distinct()
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in sorted_groups(batches, ["key"]):
+            fp, h = t.column("fp").to_numpy().view(np.uint64), t.column("h").to_numpy()
+            size, found = np.diff(starts), []
+            small = np.repeat(np.where(size <= 16, np.arange(len(size)), -1), size)
+            for by in range(1, min(16, int(size.max()))):
+                a = np.flatnonzero((small[by:] == small[:-by]) & (small[by:] >= 0))
+                a = a[np.bitwise_count(fp[a] ^ fp[a + by]) <= NEAR_RADIUS]
+                found.append(np.stack([h[a], h[a + by]], 1))
+            found += [np.array(e, np.int64) for s, k in zip(starts[:-1][size > 16], size[size > 16], strict=True) if (e := _forest(fp[s : s + k], h[s : s + k], NEAR_RADIUS))]
+            if found and len(e := np.unique(np.concatenate(found), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
+
+    parts = partitions_for(nodes.sparkSession, 24 * len(masks) * n, 64 << 20)
+    rows = nodes.select("fp", "h").mapInArrow(placed, "key long, fp long, h long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(of, "u long, v long")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row (id, component) for each row of docs with an id: the smallest id reachable over near copies.
+
+    Texts link if their sets of shingles of so many words, in lower case, have at least that Jaccard similarity and
+    their fingerprints connect. A null text counts as empty, and empty texts are copies of each other; a text of fewer
+    words is one shingle. Rows that repeat are copies. Other columns of docs are not looked at. An empty table gives
+    an empty result."""
+    texts = near_copies.texts_of(docs, id_col, text_col)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = near_copies._Words()
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            sets = [near_copies.shingles(t, seen, words) for t in raw]
+            cols = [[fingerprint(t) for t in raw], [near_copies.set_hash(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array([len(s) for s in sets], pa.int32())], ["id", "fp", "h", "n"])
+
+    rows = saved(texts.mapInArrow(of, "id long, fp long, h long, n int"))
+    nodes = saved(rows.groupBy("h").agg(F.min("fp").alias("fp")))
+    groups = saved(components(near_edges(nodes, nodes.count())).select(F.col("node").alias("h"), F.col("component").alias("comp")))
+    links = components(near_copies.verified(groups, texts, rows, words, similarity))
+    owners = rows.groupBy("h").agg(F.min("id").alias("least")).join(links, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("c"))
+    owners = saved(owners)
+    named = joined(owners, owners.groupBy("c").agg(F.min("least").alias("component")), "c", "h").select("h", "component")
+    return joined(rows.select("id", "h"), named, "h", "id").select("id", "component")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay: one of each group of near copies, that with the smallest id.
+
+    Where rows with one id differ, one stays if any is its group's smallest id; rows without an id stay."""
+    found = near_components(docs, id_col, text_col, words, similarity).where("id = component").select(F.col("id").alias("_kept_id")).distinct()
     kept = docs.join(found, docs[id_col] == found["_kept_id"], "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

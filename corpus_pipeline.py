@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import near_copies, packing, quality_model, quality_rules, substring_dedup
+from lodestone.llm import packing, quality_model, quality_rules, simhash, substring_dedup
 from lodestone.llm.shared import checkpoint_dir
 
 
@@ -23,7 +23,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.deduplicated(docs)
+    return simhash.deduplicated(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +37,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality_classifier),
     ("quality rules", rules),
-    ("near-dedup", near_dedup),
+    ("simhash near-dedup", near_dedup),
     ("substring dedup", passages),
     ("best-fit packing", pack),
 ]
 
-#: SQL can't express the trained scorer or the bins; tests/llm/test_pipeline.py has a brute-force version.
+#: SQL can't express the trained scorer or the bins; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 

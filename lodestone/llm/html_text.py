@@ -2,7 +2,11 @@
 
 A page becomes a small tree of elements and a list of text blocks in page order. Paragraph-like blocks give points for
 length and commas to their parent, half to the grandparent and a third to the next; an element's points are discounted
-by the share of its text that is links. The best container is kept with those siblings that look like more of it."""
+by the share of its text that is links. The best container is kept with those siblings that look like more of it.
+
+Elements that look like menus, headers, footers, sidebars, notices, adverts, forms or readers' comments by tag, class,
+id or role are left out, unless one holds most of the page's points: then it wraps the article. Time and memory are
+linear in the page, whatever its tags."""
 
 from __future__ import annotations
 
@@ -18,45 +22,72 @@ TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template iframe svg math textarea select object title canvas video audio".split()}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav footer aside form button dialog fieldset menu head".split())
-SAFE = frozenset("html body article main".split())
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|copyright|disqus|foot|footer|gdpr|head|header|legal|login|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|popup|promo|promotion|related|recommended|replies|reply|respond|rss|search|share|sharing|shoutbox|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|toolbar|tools|widget|alert|overlay)(?:$|[\s_-])"
+#: Elements that hold no article, and words of class or id that say so. A page may still wrap its article in one.
+UNLIKELY_TAGS = frozenset("nav footer aside form button dialog fieldset menu head header".split())
+SAFE = frozenset("html body main".split())
+UNLIKELY = frozenset(
+    (
+        "ad ads advert adverts advertisement advertising adsense adbox banner breadcrumb breadcrumbs combx community consent cookie cookies copyright "
+        "foot footer gdpr head header legal login masthead menu meta modal nav navbar navigation newsletter notice notification pager pagination popup "
+        "promo promotion related recommended rss search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tags toolbar tools "
+        "widget alert overlay"
+    ).split()
 )
+READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: A word after one of these tells how a page looks, not what an element is.
+MODIFIERS = frozenset("has no with without is not".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+CLOSES = {tag: (closed.split(), stops.split()) for tag, (closed, stops) in CLOSES.items()}
 BONUS = {"article": 25, "main": 25, "section": 2, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
 NO_POINTS = frozenset("h1 h2 h3 h4 h5 h6 th figcaption".split())
+#: What an element is, and the share of the page's points from which it must be the article's wrapper all the same.
+PLAIN, NAMED, OTHER, COMMENTS, HIDDEN = 0, 1, 2, 3, 4
+WRAPS = {NAMED: 0.5, OTHER: 0.9, COMMENTS: 0.97}
 
 
-def _is_dropped(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in SAFE and tag != "article":
-        return False
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
+def _kind(tag: str, attrs: str, in_article: bool) -> int:
+    """PLAIN, or why an element is unlikely: its class, id or role; its tag; readers' comments; hidden."""
+    if tag in SAFE:
+        return PLAIN
+    kind = OTHER if tag in UNLIKELY_TAGS and not (tag == "header" and in_article) else PLAIN
     if not attrs or attrs.isspace():
-        return False
-    if HIDDEN.search(attrs):
-        return True
-    for name, *value in NAMES.findall(attrs):
-        v = "".join(value).lower()
-        if name.lower() == "role":
-            if v in ROLES:
-                return True
-        elif UNLIKELY.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(value)).lower()):
-            return True
-    return False
-
-
-def _blocks(html: str) -> tuple[list[str], list[int], list[tuple[int, str, int]]]:
-    """Tags and parents of the elements, and blocks (element, text, characters inside links) that aren't dropped."""
-    tags, parents, dropped, stack = ["#root"], [-1], [False], [0]
+        return kind
+    for name, *value in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), "".join(value)
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
+            return HIDDEN
+        if name == "role" and value.lower() in ROLES:
+            kind = max(kind, OTHER)
+        elif name in ("class", "id"):
+            for part in CAMEL.sub("-", value).lower().split():
+                w = part.replace("_", "-").split("-")
+                if not MODIFIERS.isdisjoint(w[:-1]):
+                    continue
+                if not READERS.isdisjoint(w):
+                    kind = max(kind, COMMENTS)
+                elif tag != "article" and not UNLIKELY.isdisjoint(w):
+                    kind = max(kind, NAMED)
+    return kind
+
+
+def _blocks(html: str) -> tuple[list[str], list[int], list[int], list[tuple[int, str, int]]]:
+    """Tags, parents and kinds of the elements, and blocks (element, text, characters inside links).
+
+    For each tag the depths of its open elements are kept, so that an end tag is found or not without a search."""
+    tags, parents, kinds, stack = ["#root"], [-1], [PLAIN], [0]
+    opens: dict[str, list[int]] = {}
+    walls = [0]  # depths of the open elements that aren't inline
     blocks: list[tuple[int, str, int]] = []
     run: list[str] = []
-    links, in_link, articles, at, end = 0, 0, 0, 0, len(html)
+    links, at, end = 0, 0, len(html)
+
+    def depth_of(tag: str) -> int:
+        held = opens.get(tag)
+        return held[-1] if held else 0
 
     def flush() -> None:
         nonlocal links
@@ -64,24 +95,23 @@ def _blocks(html: str) -> tuple[list[str], list[int], list[tuple[int, str, int]]
             text = "".join(run)
             text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
-                block = next(i for i in reversed(stack) if tags[i] not in INLINE)
-                blocks.append((block, text, min(links, len(text))))
+                blocks.append((stack[walls[-1]], text, min(links, len(text))))
             run.clear()
         links = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal in_link, articles
-        for i in stack[depth:]:
-            in_link -= tags[i] == "a"
-            articles -= tags[i] == "article"
+        for i in reversed(stack[depth:]):
+            opens[tags[i]].pop()
         del stack[depth:]
+        while walls[-1] >= depth:
+            walls.pop()
 
     while at < end:
         m = TOKEN.search(html, at)
         stop = m.start() if m else end
-        if stop > at and not dropped[stack[-1]]:
+        if stop > at:
             run.append(html[at:stop])
-            if in_link:
+            if opens.get("a"):
                 links += stop - at
         if not m:
             break
@@ -90,16 +120,11 @@ def _blocks(html: str) -> tuple[list[str], list[int], list[tuple[int, str, int]]
         if not tag:
             continue
         if m[1] or m[4]:
-            if tag in RAW:
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] == tag:
-                    if tag not in INLINE:
-                        flush()
-                    pop_to(depth)
-                    break
-                if tag in INLINE and tags[stack[depth]] not in INLINE:
-                    break
+            depth = depth_of(tag)
+            if tag not in RAW and depth and (tag not in INLINE or depth > walls[-1]):
+                if tag not in INLINE:
+                    flush()
+                pop_to(depth)
             continue
         attrs = m[3] or m[6] or ""
         if tag in RAW:
@@ -107,49 +132,72 @@ def _blocks(html: str) -> tuple[list[str], list[int], list[tuple[int, str, int]]
                 closed = RAW[tag].search(html, at)
                 at = closed.end() if closed else end
             continue
-        if tag in VOID or tag in INLINE and tag == "br":
-            if tag in ("br", "wbr"):
-                run.extend(" " * (tag == "br" and not dropped[stack[-1]]))
+        if tag in VOID:
+            if tag == "br":
+                run.append(" ")
             elif tag == "hr":
                 flush()
             continue
         if tag not in INLINE:
             flush()
             if tag in CLOSES_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tags[stack[depth]] == "p":
-                        pop_to(depth)
-                        break
-                    if tags[stack[depth]] not in INLINE:
-                        break
+                if tags[stack[walls[-1]]] == "p":
+                    pop_to(walls[-1])
             elif tag in CLOSES:
                 closing, stops = CLOSES[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tags[stack[depth]] in stops:
-                        break
-                    if tags[stack[depth]] in closing.split():
-                        pop_to(depth)
-                        if tag != "tr":
-                            break
-        elif tag == "a" and in_link:  # a link doesn't hold a link
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] == "a":
+                wall = max(map(depth_of, stops))
+                while (depth := max(map(depth_of, closing))) > wall:
                     pop_to(depth)
-                    break
+        elif tag == "a" and opens.get("a"):  # a link doesn't hold a link
+            pop_to(depth_of("a"))
         tags.append(tag)
         parents.append(stack[-1])
-        dropped.append(dropped[stack[-1]] or _is_dropped(tag, attrs, articles > 0))
-        if not attrs.endswith("/") or tag in INLINE or tag in SAFE or tag == "p":
+        kinds.append(_kind(tag, attrs, bool(opens.get("article"))))
+        if not attrs.endswith("/") or tag in INLINE or tag in SAFE or tag in ("p", "article"):
+            if tag not in INLINE:
+                walls.append(len(stack))
+            opens.setdefault(tag, []).append(len(stack))
             stack.append(len(tags) - 1)
-            in_link += tag == "a"
-            articles += tag == "article"
     flush()
-    return tags, parents, blocks
+    return tags, parents, kinds, blocks
+
+
+def _gain(tag: str, text: str, links: int) -> float:
+    """Points of a block for its length and commas, less the share that is links."""
+    if len(text) < 25 or tag in NO_POINTS:
+        return 0.0
+    return (1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)) * (1 - links / len(text))
+
+
+def _dropped(tags: list[str], parents: list[int], kinds: list[int], blocks: list[tuple[int, str, int]]) -> list[bool]:
+    """Which elements lie in an unlikely one. One that holds most of the page's points wraps the article and stays.
+
+    That can't be if an article or main element with text stands outside of all unlikely ones."""
+    n = len(tags)
+    held, full, under = [0.0] * n, [False] * n, [False] * n
+    for block, text, links in blocks:
+        held[block] += _gain(tags[block], text, links)
+        full[block] = True
+    for i in range(n - 1, 0, -1):
+        if kinds[i] == HIDDEN:
+            held[i], full[i] = 0.0, False
+        held[parents[i]] += held[i]
+        full[parents[i]] |= full[i]
+    for i in range(1, n):
+        under[i] = under[parents[i]] or kinds[i] != PLAIN
+    if any(tags[i] in ("article", "main") and full[i] and not under[i] for i in range(1, n)):
+        return under
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[parents[i]] or kinds[i] != PLAIN and (kinds[i] == HIDDEN or held[i] <= WRAPS[kinds[i]] * held[0])
+    return out
 
 
 def main_text(html: str) -> str:
     """The page's main text: its blocks in page order, one to a line; empty if there is none."""
-    tags, parents, blocks = _blocks(html)
+    tags, parents, kinds, blocks = _blocks(html)
+    dropped = _dropped(tags, parents, kinds, blocks)
+    blocks = [b for b in blocks if not dropped[b[0]]]
     if not blocks:
         return ""
     n = len(tags)
@@ -158,10 +206,7 @@ def main_text(html: str) -> str:
         length[block] += len(text)
         linked[block] += links
         count[block] += 1
-        if len(text) < 25 or tags[block] in NO_POINTS:
-            continue
-        gain = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
-        gain *= 1 - links / len(text)
+        gain = _gain(tags[block], text, links)
         holder, share = (parents[block] if tags[block] in ("p", "pre", "blockquote", "li", "dd", "dt") else block), 1
         while holder > 0 and share <= 3:
             points[holder] += gain / share

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from lodestone.llm import html_text as H
@@ -25,6 +28,88 @@ def test_main_text(html, text):
     assert H.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<div class="content has-sidebar"><p>{P1}</p><p>{P2}</p></div>',
+        f'<div id="page" class="with-banner"><main><p>{P1}</p><p>{P2}</p></main></div>',
+        f'<article class="post tags-x share"><p>{P1}</p><p>{P2}</p></article>',
+        f'<form id="aspnetForm"><div><p>{P1}</p><p>{P2}</p></div></form>',
+        f'<div><p title="the hidden truth">{P1}</p><p>{P2}</p></div>',
+        f'<div class="header-wrapper"><div class="content"><p>{P1}</p><p>{P2}</p></div></div><div class="footer"><p>Contact us, by mail or phone, any day.</p></div>',
+        f'<article><header><span>by</span></header><p>{P1}</p><p>{P2}</p><footer><p>{P2}</p></footer></article>'.replace("<span>by</span>", ""),
+        f'<article><p>{P1}</p><p>{P2}</p></article><section id="comments"><article class="comment-body"><p>{P1} Indeed, it is so, I say.</p></article></section>',
+        f'<div><p>{P1}</p><p>{P2}</p></div><p hidden>{P1}</p><p style="display: none">{P2}</p><div aria-hidden="true">{P1}</div>',
+        f'<div><p>{P1}<p>{P2}</div><div role="complementary"><p>{P2}</p></div>',
+    ],
+)
+def test_wrappers_and_modifiers(html):
+    assert H.main_text(html) == f"{P1}\n{P2}"
+
+
+def test_a_short_article_beats_a_long_advert():
+    assert H.main_text(f'<div class="ad">{P1}</div><article><h1>T</h1><p>Short.</p></article><footer>{P2}</footer>') == "T\nShort."
+
+
+def plain_best(tree):
+    """The element of the highest score, by walking a tree of (tag, children or text) as the method says."""
+    scores, order = {}, []
+
+    def walk(node, path):
+        tag, inner = node
+        me = path + [len(order)]
+        order.append(tag)
+        scores[me[-1]] = [0.0, 0]
+        if isinstance(inner, str):
+            gain = 1 + inner.count(",") + min(len(inner) / 100, 3) if len(inner) >= 25 else 0
+            for share, holder in enumerate(reversed(path[-3:]), 1):
+                scores[holder][0] += gain / share
+        else:
+            for child in inner:
+                walk(child, me)
+
+    walk(tree, [])
+    value = {i: (p + H.BONUS.get(order[i], 0) if p > 0 else 0.0) for i, (p, _) in scores.items()}
+    return max(value, key=lambda i: (value[i], -i))
+
+
+def test_scores_of_small_trees():
+    rng = random.Random(8)
+    seen = 0
+    for _ in range(300):
+        def tree(depth):
+            if depth == 0 or rng.random() < 0.3:
+                return ("p", f"t{rng.randrange(10**9)} " + "word, " * rng.randint(1, 12) + "end")
+            return (rng.choice(["div", "section", "center"]), [tree(depth - 1) for _ in range(rng.randint(1, 3))])
+
+        root = ("div", [tree(3) for _ in range(2)])
+        texts, number = [], [0]
+
+        def html(node, inside):
+            me = number[0]
+            number[0] += 1
+            inside = inside or me == best
+            if isinstance(node[1], str):
+                texts.append((inside, node[1]))
+                return f"<{node[0]}>{node[1]}</{node[0]}>"
+            return f"<{node[0]}>" + "".join(html(c, inside) for c in node[1]) + f"</{node[0]}>"
+
+        best = plain_best(root)
+        out = H.main_text(html(root, False))
+        want = [t for inside, t in texts if inside]
+        assert all(t in out.split("\n") for t in want)
+        seen += len(want) < len(texts)
+    assert seen > 20
+
+
+@pytest.mark.parametrize("part", ["<div></x>", "<b></i>", "<p><b></div>", "<li></ul>", "<td><a>", "<tr></table>", "<div class='ad x'>", "<a href='", '<a "'])
+def test_hostile_pages_take_linear_time(part):
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - began < 8
+
+
 def test_hard_input():
     assert H.main_text("<" * 20000) == "<" * 20000
     assert H.main_text("<a " + 'x="' * 5000) is not None

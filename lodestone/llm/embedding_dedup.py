@@ -27,8 +27,8 @@ from .shared import HUBS, components, joined, partitions_for, saved, sorted_grou
 TABLES, PROBES, CELL, SEED = 4, 4, 1.15, 42
 #: Most signs of 128 in which candidates differ, at a threshold of 0.98; some five standard deviations above the mean.
 SIGNS = 22
-#: Rows of a cell that are compared in place, and vectors of a block of a group.
-CELL_ROWS, BLOCK, TILE = 20_000, 4096, 512
+#: Rows of a cell that are compared in place; vectors of a block of a group, of which there are BLOCKS until blocks are full.
+CELL_ROWS, BLOCK, BLOCKS, FULL, TILE = 20_000, 256, 32, 1 << 16, 512
 U = np.uint64
 #: Which of the four least certain coordinates are rounded the other way, by the parity of the plain rounding.
 FLIPS = (((), (0,)), ((0, 1), (1,)), ((0, 2), (2,)), ((1, 2), (3,)), ((0, 3), (0, 1, 2)))
@@ -313,8 +313,9 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     wanted = saved(several.where("n > 1 or component is not null").select("s0", F.coalesce("component", "s0").alias("comp")))
     members = rows.mapInArrow(distinct, f"s0 long, label long, vec {kind}, ids array<long>").join(wanted, "s0")
     members = saved(members.select("comp", "label", "vec", "ids", F.monotonically_increasing_id().alias("node")))
-    block = max(BLOCK, n // HUBS)
-    blocks = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("comp", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    least = max(BLOCK, n // HUBS)
+    size = F.least(F.greatest(F.col("n") / BLOCKS, F.lit(least)), F.lit(max(FULL, least)))
+    blocks = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("comp", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
     pairs = _block_pairs(members.join(F.broadcast(blocks), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), F.xxhash64("node"))  # at most HUBS groups
     by = ["comp", "a", "b"]
     found = saved(pairs.select(*by, "side", "label", "node", "vec", "ids").repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda x: _compared(x, threshold), "node long, n long, root long, ids array<long>"))
@@ -322,6 +323,6 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     linked_nodes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = links.join(linked_nodes, "node", "left").select(F.explode("ids").alias("id"), "n_links", F.coalesce("component", "node").alias("c"))
     named = saved(named)
-    least = named.groupBy("c").agg(F.min("id").alias("component"))
+    smallest = named.groupBy("c").agg(F.min("id").alias("component"))
     alone = light.join(wanted, "s0", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return joined(named, least, "c", "id").select("id", "n_links", "component").union(alone)
+    return joined(named, smallest, "c", "id").select("id", "n_links", "component").union(alone)

@@ -1,12 +1,13 @@
 """SentencePiece vocabularies as unigram models: Viterbi encoding, decoding and token counts.
 
 The vocabulary is read on the driver from a .model file, whose path is a parameter, and broadcast: it holds some ten
-thousands of pieces whatever the data. Segmentations maximise the sum of the pieces' scores. On equal sums the longer
-last piece wins, which is the library's rule; sums are kept in double precision, where the library rounds to single.
+thousands of pieces whatever the data. Segmentations maximise the sum of the pieces' scores; on equal sums the longer
+last piece wins. That is what the library does: tests compare ids and counts with it, on texts of any length.
 
-A boundary that no piece can span is one where all paths converge: before a run of word marks or a line break, if no
-piece holds one after another character. Texts are cut there, and the parts, mostly words, are looked up in a bounded
-cache. Parts that are long are encoded in a stream that keeps a window and commits ids where paths converge."""
+Texts are encoded in a stream. A boundary that no piece can span is one where all paths converge: before a run of word
+marks or a line break, if no piece holds one after another character. What lies between two of these, mostly a word, is
+committed at once, and a bounded cache keeps it. Inside a longer run a window of the longest piece is kept, and ids are
+committed whenever all paths that are still alive converge."""
 
 from __future__ import annotations
 
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 MARK, UNKNOWN_PENALTY = "▁", 10.0
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHED, COMMIT_EVERY = 200_000, 256
+#: A score below this says that nothing but a piece may do; it counts as one less than the others, or it would drown all sums.
+NEVER = -1e6
+CACHED = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -71,6 +74,8 @@ class Vocabulary:
                 self.dummy_prefix = bool(f.get(3, 1))
         self.unk = next(i for i, p in enumerate(self.pieces) if p[2] == UNK)
         self.bytes = {int(p[0][3:5], 16): i for i, p in enumerate(self.pieces) if p[2] == BYTE}
+        least = min(s for _, s, kind in self.pieces if kind == NORMAL and s >= NEVER)
+        self.pieces = [(p, least - 1 if kind == NORMAL and s < NEVER else s, kind) for p, s, kind in self.pieces]
         scores = [s for _, s, kind in self.pieces if kind == NORMAL]
         self.unk_score = min(scores) - UNKNOWN_PENALTY
         top = max(scores)
@@ -108,13 +113,14 @@ class Encoder:
         self.automaton.make_automaton()
         self.singles = frozenset(p for p in vocabulary.scored if len(p) == 1)
         self.lone_break = not any("\n" in p for p in vocabulary.scored)
+        self.cache = Cache(self.part)
 
-    def stream(self, part: str, every: int = COMMIT_EVERY) -> Iterator[tuple[int, ...]]:
+    def stream(self, part: str) -> Iterator[tuple[int, ...]]:
         """The ids of a part in order, in runs that are yielded once nothing that follows can change them.
 
         best[i] holds score, start and id of the best path that ends at i, for the boundaries not yet committed."""
         best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, -1)}
-        done, n, unk = 0, len(part), self.v.unk
+        done, n, unk, window = 0, len(part), self.v.unk, self.v.longest
         matches = self.automaton.iter(part)
         at, found = next(matches, (-1, None))
 
@@ -136,45 +142,34 @@ class Encoder:
             if part[i] not in self.singles and (now := best[i][0] + self.v.unk_score) > score:
                 score, start, piece = now, i, unk
             best[i + 1] = (score, start, piece)
-            if (i + 1) % every == 0:
-                alive = set(range(max(i + 2 - self.v.longest, done), i + 2))  # where pieces still to come can start
-                while len(alive) > 1 and max(alive) > done:
-                    last = max(alive)
+            if (i + 1) % window == 0 and i + 1 < n:
+                alive = set(range(max(i + 2 - window, done), i + 2))  # where pieces still to come can start
+                while len(alive) > 1 and (last := max(alive)) > done:
                     alive.remove(last)
                     alive.add(max(best[last][1], done))
                 if (commit := alive.pop()) > done:
                     yield path(commit)
-                    for k in [k for k in best if k < commit]:
+                    for k in range(done, commit):
                         del best[k]
                     done = commit
         if n > done:
             yield path(n)
 
     def part(self, part: str) -> tuple[int, ...]:
-        n = len(part)
-        if self.lone_break and n > 1 and part[0] == "\n":
-            return self.part("\n") + self.part(part[1:])
-        if n > COMMIT_EVERY or not self.singles.issuperset(part):
-            return tuple(chain.from_iterable(self.stream(part)))
-        score, back, ids = [float("-inf")] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        score[0] = 0.0
-        for end, (length, s, i) in self.automaton.iter(part):
-            end += 1
-            s += score[end - length]
-            if s > score[end]:
-                score[end], back[end], ids[end] = s, length, i
-        out = []
-        while n:
-            out.append(ids[n])
-            n -= back[n]
-        return tuple(out[::-1])
+        if self.lone_break and len(part) > 1 and part[0] == "\n":
+            return self.cache["\n"] + self.cache[part[1:]]
+        return tuple(chain.from_iterable(self.stream(part)))
+
+    def ids(self, text: str) -> list[int]:
+        """All ids of a text."""
+        return list(chain.from_iterable(map(self.cache.__getitem__, words(self.v, text))))
 
 
 class Counter(Encoder):
-    """Counts pieces without building them: only score and count are kept for each boundary."""
+    """Counts pieces without building them: only score and count are kept, for the boundaries that a piece can reach."""
 
     def window(self, part: str) -> int:
-        """Keeps the last boundaries only, as many as the longest piece has characters."""
+        """The number of pieces of a part."""
         v, size = self.v, self.v.longest + 1
         score, count = [0.0] * size, [0] * size
         matches = self.automaton.iter(part)
@@ -184,31 +179,24 @@ class Counter(Encoder):
             while end == i:
                 length, s, _ = found
                 at = (i + 1 - length) % size
-                if score[at] + s > best:
-                    best, n = score[at] + s, count[at] + 1
+                if (now := score[at] + s) > best:
+                    best, n = now, count[at] + 1
                 end, found = next(matches, (-1, None))
             at = i % size
-            if part[i] not in self.singles and score[at] + v.unk_score > best:
-                best = score[at] + v.unk_score
-                n = count[at] + (len(part[i].encode("utf-8", "replace")) if v.byte_fallback else 1)
+            if part[i] not in self.singles and (now := score[at] + v.unk_score) > best:
+                best, n = now, count[at] + len(v.spelled(part[i]))
             at = (i + 1) % size
             score[at], count[at] = best, n
         return count[len(part) % size]
 
     def part(self, part: str) -> int:
-        n = len(part)
-        if self.lone_break and n > 1 and part[0] == "\n":
-            return self.part("\n") + self.part(part[1:])
-        if n > COMMIT_EVERY or not self.singles.issuperset(part):
-            return self.window(part)
-        score, count = [float("-inf")] * (n + 1), [0] * (n + 1)
-        score[0] = 0.0
-        for end, (length, s, _) in self.automaton.iter(part):
-            end += 1
-            s += score[end - length]
-            if s > score[end]:
-                score[end], count[end] = s, count[end - length] + 1
-        return count[n]
+        if self.lone_break and len(part) > 1 and part[0] == "\n":
+            return self.cache["\n"] + self.cache[part[1:]]
+        return self.window(part)
+
+    def count(self, text: str) -> int:
+        """The number of a text's pieces."""
+        return sum(map(self.cache.__getitem__, words(self.v, text)))
 
 
 class Cache(dict):
@@ -272,14 +260,13 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        cache, decoder = Cache(Encoder(v).part), Decoder(v)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 flat, ends, hashes, same = array("i"), [0], [], []
                 for t in b.column(1).to_pylist():
-                    ids = list(chain.from_iterable(map(cache.__getitem__, words(v, t or ""))))
+                    ids = encoder.ids(t or "")
                     flat.extend(ids)
                     ends.append(len(flat))
                     back = decoder.text(ids)
@@ -297,10 +284,9 @@ def counted(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        cache = Cache(Counter(v).part)
+        counter = Counter(shared.value)
         for b in batches:
-            counts = [sum(map(cache.__getitem__, words(v, t))) if t else 0 for t in b.column(1).to_pylist()]
+            counts = [counter.count(t) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["id", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

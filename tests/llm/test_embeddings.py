@@ -31,7 +31,7 @@ def test_links(spark, monkeypatch):
     rows = sample()
     df = spark.createDataFrame([(i, v, l, "x") for i, v, l in rows], "vec_id long, embedding array<double>, label int, id string").repartition(4)
     want = brute(rows, 0.98)
-    for block, cell_rows in ((4096, 20_000), (4, 3)):
+    for block, cell_rows in ((256, 20_000), (4, 3)):
         monkeypatch.setattr(E, "BLOCK", block)
         monkeypatch.setattr(E, "CELL_ROWS", cell_rows)
         assert sorted((tuple(r) for r in E.linked(df).collect()), key=str) == want

@@ -1,4 +1,6 @@
 import os
+import random
+import struct
 from itertools import chain
 
 import pytest
@@ -31,22 +33,31 @@ def brute(v, text):
     return best[-1][1]
 
 
-TEXTS = ["", "a", " a", "  two  spaces ", "The the erntre.\nNew line\n\nend", "日本語 テスト \x01", "x" * 700, "🙂 ok", "a\n b", "thehe in tion"]
+TEXTS = ["", "a", " a", "  two  spaces ", "The the erntre.\nNew line\n\nend", "日本語 テスト \x01", "x" * 700, "🙂 ok", "a\n b", "thehe in tion", "a▁b ▁ c", "▁"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_against_brute_force(v, text):
     want = brute(v, text)
     e, c = P.Encoder(v), P.Counter(v)
-    parts = P.words(v, text)
-    assert list(chain.from_iterable(map(e.part, parts))) == want
-    assert sum(map(c.part, parts)) == len(want)
-    assert list(chain.from_iterable(chain.from_iterable(e.stream(p, 8) for p in parts))) == want
-    assert c.window("".join(parts)) == len(want) if text else True
-    assert P.Decoder(v).text(want) == text
+    whole = "".join(P.words(v, text))
+    assert e.ids(text) == want and c.count(text) == len(want)
+    assert list(chain.from_iterable(e.stream(whole))) == want
+    assert c.window(whole) == len(want)
+    assert P.Decoder(v).text(want) == text.replace("▁", " ")
 
 
-def test_against_library_lattice(v):
+def test_stream_keeps_a_window(v):
+    e, rng = P.Encoder(v), random.Random(1)
+    text = "".join(rng.choice("theraningd") for _ in range(4000))
+    runs = list(e.stream(text))
+    assert len(runs) > 50 and max(map(len, runs)) < 200
+    assert list(chain.from_iterable(runs)) == list(e.part(text))
+
+
+@pytest.fixture(scope="module")
+def library():
+    """The library and our vocabulary over the same pieces as a unigram model, those never to be chosen just unlikely."""
     sp = pytest.importorskip("sentencepiece")
     data = bytearray(open(MODEL, "rb").read())
     trainer = next(x for n, x in P._fields(bytes(data)) if n == 2)
@@ -54,7 +65,7 @@ def test_against_library_lattice(v):
     while True:
         key = trainer[at]
         if key == 3 << 3:
-            data[start + at + 1] = 1  # the same pieces as a unigram model
+            data[start + at + 1] = 1
             break
         if key & 7 == 2:
             n, at = trainer[at + 1], at + 2
@@ -65,15 +76,35 @@ def test_against_library_lattice(v):
             at += 2
             while trainer[at - 1] > 127:
                 at += 1
-    u = sp.SentencePieceProcessor(model_proto=bytes(data))
-    e = P.Encoder(v)
-    for text in ("the", "In the beginning was a tion of things", "Anhaha thnd erea"):
-        assert list(chain.from_iterable(map(e.part, P.words(v, text)))) == u.nbest_encode_as_ids(text, 2)[0]
+    data = bytes(data).replace(struct.pack("<f", -1e9), struct.pack("<f", -40000.0))
+    return sp.SentencePieceProcessor(model_proto=data), P.Vocabulary(data)
+
+
+def test_against_the_library(library):
+    library, v = library
+    rng = random.Random(6)
+    syllables = "th er in on the and re ed nd ou ea ti to it st ing is ch en ió ñ ß é 日 本 🙂 ▁ \n".split(" ")
+    texts = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(texts) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    e, c = P.Encoder(v), P.Counter(v)
+    for text in texts:
+        want = library.encode(text)
+        assert e.ids(text) == want and c.count(text) == len(want)
+
+
+def test_long_text_against_the_library(library):
+    library, v = library
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 14))) for _ in range(20_000))
+    want = library.encode(text)
+    assert P.Encoder(v).ids(text) == want and P.Counter(v).count(text) == len(want)
 
 
-def test_queries(documents, corpus, no_documents, v):
+def test_queries(spark, documents, corpus, no_documents, v):
     rows = P.encoded(documents, MODEL).collect()
     counts = sorted((r["id"] or 0, r["n_tokens"]) for r in P.counted(documents, MODEL).collect())
     assert len(rows) == len(corpus) and all(r["round_trip"] for r in rows)
     assert sorted((r["id"] or 0, r["n_ids"]) for r in rows) == counts and all(len(r["ids"]) == r["n_ids"] for r in rows)
     assert P.encoded(no_documents, MODEL).collect() == [] and P.counted(no_documents, MODEL).collect() == []
+    marked = P.encoded(spark.createDataFrame([(1, "a▁b"), (1, "a▁b")], "doc_id long, text string"), MODEL).collect()
+    assert len(marked) == 2 and not marked[0]["round_trip"]

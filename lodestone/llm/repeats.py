@@ -11,7 +11,8 @@ equals. Equal windows have equal anchors at equal places, so that
 
 Copies inside a group are one snippet, so a passage that a third of all texts share is sent once for each group. If an
 anchor still has very many contents, because what stands around it varies, each of its windows is sent under its own whole
-content instead: the prefix that partitions is as long as it must be. A partition is a bounded share of its input."""
+content instead: the prefix that partitions is as long as it must be. Groups of texts hold GROUP_BYTES, partitions of
+snippets some BUCKET_BYTES, whatever the corpus; a text that is longer is read in steps that overlap by a window."""
 
 from __future__ import annotations
 
@@ -22,12 +23,14 @@ from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpoint_dir, released, saved
+from .shared import checkpoint_dir, partitions_for, released, saved
 
-GROUP_BYTES, STEP_BYTES, HOT, CELLS = 8 << 20, 1 << 19, 4096, 500_000
+GROUP_BYTES, BUCKET_BYTES, STEP_BYTES, HOT, CELLS = 8 << 20, 16 << 20, 1 << 19, 4096, 500_000
 PRIME = 0x100000001B3
 U = np.uint64
 
@@ -68,9 +71,11 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Step:
-    """Some whole texts as symbols, and the runs of windows that share an anchor."""
+    """Some whole texts, or a stretch of one, as symbols, and the runs of windows that share an anchor."""
 
-    texts: list[bytes]
+    base: int  # number of texts before
+    offset: int  # of the symbols in their text
+    overlap: int  # how many symbols the step before has seen too
     symbols: np.ndarray
     bounds: np.ndarray  # of each text in symbols
     anchor: np.ndarray  # of each run: place of its anchor, hash of it, first and last window, text
@@ -90,6 +95,10 @@ class Kind:
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
+    def stretches(self, text: bytes) -> Iterator[bytes]:
+        """A long text in stretches, each of which begins with the last size - 1 symbols of the one before."""
+        raise NotImplementedError
+
     def grams(self, symbols: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
@@ -101,40 +110,64 @@ class Kind:
         lo = 0
         while lo < len(texts):
             hi, n = lo + 1, len(texts[lo])
+            if n > STEP_BYTES:
+                offset = overlap = 0
+                for stretch in self.stretches(texts[lo]):
+                    s = self.step([stretch], lo, offset, overlap)
+                    yield s
+                    overlap = self.size - 1
+                    offset += len(s.symbols) - overlap
+                lo = hi
+                continue
             while hi < len(texts) and n + len(texts[hi]) <= STEP_BYTES:
                 n += len(texts[hi])
                 hi += 1
-            yield self.step(texts[lo:hi])
+            yield self.step(texts[lo:hi], lo)
             lo = hi
 
-    def step(self, texts: list[bytes]) -> Step:
+    def step(self, texts: list[bytes], base: int, offset: int = 0, overlap: int = 0) -> Step:
         symbols, bounds = self.read(texts)
         counts = np.maximum(np.diff(bounds) - self.size + 1, 0)
         none = np.zeros(0, np.int64)
         if not counts.sum():
-            return Step(texts, symbols, bounds, none, none.astype(U), none, none, none)
+            return Step(base, offset, overlap, symbols, bounds, none, none.astype(U), none, none, none)
         text = np.repeat(np.arange(len(texts)), counts)
         p = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(bounds[:-1], counts)
         grams = self.grams(symbols)
         a = leftmost_least(grams, self.size - self.gram + 1)[p]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]))
         end = np.append(new[1:], len(p)) - 1
-        return Step(texts, symbols, bounds, a[new], mixed(grams[a[new]] + U(PRIME)), p[new], p[end], text[new])  # mixed, as least hashes are all low
+        return Step(base, offset, overlap, symbols, bounds, a[new], mixed(grams[a[new]] + U(PRIME)), p[new], p[end], text[new])  # mixed, as least hashes are all low
+
 
+def stored(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, str, int]:
+    """The texts in groups (g) with row numbers (row), the name of their table, and their bytes.
 
-def stored(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The texts in groups (g) with row numbers (row); written once, bucketed by group."""
+    They are written once, bucketed by group. A group is a stretch of a partition of GROUP_BYTES, or one longer text."""
     spark = docs.sparkSession
     n = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(docs.rdd.getNumPartitions(), 1)
-    each = max(1, -(-n // (parts * GROUP_BYTES)))
-    number = F.monotonically_increasing_id()
-    rows = docs.select(F.spark_partition_id().alias("_p"), number.alias("row"), F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    rows = rows.withColumn("g", (F.col("_p") * F.lit(each) + F.col("row") % F.lit(each)).cast("int")).drop("_p")
+    rows = docs.select(F.lit(0).cast("long").alias("g"), F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, part = 0, TaskContext.get().partitionId()
+        for b in batches:
+            ends = before + np.cumsum(pa.compute.binary_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64))
+            if len(ends):
+                before = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([pa.array((part << 32) + ends // GROUP_BYTES), *b.columns[1:]], b.schema.names)
+
     name = "lodestone_" + uuid.uuid4().hex
-    buckets = min(max(1, parts * each), 100_000)
-    rows.write.format("parquet").option("path", f"{checkpoint_dir(spark)}/{name}").bucketBy(buckets, "g").saveAsTable(name)
-    return spark.table(name)
+    buckets = min(max(1, docs.rdd.getNumPartitions() + n // GROUP_BYTES), 100_000)
+    rows.mapInArrow(grouped, rows.schema).write.format("parquet").option("path", f"{checkpoint_dir(spark)}/{name}").bucketBy(buckets, "g").saveAsTable(name)
+    return spark.table(name), name, n
+
+
+def dropped(spark: SparkSession, name: str) -> None:
+    """Removes a table of stored() and its files, once nothing reads it any more."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _of_group(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], pa.Table]:
@@ -186,12 +219,11 @@ def _content_hashes(kind: Kind, s: Step, first: np.ndarray, last: np.ndarray, ex
 
 def _distinct_anchors(kind: Kind, docs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct anchor hashes in order, how many contents each has, and whether two texts (or places, if these count) hold it."""
-    keys, contents, owners, base = [], [], [], 0
+    keys, contents, owners = [], [], []
     for s in kind.steps(texts):
         keys.append(s.key)
         contents.append(_content_hashes(kind, s, s.first, s.last, np.stack([s.anchor - s.first, s.anchor - s.last], 1)))
-        owners.append(docs[s.text + base])
-        base += len(s.texts)
+        owners.append(docs[s.text + s.base])
     key, content = (np.concatenate(x) if x else np.zeros(0, U) for x in (keys, contents))
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     if not len(key):
@@ -205,7 +237,7 @@ def _distinct_anchors(kind: Kind, docs: np.ndarray, texts: list[bytes]) -> tuple
     return key[cut], np.add.reduceat(new.astype(np.int64), cut), several
 
 
-REPLY = "g int, bucket int, data binary"
+REPLY = "g long, bucket int, data binary"
 
 
 def _repeated_anchors(kind: Kind, texts: DataFrame, buckets: int) -> DataFrame:
@@ -218,7 +250,7 @@ def _repeated_anchors(kind: Kind, texts: DataFrame, buckets: int) -> DataFrame:
         g, rows = t["g"][0].as_py(), []
         for b, lo, hi in _slices(_bucket_of(key, buckets)):
             rows.append((g, b, key[lo:hi].tobytes() + np.minimum(counts[lo:hi], 65535).astype(np.uint16).tobytes() + several[lo:hi].tobytes()))
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["g", "bucket", "data"])
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["g", "bucket", "data"])
 
     @_releasing
     def answered(t: pa.Table) -> pa.Table:
@@ -238,20 +270,17 @@ def _repeated_anchors(kind: Kind, texts: DataFrame, buckets: int) -> DataFrame:
     return anchors.groupBy("bucket").applyInArrow(answered, REPLY)
 
 
-def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarray, contents: bool = True) -> tuple[list[tuple], dict]:
-    """The runs at repeated anchors: for each step (step, number of texts before it), and the distinct snippets.
+def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarray, contents: bool = True) -> tuple[list[Step], dict]:
+    """The steps, and the distinct snippets around repeated anchors.
 
     A snippet holds the symbols from the first window to the end of the last, at fixed places around the anchor (those
-    outside are 0; m, made for distinct snippets only and if contents are wanted), and the owner (text, then start of
-    the anchor if starts count) that is the least of its copies. Runs at hot anchors give a snippet for each window,
-    which then starts at the anchor's place."""
-    left = kind.size - kind.gram
-    width = left + kind.size
-    at, rows = np.arange(width), max(1, CELLS // width)
-    uniques = _distinct_anchors(kind, docs, texts)[0]
-    placed, found, made, base = [], [], [], 0
-    seen = np.zeros(0, U)
-    for s in kind.steps(texts):
+    outside are 0; m, if contents are wanted), and the owner (text, then start of the anchor if starts count) that is
+    the least of its copies. Runs at hot anchors give a snippet for each window, which then starts at the anchor's
+    place. Copies are found by their hashes and compared symbol by symbol where contents are wanted."""
+    steps = list(kind.steps(texts))
+    uniques = np.unique(np.concatenate([s.key for s in steps])) if steps else np.zeros(0, U)
+    found, at = [], 0
+    for s in steps:
         flag = answer[np.searchsorted(uniques, s.key)]
         for hot in (False, True):
             runs = np.flatnonzero(flag == 1 + hot)
@@ -266,22 +295,12 @@ def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarr
                 anchor, first, last = s.anchor[runs], s.first[runs], s.last[runs]
             extent = np.stack([anchor - first, anchor - last], 1).astype(np.int16)
             same = _content_hashes(kind, s, first, last, extent)
-            start = anchor - s.bounds[s.text[runs]] if kind.own_starts else np.zeros(len(runs), np.int64)
-            found.append((same, docs[s.text[runs] + base], start, extent, same if hot else s.key[runs], anchor, s.text[runs] + base))
-            if contents:
-                own, one = np.unique(same, return_index=True)
-                one = one[~np.isin(own, seen)]
-                seen = np.concatenate([seen, same[one]])
-                for lo in range(0, len(one), rows):
-                    part = one[lo : lo + rows]
-                    place = anchor[part, None] - left + at
-                    inside = (place >= first[part, None]) & (place < last[part, None] + kind.size)
-                    made.append(np.where(inside, s.symbols[np.clip(place, 0, len(s.symbols) - 1)], 0))
-        placed.append((s, base))
-        base += len(s.texts)
+            start = anchor - s.bounds[s.text[runs]] + s.offset if kind.own_starts else np.zeros(len(runs), np.int64)
+            found.append((same, docs[s.text[runs] + s.base], start, extent, same if hot else s.key[runs], anchor + at))
+        at += len(s.symbols)
     if not found:
-        return placed, {}
-    same, owner, start, extent, key, anchor, text = (np.concatenate([f[i] for f in found]) for i in range(7))
+        return steps, {}
+    same, owner, start, extent, key, anchor = (np.concatenate([f[i] for f in found]) for i in range(6))
     order = np.lexsort((start, owner, same))
     new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
     rep = order[new]
@@ -290,9 +309,28 @@ def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarr
     rank[by] = np.arange(len(by))
     member = np.empty(len(order), np.int64)
     member[order] = rank[np.cumsum(new) - 1]
-    rep = rep[by]
-    m = np.concatenate(made)[np.argsort(seen, kind="stable")[by]] if contents else None
-    return placed, {"key": key[rep], "m": m, "owner": owner[rep], "start": start[rep], "extent": extent[rep], "member": member, "of_owner": owner, "of_start": start, "anchor": anchor, "text": text, "of_extent": extent}
+    rep, m = rep[by], None
+    if contents:
+        whole = np.concatenate([s.symbols for s in steps])
+        m = _around(kind, whole, anchor[rep], extent[rep])
+        copies, rows = np.flatnonzero(rep[member] != np.arange(len(member))), max(1, CELLS // m.shape[1])
+        for lo in range(0, len(copies), rows):
+            part = copies[lo : lo + rows]
+            if (_around(kind, whole, anchor[part], extent[part]) != m[member[part]]).any() or (extent[part] != extent[rep[member[part]]]).any():
+                raise RuntimeError("two passages share a 64-bit hash")
+    return steps, {"key": key[rep], "m": m, "owner": owner[rep], "start": start[rep], "extent": extent[rep], "member": member, "of_owner": owner, "of_start": start, "anchor": anchor, "of_extent": extent}
+
+
+def _around(kind: Kind, symbols: np.ndarray, anchor: np.ndarray, extent: np.ndarray) -> np.ndarray:
+    """A row for each run: the symbols of its windows at fixed places around the anchor, 0 outside of them."""
+    left = kind.size - kind.gram
+    at = np.arange(left + kind.size)
+    out, rows = np.zeros((len(anchor), len(at)), symbols.dtype), max(1, CELLS // len(at))
+    for lo in range(0, len(anchor), rows):
+        part = slice(lo, lo + rows)
+        inside = (at >= left - extent[part, :1]) & (at < left - extent[part, 1:] + kind.size)
+        out[part] = np.where(inside, symbols[np.clip(anchor[part, None] - left + at, 0, len(symbols) - 1)], 0)
+    return out
 
 
 def _window_answers(kind: Kind, texts: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
@@ -307,7 +345,7 @@ def _window_answers(kind: Kind, texts: DataFrame, anchors: DataFrame, buckets: i
             g, x = t["g"][0].as_py(), _snippets(kind, docs, raw, answer)[1]
             if x:
                 rows = [(g, b, kind.packed(x, lo, hi)) for b, lo, hi in _slices(_bucket_of(x["key"], buckets))]
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["g", "bucket", "data"])
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["g", "bucket", "data"])
 
     @_releasing
     def answered(t: pa.Table) -> pa.Table:
@@ -324,11 +362,13 @@ def _joined(replies: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(blobs[i] for i in order), np.uint8)
 
 
-def covered(kind: Kind, docs: DataFrame, id_col: str, text_col: str, finish, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """finish(table of a group's rows, its texts, for each text the mask of its symbols that lie in a repeat), by group."""
+def covered(kind: Kind, docs: DataFrame, id_col: str, text_col: str, finish, schema: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """finish(table of a group's rows, its texts, for each text the mask of its symbols that lie in a repeat), by group.
+
+    The second result is the name of the table of texts, to be dropped when the first has been written."""
     spark = docs.sparkSession
-    texts = stored(docs, id_col, text_col, keep)
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts, name, n_bytes = stored(docs, id_col, text_col, keep)
+    parts = partitions_for(spark, 3 * n_bytes, 2 * BUCKET_BYTES)
     anchors = saved(_repeated_anchors(kind, texts, parts))
     answers = saved(_window_answers(kind, texts, anchors, parts))
     both = anchors.select("g", F.lit(0).alias("step"), "bucket", "data").union(answers.select("g", F.lit(1).alias("step"), "bucket", "data"))
@@ -338,8 +378,8 @@ def covered(kind: Kind, docs: DataFrame, id_col: str, text_col: str, finish, sch
         owners, _, raw, t = _of_group(t)
         step = replies["step"].to_numpy()
         answer = _joined(replies.filter(pa.array(step == 0)))
-        placed, x = _snippets(kind, owners, raw, answer, contents=False)
-        masks: list[np.ndarray] = []
+        steps, x = _snippets(kind, owners, raw, answer, contents=False)
+        edge = np.zeros(sum(len(s.symbols) for s in steps) + kind.size + 1, np.int32)
         if x:
             width = -(-(kind.size - kind.gram + 1) // 8)
             bits = np.unpackbits(_joined(replies.filter(pa.array(step == 1))).reshape(-1, width), axis=1)[:, : kind.size - kind.gram + 1].astype(bool)
@@ -349,17 +389,21 @@ def covered(kind: Kind, docs: DataFrame, id_col: str, text_col: str, finish, sch
             offset = np.arange(hit.shape[1])
             hit &= (offset <= x["of_extent"][:, :1]) & (offset >= x["of_extent"][:, 1:])
             run, back = np.nonzero(hit)
-            at, text = x["anchor"][run] - back, x["text"][run]
-        for s, base in placed:
-            edge = np.zeros(len(s.symbols) + kind.size + 1, np.int32)
-            if x:
-                here = (text >= base) & (text < base + len(s.texts))
-                np.add.at(edge, at[here], 1)
-                np.add.at(edge, at[here] + kind.size, -1)
-            inside = np.cumsum(edge)[: len(s.symbols)] > 0
-            masks += [inside[s.bounds[i] : s.bounds[i + 1]] for i in range(len(s.texts))]
-        return finish(t, raw, masks)
+            place = x["anchor"][run] - back
+            edge += np.bincount(place, minlength=len(edge)).astype(np.int32)
+            edge -= np.bincount(place + kind.size, minlength=len(edge)).astype(np.int32)
+        inside, masks, at = np.cumsum(edge) > 0, [], 0
+        for s in steps:
+            for i in range(len(s.bounds) - 1):
+                mask = inside[at + s.bounds[i] : at + s.bounds[i + 1]]
+                if s.offset:
+                    masks[-1][-1][-s.overlap :] |= mask[: s.overlap]
+                    masks[-1].append(mask[s.overlap :])
+                else:
+                    masks.append([mask])
+            at += len(s.symbols)
+        return finish(t, raw, [np.concatenate(m) for m in masks])
 
     cols = ["g", "row", "doc", "text", *[f"keep_{c}" for c in keep]]
 
-    return texts.select(*cols).groupBy("g").cogroup(both.groupBy("g")).applyInArrow(of, schema)
+    return texts.select(*cols).groupBy("g").cogroup(both.groupBy("g")).applyInArrow(of, schema), name

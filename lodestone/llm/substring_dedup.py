@@ -1,13 +1,15 @@
 """Repeated word passages by prefix-partitioned suffix trees.
 
-Suffixes that start at an anchor (see repeats) are partitioned by their first five words, and by more where a prefix is
-too frequent. Over each partition a tree of the suffixes is built level by level, a node for each distinct run of words,
-and one of the words to the left, read backwards. A window of 13 words around an anchor is a pair of nodes, one that is
-deep enough on the right and one on the left; pairs that several documents reach are the repeats."""
+Suffixes that start at a window around an anchor (see repeats) are partitioned by their anchor, five words that they
+share, and those of a prefix that is too frequent by their whole window. In a partition they are dealt into subtrees that
+fit a budget: by prefixes of one word more wherever a subtree is larger. A subtree grows from its root word by word; a
+node is a distinct run of words, and one that a single suffix reaches isn't followed any further. Internal nodes 13 words
+deep are the repeats, and the least of the documents below one tells which of its windows come later."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -15,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import PRIME, U, Kind, covered, mixed, span_hashes
+from .repeats import PRIME, STEP_BYTES, U, Kind, covered, dropped, mixed, span_hashes
+from .shared import saved
 
-WINDOW = 13
+WINDOW, SUBTREE = 13, 400_000
+BLANK = b" \t\n\x0b\x0c\r"
 
 
 class Words(Kind):
@@ -40,44 +44,93 @@ class Words(Kind):
             h = h * U(PRIME) + symbols[i : n + i]
         return mixed(h)
 
+    def stretches(self, text: bytes) -> Iterator[bytes]:
+        lo = 0
+        while True:
+            hi = lo
+            while True:  # so far that it holds more words than it shares with the next one
+                hi += STEP_BYTES
+                while hi < len(text) and text[hi] not in BLANK:
+                    hi = min([at for c in BLANK if (at := text.find(c, hi, hi + STEP_BYTES)) >= 0], default=hi + STEP_BYTES)
+                parts = text[lo:hi].rsplit(None, self.size - 1)
+                if hi >= len(text) or len(parts) == self.size and parts[0].strip():
+                    break
+            yield text[lo:hi]
+            if hi >= len(text):
+                return
+            lo += len(parts[0])
+
     def packed(self, x: dict, lo: int, hi: int) -> bytes:
-        """Words as 32 bits of their hashes; an anchor's five are told apart by 64 bits more, its own hash."""
         part = slice(lo, hi)
-        short = (x["m"][part] >> U(32)).astype(np.uint32)
-        return x["owner"][part].tobytes() + x["key"][part].tobytes() + x["extent"][part].tobytes() + short.tobytes()
+        extent = x["extent"][part]
+        return np.array([hi - lo], np.int64).tobytes() + x["owner"][part].tobytes() + x["key"][part].tobytes() + extent.tobytes() + x["m"][part][self._inside(extent)].tobytes()
 
-    def found(self, blobs: list[bytes]) -> list[np.ndarray]:
+    def _inside(self, extent: np.ndarray) -> np.ndarray:
         left = self.size - self.gram
-        width, each = left + self.size, 8 + 8 + 4 + 4 * (left + self.size)
-        sizes = [len(b) // each for b in blobs]
-        take = lambda kind, at, k: np.concatenate([np.frombuffer(b, kind, n * k, n * at) for b, n in zip(blobs, sizes, strict=True)])
-        owner, key = take(np.int64, 0, 1), take(U, 8, 1)
-        extent, m = take(np.int16, 16, 2).reshape(-1, 2), take(np.uint32, 20, width).reshape(-1, width)
-        n = len(owner)
-        root = np.unique(key, return_inverse=True)[1].astype(np.int64)
-
-        def child(node: np.ndarray, word: np.ndarray) -> np.ndarray:
-            pair = (node.astype(U) << U(32)) | word.astype(U)
-            return np.unique(pair, return_inverse=True)[1].astype(np.int64)
-
-        right, lefts = {0: root}, {0: np.zeros(n, np.int64)}
-        for d in range(1, self.size + 1):
-            right[d] = child(right[d - 1], m[:, left + d - 1])
-        for d in range(1, left + 1):
-            lefts[d] = child(lefts[d - 1], m[:, left - d])
-        bits = np.zeros((n, left + 1), bool)
-        for back in range(left + 1):
-            rows = np.flatnonzero((extent[:, 0] >= back) & (extent[:, 1] <= back))
-            if len(rows):
-                node = (lefts[back][rows].astype(U) << U(32)) | right[self.size - back][rows].astype(U)
-                order = np.lexsort((owner[rows], node))
-                s, o = node[order], owner[rows][order]
-                cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                least = np.repeat(o[cut], np.diff(np.append(cut, len(s))))
-                bits[rows[order], back] = least < o
+        at = np.arange(left + self.size)
+        return (at >= left - extent[:, :1]) & (at < left - extent[:, 1:] + self.size)
+
+    def found(self, blobs: list[bytes]) -> list[np.ndarray]:
+        sizes = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
+        take = lambda kind, at, k: np.concatenate([np.frombuffer(b, kind, n * k, 8 + n * at) for b, n in zip(blobs, sizes, strict=True)])
+        owner, key, extent = take(np.int64, 0, 1), take(U, 8, 1), take(np.int16, 16, 2).reshape(-1, 2)
+        words = np.concatenate([np.frombuffer(b, U, -1, 8 + 20 * n) for b, n in zip(blobs, sizes, strict=True)])
+        windows = (extent[:, 0] - extent[:, 1]).astype(np.int64) + 1
+        length = windows + self.size - 1
+        begin = np.cumsum(length) - length
+        row = np.repeat(np.arange(len(owner)), windows)
+        after = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)  # of the window in its snippet
+        back = extent[row, 0] - after
+        suffixes = Suffixes(words, begin[row] + after, self.size)
+        bits = np.zeros((len(owner), self.size - self.gram + 1), bool)
+        for at, node in suffixes.deep(key[row] * U(PRIME) + back.astype(U)):
+            o = owner[row[at]]
+            order = np.lexsort((o, node))
+            node, o, at = node[order], o[order], at[order]
+            cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            bits[row[at], back[at]] = np.repeat(o[cut], np.diff(np.append(cut, len(o)))) < o
         return np.split(bits, np.cumsum(sizes)[:-1])
 
 
+class Suffixes:
+    """Suffixes of words (at start) as subtrees down to a depth."""
+
+    def __init__(self, words: np.ndarray, start: np.ndarray, depth: int):
+        self.words, self.start, self.depth = words, start, depth
+
+    def deep(self, root: np.ndarray, budget: int = SUBTREE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(suffixes, node) of the internal nodes at full depth, one subtree or several small ones at a time."""
+        at, node = self._split(np.arange(len(root)), root)
+        waiting = [(0, at, node)]
+        while waiting:
+            d, at, node = waiting.pop()
+            while len(at) and d < self.depth and len(at) <= budget:
+                at, node = self._split(at, node, self.words[self.start[at] + d])
+                d += 1
+            if d == self.depth:
+                if len(at):
+                    yield at, node
+            elif len(at):  # too large: as many whole nodes at a time as fit, or one with a longer prefix
+                cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+                part = cut // budget
+                lo = cut[np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))]
+                if len(lo) == 1:
+                    at, node = self._split(at, node, self.words[self.start[at] + d])
+                    waiting.append((d + 1, at, node))
+                else:
+                    waiting += [(d, at[i:j], node[i:j]) for i, j in zip(lo, np.append(lo[1:], len(at)), strict=True)]
+
+    @staticmethod
+    def _split(at: np.ndarray, node: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes by the children of their nodes, in order, without children that one suffix alone reaches."""
+        order = np.argsort(node, kind="stable") if word is None else np.lexsort((word, node))
+        at, keys = at[order], [x[order] for x in (node, word) if x is not None]
+        new = np.ones(len(at) + 1, bool)
+        new[1:-1] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        kept = ~(new[:-1] & new[1:])
+        return at[kept], np.cumsum(new[:-1])[kept]
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_words, n_removed, kept_sha256) for each row of docs.
 
@@ -96,11 +149,16 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         n = np.array([len(m) for m in masks], np.int64)
         return pa.table([t["doc"], pa.array(n), pa.array(n - np.array(kept, np.int64)), pa.array(hashes, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
 
-    return covered(Words(), docs, id_col, text_col, finish, "id long, n_words long, n_removed long, kept_sha256 string")
+    found, texts = covered(Words(), docs, id_col, text_col, finish, "id long, n_words long, n_removed long, kept_sha256 string")
+    found = saved(found)
+    dropped(docs.sparkSession, texts)
+    return found
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated words taken out of their texts; texts without any stay as they are. Cases as in removed()."""
+    """docs with the repeated words taken out of their texts; texts without any stay as they are. Cases as in removed().
+
+    The rows are computed where they are written; until then their texts lie in a table of the checkpoint folder."""
     names = docs.columns
     at = names.index(text_col)
     columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(names)]
@@ -112,5 +170,5 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         cols = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else t[f"keep_c{i}"] for i in range(len(names))]
         return pa.table(cols, names=[f"c{i}" for i in range(len(names))])
 
-    found = covered(Words(), docs.select(*columns), f"c{names.index(id_col)}", f"c{at}", finish, schema, keep)
+    found, _ = covered(Words(), docs.select(*columns), f"c{names.index(id_col)}", f"c{at}", finish, schema, keep)
     return found.toDF(*names)

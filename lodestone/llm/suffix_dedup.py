@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import STEP_BYTES, U, Kind, covered, mixed, span_hashes
+from .repeats import STEP_BYTES, U, Kind, covered, dropped, span_hashes
+from .shared import saved
 
 WINDOW, PART_WINDOWS = 100, 400_000
 
@@ -103,20 +104,16 @@ def repeated_windows(contents: list[bytes], size: int) -> tuple[np.ndarray, np.n
     return np.cumsum(~same[:-1])[again], content[again], start[again]
 
 
-def equal_windows(contents: list[bytes], size: int) -> list[list[tuple[int, int]]]:
-    """The same as classes of at least two windows (content, start)."""
-    classes: dict[int, list[tuple[int, int]]] = {}
-    for c, k, i in zip(*(x.tolist() for x in repeated_windows(contents, size)), strict=True):
-        classes.setdefault(c, []).append((k, i))
-    return list(classes.values())
-
-
 class Bytes(Kind):
     size, gram, own_starts = WINDOW, 24, True
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
+    def stretches(self, text: bytes) -> Iterator[bytes]:
+        for lo in range(0, max(len(text) - self.size + 1, 1), STEP_BYTES):
+            yield text[lo : lo + STEP_BYTES + self.size - 1]
+
     def grams(self, symbols: np.ndarray) -> np.ndarray:
         at = np.arange(max(len(symbols) - self.gram + 1, 0))
         return span_hashes(symbols, at, at + self.gram)
@@ -216,4 +213,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         n = [len(x) for x in texts]
         return pa.table([t["doc"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return covered(Bytes(), docs, id_col, text_col, finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found, texts = covered(Bytes(), docs, id_col, text_col, finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = saved(found)
+    dropped(docs.sparkSession, texts)
+    return found

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,16 +49,24 @@ def brute_bytes(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_substrings(spark, corpus, documents, hot, monkeypatch):
+@pytest.fixture(params=[(4096, 1 << 19, 8 << 20, 400_000), (3, 700, 3000, 40)])
+def sizes(request, monkeypatch):
+    """The usual sizes, and ones so small that anchors are hot, texts are cut, groups and subtrees are many."""
+    hot, step, group, subtree = request.param
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", group)
+    for module in (repeats, substring_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "STEP_BYTES", step)
+    monkeypatch.setattr(substring_dedup.Suffixes.deep, "__defaults__", (subtree,))
+
+
+def test_substrings(spark, corpus, documents, sizes):
     got = sorted((tuple(r) for r in substring_dedup.removed(documents).collect()), key=str)
     assert got == brute_words(corpus)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lodestone_")]
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_suffix_arrays(spark, corpus, documents, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+def test_suffix_arrays(spark, corpus, documents, sizes):
     got = sorted((tuple(r) for r in suffix_dedup.removed(documents).collect()), key=str)
     assert got == brute_bytes(corpus)
 
@@ -82,10 +91,42 @@ def test_suffix_array(text):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.binary(max_size=30).map(lambda b: bytes(x % 2 for x in b)), max_size=6))
+@given(st.lists(st.binary(min_size=5, max_size=30).map(lambda b: bytes(x % 2 for x in b)), max_size=6))
 def test_equal_windows(contents):
-    want = {}
+    want, got = {}, {}
     for k, c in enumerate(contents):
         for i in range(len(c) - 4):
             want.setdefault(c[i : i + 5], []).append((k, i))
-    assert sorted(sorted(x) for x in suffix_dedup.equal_windows([c for c in contents if len(c) >= 5] and contents, 5)) == sorted(sorted(x) for x in want.values() if len(x) > 1) if all(len(c) >= 5 for c in contents) else True
+    for c, k, i in zip(*(x.tolist() for x in suffix_dedup.repeated_windows(contents, 5)), strict=True):
+        got.setdefault(c, []).append((k, i))
+    assert sorted(sorted(x) for x in got.values()) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=8, max_size=60), st.integers(2, 50))
+def test_deep_nodes(words, budget):
+    w, depth = np.array(words, np.uint64), 4
+    start = np.arange(len(w) - depth + 1)
+    want, got = {}, {}
+    for i in start.tolist():
+        want.setdefault(tuple(words[i : i + depth]), []).append(i)
+    for k, (at, node) in enumerate(substring_dedup.Suffixes(w, start, depth).deep(np.zeros(len(start), np.uint64), budget)):
+        for a, n in zip(at.tolist(), node.tolist(), strict=True):
+            got.setdefault((k, n), []).append(a)
+    assert sorted(sorted(x) for x in got.values()) == sorted(x for x in want.values() if len(x) > 1)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=80), st.integers(5, 200))
+def test_stretches(lengths, step):
+    text = b" ".join(bytes([97 + n % 26]) * n for n in lengths) + b"  "
+    for kind in (substring_dedup.Words(), suffix_dedup.Bytes()):
+        module = substring_dedup if isinstance(kind, substring_dedup.Words) else suffix_dedup
+        old, module.STEP_BYTES = module.STEP_BYTES, step
+        try:
+            parts = [kind.read([p])[0] for p in kind.stretches(text)]
+        finally:
+            module.STEP_BYTES = old
+        whole = kind.read([text])[0]
+        assert np.concatenate([parts[0], *(p[kind.size - 1 :] for p in parts[1:])]).tolist() == whole.tolist()
+        assert all(p[: kind.size - 1].tolist() == q[1 - kind.size :].tolist() for q, p in zip(parts, parts[1:], strict=False))

@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HUBS, saved, sorted_groups
+from .shared import saved, sorted_groups
 
-#: Bytes of sets, and sets, of a block of a group. Shingles of up to FEW sets are counted pair by pair, others as a matrix.
-BLOCK_BYTES, BLOCK, FEW, COLUMNS = 16 << 20, 2048, 16, 4096
+#: Bytes of sets of a block of a group, and sets from the first to the second number. Shingles of up to FEW sets are
+#: counted pair by pair, others as a matrix.
+BLOCK_BYTES, BLOCK, FULL, FEW, COLUMNS = 16 << 20, 256, 2048, 16, 4096
 MARKS, MARK_BLOCK = 1 << 23, 1 << 15  # Spark's bitmaps hold 2**15 bits
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,7 +135,8 @@ def verified(groups: DataFrame, texts: DataFrame, rows: DataFrame, words: int, s
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "h", "shingles"])
 
     size = members.groupBy("comp").agg(F.sum(8 * F.col("n").cast("long")).alias("size"), F.count(F.lit(1)).alias("many"))
-    blocks = size.select("comp", F.ceil(F.greatest(F.col("size") / BLOCK_BYTES, F.col("many") / max(BLOCK, members.count() // HUBS))).cast("int").alias("blocks"))
+    each = F.least(F.greatest(F.col("many") / 32, F.lit(BLOCK)), F.lit(FULL))
+    blocks = size.select("comp", F.ceil(F.greatest(F.col("size") / BLOCK_BYTES, F.col("many") / each)).cast("int").alias("blocks"))
     placed = saved(members.join(blocks, "comp").select("id", "h", "comp", "blocks"))
     own = texts.mapInArrow(sets, "id long, h long, shingles binary").join(placed, ["id", "h"]).dropDuplicates(["h"])
     x = own.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -86,15 +86,19 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int
         yield pa.Table.from_batches(kept), np.array([0, carried])
 
 
-HEAVY, HUBS = 256, 100_000
+HEAVY, HUBS, SMALL = 256, 100_000, 1_000_000
 
 
-def joined(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def joined(rows: DataFrame, table: DataFrame, key: str, spread: str, n: int | None = None, how: str = "inner") -> DataFrame:
     """rows joined with table, which holds each key once; the rows of a frequent key are dealt over several tasks.
 
     A key is frequent if it has more than HEAVY rows and more than a HUBS-th of all; its row of table is copied for each
-    part, and its rows are dealt by column spread. There are at most HUBS such keys, so that their list is broadcast."""
-    heavy = max(HEAVY, rows.count() // HUBS)
+    part, and its rows are dealt by column spread. There are at most HUBS such keys, so that their list is broadcast. Up
+    to SMALL rows one task can do them all, and nothing is dealt. n is the number of rows, or more, if it is known."""
+    n = rows.count() if n is None else n
+    if n <= SMALL:
+        return rows.join(table, key, how)
+    heavy = max(HEAVY, n // HUBS)
     hubs = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy).select(key, F.ceil(F.col("_n") / heavy).cast("int").alias("_parts")))
     dealt = rows.join(hubs, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     copied = table.join(hubs, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
@@ -109,15 +113,17 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     empty input gives no rows. Raises if it hasn't converged after max_rounds, which chains of 2**max_rounds nodes would
     need."""
     now = saved(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    count = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = count(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = saved(joined(both, low, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = joined(both, low, "u", "v", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if 2 * seen[0] <= SMALL else saved(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = joined(large, low, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = joined(large, low, "u", "v", 2 * seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         now = saved(small)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = count(now)
         if state == seen or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = state

@@ -158,7 +158,7 @@ def near_edges(nodes: DataFrame, n: int) -> DataFrame:
 
     parts = partitions_for(nodes.sparkSession, 24 * len(masks) * n, 64 << 20)
     rows = nodes.select("fp", "h").mapInArrow(placed, "key long, fp long, h long")
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(of, "u long, v long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(of, "u long, v long")  # the least h of a bucket is its root, so that buckets agree
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

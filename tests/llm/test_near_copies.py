@@ -53,7 +53,7 @@ def planted():
     return list(enumerate(texts, 1))
 
 
-@pytest.mark.parametrize("block", [2048, 7])
+@pytest.mark.parametrize("block", [256, 7])
 def test_components_match_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", block)
     rows = planted()

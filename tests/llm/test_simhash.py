@@ -55,3 +55,15 @@ def test_deduplicated(documents, no_documents):
     assert kept.columns == documents.columns and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
     assert 4 in ids and 61 not in ids
     assert simhash.deduplicated(no_documents).collect() == [] and simhash.simhash_components(no_documents).collect() == []
+
+
+def test_hubs_are_dealt(spark, monkeypatch):
+    from lodestone.llm import shared
+
+    monkeypatch.setattr(shared, "SMALL", 10)
+    monkeypatch.setattr(shared, "HEAVY", 16)
+    edges = [(500, i) for i in range(500)] + [(700 + i, 701 + i) for i in range(40)] + [(900, 0), (None, 3), (5, 5)]
+    found = {r["node"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {**{i: 0 for i in range(501)}, 900: 0, **{700 + i: 700 for i in range(41)}}
+    rows, table = spark.createDataFrame([(i % 3 and 1, i) for i in range(100)], "k long, x long"), spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, s string")
+    assert sorted(tuple(r) for r in shared.joined(rows, table, "k", "x").select("x", "s").collect()) == [(i, "b" if i % 3 else "a") for i in range(100)]

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..operators import structured as S
 from .registry import load, query
 
 CHECK = """SELECT '{rule}' AS rule, CASE WHEN count(*) = 0 THEN 'NOT_APPLICABLE' WHEN sum(ok::INT) < count(*) THEN 'FAIL' ELSE 'PASS' END AS status, {critical} AS critical, count(*) AS denominator, sum(ok::INT)::BIGINT AS passed,
@@ -24,23 +25,30 @@ def dq_schema_type(spark, d):
     return Q.check(load(spark, d, "part"), "type", Q.has_type(text, "int|number"), k)
 
 
-@query(_sql("nulls", "SELECT event_id::VARCHAR AS i, event_id % 50 <> 0 AS ok FROM events"))
+@query(_sql("nulls", "SELECT event_id::VARCHAR AS i, CASE WHEN event_id % 50 = 0 THEN event_id % 3 = 0 AND event_id % 4 = 0 ELSE event_id % 3 <> 0 OR event_id % 4 = 0 END AS ok FROM events"))
 def dq_nulls(spark, d):
-    value = F.when(F.col("event_id") % 50 == 0, "  ").otherwise(F.col("event_type"))
-    return Q.check(load(spark, d, "events"), "nulls", ~Q.blank(value), F.col("event_id"))
+    """Blank counts as null. A field that may be null needs an explanation, whether it is null or not."""
+    k = F.col("event_id")
+    value, nullable, why = F.when(k % 50 == 0, "  ").otherwise(F.col("event_type")), k % 3 == 0, F.when(k % 4 == 0, "sensor off").otherwise(" ")
+    return Q.check(load(spark, d, "events"), "nulls", Q.null_ok(value, nullable, why), k)
 
 
-@query(_sql("time", "SELECT o_orderkey::VARCHAR AS i, o_orderkey % 40 <> 0 AS ok FROM orders"))
+@query(_sql("time", "SELECT o_orderkey::VARCHAR AS i, CASE o_orderkey % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false ELSE false END AS ok FROM orders"))
 def dq_time(spark, d):
-    text = F.when(F.col("o_orderkey") % 40 == 0, "31/31/99").otherwise(F.col("o_orderdate").cast("string"))
-    return Q.check(load(spark, d, "orders"), "time", F.try_to_timestamp(text).isNotNull(), F.col("o_orderkey"))
+    """Five kinds: no time at all, a day where days are declared, a zoned instant, one whose zone doesn't exist, and one finer than declared."""
+    k, day = F.col("o_orderkey") % 5, F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(k == 0, "31/31/99").when(k == 1, day).when(k == 2, F.concat(day, F.lit("T10:00:00+02:00"))).when(k == 3, F.concat(day, F.lit("T10:00:00"))).otherwise(F.concat(day, F.lit("T10:00:30Z")))
+    zone, grain = F.when(k == 3, "Mars/Olympus"), F.when(k == 1, "day").when(k == 4, "minute").otherwise("second")
+    return Q.check(load(spark, d, "orders"), "time", Q.time_ok(text, zone, grain), F.col("o_orderkey"))
 
 
-@query(_sql("units", "SELECT s_suppkey::VARCHAR AS i, s_suppkey % 4 <> 3 AS ok FROM supplier"))
+@query(_sql("units", "SELECT p_partkey::VARCHAR AS i, p_partkey % 4 <> 3 AS ok FROM part WHERE p_partkey % 5 <> 4"))
 def dq_units(spark, d):
-    k = F.col("s_suppkey") % 4
-    unit = F.when(k == 0, "mm").when(k == 1, "kΩ").when(k == 2, "台").otherwise("furlong")
-    return Q.check(load(spark, d, "supplier"), "units", unit.isin(*Q.KNOWN_UNITS), F.col("s_suppkey"))
+    """A unit for each row; rows that say NA aren't measured."""
+    k = F.col("p_partkey") % 4
+    unit = F.when(F.col("p_partkey") % 5 == 4, "NA").when(k == 0, "mm").when(k == 1, "kΩ").when(k == 2, "台").otherwise("furlong")
+    rows = load(spark, d, "part").withColumn("unit", unit).where("unit <> 'NA'")
+    return Q.check(rows, "units", F.col("unit").isin(*Q.KNOWN_UNITS), F.col("p_partkey"))
 
 
 @query(_sql("primary_key", "SELECT l_orderkey * 10 + l_linenumber || ':' || min(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_orderkey) AS i, l_orderkey * 10 + l_linenumber = min(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_orderkey) AS ok FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)", "true"))
@@ -75,11 +83,12 @@ def dq_integrity(spark, d):
     return Q.check(x, "integrity", F.coalesce((F.col("sha") == F.col("sha2")) & (F.col("size") == F.col("size2")), F.lit(False)), F.col("doc_id"), True)
 
 
-@query("SELECT sha256(string_agg(h, '' ORDER BY doc_id)) AS digest, count(*) AS files, sum(n)::BIGINT AS bytes FROM (SELECT item_id AS doc_id, sha256(text) AS h, strlen(text) AS n FROM benchmark)")
+@query("""WITH f AS (SELECT doc_id, sha256(text) AS h, strlen(text) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), b AS (SELECT i // 1000 AS b, sha256(string_agg(h, ',' ORDER BY i)) AS d FROM f GROUP BY 1)
+    SELECT (SELECT sha256(string_agg(d, ',' ORDER BY b)) FROM b) AS digest, count(*) AS n, sum(f.n)::BIGINT AS bytes FROM f""")
 def dq_manifest_digest(spark, d):
-    files = load(spark, d, "benchmark").select("item_id", F.sha2("text", 256).alias("h"), F.octet_length("text").alias("n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("item_id", "h"))), lambda x: x["h"])
-    return files.agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest"), F.count(F.lit(1)).alias("files"), F.sum("n").alias("bytes"))
+    """The digest of blocks of a thousand files in order, and of their digests; counts come along."""
+    files = load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.octet_length("text").cast("long").alias("bytes"))
+    return S.digest(files, ["doc_id"], F.col("h")).crossJoin(F.broadcast(files.agg(F.sum("bytes").alias("bytes"))))  # one row each
 
 
 @query(_sql("catalog", "SELECT item_id::VARCHAR AS i, item_id % 6 <> 5 AS ok FROM benchmark"))
@@ -90,18 +99,22 @@ def dq_catalog_references(spark, d):
     return Q.check(x, "catalog", F.coalesce(F.col("h") == F.col("h2"), F.lit(False)), F.col("item_id"))
 
 
-@query("SELECT 'o_comment' AS field, 'DECLARED_NOT_OBSERVED' AS problem UNION ALL SELECT unnest(['o_orderdate', 'o_orderpriority', 'o_orderstatus', 'o_totalprice']), 'OBSERVED_NOT_DECLARED'")
+@query("""WITH seen AS (SELECT DISTINCT event_type || '_' || (event_id % 7) AS field FROM events), declared AS (SELECT DISTINCT event_type || '_' || (event_id % 11) AS field FROM events)
+    SELECT field, 'OBSERVED_NOT_DECLARED' AS problem FROM (SELECT * FROM seen EXCEPT SELECT * FROM declared) UNION ALL SELECT field, 'DECLARED_NOT_OBSERVED' FROM (SELECT * FROM declared EXCEPT SELECT * FROM seen)""")
 def dq_schema_coverage(spark, d):
-    orders = load(spark, d, "orders")
-    seen = spark.createDataFrame([(c,) for c in orders.columns], "field string")
-    declared = spark.createDataFrame([("o_orderkey",), ("o_custkey",), ("o_comment",)], "field string")
-    return seen.exceptAll(declared).withColumn("problem", F.lit("OBSERVED_NOT_DECLARED")).unionByName(declared.exceptAll(seen).withColumn("problem", F.lit("DECLARED_NOT_OBSERVED")))
+    e = load(spark, d, "events")
+    fields = lambda n: e.select(F.concat_ws("_", "event_type", F.col("event_id") % n).alias("field")).distinct()
+    return Q.coverage(fields(7), fields(11))
 
 
-@query("SELECT p_brand AS field, count(DISTINCT p_type) AS n, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS declared FROM part GROUP BY p_brand")
+@query("""WITH p AS (SELECT p_brand AS field, min(p_type) AS published FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), r AS (SELECT p_brand AS field, max(p_type) AS requested FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+    SELECT field, published, requested, CASE WHEN published IS NULL THEN 'NOT_PUBLISHED' WHEN requested IS NULL THEN 'NOT_REQUESTED' WHEN published <> requested THEN 'CONFLICT' ELSE 'SAME' END AS verdict, coalesce(published, requested) AS effective FROM p FULL JOIN r USING (field)""")
 def dq_declaration_conflict(spark, d):
-    n = F.count_distinct("p_type")
-    return load(spark, d, "part").groupBy(F.col("p_brand").alias("field")).agg(n.alias("n"), F.when(n == 1, F.min("p_type")).alias("declared"))
+    """A request can't override what is published: where the two differ, the published constraint holds."""
+    p = load(spark, d, "part")
+    published = p.where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("field")).agg(F.min("p_type").alias("published"))
+    requested = p.where("p_partkey % 3 = 0").groupBy(F.col("p_brand").alias("field")).agg(F.max("p_type").alias("requested"))
+    return Q.declarations(published, requested)
 
 
 @query("""WITH c AS (SELECT 'a' AS rule, count(*) AS n, sum((p_size > 5)::INT) AS p, true AS critical FROM part UNION ALL SELECT 'b', count(*), count(*), false FROM orders)
@@ -123,9 +136,14 @@ def cross_format_entities(spark, d):
     return load(spark, d, "part").groupBy(F.col("p_name").alias("entity")).agg(F.count_distinct("p_brand").alias("n_paths")).where("n_paths > 1")
 
 
-@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.doc_id % 5 <> 0 AND l.doc_id % 7 <> 0)")
 def incremental_reuse(spark, d):
-    """Documents that must be parsed: those that no earlier run has under the same path, hash and version."""
-    docs = load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.lit("1").alias("version"))
+    """Documents that must be parsed: those that no earlier run has under the same path, hash and version.
+
+    The earlier run saw other contents of every fifth document and had an older parser for every seventh."""
+    docs = load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.lit("2").alias("version"))
     done = docs.join(load(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    done = done.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.sha2("sha", 256)).otherwise(F.col("sha")).alias("sha"), F.when(F.col("doc_id") % 7 == 0, "1").otherwise("2").alias("version"))
     return docs.join(done, ["doc_id", "sha", "version"], "left_anti").select("doc_id")
+
+

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.relations import checkpoint_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +27,8 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"

@@ -82,13 +82,14 @@ def join_relation_verify(spark, d):
     return R.verified_edges(edges, load(spark, d, "supplier").select("s_suppkey"), "s_suppkey").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-EDGES = "SELECT DISTINCT l_orderkey % 97 AS source, l_partkey % 97 AS target FROM lineitem WHERE l_orderkey % 11 = 0"
+EDGES = "SELECT DISTINCT l_orderkey AS source, l_orderkey // 3 AS target FROM lineitem WHERE l_orderkey > l_orderkey // 3"
 
 
-@query(f"WITH RECURSIVE e AS ({EDGES}), r(start, node) AS (SELECT DISTINCT source, source FROM e WHERE source < 3 UNION SELECT r.start, e.target FROM r JOIN e ON r.node = e.source) SELECT start, node FROM r")
+@query(f"WITH RECURSIVE e AS ({EDGES}), r(start, node) AS (SELECT DISTINCT source, source FROM e UNION SELECT r.start, e.target FROM r JOIN e ON r.node = e.source) SELECT start, node FROM r")
 def graph_reachability(spark, d):
-    edges = load(spark, d, "lineitem").where("l_orderkey % 11 = 0").select((F.col("l_orderkey") % 97).alias("source"), (F.col("l_partkey") % 97).alias("target")).distinct()
-    return R.reachable(edges, edges.where("source < 3").select(F.col("source").alias("start")))
+    """Edges from each order to the one that its number leads to in base 3: paths are short, and none returns."""
+    edges = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.floor(F.col("l_orderkey") / 3).alias("target")).where("source > target").distinct()
+    return R.reachable(edges, edges.select(F.col("source").alias("start")).distinct())
 
 
 @query("WITH RECURSIVE e AS (SELECT p_partkey AS source, p_partkey // 2 AS target FROM part WHERE p_partkey > 0), r(start, node) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.start, e.target FROM r JOIN e ON r.node = e.source) SELECT start, count(*) AS n, min(node) AS root FROM r GROUP BY start")
@@ -98,12 +99,15 @@ def graph_closure_sku(spark, d):
     return R.reachable(edges, p.select(F.col("p_partkey").alias("start"))).groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("root"))
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, any_value(o_orderstatus) AS v0 FROM orders GROUP BY 1 HAVING count(*) = 1), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'P' END AS v1 FROM customer)
-    SELECT k, v0, v1, v0 = v1 AS agree FROM a JOIN b USING (k)""")
+@query("""WITH a AS (SELECT o_custkey AS k, min(o_orderstatus) AS v0 FROM orders GROUP BY 1 HAVING count(*) = 1), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'P' END AS v1 FROM customer),
+    c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'F' ELSE 'P' END AS v2 FROM customer), e AS (SELECT c_custkey AS k, 'F' AS v3 FROM customer)
+    SELECT k, v0, v1, v2, v3, v0 = v1 AND v0 = v2 AND v0 = v3 AS agree FROM a JOIN b USING (k) JOIN c USING (k) JOIN e USING (k)""")
 def same_key_record_compare(spark, d):
+    """Four sources; a key that repeats in one of them isn't compared."""
     a = load(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    b = load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("P").alias("v"))
-    return R.same_key([a, b], "k", "v")
+    c = load(spark, d, "customer")
+    of = lambda n: c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % n == 0, "F").otherwise("P").alias("v"))
+    return R.same_key([a, of(2), of(3), of(1)], "k", "v")
 
 
 @query("""WITH u AS (SELECT n_nationkey AS k, 10 * n_nationkey AS used, 120 AS quota FROM nation) SELECT k, CASE WHEN used + c <= quota THEN used + c ELSE used END::BIGINT AS used, used + c <= quota AS changed FROM u JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = k""")
@@ -114,19 +118,20 @@ def update_from_join(spark, d):
     return u.join(delta, "k").select("k", F.when(fits, F.col("old") + F.col("c")).otherwise(F.col("old")).cast("long").alias("used"), fits.alias("changed"))
 
 
-@query("SELECT o_orderkey, e.event_id FROM orders JOIN events e ON e.user_id = o_custkey AND e.ts >= o_orderdate + INTERVAL 23 YEAR AND e.ts < o_orderdate + INTERVAL 30 YEAR WHERE o_orderkey < 2000")
+@query("SELECT o_orderkey, count(*) AS n, min(e.event_id) AS first_id, sum(e.event_id)::BIGINT AS total FROM orders JOIN events e ON e.user_id = o_custkey AND e.ts >= o_orderdate + INTERVAL 23 YEAR AND e.ts < o_orderdate + INTERVAL 30 YEAR GROUP BY 1")
 def range_window_join(spark, d):
-    o = load(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey", "o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 23 YEAR")).alias("a"), (F.col("o_orderdate") + F.expr("INTERVAL 30 YEAR")).alias("b"))
+    o = load(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 23 YEAR")).alias("a"), (F.col("o_orderdate") + F.expr("INTERVAL 30 YEAR")).alias("b"))
     e = load(spark, d, "events")
-    return o.join(e, (e.user_id == o.o_custkey) & (e.ts >= o.a) & (e.ts < o.b)).select("o_orderkey", "event_id")
+    return o.join(e, (e.user_id == o.o_custkey) & (e.ts >= o.a) & (e.ts < o.b)).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.sum("event_id").alias("total"))
 
 
-@query("""WITH b AS (SELECT l_linenumber AS page, l_orderkey * 10 + l_linenumber AS id, l_extendedprice % 100 AS y0, l_extendedprice % 100 + l_quantity AS y1 FROM lineitem WHERE l_orderkey < 150)
-    SELECT x.page, x.id AS a, y.id AS b FROM b x JOIN b y ON x.page = y.page AND x.id < y.id AND abs(x.y0 - y.y0) <= 1.5 AND abs(x.y1 - y.y1) <= 1.5""")
+@query("""WITH b AS (SELECT l_orderkey // 40 AS page, l_orderkey * 10 + l_linenumber AS id, l_extendedprice % 100 AS y0, l_extendedprice % 100 + l_quantity * 2 AS y1 FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey))
+    SELECT x.page, x.id AS a, y.id AS b FROM b x JOIN b y ON x.page = y.page AND x.id < y.id AND abs(x.y0 - y.y0) <= 1.5 AND abs(x.y1 - y.y1) <= 1.5 WHERE x.y1 - x.y0 <= 64 AND y.y1 - y.y0 <= 64""")
 def band_self_join(spark, d):
+    """Line items as boxes on pages of forty orders."""
     y0 = F.col("l_extendedprice") % 100
-    boxes = load(spark, d, "lineitem").where("l_orderkey < 150").select(F.col("l_linenumber").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), y0.alias("y0"), (y0 + F.col("l_quantity")).alias("y1"))
-    return R.band_join(boxes)
+    rows = R.newest(load(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.asc("l_partkey")])
+    return R.band_join(rows.select(F.floor(F.col("l_orderkey") / 40).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), y0.alias("y0"), (y0 + F.col("l_quantity") * 2).alias("y1")))
 
 
 @query("SELECT o_orderkey, c_name FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30) JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
@@ -155,16 +160,16 @@ def count_distinct(spark, d):
     return load(spark, d, "lineitem").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey", "l_suppkey").alias("pairs"))
 
 
-@query("SELECT c_nationkey AS k, c_acctbal AS v, false AS inserted FROM customer WHERE c_custkey < 20 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 10) UNION ALL SELECT s_nationkey, s_acctbal, s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 20) FROM supplier WHERE s_suppkey < 10")
+@query("SELECT n_nationkey::BIGINT AS k, n_regionkey::DOUBLE AS v, false AS inserted FROM nation WHERE n_nationkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_acctbal, s_suppkey NOT IN (SELECT n_nationkey FROM nation) FROM supplier")
 def upsert(spark, d):
-    old = load(spark, d, "customer").where("c_custkey < 20").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("v"))
-    new = load(spark, d, "supplier").where("s_suppkey < 10").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("v"))
+    old = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("double").alias("v"))
+    new = load(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
     return R.upserted(old, new, ["k"])
 
 
-@query("SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 10 UNION SELECT s_nationkey FROM supplier")
+@query("SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation UNION ALL SELECT s_suppkey, min(s_name) FROM supplier WHERE s_suppkey NOT IN (SELECT n_nationkey FROM nation) GROUP BY 1")
 def insert_ignore(spark, d):
-    return R.inserted_if_new(load(spark, d, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k")), load(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), ["k"])
+    return R.inserted_if_new(load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name")), load(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), ["k"])
 
 
 @query("SELECT p_name AS path, p_size AS size FROM (SELECT p_partkey || p_name AS p_name, CASE WHEN p_partkey % 5 = 1 THEN -1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 5 <> 0)")
@@ -194,9 +199,9 @@ def set_intersect_ids(spark, d):
     return ids("F").intersect(ids("P"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_difference(spark, d):
-    return load(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, d, "orders").select(F.col("o_custkey").alias("k")))
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
@@ -219,10 +224,12 @@ def format_counts(spark, d):
     return load(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey BETWEEN 50 AND 60 ORDER BY l_orderkey, l_linenumber LIMIT 33")
+@query("""WITH x AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS r, count(*) OVER () AS n FROM lineitem WHERE l_orderkey BETWEEN 50 AND 60)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, true AS in_page, n > 32 AS has_more, (SELECT l_orderkey * 10 + l_linenumber FROM x WHERE r = 33) AS next_row FROM x WHERE r <= 32""")
 def read_table(spark, d):
-    x = load(spark, d, "lineitem").where(F.col("l_orderkey").between(50, 60)).select("l_orderkey", "l_linenumber", "l_quantity")
-    return x.orderBy("l_orderkey", "l_linenumber").limit(33)
+    """A page of at most 32 rows, whether there are more, and where the next page starts."""
+    x = load(spark, d, "lineitem").where(F.col("l_orderkey").between(50, 60)).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return R.page(x, ["l_orderkey", "l_linenumber", "l_partkey"], F.col("l_orderkey") * 10 + F.col("l_linenumber"), 32)
 
 
 @query("SELECT k AS cell, p_size AS size, p_partkey IS NULL AS missing FROM (SELECT unnest(range(195, 2600, 100)) AS k) LEFT JOIN part ON p_partkey = k")

@@ -100,9 +100,7 @@ def collapse_by_asset(spark, d):
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, round(list_cosine_similarity(x.embedding::DOUBLE[], q.e), 6) AS score FROM embeddings x JOIN q ON x.label = q.label)
     SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank, score >= 0.98 AS shape_match FROM s ORDER BY rank LIMIT 15""")
 def similar_geometry(spark, d):
-    x = R.similar_shapes(load(spark, d, "embeddings"), 7, "vec_id", "embedding", "label", 0.02, 1_000_000)
-    x = x.withColumn("score", F.round("score", 6)).select("vec_id", "score")
-    return R.ranked(x, "score", "vec_id", 15).withColumn("shape_match", F.col("score") >= 0.98)
+    return R.similar_shapes(load(spark, d, "embeddings"), 7, "vec_id", "embedding", "label", 0.02, 15).select("vec_id", "score", "rank", "shape_match")
 
 
 @query("SELECT o_orderkey, (abs(least(a, b) - least(b + 1, a)) <= 0.01 * greatest(abs(least(a, b)), abs(least(b + 1, a)), 1e-12) AND abs(greatest(a, b) - greatest(b + 1, a)) <= 0.01 * greatest(abs(greatest(a, b)), abs(greatest(b + 1, a)), 1e-12)) AS same FROM (SELECT o_orderkey, o_totalprice AS a, o_custkey::DOUBLE AS b FROM orders)")
@@ -111,27 +109,33 @@ def dimension_match(spark, d):
     return load(spark, d, "orders").select("o_orderkey", R.same_dimensions(F.array(a, b), F.array(b + 1, a), 0.01).alias("same"))
 
 
-@query("""WITH c AS (SELECT doc_id, (doc_id % 100) / 100 AS cosine, (doc_id % 7) / 7 AS coverage, (doc_id % 20)::DOUBLE AS b, doc_id % 3 = 0 AS a FROM documents)
-    SELECT doc_id, round(least(0.98::DOUBLE, 0.65 * greatest(0, cosine) + 0.35 * coverage + 0.08 * a::INT), 6) AS relevance, CASE WHEN a AND cosine >= 0.51 THEN 'ANCHORED_SEMANTIC' WHEN cosine >= 0.68 THEN 'SEMANTIC'
-        WHEN a AND coverage >= 0.14 THEN 'ANCHORED_LEXICAL' WHEN coverage >= 0.48 AND b >= 12 THEN 'LEXICAL' ELSE 'BELOW_FLOOR' END AS reason FROM c""")
+ADMISSION = "(0.68, 0.0, 0.0, false), (0.6799, 0.0, 0.0, false), (0.51, 0.0, 0.0, true), (0.5099, 0.13, 20.0, true), (0.1, 0.14, 0.0, true), (0.1, 0.48, 12.0, false), (0.1, 0.48, 11.99, false), (0.1, 0.4799, 30.0, false), (-0.5, 1.0, 0.0, true), (0.99, 1.0, 50.0, true)"
+
+
+@query(f"""WITH c AS (SELECT row_number() OVER () AS id, * FROM (VALUES {ADMISSION}) AS t(cosine, coverage, b, a)), w AS (SELECT * FROM (VALUES (1, 'SEMANTIC', 0.442), (2, 'BELOW_FLOOR', 0.441935), (3, 'ANCHORED_SEMANTIC', 0.4115), (4, 'BELOW_FLOOR', 0.456935), (5, 'ANCHORED_LEXICAL', 0.194),
+    (6, 'LEXICAL', 0.233), (7, 'BELOW_FLOOR', 0.233), (8, 'BELOW_FLOOR', 0.232965), (9, 'ANCHORED_LEXICAL', 0.43), (10, 'ANCHORED_SEMANTIC', 0.98)) AS t(id, reason, relevance)) SELECT id::BIGINT AS id, reason, relevance::DOUBLE AS relevance FROM w JOIN c USING (id)""")
 def admission_policy(spark, d):
-    i = F.col("doc_id")
-    cosine, coverage, score, anchored = (i % 100) / 100, (i % 7) / 7, (i % 20).cast("double"), i % 3 == 0
-    return load(spark, d, "documents").select("doc_id", F.round(R.relevance(cosine, coverage, anchored), 6).alias("relevance"), R.admission(cosine, coverage, score, anchored).alias("reason"))
+    """Candidates at, just under and above each floor."""
+    rows = [(i, *(float(x) if x.strip() not in ("true", "false") else x.strip() == "true" for x in r.split(","))) for i, r in enumerate(ADMISSION[1:-1].split("), ("), 1)]
+    c = spark.createDataFrame(rows, "id long, cosine double, coverage double, b double, a boolean")
+    return c.select("id", R.admission(F.col("cosine"), F.col("coverage"), F.col("b"), F.col("a")).alias("reason"), F.round(R.relevance(F.col("cosine"), F.col("coverage"), F.col("a")), 6).alias("relevance"))
 
 
-@query("SELECT min(doc_id) AS kept, sha256(text) AS fact, count(*) AS n, list_sort(list(doc_id)) [2:]::VARCHAR AS alternates FROM documents GROUP BY text")
+@query("SELECT doc_id, sha256(text) AS fact, first AS kept_id, doc_id = first AS kept, n FROM documents JOIN (SELECT text, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY text) USING (text)")
 def evidence_identity_dedup(spark, d):
-    x = load(spark, d, "documents").groupBy(F.sha2(F.col("text"), 256).alias("fact")).agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    rest = F.transform(F.slice("ids", F.lit(2), F.size("ids")), lambda x: x.cast("string"))
-    return x.select("kept", "fact", "n", F.concat(F.lit("["), F.array_join(rest, ", "), F.lit("]")).alias("alternates"))
+    """A row for each document: the fact that it states, the copy that is kept for it, and how many state it.
+
+    Counts and the kept copy are made before rows are joined with them, so a fact's copies never meet in one row."""
+    docs = load(spark, d, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("fact"))
+    facts = docs.groupBy("fact").agg(F.min("doc_id").alias("kept_id"), F.count(F.lit(1)).alias("n"))
+    return docs.join(facts, "fact").select("doc_id", "fact", "kept_id", (F.col("doc_id") == F.col("kept_id")).alias("kept"), "n")
 
 
-@query("""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark WHERE item_id < 15)
+@query("""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark)
     SELECT a.item_id AS x, b.item_id AS y, round(len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(a.w || b.w)), 1), 6) AS jaccard FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
 def redundancy_jaccard(spark, d):
     w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))
-    t = load(spark, d, "benchmark").where("item_id < 15").select("item_id", w.alias("w"))
+    t = load(spark, d, "benchmark").select("item_id", w.alias("w"))
     other = t.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("y"), F.col("w").alias("w2"))
     return t.join(other, "item_id").select(F.col("item_id").alias("x"), "y", F.round(X.jaccard(F.col("w"), F.col("w2")), 6).alias("jaccard"))
 
@@ -147,7 +151,9 @@ def greedy_mmr(spark, d):
 
 @query()
 def hash_embedding(spark, d):
-    return R.hashed_vectors(load(spark, d, "benchmark"), "item_id", "text").select("id", F.round(V.norm(F.col("vector")), 6).alias("length"))
+    """The vectors' components, rounded; tests/test_retrieval.py makes them again in plain Python."""
+    vectors = R.hashed_vectors(load(spark, d, "benchmark"), "item_id", "text")
+    return vectors.select("id", F.posexplode("vector").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("""WITH r AS (SELECT item_id, length(text) AS n FROM benchmark) SELECT item_id, n, row_number() OVER (ORDER BY n DESC, item_id)::INT AS rank FROM r ORDER BY rank LIMIT 5""")

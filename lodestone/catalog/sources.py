@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import readers, sinks
 from ..streaming.resample import resampled_stream
-from .registry import load, query
+from .registry import load, query, scratch
 from .timeseries import facts
 
 
-def scratch(spark) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base}/{uuid.uuid4().hex}"
+CHUNK_SQL = """WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+    c(doc_id, place, start, stop) AS (SELECT doc_id, 0, 0, 0 FROM t WHERE n > 0 UNION ALL
+        SELECT t.doc_id, c.place + 1, x.at, CASE WHEN x.at + 900 < n AND greatest(x.best, x.dot) > 450 THEN x.at + greatest(x.best, x.dot) + 1 ELSE least(n, x.at + 900) END FROM c JOIN t USING (doc_id),
+            LATERAL (SELECT CASE WHEN c.place = 0 THEN 0 ELSE greatest(c.start + 1, c.stop - 100) END AS at, 900 AS w) y,
+            LATERAL (SELECT y.at AS at, strpos(reverse(substr(t.t, y.at + 1, 900)), chr(10)) AS lb, strpos(reverse(substr(t.t, y.at + 1, 900)), '。') AS ld, least(900, n - y.at) AS m) z,
+            LATERAL (SELECT z.at AS at, CASE WHEN z.lb > 0 THEN z.m - z.lb ELSE -1 END AS best, CASE WHEN z.ld > 0 THEN z.m - z.ld ELSE -1 END AS dot) x
+        WHERE c.stop < n)
+    SELECT doc_id, (place - 1)::INT AS place, start::INT AS start, stop::INT AS stop, sha256(substr(t, start + 1, stop - start)) AS sha256 FROM c JOIN t USING (doc_id) WHERE place > 0"""
 
 
-@query()
+@query(CHUNK_SQL)
 def chunk_text(spark, d):
     return readers.chunked(load(spark, d, "documents"), "doc_id", "text").select("doc_id", "place", "start", "stop", F.sha2("chunk", 256).alias("sha256"))
 
 
-@query()
+PARAGRAPHS = """WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(coalesce(text, ''), '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\n\\s*\\n'),
+        lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda p: p <> '') AS p FROM documents),
+    r(doc_id, i, now, done) AS (SELECT doc_id, 0, '', []::VARCHAR[] FROM s UNION ALL SELECT r.doc_id, r.i + 1,
+        CASE WHEN length(now) + length(q) + 1 <= 700 THEN CASE WHEN now = '' THEN q ELSE now || chr(10) || q END WHEN length(q) <= 700 THEN q ELSE '' END,
+        CASE WHEN length(now) + length(q) + 1 <= 700 THEN [] ELSE CASE WHEN now <> '' THEN [now] ELSE [] END || CASE WHEN length(q) <= 700 THEN [] ELSE list_transform(range(0, length(q), 620), lambda k: substr(q, k + 1, 700)) END END
+        FROM r JOIN s USING (doc_id), LATERAL (SELECT p[r.i + 1] AS q) WHERE r.i < len(p)),
+    e AS (SELECT doc_id, i, done FROM r UNION ALL SELECT doc_id, i + 1, [now] FROM r JOIN s USING (doc_id) WHERE i = len(p) AND now <> ''),
+    u AS (SELECT doc_id, i, unnest(range(len(done))) AS k, unnest(done) AS chunk FROM e)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS place, sha256(chunk) AS sha256 FROM u"""
+
+
+@query(PARAGRAPHS)
 def chunk_paragraph_legacy(spark, d):
-    p = readers.paragraphs_of(F.regexp_replace("text", "\n", "\n\n"))
-    return load(spark, d, "documents").select("doc_id", F.posexplode(p).alias("place", "chunk")).select("doc_id", "place", F.length("chunk").alias("n"))
+    return readers.paragraph_chunks(load(spark, d, "documents"), "doc_id", "text").select("doc_id", "place", F.sha2("chunk", 256).alias("sha256"))
 
 
 @query("SELECT conv_id, turn, role, length(text) AS n FROM conversations")
@@ -65,11 +77,13 @@ def scan_tsv_measurement(spark, d):
 
 @query("SELECT 'f' || p_partkey || '.jpg' AS file, 2::BIGINT AS n, 'a ' || p_name || '|' || p_name AS captions FROM part")
 def coco_captions(spark, d):
+    """One captions file for each hundred parts; images and their captions may stand in different files."""
+    k, path = F.col("p_partkey"), scratch(spark)
     p = load(spark, d, "part")
-    images = F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.concat(F.lit("dir/f"), F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("file_name")))
-    notes = F.flatten(F.collect_list(F.array(F.struct(F.col("p_partkey").alias("image_id"), F.col("p_name").alias("caption")), F.struct(F.col("p_partkey").alias("image_id"), F.concat(F.lit("a "), "p_name").alias("caption")))))
-    record = p.agg(F.parse_json(F.to_json(F.struct(images.alias("images"), notes.alias("annotations")))).alias("record"))
-    return readers.captions(record).withColumn("captions", F.array_join("captions", "|"))
+    images = p.groupBy(F.floor(k / 100).alias("f")).agg(F.collect_list(F.struct(k.alias("id"), F.concat(F.lit("dir/f"), k.cast("string"), F.lit(".jpg")).alias("file_name"))).alias("images"))
+    notes = p.select(k, F.explode(F.array(F.col("p_name"), F.concat(F.lit("a "), "p_name"))).alias("c")).groupBy(F.floor((k + 30) / 100).alias("f")).agg(F.collect_list(F.struct(k.alias("image_id"), F.col("c").alias("caption"))).alias("annotations"))
+    images.join(notes, "f", "full").select(F.to_json(F.struct("images", "annotations"))).write.text(path)
+    return readers.captions(readers.read_jsonl(spark, path)).withColumn("captions", F.array_join("captions", "|"))
 
 
 @query("SELECT p_partkey, p_size::VARCHAR AS lexeme FROM part")
@@ -78,14 +92,20 @@ def number_lexemes(spark, d):
     return load(spark, d, "part").select("p_partkey", readers.lexemes(text)["/x/a~1b"].alias("lexeme"))
 
 
-@query("SELECT n_nationkey AS k, (24 + 0.0)::DOUBLE * power(n_nationkey + 1, 2) / 4 AS area, power(n_nationkey + 1, 3)::DOUBLE AS volume, true AS closed, true AS oriented FROM nation")
+@query("""SELECT n_nationkey AS k, round(CASE n_nationkey % 3 WHEN 0 THEN 6.0 * s * s WHEN 1 THEN 5.0 * s * s ELSE 3.0 * s * s END, 6)::DOUBLE AS area, CASE n_nationkey % 3 WHEN 0 THEN round(s * s * s, 6)::DOUBLE END AS volume,
+    n_nationkey % 3 = 0 AS closed, n_nationkey % 3 = 0 AS oriented, false AS degenerate, CASE n_nationkey % 3 WHEN 0 THEN 0.333333::DOUBLE END AS first_moment, CASE n_nationkey % 3 WHEN 0 THEN 7.0::DOUBLE END AS area_ratio FROM nation, LATERAL (SELECT (n_nationkey + 1)::DOUBLE AS s)""")
 def mesh_features(spark, d):
-    s = (F.col("n_nationkey") + 1).cast("string")
-    corners = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
-    line = lambda c: F.concat(F.lit("v "), *[x for v in c for x in (s if v else F.lit("0"), F.lit(" "))])
-    faces = "f 1 4 3 2\nf 5 6 7 8\nf 1 2 6 5\nf 2 3 7 6\nf 3 4 8 7\nf 4 1 5 8"
-    m = readers.mesh_columns(F.concat_ws("\n", *[line(c) for c in corners], F.lit(faces)))
-    return load(spark, d, "nation").select(F.col("n_nationkey").alias("k"), m.alias("m")).select("k", F.col("m.area").alias("area"), F.col("m.volume").alias("volume"), "m.closed", "m.oriented")
+    """Cubes, cubes without a lid, and L-shaped faces, which a fan of triangles would get wrong."""
+    k, s = F.col("n_nationkey"), (F.col("n_nationkey") + 1).cast("string")
+    side = lambda v: F.lit("0") if v == 0 else s if v == 1 else (2 * (F.col("n_nationkey") + 1)).cast("string")
+    vertex = lambda c: F.concat_ws(" ", F.lit("v"), *map(side, c))
+    cube = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
+    bend = [(1, 1, 0), (2, 1, 0), (2, 0, 0), (0, 0, 0), (0, 2, 0), (1, 2, 0)]
+    faces = "f 1 4 3 2\nf 1 2 6 5\nf 2 3 7 6\nf 3 4 8 7\nf 4 1 5 8"
+    text = F.when(k % 3 == 0, F.concat_ws("\n", *map(vertex, cube), F.lit(faces + "\nf 5 6 7 8"))).when(k % 3 == 1, F.concat_ws("\n", *map(vertex, cube), F.lit(faces))).otherwise(F.concat_ws("\n", *map(vertex, bend), F.lit("f 1 6 5 4 3 2")))
+    m = load(spark, d, "nation").select(k.alias("k"), readers.mesh_columns(text).alias("m"))
+    form = lambda i: F.when(F.col("k") % 3 == 0, F.round(F.col("m.features")[i], 6))
+    return m.select("k", F.round("m.area", 6).alias("area"), F.round("m.volume", 6).alias("volume"), "m.closed", "m.oriented", "m.degenerate", form(0).alias("first_moment"), form(3).alias("area_ratio"))
 
 
 @query("SELECT n_nationkey AS k, n_name AS text, 10.0::DOUBLE + 2 * n_nationkey AS x, 5.0::DOUBLE AS y FROM nation")
@@ -94,36 +114,43 @@ def scan_svg(spark, d):
     return load(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.explode(readers.drawing_texts(svg)).alias("t")).select("k", "t.*")
 
 
-@query("SELECT event_type AS metric, count(*) AS n, max(value) AS most FROM events WHERE event_type = 'click' GROUP BY 1")
+@query("SELECT event_type AS metric, count(*) AS n, max(value) AS most FROM events GROUP BY 1")
 def write_facts(spark, d):
     path = scratch(spark)
     sinks.write_facts(facts(spark, d), path)
-    return spark.read.parquet(path).where("metric = 'click'").groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
+    return spark.read.parquet(path).groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
 
 
-@query("SELECT true AS same, 4::BIGINT AS files")
+@query("SELECT n_regionkey::VARCHAR AS folder, sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS sha256, sum(strlen(n_name) + 1)::BIGINT AS size FROM nation GROUP BY 1")
 def manifest(spark, d):
+    """A text file of names for each region; its hash and size must be those of its lines."""
     path = scratch(spark)
-    load(spark, d, "nation").repartition(4).write.parquet(path)
-    a, b = sinks.manifest(spark, path).where("path LIKE '%.parquet'"), sinks.manifest(spark, path)
-    return a.join(b, ["path", "sha256", "size"]).agg((F.count(F.lit(1)) == 4).alias("same"), F.count(F.lit(1)).alias("files"))
+    load(spark, d, "nation").repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_name").select(F.col("n_regionkey").alias("folder"), "n_name").write.partitionBy("folder").text(path)
+    files = sinks.manifest(spark, path).where("path LIKE '%.txt'")
+    return files.select(F.regexp_extract("path", "folder=([0-9]+)", 1).alias("folder"), "sha256", "size")
 
 
-@query("SELECT CASE WHEN regexp_matches(u, '\\.html$') THEN 'other' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT regexp_replace(url, '[?#].*$', '') AS u FROM pages) GROUP BY 1")
+@query("SELECT CASE page_id % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'table' WHEN 2 THEN 'geometry' WHEN 3 THEN 'json' WHEN 4 THEN 'text' ELSE 'other' END AS kind, count(*) AS n FROM pages GROUP BY 1")
 def asset_kinds(spark, d):
-    return load(spark, d, "pages").groupBy(readers.format_of(F.regexp_replace("url", r"[?#].*$", "")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(x) for x in ("/a.PNG", "/b.xlsx", "/c.stp", "/d.JSON", "/e.pdf", "/f.html")])
+    path = F.concat(F.lit("/data"), F.element_at(names, (F.col("page_id") % 6 + 1).cast("int")))
+    return load(spark, d, "pages").groupBy(readers.format_of(path).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT user_id AS entity, event_type AS metric, date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*) AS n, max(value) AS max_value FROM events GROUP BY ALL")
 def stream_resample(spark, d):
-    """The stream over the table's files, run to its end; complete mode, so that windows still open count too."""
+    """The stream over the table's files, run to its end; each batch replaces the windows that it changed.
+
+    Update mode gives a window again whenever it has grown, so only the newest version of each is kept when reading."""
     path = f"{d}/events.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
     rows = source.select(F.col("user_id").alias("entity"), F.col("event_type").alias("metric"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    totals, out = resampled_stream(rows), scratch(spark)
-    spark.createDataFrame([], totals.schema).write.parquet(out)  # what a stream without a batch leaves
-    whole = totals.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).outputMode("complete")
-    whole.trigger(availableNow=True).option("checkpointLocation", scratch(spark)).start().awaitTermination()
-    return spark.read.parquet(out).select("entity", "metric", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n", "max_value")
+    totals, out = resampled_stream(rows, late="36500 days"), scratch(spark)
+    spark.createDataFrame([], totals.schema.add("batch", "long")).write.parquet(out)  # what a stream without a batch leaves
+    run = totals.writeStream.foreachBatch(lambda part, i: part.withColumn("batch", F.lit(i).cast("long")).write.mode("append").parquet(out)).outputMode("update")
+    run.trigger(availableNow=True).option("checkpointLocation", scratch(spark)).start().awaitTermination()
+    newest = lambda c: F.max_by(c, "batch").alias(c)
+    found = spark.read.parquet(out).groupBy("entity", "metric", "bucket").agg(newest("n"), newest("max_value"))
+    return found.select("entity", "metric", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n", "max_value")
 
 

@@ -189,3 +189,29 @@ def latest_per_group(spark, d):
     return o.groupBy("o_custkey").agg(newest.alias("o_orderkey"))
 
 
+@query("""WITH v AS (SELECT user_id AS entity, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY 1), m AS (SELECT entity, x, len(x) AS n, list_avg(x) AS m, coalesce(list_stddev_pop(x), 0) AS s FROM v),
+    z AS (SELECT *, list_transform(x, lambda y: (y - m) / CASE WHEN s > 0 THEN s ELSE 1 END) AS z FROM m), d AS (SELECT *, list_transform(range(1, n), lambda i: abs(z[i + 1] - z[i])) AS d FROM z),
+    f AS (SELECT entity, [list_aggregate(z, 'quantile_cont', 0.0), list_aggregate(z, 'quantile_cont', 0.1), list_aggregate(z, 'quantile_cont', 0.25), list_aggregate(z, 'quantile_cont', 0.5), list_aggregate(z, 'quantile_cont', 0.75), list_aggregate(z, 'quantile_cont', 0.9), list_aggregate(z, 'quantile_cont', 1.0),
+        CASE WHEN n > 1 THEN (SELECT regr_slope(u.y, u.i) FROM (SELECT unnest(z) AS y, unnest(list_transform(range(n), lambda k: k / (n - 1))) AS i) u) ELSE 0 END, coalesce(list_avg(d), 0), coalesce(list_max(d), 0), ln(1 + n) / 10, s / (abs(m) + s + 1e-9)] AS f FROM d)
+    SELECT entity, unnest(range(12))::INT AS place, unnest(list_transform(f, lambda y: round(y / sqrt(list_dot_product(f, f)), 6))) AS value FROM f""")
+def shape12(spark, d):
+    """The twelve numbers of each user's curve."""
+    curve = F.transform(F.array_sort(F.collect_list(F.struct("ts", "row", "value"))), lambda s: s["value"])
+    x = facts(spark, d).groupBy("entity").agg(curve.alias("values"))
+    return x.select("entity", F.posexplode(T.shape(F.col("values"))).alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(INTERVALS.replace("CASE WHEN event_id % 17 <> 0 THEN value END", "value").replace("event_id % 13 <> 0", "true") + """SELECT entity, metric, round(sum((v + v2) * sec / 2) / sum(sec), 6) AS weighted_average, round(sum(CASE WHEN v > 50 THEN sec ELSE 0 END), 3) AS seconds_above FROM
+    (SELECT entity, metric, v, v2, (t2 - t) / 1e6 AS sec FROM q WHERE t2 > t AND t >= epoch_us(TIMESTAMP '2024-01-05') AND t2 < epoch_us(TIMESTAMP '2024-01-20')) GROUP BY ALL""")
+def legacy_interval_statistics(spark, d):
+    """The older rule: samples of the window only, trapezoids between them, gaps and window edges not looked at."""
+    x = T.legacy_statistics(facts(spark, d), START, END, 50.0)
+    return rounded(rounded(x, "weighted_average"), "seconds_above", to=3)
+
+
+@query("""WITH f AS (SELECT DISTINCT ON (user_id, event_type, ts) user_id, event_type, ts, event_id FROM events ORDER BY user_id, event_type, ts, event_id), s AS (SELECT user_id AS entity, event_type AS metric, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events),
+    w AS (SELECT entity, metric, n, least(128, greatest(8, n)) AS w FROM s GROUP BY ALL), u AS (SELECT DISTINCT entity, metric, n, w, unnest(list_append(range(0, greatest(0, n - w) + 1, greatest(1, w // 2)), greatest(0, n - w))) AS start FROM w)
+    SELECT u.entity, u.metric, start::INT AS start, min(ts) AS first_at, max(ts) AS last_at FROM u JOIN s ON s.entity = u.entity AND s.metric = u.metric AND r > start AND r <= start + w GROUP BY ALL HAVING min(ts) >= TIMESTAMP '2024-01-05' AND max(ts) < TIMESTAMP '2024-01-20'""")
+def segment_time_filter(spark, d):
+    """Segments that lie inside a range as a whole."""
+    return ntz(T.segments(facts(spark, d), times=True).where(T.in_range(F.col("first_at"), START, END) & T.in_range(F.col("last_at"), START, END)).select(*T.KEY, "start", "first_at", "last_at"), "first_at", "last_at")

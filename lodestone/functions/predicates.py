@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .units import converted
+from .units import converted, in_source_unit
 
 OPS = ("eq", "in", "gt", "gte", "lt", "lte", "between", "is_null", "not_null", "contains")
 
@@ -48,47 +48,47 @@ def _kind_of(kind: T.DataType) -> str:
     return "time" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "string" if isinstance(kind, T.StringType) else "other"
 
 
-def matches(column: Column, kind: T.DataType, condition: Condition, present: Column | None = None, source_unit: str | Column | None = None) -> Column:
-    """condition on a typed column as a boolean that is never null; present tells missing fields from nulls."""
-    there = F.lit(True) if present is None else present
-    op, value = condition.op, condition.value
+def test(column: Column, kind: T.DataType, condition: Condition, source_unit: str | Column | None = None) -> Column:
+    """condition on a typed column; null where the value is null. A filter on it compares the bare column with a literal.
+
+    So a source's statistics can prune: operands, not columns, are cast to the column's type or converted to its unit."""
+    op, value, of = condition.op, condition.value, _kind_of(kind)
     if op == "is_null":
-        return there & column.isNull()
+        return column.isNull()
     if op == "not_null":
-        return there & column.isNotNull()
+        return column.isNotNull()
     if op == "contains":
         if isinstance(kind, T.ArrayType):
-            fits = _kind_of(kind.elementType) == _kind(value)
-            return there & F.coalesce(F.array_contains(column, value), F.lit(False)) if fits else F.lit(False)
-        if isinstance(kind, T.MapType):
-            return there & F.coalesce(F.map_contains_key(column, value), F.lit(False))
+            return F.array_contains(column, value) if _kind_of(kind.elementType) == _kind(value) else F.lit(False)
+        return F.map_contains_key(column, value) if isinstance(kind, T.MapType) else F.lit(False)
+    values = value if op in ("in", "between") else [value]
+    fits = [x for x in values if _kind(x) == of or of == "time" and isinstance(x, str)]
+    if condition.unit and of == "number":
+        if isinstance(source_unit, str):
+            fits = [in_source_unit(x, source_unit, condition.unit) for x in fits]
+            fits = [x for x in fits if x is not None]
+        else:
+            column = converted(column.cast("double"), source_unit, condition.unit)
+    elif condition.unit:
         return F.lit(False)
-    if condition.unit:
-        if _kind_of(kind) != "number":
-            return F.lit(False)
-        column = converted(column.cast("double"), source_unit, condition.unit)
-
-    def fits(x: Any) -> bool:
-        return _kind(x) == _kind_of(kind) or _kind_of(kind) == "time" and isinstance(x, str)
 
     def target(x: Any) -> Column:
-        return F.lit(x).cast("date" if len(x) == 10 else "timestamp") if _kind_of(kind) == "time" else F.lit(x)
+        if of != "time":
+            return F.lit(x)
+        return F.lit(x).cast("date" if len(x) == 10 else "timestamp_ntz" if isinstance(kind, T.TimestampNTZType) else "timestamp").cast(kind if not isinstance(kind, T.DateType) or len(x) == 10 else "timestamp")
 
+    operands = [target(x) for x in fits]
     if op == "in":
-        options = [x for x in value if fits(x)]
-        return there & F.coalesce(reduce(lambda a, b: a | b, [column == target(x) for x in options]), F.lit(False)) if options else F.lit(False)
-    values = value if op == "between" else [value]
-    if not all(fits(x) for x in values):
+        return column.isin(*operands) if operands else F.lit(False)
+    if len(operands) < len(values):
         return F.lit(False)
-    found = {
-        "eq": lambda: column == target(value),
-        "gt": lambda: column > target(value),
-        "gte": lambda: column >= target(value),
-        "lt": lambda: column < target(value),
-        "lte": lambda: column <= target(value),
-        "between": lambda: column.between(target(value[0]), target(value[1])),
-    }[op]()
-    return there & F.coalesce(found, F.lit(False))
+    return {"eq": column.__eq__, "gt": column.__gt__, "gte": column.__ge__, "lt": column.__lt__, "lte": column.__le__, "between": column.between}[op](*operands)
+
+
+def matches(column: Column, kind: T.DataType, condition: Condition, present: Column | None = None, source_unit: str | Column | None = None) -> Column:
+    """condition on a typed column as a boolean that is never null; present tells missing fields from nulls."""
+    found = F.coalesce(test(column, kind, condition, source_unit), F.lit(False))
+    return found if present is None else present & found
 
 
 def variant_matches(record: Column, condition: Condition) -> Column:

@@ -31,6 +31,12 @@ def tokens(text: Column) -> Column:
     return F.concat(words(text), ngrams(text, 2), ngrams(text, 3))
 
 
+def query_tokens(text: str) -> list[str]:
+    """The tokens of one short text, on the driver."""
+    compact = re.sub(r"\s+", "", text.lower())
+    return re.findall(WORDS, text.lower()) + [compact[i : i + n] for n in (2, 3) for i in range(len(compact) - n + 1)]
+
+
 def has_identifier(text: Column, identifier: str) -> Column:
     """Whether the identifier stands in the text as a whole token, not inside a longer one."""
     return text.rlike(f"(?i)(?<![{OUTSIDE}]){re.escape(identifier)}(?![{OUTSIDE}])")
@@ -64,3 +70,35 @@ def json_pointer(pointer: str) -> str:
         part = part.replace("~1", "/").replace("~0", "~")
         out += f"[{part}]" if part.isdigit() else f"['{part}']"
     return out
+
+
+def cell_place(name: Column) -> Column:
+    """(col, row) of a spreadsheet cell's name, counted from 1; nulls if it isn't one of A1 to XFD1048576."""
+    letters, row = F.regexp_extract(name, "^([A-Z]{1,3})([1-9][0-9]{0,6})$", 1), F.regexp_extract(name, "^([A-Z]{1,3})([1-9][0-9]{0,6})$", 2).try_cast("long")
+    col = F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda s, c: s * 26 + F.ascii(c) - 64)
+    good = (col > 0) & (col <= 16384) & (row <= 1_048_576)
+    return F.struct(F.when(good, col).alias("col"), F.when(good, row).alias("row"))
+
+
+def stop_phrases_removed(text: Column, phrases: list[str]) -> Column:
+    """text in lower case without the phrases, longest first."""
+    out = F.lower(text)
+    for p in sorted(phrases, key=len, reverse=True):
+        out = F.replace(out, F.lit(p.lower()), F.lit(" "))
+    return out
+
+
+def terms(text: Column, phrases: list[str]) -> Column:
+    """Distinct Latin words of two characters or more and runs of two CJK characters, without stop phrases."""
+    bare = stop_phrases_removed(text, phrases)
+    latin = F.regexp_extract_all(bare, F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    runs = F.regexp_extract_all(bare, F.lit("[一-鿿]{2,}"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.array_distinct(F.concat(latin, pairs))
+
+
+def uuid_of(namespace: str, name: Column) -> Column:
+    """The name-based identifier (version 5) of a name in a namespace: SHA-1 of both, with version and variant set."""
+    raw = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
+    nibble = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), (F.conv(F.substring(raw, 17, 1), 16, 10).cast("int") % 4 + 1).cast("int"))
+    return F.concat(F.substring(raw, 1, 8), F.lit("-"), F.substring(raw, 9, 4), F.lit("-5"), F.substring(raw, 14, 3), F.lit("-"), nibble, F.substring(raw, 18, 3), F.lit("-"), F.substring(raw, 21, 12))

@@ -12,10 +12,34 @@ def instant(text: Column) -> Column:
 
 
 def numeric_instant(value: Column) -> Column:
-    """Milliseconds from 1e11 on, seconds from 1e9 on, spreadsheet days from 20 000 to 80 000; else null."""
+    """By magnitude: milliseconds from 1e11 on, seconds from 1e9 on, spreadsheet days from 20 000 to 80 000; else null."""
     v = value.cast("double")
-    day = F.timestamp_micros(((v - 25569) * 86_400_000_000).cast("long"))
-    return F.when(v >= 1e11, F.timestamp_millis(v.cast("long"))).when(v >= 1e9, F.timestamp_seconds(v)).when((v >= 20_000) & (v <= 80_000), day)
+    size = F.abs(v)
+    micros = F.when(size >= 1e11, v * 1000).when(size >= 1e9, v * 1_000_000).when((size >= 20_000) & (size <= 80_000), (v - 25569) * 86_400_000_000)
+    return F.timestamp_micros(F.round(micros).cast("long"))
+
+
+#: From this share of times on, a column is one of times.
+TIME_COLUMN = 0.75
+
+
+def strict_clock(text: Column, zone: Column) -> Column:
+    """ISO text as microseconds since 1970; a text without a zone takes the given one.
+
+    Null if neither names a zone, if it is finer than microseconds, or if the local time doesn't exist or is ambiguous."""
+    fine = text.rlike(r"[T ]\d\d:\d\d:\d\d\.\d{6}0*[1-9]")
+    own = text.rlike(r"([Zz]|[+-]\d\d:?\d\d)$")
+    local = F.regexp_replace(text, r"(\.\d{6})\d+", "$1").try_cast("timestamp_ntz")
+    hour = F.expr("INTERVAL 3 HOURS")
+    utc = F.to_utc_timestamp(local.cast("timestamp"), zone)
+    exists = F.from_utc_timestamp(utc, zone) == local.cast("timestamp")
+    before, after = (F.unix_micros(F.to_utc_timestamp((local + sign).cast("timestamp"), zone)) for sign in (-hour, hour))
+    shift = (after - before) - F.lit(6 * 3_600_000_000)  # what the zone's offset loses from three hours before to three after
+    other = F.timestamp_micros(F.unix_micros(utc) + shift)
+    twin = F.timestamp_micros(F.unix_micros(utc) - shift)
+    twice = (shift != 0) & ((F.from_utc_timestamp(other, zone) == local.cast("timestamp")) | (F.from_utc_timestamp(twin, zone) == local.cast("timestamp")))
+    placed = F.when(zone.isNotNull() & exists & ~twice, F.unix_micros(utc))
+    return F.when(~fine & own, F.unix_micros(F.try_to_timestamp(text))).when(~fine, placed)
 
 
 def time_share(column: Column) -> Column:

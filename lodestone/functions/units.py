@@ -17,8 +17,25 @@ FACTORS = {
 # Other spellings.
 SPELLINGS = {"°C": "C", "℃": "C", "摄氏度": "C", "开尔文": "K", "mm²": "mm2", "cm²": "cm2", "m²": "m2", "mm³": "mm3", "cm³": "cm3", "m³": "m3"}
 KELVIN = Decimal("273.15")
-# Units that the ends of metric names stand for.
-SUFFIXES = {"_kwh": "kWh", "_kw": "kW", "_mm": "mm", "_cm": "cm", "_m": "m", "_c": "C", "_pct": "%", "_s": "s", "_min": "min", "_h": "h", "_a": "A", "_v": "V", "_rpm": "rpm"}
+# Units that the ends of metric names stand for; the first that fits holds.
+SUFFIXES = (
+    ("_kwh", "kWh"), ("_wh", "Wh"), ("_percent", "%"), ("_pct", "%"), ("_celsius", "°C"), ("_degc", "°C"), ("_mm", "mm"), ("_cm", "cm"), ("_km", "km"),
+    ("_min", "min"), ("_ms", "ms"), ("_hour", "h"), ("_hours", "h"), ("_sec", "s"), ("_seconds", "s"), ("_c", "°C"), ("_w", "W"),
+)
+# Declared units of records, case-sensitive, with their dimension's base unit, scale and offset in it.
+RECORD_UNITS = {
+    "W": {"mW": "0.001", "W": "1", "kW": "1000", "MW": "1000000"},
+    "m": {"µm": "0.000001", "um": "0.000001", "mm": "0.001", "cm": "0.01", "m": "1", "km": "1000"},
+    "m²": {"mm²": "0.000001", "mm2": "0.000001", "cm²": "0.0001", "cm2": "0.0001", "m²": "1", "m2": "1"},
+    "L": {"mL": "0.001", "L": "1", "mm³": "0.000001", "mm3": "0.000001", "cm³": "0.001", "cm3": "0.001", "m³": "1000", "m3": "1000"},
+    "kg": {"mg": "0.000001", "g": "0.001", "kg": "1", "t": "1000"},
+    "s": {"ms": "0.001", "s": "1", "min": "60", "h": "3600"},
+    "K": {"K": "1", "°C": "1", "℃": "1"},
+    "A": {"mA": "0.001", "A": "1"},
+    "m/s": {"mm/s": "0.001", "m/s": "1"},
+    "rpm": {"rpm": "1", "r/min": "1"},
+}
+RECORD_OFFSETS = {"°C": "273.15", "℃": "273.15"}
 
 UNKNOWN, INCOMPATIBLE = "UNIT_UNKNOWN", "UNIT_INCOMPATIBLE"
 
@@ -71,9 +88,46 @@ def exact(value: Column, source: Column, target: str, scale: int = 12) -> Column
     return _by_unit(source, target, lambda f, o: value.cast(f"decimal(38,{scale})") * F.lit(str(f)).cast("decimal(18,9)") + F.lit(str(o)).cast("decimal(18,9)"))
 
 
+def in_source_unit(value: float, source: str, target: str) -> float | None:
+    """A number of the target unit as one of the source unit, so that a column of source units can be compared as it is."""
+    l = linear(target, source)
+    if l is None:
+        return None
+    exact_value = Decimal(str(value)) * l[0] + l[1]
+    return int(exact_value) if exact_value == exact_value.to_integral_value() and isinstance(value, int) else float(exact_value)
+
+
 def unit_of_metric(name: Column) -> Column:
-    """The unit that a metric's name ends with; longer suffixes first."""
+    """The unit that a metric's name ends with, by the first suffix of the list that fits."""
+    chosen = F.when(F.lit(False), F.lit(""))
+    for suffix, unit in SUFFIXES:
+        chosen = chosen.when(F.lower(name).endswith(suffix), F.lit(unit))
+    return chosen
+
+
+def record_base(unit: Column) -> Column:
+    """The base unit of a declared unit; null if it isn't registered."""
     chosen = F.when(F.lit(False), F.lit(""))
-    for s in sorted(SUFFIXES, key=len, reverse=True):
-        chosen = chosen.when(F.lower(name).endswith(s), F.lit(SUFFIXES[s]))
+    for base, scales in RECORD_UNITS.items():
+        chosen = chosen.when(unit.isin(*scales), F.lit(base))
+    return chosen
+
+
+def record_value(value: Column, unit: Column) -> Column:
+    """value in its unit's base, in decimals; null if the unit isn't registered."""
+    chosen = F.when(F.lit(False), F.lit(0).cast("decimal(38,12)"))
+    for scales in RECORD_UNITS.values():
+        for name, scale in scales.items():
+            offset = F.lit(RECORD_OFFSETS.get(name, "0")).cast("decimal(9,2)")
+            chosen = chosen.when(unit == name, (value.cast("decimal(24,6)") * F.lit(scale).cast("decimal(13,6)") + offset).cast("decimal(38,12)"))
     return chosen
+
+
+def record_values_equal(values: list[tuple[Column, Column]]) -> Column:
+    """Whether (value, unit) of two to four sources are the same, each compared with the first; null if units don't compare."""
+    (first, unit), *rest = values
+    same, fit = F.lit(True), record_base(unit).isNotNull()
+    for value, other in rest:
+        same = same & (record_value(value, other) == record_value(first, unit))
+        fit = fit & (record_base(other) == record_base(unit))
+    return F.when(F.coalesce(fit, F.lit(False)), same)

@@ -5,12 +5,13 @@ Without a declaration a rule is NOT_ASSESSED, never passed."""
 from __future__ import annotations
 
 from functools import reduce
+from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ISSUES = 100
+ISSUES, ZONES = 100, tuple(sorted(available_timezones()))
 # Units that a data dictionary may declare.
 KNOWN_UNITS = (
     "1 % mm cm m km m2 m² m3 m³ mm2 mm3 L l ml mL kg g t s ms min h d day Hz kHz rpm Pa kPa MPa bar N N·m Nm J kJ W kW Wh kWh V A mA Ω kΩ ohm ℃ °C C K mm/s "
@@ -22,24 +23,64 @@ def blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == "")
 
 
+def _finite(text: Column) -> Column:
+    number = text.try_cast("double")
+    return F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), F.lit(None)).otherwise(number)
+
+
+#: How a declared type reads a text; names that stand for the same type share a line.
+READS = {
+    "string str text": lambda t: F.lit(True),
+    "int integer int64": lambda t: F.coalesce(_finite(t) == F.floor(_finite(t)), F.lit(False)),
+    "number float float64 double numeric": lambda t: _finite(t).isNotNull(),
+    "bool boolean": lambda t: F.lower(t).isin("true", "false", "0", "1"),
+    "array list": lambda t: F.schema_of_variant(F.try_parse_json(t)).startswith("ARRAY") & t.rlike(r"^\s*\["),
+    "object dict": lambda t: F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT") & t.rlike(r"^\s*\{"),
+    "null": lambda t: F.lower(F.trim(t)) == "null",
+}
+READS = {name: read for names, read in READS.items() for name in names.split()}
+
+
 def has_type(text: Column, declared: str) -> Column:
-    """Whether text can be read as the declared type (several are joined by |); blank fits any; null if unknown."""
-    tests = []
-    for name in declared.split("|"):
-        name = name.strip()
-        number = text.try_cast("double")
-        finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
-        if name in ("string", "str", "text") or name.startswith(("date", "timestamp")):
-            tests.append(F.lit(True))
-        elif name in ("int", "integer", "int64"):
-            tests.append(finite & (number == F.floor(number)))
-        elif name in ("number", "float", "float64", "double", "numeric"):
-            tests.append(finite)
-        elif name in ("bool", "boolean"):
-            tests.append(F.lower(text).isin("true", "false", "0", "1"))
-        else:
-            tests.append(F.lit(None).cast("boolean"))
-    return blank(text) | reduce(lambda a, b: a | b, tests)
+    """Whether text can be read as one of the declared types, joined by |; blank fits any; null if none is known.
+
+    Dates and timestamps are checked by time_ok."""
+    names = [n.strip() for n in declared.split("|")]
+    known = [READS.get(n, (lambda t: F.lit(True)) if n.startswith(("date", "timestamp")) else None) for n in names]
+    tests = [F.coalesce(read(text), F.lit(False)) for read in known if read]
+    return blank(text) | reduce(lambda a, b: a | b, tests) if tests else F.when(blank(text), F.lit(True))
+
+
+def null_ok(value: Column, nullable: Column, explanation: Column) -> Column:
+    """A null is fine where it may be, and a field that may be null must say what null means."""
+    return F.when(nullable, ~blank(explanation)).otherwise(~blank(value))
+
+
+#: What is left of an instant beyond each declared granularity, in microseconds.
+GRAINS = {"day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1000}
+
+
+def time_ok(text: Column, zone: Column, grain: Column) -> Column:
+    """Whether text is a time that is no finer than its granularity, with a zone that exists if one is declared."""
+    at = F.try_to_timestamp(text)
+    rest = F.unix_micros(at)
+    finer = F.when(F.lit(False), F.lit(False))
+    for name, size in GRAINS.items():
+        finer = finer.when(grain == name, rest % size != 0)
+    exists = zone.isNull() | zone.rlike(r"^(UTC|Z|[+-]\d\d:\d\d)$") | zone.isin(*ZONES)
+    return at.isNotNull() & exists & ~F.coalesce(finer, F.lit(False))
+
+
+def coverage(seen: DataFrame, declared: DataFrame) -> DataFrame:
+    """Fields that were seen but not declared, and the other way round."""
+    return seen.exceptAll(declared).withColumn("problem", F.lit("OBSERVED_NOT_DECLARED")).unionByName(declared.exceptAll(seen).withColumn("problem", F.lit("DECLARED_NOT_OBSERVED")))
+
+
+def declarations(published: DataFrame, requested: DataFrame) -> DataFrame:
+    """(field, published, requested, verdict, effective): what is published holds, whatever a request says."""
+    p, r = F.col("published"), F.col("requested")
+    verdict = F.when(p.isNull(), "NOT_PUBLISHED").when(r.isNull(), "NOT_REQUESTED").when(p != r, "CONFLICT").otherwise("SAME")
+    return published.join(requested, "field", "full").select("field", "published", "requested", verdict.alias("verdict"), F.coalesce(p, r).alias("effective"))
 
 
 def check(df: DataFrame, rule: str, ok: Column, issue: Column, critical: bool = False) -> DataFrame:

@@ -4,11 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names. Only a local session, as in tests, gets a temporary one where none is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
+    return sc.getCheckpointDir()
+
+
 def newest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
@@ -31,9 +42,7 @@ def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 50) -> Data
     """(start, node) for every node that edges (source, target) lead to from a start, which is reachable itself.
 
     A round joins only what the round before has found, and is checkpointed, so plans stay short."""
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+    checkpoint_dir(edges.sparkSession)
     found = starts.select("start", F.col("start").alias("node")).distinct().checkpoint()
     new = found
     for _ in range(max_rounds):
@@ -66,7 +75,7 @@ def same_key(sources: list[DataFrame], key: str, value: str) -> DataFrame:
     """Keys that occur once in every source, and whether all values agree."""
     out = None
     for i, s in enumerate(sources):
-        once = s.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(value).alias(f"v{i}")).where("_n = 1").drop("_n")
+        once = s.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias(f"v{i}")).where("_n = 1").drop("_n")
         out = once if out is None else out.join(once, key)
     names = [f"v{i}" for i in range(len(sources))]
     agree = F.lit(True)
@@ -75,11 +84,21 @@ def same_key(sources: list[DataFrame], key: str, value: str) -> DataFrame:
     return out.withColumn("agree", agree)
 
 
-def band_join(boxes: DataFrame, width: float = 1.5) -> DataFrame:
-    """Pairs (a, b) on one page whose top and bottom edges differ by width at most.
+def band_join(boxes: DataFrame, width: float = 1.5, tallest: float = 64.0) -> DataFrame:
+    """Pairs (a, b) on one page whose top and bottom edges differ by width at most; taller boxes join with nothing.
 
     Rows meet in buckets of the top edge: each goes to its own and looks into its neighbours, so a page isn't crossed."""
+    boxes = boxes.where(F.col("y1") - F.col("y0") <= tallest)
     bucket = F.floor(F.col("y0") / width)
     left = boxes.select("page", F.col("id").alias("a"), F.col("y0").alias("a0"), F.col("y1").alias("a1"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"))
     right = boxes.select("page", F.col("id").alias("b"), F.col("y0").alias("b0"), F.col("y1").alias("b1"), bucket.alias("bucket"))
     return left.join(right, ["page", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("a0") - F.col("b0")) <= width) & (F.abs(F.col("a1") - F.col("b1")) <= width)).select("page", "a", "b")
+
+
+def page(rows: DataFrame, order: list[str], mark: Column, size: int) -> DataFrame:
+    """The first size rows in an order, with in_page, has_more and next_row, the mark of the first row after them."""
+    top = rows.withColumn("_mark", mark).orderBy(*order).limit(size + 1)
+    w = Window.orderBy(*order)  # over size + 1 rows
+    every = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = top.withColumns({"_r": F.row_number().over(w), "_n": F.count(F.lit(1)).over(every), "next_row": F.nth_value("_mark", size + 1).over(every)})
+    return x.where(F.col("_r") <= size).withColumns({"in_page": F.lit(True), "has_more": F.col("_n") > size}).drop("_r", "_n", "_mark")

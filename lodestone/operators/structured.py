@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ..functions.predicates import Condition, all_of, matches
+from ..functions.predicates import Condition, all_of, test
 
 SAFE_INTEGER = 2**53 - 1
 DECIMAL = "decimal(38,12)"
 
 
 def filtered(df: DataFrame, conditions: list[Condition], units: dict[str, str] | None = None) -> DataFrame:
-    """Rows that meet all conditions; fields that the table doesn't have match nothing."""
+    """Rows that meet all conditions; fields that the table doesn't have match nothing. Sources see bare comparisons."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    tests = [matches(F.col(c.field), kinds[c.field], c, source_unit=(units or {}).get(c.field)) if c.field in kinds else F.lit(False) for c in conditions]
+    tests = [test(F.col(c.field), kinds[c.field], c, (units or {}).get(c.field)) if c.field in kinds else F.lit(False) for c in conditions]
     return df.where(all_of(tests)) if tests else df
 
 
@@ -55,6 +55,12 @@ def status(numbers: Column, total: Column, mixed: Column | None = None) -> Colum
     return out.when(numbers == 0, F.lit("NO_DATA")).when(whole, F.lit("INTEGER_PRECISION_SEE_EXACT_VALUE")).otherwise(F.lit("OK"))
 
 
+def text_status(number: Column) -> Column:
+    """Of an exact number as text that a double can't hold: too large, or too small but not zero."""
+    value, zero = number.cast("double"), ~number.rlike("[1-9].*?([eE]|$)")
+    return F.when(F.abs(value) == float("inf"), "OVERFLOW_SEE_EXACT_VALUE").when((value == 0) & ~zero, "UNDERFLOW_SEE_EXACT_VALUE").otherwise("OK")
+
+
 def typed_order(number: Column, text: Column, tie: Column, descending: bool = False) -> list[Column]:
     """Sort keys of a column of mixed type: numbers before strings without case, missing last.
 
@@ -67,16 +73,21 @@ def typed_order(number: Column, text: Column, tie: Column, descending: bool = Fa
 def profile(df: DataFrame, key: str | None = None, preview: int = 200) -> DataFrame:
     """A row for each column: type, rows, nulls, distinct values, first values in order, whether that list is cut.
 
-    The table is turned into rows (column, value) once, and grouped; no column is collected on its own."""
+    The table is turned into rows (column, value) once. The first values of blocks of each column's values come first, so
+    that the last step sees some values for each block and not all of them."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f.name).cast("string").alias("value")) for f in df.schema.fields if f.name != key]))
     values = df.select(pairs.alias("p")).select("p.*").groupBy("field", "type", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = values.withColumn("place", F.row_number().over(W.Window.partitionBy("field").orderBy(F.col("value").asc_nulls_last())))
-    return ranked.groupBy("field", "type").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0).cast("long")).alias("n_null"),
-        F.count("value").alias("n_distinct"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= preview, F.col("value")))), "|").alias("preview"),
-        (F.count("value") > preview).alias("cut"),
+    block = F.pmod(F.xxhash64("value"), F.lit(1024)).alias("block")
+    ranked = values.withColumn("block", block).withColumn("place", F.row_number().over(W.Window.partitionBy("field", "block").orderBy(F.col("value").asc_nulls_last())))
+    parts = ranked.groupBy("field", "type", "block").agg(
+        F.sum("n").alias("n"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0).cast("long")).alias("nulls"),
+        F.count("value").alias("filled"),
+        F.collect_list(F.when(F.col("place") <= preview, F.col("value"))).alias("first"),
+    )
+    least = F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, preview)
+    return parts.groupBy("field", "type").agg(
+        F.sum("n").alias("n_rows"), F.sum("nulls").alias("n_null"), F.sum("filled").alias("n_distinct"), F.array_join(least, "|").alias("preview"), (F.sum("filled") > preview).alias("cut")
     )
 
 
@@ -86,9 +97,28 @@ def unique_match(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(once, keys, "left_semi")
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """df with the place of each row in an order, from 0 on.
+
+    Rows are dealt to ranges of the order, numbered inside each, and moved on by the counts of the ranges before, of which
+    there is one for each partition; no task sees all rows. Equal rows get different numbers."""
+    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = sizes.select("_p", (F.sum("_c").over(W.Window.orderBy("_p")) - F.col("_c")).alias("_before"))
+    inside = dealt.withColumn("_i", F.row_number().over(W.Window.partitionBy("_p").orderBy(*order)))
+    return inside.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_p", "_before", "_i")  # a row for each partition
+
+
 def pages(df: DataFrame, order: list[str], size: int = 128) -> DataFrame:
     """df with the number of the page that each row falls on."""
-    return df.withColumn("page", F.floor((F.row_number().over(W.Window.orderBy(*order)) - 1) / size).cast("long"))
+    return numbered(df, order, "_n").withColumn("page", F.floor(F.col("_n") / size).cast("long")).drop("_n")
+
+
+def digest(df: DataFrame, order: list[str], text: Column, block: int = 1000) -> DataFrame:
+    """(digest, n) of all rows in an order: SHA-256 over the digests of blocks of rows, in order."""
+    parts = numbered(df.select(*order, text.alias("_t")), order, "_n").groupBy(F.floor(F.col("_n") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("rows"), F.count(F.lit(1)).alias("n"))
+    hashes = parts.select("b", "n", F.sha2(F.array_join(F.transform("rows", lambda r: r["_t"]), ","), 256).alias("h"))
+    return hashes.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda r: r["h"]), ","), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"))
 
 
 def conflicts(facts: DataFrame, key: list[str], value: str = "value", top: int = 20) -> DataFrame:

@@ -1,11 +1,12 @@
 """Time-series operators over facts in long form: entity, metric, ts, value (and unit, selected, row where they matter).
 
-All work on many series at once: windows and groups are keyed by entity and metric, and nothing is collected by series
-but where a curve itself is the value."""
+All work on many series at once: windows and groups are keyed by entity and metric, and no series is collected whole."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import vectors as V
+
 KEY = ["entity", "metric"]
 
 
@@ -75,10 +78,10 @@ def intervals(facts: DataFrame, start: str, end: str) -> DataFrame:
     is longer than three times that. A filtered end comes before a null one, and that before a gap."""
     w = Window.partitionBy(*KEY).orderBy("ts")
     us = F.unix_micros("ts")
-    rows = facts.select(*KEY, us.alias("t"), "value", "selected", F.lead(us).over(w).alias("t2"), F.lead("value").over(w).alias("value2"), F.lead("selected").over(w).alias("selected2"))
-    quartile = rows.groupBy(*KEY).agg(F.percentile(F.col("t2") - F.col("t"), 0.25).alias("q25"))
+    rows = facts.select(*KEY, "ts", us.alias("t"), "value", "selected", F.lead(us).over(w).alias("t2"), F.lead("value").over(w).alias("value2"), F.lead("selected").over(w).alias("selected2"))
+    rows = rows.withColumn("q25", F.percentile(F.col("t2") - F.col("t"), 0.25).over(Window.partitionBy(*KEY))).drop("ts")
     low, high = (F.unix_micros(F.lit(x).cast("timestamp")) for x in (start, end))
-    rows = rows.where("t2 is not null").withColumns({"b": F.greatest("t", low), "f": F.least("t2", high)}).where("f > b").join(quartile, KEY)
+    rows = rows.where("t2 is not null").withColumns({"b": F.greatest("t", low), "f": F.least("t2", high)}).where("f > b")
     why = (
         F.when(~F.col("selected") | ~F.col("selected2"), "FILTERED_ENDPOINT")
         .when(F.col("value").isNull() | F.col("value2").isNull(), "NULL_OR_NON_NUMERIC_ENDPOINT")
@@ -87,7 +90,15 @@ def intervals(facts: DataFrame, start: str, end: str) -> DataFrame:
     return rows.withColumn("why", why)
 
 
-def interval_statistics(facts: DataFrame, start: str, end: str, threshold: float | None = None) -> DataFrame:
+def _operand(threshold: float | Decimal) -> float:
+    """The largest double that is not above a threshold: none lies between the two, so that > stays exact."""
+    if not isinstance(threshold, Decimal):
+        return threshold
+    near = float(threshold)
+    return near if Decimal(near) <= threshold else math.nextafter(near, -math.inf)
+
+
+def interval_statistics(facts: DataFrame, start: str, end: str, threshold: float | Decimal | None = None) -> DataFrame:
     """For each series: weighted mean (linear between samples, cut at the window, nothing beyond), seconds covered, and
     seconds above the threshold (a value holds until the next)."""
     x = intervals(facts, start, end)
@@ -96,23 +107,32 @@ def interval_statistics(facts: DataFrame, start: str, end: str, threshold: float
     at = lambda t: F.col("value") + (F.col("value2") - F.col("value")) * (F.col(t) - F.col("t")) / (F.col("t2") - F.col("t"))
     area = F.sum(F.when(used, (at("b") + at("f")) * seconds / 2))
     covered = F.sum(F.when(used, seconds))
-    above = F.sum(F.when(used, F.when(F.col("value") > (0.0 if threshold is None else threshold), seconds).otherwise(0.0)))
+    above = F.sum(F.when(used, F.when(F.col("value") > (0.0 if threshold is None else _operand(threshold)), seconds).otherwise(0.0)))
     return x.groupBy(*KEY).agg((area / covered).alias("weighted_average"), covered.alias("covered_seconds"), above.alias("seconds_above"), F.count_if(used).alias("n_used"), F.count_if(~used).alias("n_excluded")).withColumn(
         "status", F.when(F.col("covered_seconds").isNull(), "NO_SUPPORTED_INTERVALS").otherwise("OK")
     )
 
 
+def legacy_statistics(facts: DataFrame, start: str, end: str, threshold: float) -> DataFrame:
+    """The older rule for each series: mean by trapezoids between the window's samples, and seconds for which a value over the
+    threshold holds until the next sample; neither gaps nor the window's edges count."""
+    w = Window.partitionBy(*KEY).orderBy("ts")
+    us = F.unix_micros("ts")
+    x = facts.where(in_range(F.col("ts"), start, end)).select(*KEY, "value", F.lead("value").over(w).alias("next"), ((F.lead(us).over(w) - us) / 1e6).alias("sec")).where("sec > 0")
+    area = F.sum((F.col("value") + F.col("next")) * F.col("sec") / 2)
+    return x.groupBy(*KEY).agg((area / F.sum("sec")).alias("weighted_average"), F.sum(F.when(F.col("value") > threshold, F.col("sec")).otherwise(0.0)).alias("seconds_above"))
+
+
 def sampling(facts: DataFrame) -> DataFrame:
     """For each series: order of rows, repeated instants, median spacing of distinct instants, whether it is irregular."""
-    w = Window.partitionBy(*KEY).orderBy("row")
-    steps = facts.withColumn("_d", F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w))
-    order = steps.groupBy(*KEY).agg(
-        F.when(F.coalesce(F.bool_and(F.col("_d") >= 0), F.lit(True)), "ascending").when(F.bool_and(F.col("_d") <= 0), "descending").otherwise("unsorted").alias("row_order"), (F.count(F.lit(1)) - F.count_distinct("ts")).alias("repeats")
-    )
-    times = facts.select(*KEY, "ts").distinct().withColumn("_d", (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(Window.partitionBy(*KEY).orderBy("ts"))) / 1e6)
-    median = times.groupBy(*KEY).agg(F.percentile("_d", 0.5).alias("median_seconds"), F.max("_d").alias("_most"), F.min("_d").alias("_least"))
+    us = F.unix_micros("ts")
+    by_row, by_time = (Window.partitionBy(*KEY).orderBy(c) for c in ("row", "ts"))
+    steps = facts.select(*KEY, (us - F.lag(us).over(by_row)).alias("_d"), (us - F.lag(us).over(by_time)).alias("_s"))
+    apart = F.when(F.col("_s") > 0, F.col("_s") / 1e6)  # a step between distinct instants
+    order = F.when(F.coalesce(F.bool_and(F.col("_d") >= 0), F.lit(True)), "ascending").when(F.bool_and(F.col("_d") <= 0), "descending").otherwise("unsorted")
+    found = steps.groupBy(*KEY).agg(order.alias("row_order"), F.count_if(F.col("_s") == 0).alias("repeats"), F.percentile(apart, 0.5).alias("median_seconds"), F.max(apart).alias("_most"), F.min(apart).alias("_least"))
     far = F.greatest(F.col("_most") - F.col("median_seconds"), F.col("median_seconds") - F.col("_least"))
-    return order.join(median, KEY).withColumn("irregular", F.coalesce(far > F.greatest(F.lit(1.0), 0.1 * F.abs("median_seconds")), F.lit(False))).drop("_most", "_least")
+    return found.withColumn("irregular", F.coalesce(far > F.greatest(F.lit(1.0), 0.1 * F.abs("median_seconds")), F.lit(False))).drop("_most", "_least")
 
 
 def windows_of(facts: DataFrame, size: int = 200) -> DataFrame:
@@ -128,28 +148,63 @@ def windows_of(facts: DataFrame, size: int = 200) -> DataFrame:
     return x.withColumns({"change": change, "trend": F.when(F.col("n") > 1, trend)}).drop("_s")
 
 
-def segments(facts: DataFrame) -> DataFrame:
-    """Overlapping windows of each series: as long as the series, from 8 to 128, half overlapping, the last flush right."""
-    curve = F.transform(F.array_sort(F.collect_list(F.struct("ts", "row", "value"))), lambda s: s["value"])
-    x = facts.groupBy(*KEY).agg(curve.alias("curve")).withColumn("n", F.size("curve"))
+def segments(facts: DataFrame, times: bool = False) -> DataFrame:
+    """Overlapping windows of each series: as long as the series, from 8 to 128, half overlapping, the last flush right.
+
+    Each sample is sent to the windows that it falls in, at most four, so that no row holds a whole series."""
+    w = Window.partitionBy(*KEY)
+    x = facts.withColumns({"i": F.row_number().over(w.orderBy("ts", "row")) - 1, "n": F.count(F.lit(1)).over(w).cast("int")})
     width = F.least(F.lit(128), F.greatest(F.lit(8), F.col("n")))
-    x = x.withColumn("width", width).withColumn("stride", F.greatest(F.lit(1), F.floor(F.col("width") / 2).cast("int")))
-    last = F.greatest(F.lit(0), F.col("n") - F.col("width"))
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.col("stride")), F.array(last)))
-    return x.withColumn("start", F.explode(starts)).select(*KEY, "start", F.slice("curve", F.col("start") + 1, F.col("width")).alias("values"))
+    x = x.withColumns({"width": width, "stride": F.floor(width / 2).cast("int"), "last": F.greatest(F.lit(0), F.col("n") - width)})
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("width") + 1) / F.col("stride")).cast("int"))
+    to = F.least(F.floor(F.col("i") / F.col("stride")), F.floor(F.col("last") / F.col("stride"))).cast("int")
+    own = F.when(first <= to, F.transform(F.sequence(first, F.greatest(first, to)), lambda k: k * F.col("stride"))).otherwise(F.array().cast("array<int>"))
+    right = F.when(F.col("i") >= F.col("last"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    x = x.withColumn("start", F.explode(F.array_distinct(F.concat(own, right))))
+    curve = F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda s: s["value"])
+    ends = [F.min("ts").alias("first_at"), F.max("ts").alias("last_at")] if times else []
+    return x.groupBy(*KEY, "start").agg(curve.alias("values"), *ends).withColumn("start", F.col("start").cast("int"))
+
+
+QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
-def shape(values: np.ndarray) -> np.ndarray:
-    """Twelve numbers for the form of a curve, of length one."""
-    v = np.asarray(values, float)
-    if not len(v):
-        return np.zeros(12)
-    spread = v.std()
-    z = (v - v.mean()) / (spread or 1.0)
-    slope = np.polyfit(np.linspace(0, 1, len(v)), z, 1)[0] if len(v) > 1 else 0.0
-    steps = np.abs(np.diff(z))
-    out = np.array([*np.quantile(z, [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1]), slope, steps.mean() if len(steps) else 0.0, steps.max() if len(steps) else 0.0, np.log1p(len(v)) / 10, spread / (abs(v.mean()) + spread + 1e-9)])
-    return out / (np.linalg.norm(out) or 1.0)
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once: the parameter of a function over a list of one isn't copied by the optimizer."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _mean(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(v), F.lit(1))
+
+
+def _quantile(ordered: Column, q: float) -> Column:
+    """Between the two nearest of the ordered values."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    return F.get(ordered, low) + (F.get(ordered, F.least(low + 1, F.size(ordered) - 1)) - F.get(ordered, low)) * (at - low)
+
+
+def shape(values: Column) -> Column:
+    """Twelve numbers for the form of a curve, as a vector of length one; zeros for an empty curve.
+
+    They are seven quantiles of the standardised values, their slope over the unit interval, the mean and the largest
+    step, the length, and the share of the spread in spread and mean."""
+    n = F.size(values)
+
+    def of(z: Column, mean: Column, spread: Column) -> Column:
+        # positions i / (n - 1) have mean 1 / 2 and squares that sum to n (n + 1) / (12 (n - 1)) around it
+        lean = F.aggregate(F.transform(z, lambda v, i: v * (i / F.greatest(n - 1, F.lit(1)) - 0.5)), F.lit(0.0), lambda s, v: s + v)
+        slope = F.when(n > 1, lean * 12 * (n - 1) / (n * (n + 1))).otherwise(0.0)
+        steps = F.zip_with(F.slice(z, F.lit(1), n - 1), F.slice(z, F.lit(2), n - 1), lambda a, b: F.abs(b - a))
+        quantiles = _let(F.array_sort(z), lambda o: F.array(*[_quantile(o, q) for q in QUANTILES]))
+        moves = _let(steps, lambda d: F.array(_mean(d), F.coalesce(F.array_max(d), F.lit(0.0))))
+        return F.concat(quantiles, F.array(slope), moves, F.array(F.log1p(n) / 10, spread / (F.abs(mean) + spread + 1e-9)))
+
+    scaled = lambda v, m, s: F.transform(v, lambda x: (x - m) / F.when(s > 0, s).otherwise(1.0))
+    spread = lambda v, m: F.sqrt(_mean(F.transform(v, lambda x: (x - m) * (x - m))))
+    numbers = _let(_mean(values), lambda m: _let(spread(values, m), lambda s: _let(scaled(values, m, s), lambda z: of(z, m, s))))
+    return F.when(n > 0, _let(numbers, V.unit)).otherwise(F.array_repeat(F.lit(0.0), 12))
 
 
 def warped_distance(a: np.ndarray, b: np.ndarray, band: float = 0.15) -> float:
@@ -172,23 +227,20 @@ def warped_distance(a: np.ndarray, b: np.ndarray, band: float = 0.15) -> float:
 
 def similar_curves(pieces: DataFrame, query: list[float], k: int = 8) -> DataFrame:
     """The k segments nearest to a curve: by the cosine of shapes, a bounded number of them, then by warped distance."""
-    wanted = shape(np.array(query))
     recall = min(max(10 * k, 50), 200)
-
-    def by_shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["cosine"] = [float(shape(v) @ wanted) for v in b["values"]]
-            yield b
+    spark = pieces.sparkSession
+    wanted = spark.createDataFrame([([float(x) for x in query],)], "values array<double>").select(shape(F.col("values"))).first()[0]
 
     def by_warp(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["distance"] = [warped_distance(v, np.array(query)) for v in b["values"]]
             yield b
 
-    schema = "entity long, metric string, start int, values array<double>, cosine double"
     rows = pieces.select("entity", "metric", "start", F.col("values").cast("array<double>").alias("values"))
-    near = rows.mapInPandas(by_shape, schema).orderBy(F.desc("cosine"), "entity", "metric", "start").limit(recall)
-    return near.mapInPandas(by_warp, schema + ", distance double").orderBy("distance", "entity", "metric", "start").limit(k)
+    near = rows.withColumn("cosine", V.dot(shape(F.col("values")), F.array(*map(F.lit, wanted))))
+    near = near.orderBy(F.desc("cosine"), "entity", "metric", "start").limit(recall)
+    schema = "entity long, metric string, start int, values array<double>, cosine double, distance double"
+    return near.mapInPandas(by_warp, schema).orderBy("distance", "entity", "metric", "start").limit(k)
 
 
 def guarded(facts: DataFrame, single: bool) -> Column:
@@ -210,7 +262,7 @@ def run(plan, facts: DataFrame) -> DataFrame:
     period = (plan.time_range.start, plan.time_range.end) if plan.time_range else None
     name = plan.operation_of("timeseries")
     if name in ("time_weighted_average", "duration_above"):
-        return interval_statistics(rows.withColumn("selected", F.lit(True)), *period, threshold=plan.threshold if plan.threshold is not None else float(plan.threshold_expression or 0))
+        return interval_statistics(rows.withColumn("selected", F.lit(True)), *period, threshold=plan.threshold if plan.threshold is not None else Decimal(plan.threshold_expression or 0))
     if name == "compare_periods":
         return compared_periods(rows, period, (plan.compare_time_range.start, plan.compare_time_range.end))
     if name == "similar_shape":

@@ -44,15 +44,43 @@ def run_structured(plan: QueryPlan, df: DataFrame, row_id: str | None) -> DataFr
 def run_plan(plan: QueryPlan, tables: dict[str, DataFrame], row_id: str | None = None) -> DataFrame:
     """The evidence of a plan with one retriever; tables holds the DataFrame of each retriever."""
     if len(plan.retrievers) != 1:
-        raise PlanError("compile each retriever of a plan on its own; see dependent() for relations")
-    name = plan.retrievers[0]
+        raise PlanError("a plan with several retrievers is run by run_all")
+    return run_retriever(plan, plan.retrievers[0], tables[plan.retrievers[0]], row_id)
+
+
+def run_retriever(plan: QueryPlan, name: str, df: DataFrame, row_id: str | None = None) -> DataFrame:
+    """The evidence of one retriever. Vectors (visual) have columns id, entity and vec; shapes (geometry) id, space and vec;
+    a plan's query series is the vector that visual search compares with."""
     if name == "structured":
-        return run_structured(plan, tables[name], row_id)
+        return run_structured(plan, df, row_id)
     if name == "timeseries":
-        return timeseries.run(plan, tables[name])
+        return timeseries.run(plan, df)
     if name == "text":
-        return retrieval.bm25(tables[name], row_id or "doc_id", "text", plan.query_text).orderBy(F.desc("score"), row_id or "doc_id").limit(plan.top_k)
-    raise PlanError(f"{name} needs vectors; see operators.retrieval")
+        found = retrieval.bm25(df, row_id or "doc_id", "text", plan.query_text)
+        return found.orderBy(F.desc("score"), row_id or "doc_id").limit(plan.top_k)
+    if name == "geometry":
+        rows = structured.filtered(df, plan.hard_conditions)
+        if plan.operation_of(name) != "similar_shape":
+            return rows.orderBy("id").limit(plan.top_k)
+        sample = df.where(F.col("id").cast("string") == plan.query_asset_id)
+        return retrieval.similar_shapes(rows, sample, "id", "vec", "space", plan.tolerance, plan.top_k)
+    if plan.query_series is None and not df.columns.count("score"):
+        raise PlanError("visual search needs scores or a query vector")
+    return df.orderBy(F.desc("score"), "id").limit(plan.top_k)
+
+
+def run_all(plan: QueryPlan, tables: dict[str, DataFrame], relations: DataFrame | None = None, keys: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The evidence of each retriever of a plan, in its order.
+
+    A retriever that depends on others sees only rows whose entity (column keys[retriever]) some relation (source, target)
+    joins to an entity of each of them: a semi-join for each dependency, however many entities there are."""
+    found: dict[str, DataFrame] = {}
+    for name in plan.retrievers:
+        rows = tables[name]
+        for source in plan.depends_on.get(name, []):
+            rows = dependent(found[source], relations, rows, (keys or {})[source], (keys or {})[name])
+        found[name] = run_retriever(plan, name, rows)
+    return found
 
 
 def dependent(source: DataFrame, relations: DataFrame, target: DataFrame, source_key: str, target_key: str) -> DataFrame:

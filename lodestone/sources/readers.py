@@ -126,52 +126,52 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length", decoded("content").alias("text"))
 
 
-def split_chunks(text: str, limit: int = 900, overlap: int = 100) -> list[tuple[int, int, str]]:
-    """Pieces of at most limit characters that overlap, cut after a line or sentence where one ends past half of it."""
-    out, at = [], 0
-    while at < len(text):
-        stop = min(len(text), at + limit)
-        if stop < len(text):
-            best = max(text.rfind(c, at, stop) for c in "\n。")
-            if best > at + limit // 2:
-                stop = best + 1
-        out.append((at, stop, text[at:stop]))
-        at = len(text) if stop == len(text) else max(at + 1, stop - overlap)
-    return out
-
-
-def packed_paragraphs(text: str, limit: int = 700, overlap: int = 80) -> list[str]:
-    """Paragraphs joined up to limit characters; one that is longer is cut into pieces that overlap."""
-    out, now = [], ""
-    for p in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
-        while len(p) > limit:
-            if now:
-                out.append(now)
-                now = ""
-            out.append(p[:limit])
-            p = p[limit - overlap :]
-        if now and len(now) + len(p) + 1 > limit:
-            out.append(now)
-            now = ""
-        now = f"{now}\n{p}" if now else p
-    return out + [now] if now else out
-
-
-CHUNKS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("chunk", T.StringType())]))
-
-
-@F.pandas_udf(CHUNKS)
-def chunks_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": a, "stop": b, "chunk": c} for a, b, c in split_chunks(t or "")])
-
-
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col), F.posexplode(chunks_of(F.col(text_col))).alias("place", "c")).select(id_col, "place", "c.*")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def paragraphs_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: packed_paragraphs(t or ""))
+def chunked(docs: DataFrame, id_col: str, text_col: str, limit: int = 900, overlap: int = 100) -> DataFrame:
+    """(id, place, start, stop, chunk): pieces of at most limit characters that overlap.
+
+    A piece ends after its last line break or full stop 。if that stands in its second half. Its successor starts
+    overlap characters before its end. Cut points depend on those before, so they are folded over as many steps as a text
+    can have pieces; texts themselves are cut once."""
+    text, n = F.coalesce(F.col(text_col), F.lit("")), F.col("_n")
+    steps = F.sequence(F.lit(0), F.ceil(n / (limit // 2 + 1 - overlap)).cast("int"))
+
+    def cut(state: Column, _: Column) -> Column:
+        at = state["at"]
+        back = F.reverse(F.substring(F.col("_t"), at + 1, F.lit(limit)))
+        places = [F.nullif(F.locate(c, back), F.lit(0)) for c in "\n。"]
+        end = F.least(n, at + limit)
+        kept = end - F.least(*places) + 1  # after the last of them
+        stop = F.when((end < n) & (kept > at + limit // 2 + 1), kept).otherwise(end)
+        after = F.when(stop >= n, n).otherwise(F.greatest(at + 1, stop - overlap))
+        new = F.struct(after.alias("at"), F.concat(state["cuts"], F.array(F.struct(at.alias("start"), stop.alias("stop")))).alias("cuts"))
+        return F.when(at >= n, state).otherwise(new)
+
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    cuts = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("cuts")), cut, lambda state: state["cuts"])
+    x = docs.select(F.col(id_col), text.alias("_t"), F.length(text).alias("_n"))
+    x = x.select(id_col, "_t", F.posexplode(cuts).alias("place", "c"))
+    return x.select(id_col, "place", F.col("c.start").alias("start"), F.col("c.stop").alias("stop"), F.substring(F.col("_t"), F.col("c.start") + 1, F.col("c.stop") - F.col("c.start")).alias("chunk"))
+
+
+def paragraph_chunks(docs: DataFrame, id_col: str, text_col: str, limit: int = 700, overlap: int = 80) -> DataFrame:
+    """(id, place, chunk): paragraphs joined by line breaks while they fit limit characters.
+
+    Runs of blanks count as one, and empty paragraphs as none. One that is longer than limit is cut at every
+    limit - overlap characters, and its cuts stand alone."""
+    compact = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[ \t]+", " "), r"^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split(compact, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+    def add(state: Column, p: Column) -> Column:
+        now, out = state["now"], state["out"]
+        closed = F.when(now != "", F.concat(out, F.array(now))).otherwise(out)
+        cuts = F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(limit - overlap)), lambda i: F.substring(p, i + 1, F.lit(limit)))
+        fits = F.length(now) + F.length(p) + 1 <= limit
+        grown = F.struct(F.when(now == "", p).otherwise(F.concat(now, F.lit("\n"), p)).alias("now"), out.alias("out"))
+        return F.when(fits, grown).when(F.length(p) <= limit, F.struct(p.alias("now"), closed.alias("out"))).otherwise(F.struct(F.lit("").alias("now"), F.concat(closed, cuts).alias("out")))
+
+    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+    chunks = F.aggregate("_p", start, add, lambda s: F.when(s["now"] != "", F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]))
+    return docs.select(F.col(id_col), parts.alias("_p")).select(id_col, F.posexplode(chunks).alias("place", "chunk"))
 
 
 def measurements(files: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def measurements(files: DataFrame) -> DataFrame:
     files has path and text."""
     lines = F.split("text", "\r?\n")
     meta = F.parse_json(lines[1])
-    x = files.select("path", lines[0].alias("description"), F.try_variant_get(meta, "$.series_id", "string").alias("series"), F.split(lines[2], "\t").alias("names"), F.explode(F.slice(lines, 4, 1_000_000_000)).alias("line")).where(F.trim("line") != "")
+    x = files.select("path", lines[0].alias("description"), F.try_variant_get(meta, "$.series_id", "string").alias("series"), F.split(lines[2], "\t").alias("names"), F.explode(F.slice(lines, F.lit(4), F.greatest(F.size(lines) - 3, F.lit(0)))).alias("line")).where(F.trim("line") != "")
     x = x.withColumn("cells", F.split("line", "\t"))
     time = F.try_element_at("cells", F.array_position("names", F.lit("timestamp")).cast("int"))
     pairs = F.explode(F.arrays_zip("names", "cells")).alias("pair")
@@ -238,41 +238,80 @@ def read_xlsx(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(of, "path string, sheet string, row int, column int, value string, formula string")
 
 
-def mesh_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Vertices and triangles of an OBJ text; faces with more corners are cut into a fan."""
+def mesh_of(text: str) -> tuple[np.ndarray, list[list[int]]]:
+    """Vertices and faces of an OBJ text; faces count vertices from 0."""
     vertices, faces = [], []
     for line in text.splitlines():
-        kind, *rest = line.split() or [""]
+        kind, *rest = line.partition("#")[0].split() or [""]
         if kind == "v":
             vertices.append([float(x) for x in rest[:3]])
         elif kind == "f":
             at = [int(x.split("/")[0]) for x in rest]
-            at = [i - 1 if i > 0 else len(vertices) + i for i in at]
-            faces += [(at[0], at[i], at[i + 1]) for i in range(1, len(at) - 1)]
-    return np.array(vertices, float).reshape(-1, 3), np.array(faces, int).reshape(-1, 3)
+            faces.append([i - 1 if i > 0 else len(vertices) + i for i in at])
+    v = np.array(vertices, float).reshape(-1, 3)
+    if not np.isfinite(v).all() or any(len(f) < 3 or min(f) < 0 or max(f) >= len(v) for f in faces):
+        raise ValueError("a mesh needs finite vertices, and faces of three or more of them")
+    return v, faces
+
+
+def triangles(vertices: np.ndarray, face: list[int]) -> list[list[int]]:
+    """A flat simple polygon, concave or not, cut into triangles one ear at a time.
+
+    An ear is a corner that points outwards and whose triangle holds no other corner. Raises where there is none, as in
+    polygons that cross themselves, and for faces that aren't flat or repeat a corner."""
+    if len(face) == 3:
+        return [face]
+    p = vertices[face]
+    normal = np.cross(p - p[0], np.roll(p, -1, axis=0) - p[0]).sum(0)
+    length, span = np.linalg.norm(normal), np.linalg.norm(np.ptp(p, axis=0))
+    if len(set(face)) < len(face) or length <= 1e-14 * max(1.0, span * span):
+        raise ValueError("a face repeats a corner or has no area")
+    normal /= length
+    if np.abs((p - p[0]) @ normal).max() > max(1e-9, 1e-7 * span):
+        raise ValueError("a face isn't flat")
+    side = lambda a, b, c: np.cross(b - a, c - a) @ normal  # noqa: E731  positive if a, b, c turn the polygon's way
+    small = max(1e-14, 1e-12 * span * span)
+    edges = [(i, (i + 1) % len(p)) for i in range(len(p))]
+    for k, (a, b) in enumerate(edges):
+        for c, d in edges[k + 1 :]:
+            if not {a, b} & {c, d} and side(p[a], p[b], p[c]) * side(p[a], p[b], p[d]) < -(small**2) and side(p[c], p[d], p[a]) * side(p[c], p[d], p[b]) < -(small**2):
+                raise ValueError("a face crosses itself")
+    ring, out = list(range(len(face))), []
+    while len(ring) > 3:
+        for k in range(len(ring)):
+            a, b, c = ear = [ring[k - 1], ring[k], ring[(k + 1) % len(ring)]]
+            others = p[[i for i in ring if i not in ear]]
+            inside = np.all([[side(p[x], p[y], o) >= -small for o in others] for x, y in ((a, b), (b, c), (c, a))], axis=0)
+            if side(p[a], p[b], p[c]) > small and not inside.any():
+                break
+        else:
+            raise ValueError("a face has no ear")
+        out.append([face[i] for i in ear])
+        del ring[k]
+    return [*out, [face[i] for i in ring]]
 
 
 def mesh_properties(text: str) -> dict:
-    """Size, area, volume, closedness, orientation, degenerate faces, and ratios of the principal moments."""
-    v, f = mesh_of(text)
-    a, b, c = (v[f[:, i]] for i in range(3))
-    normal = np.cross(b - a, c - a)
-    area = np.linalg.norm(normal, axis=1) / 2
-    edges = np.concatenate([f[:, [0, 1]], f[:, [1, 2]], f[:, [2, 0]]])
-    directed, times = np.unique(edges, axis=0, return_counts=True)
-    undirected = np.unique(np.sort(edges, axis=1), axis=0, return_counts=True)[1]
-    center = v.mean(0) if len(v) else np.zeros(3)
-    moments = np.sort(np.linalg.eigvalsh(np.cov((v - center).T)))[::-1] if len(v) > 1 else np.zeros(3)
-    size = v.max(0) - v.min(0) if len(v) else np.zeros(3)
-    return {
-        "size": size.tolist(),
-        "area": float(area.sum()),
-        "volume": float(np.einsum("ij,ij->i", a, np.cross(b, c)).sum() / 6),
-        "closed": bool(len(f) and (undirected == 2).all()),
-        "oriented": bool(len(f) and (times == 1).all()),
-        "degenerate": int((area < 1e-12).sum()),
-        "features": [*(np.sort(size)[::-1] / (size.max() or 1)).tolist(), *(moments / (moments.max() or 1)).tolist()],
-    }
+    """Size, area, volume (null unless the mesh is closed, oriented and without degenerate faces), and a form vector.
+
+    The vector holds the shares of the three principal moments, area and volume over the scale that the moments give, the
+    logarithms of the numbers of faces and of bodies, and closedness."""
+    v, faces = mesh_of(text)
+    size = np.ptp(v, axis=0) if len(v) else np.zeros(3)
+    f = np.array([t for face in faces for t in triangles(v, face)], int).reshape(-1, 3)
+    a, b, c = (v[f[:, i]] - v.mean(0) for i in range(3))
+    areas = np.linalg.norm(np.cross(b - a, c - a), axis=1) / 2
+    repeats = any(len(set(face)) < len(face) for face in faces)
+    degenerate = repeats or bool((areas <= np.finfo(float).eps * max(float(size @ size), 1e-20)).any())
+    edges = np.array([(face[i - 1], face[i]) for face in faces for i in range(len(face))], int).reshape(-1, 2)
+    closed = bool(len(edges)) and bool((np.unique(np.sort(edges, axis=1), axis=0, return_counts=True)[1] == 2).all())
+    oriented = closed and bool((np.unique(edges, axis=0, return_counts=True)[1] == 1).all())
+    volume = abs(float(np.einsum("ij,ij->i", a, np.cross(b, c)).sum() / 6)) if closed and oriented and not degenerate else None
+    moments = np.sort(np.linalg.eigvalsh(np.cov((v - v.mean(0)).T)))[::-1] if len(v) > 2 else np.zeros(3)
+    total = float(moments.sum())
+    scale = total**0.5 if total > 0 else float(np.linalg.norm(size)) or 1.0
+    form = [*(moments / (total or 1.0)), areas.sum() / scale**2, (volume or 0.0) / scale**3, np.log1p(len(faces)) / 20, np.log1p(1) / 5, float(closed)]
+    return {"size": size.tolist(), "area": float(areas.sum()), "volume": volume, "closed": closed, "oriented": oriented, "degenerate": degenerate, "features": np.array(form, np.float32).astype(float).tolist()}
 
 
 MESH = T.StructType(
@@ -282,7 +321,7 @@ MESH = T.StructType(
         T.StructField("volume", T.DoubleType()),
         T.StructField("closed", T.BooleanType()),
         T.StructField("oriented", T.BooleanType()),
-        T.StructField("degenerate", T.IntegerType()),
+        T.StructField("degenerate", T.BooleanType()),
         T.StructField("features", T.ArrayType(T.DoubleType())),
     ]
 )

@@ -4,8 +4,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import units
-from lodestone.functions.predicates import Condition, variant_matches
-from lodestone.plans.model import PlanError, QueryPlan, TimeRange
+from lodestone.functions.predicates import Condition, matches, variant_matches
+from lodestone.operators.structured import filtered
+from lodestone.plans.model import PlanError, QueryPlan, TimeRange, operand
 
 
 def found(spark, texts, condition):
@@ -57,3 +58,42 @@ def test_plans():
     for ends in (("2024-01-01T00:00:00", "2024-01-02T00:00:00"), ("2024-01-02T00:00:00Z", "2024-01-01T00:00:00Z")):
         with pytest.raises(PlanError):
             TimeRange(*ends)
+
+
+@pytest.mark.parametrize(
+    ("condition", "unit", "pushed"),
+    [
+        (("x", "eq", 5), None, "EqualTo(x,5.0)"),
+        (("x", "in", [1, 2]), None, "In(x, [1.0,2.0])"),
+        (("x", "gt", 5), None, "GreaterThan(x,5.0)"),
+        (("x", "between", [1, 2]), None, "GreaterThanOrEqual(x,1.0), LessThanOrEqual(x,2.0)"),
+        (("d", "gte", "1995-03-01"), None, "GreaterThanOrEqual(d,1995-03-01"),
+        (("n", "lt", "1995-03-01T10:00:00"), None, "LessThan(n,1995-03-01T10:00"),
+        (("s", "eq", "a"), None, "EqualTo(s,a)"),
+        (("x", "eq", 1700, "cm"), "m", "EqualTo(x,17.0)"),
+        (("x", "not_null"), None, "IsNotNull(x)"),
+    ],
+)
+def test_predicates_reach_the_reader(spark, tmp_path, condition, unit, pushed):
+    path = str(tmp_path / "t")
+    spark.sql("SELECT 1.0D AS x, timestamp'1995-03-02' AS d, timestamp_ntz'1995-03-02' AS n, 'a' AS s").write.parquet(path)
+    plan = filtered(spark.read.parquet(path), [Condition(*condition)], {"x": unit} if unit else None)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    line = next(x for x in plan.splitlines() if "PushedFilters" in x)
+    assert pushed in line, line
+
+
+def test_matches_is_never_null(spark):
+    rows = spark.createDataFrame([(1.0,), (None,)], "x double")
+    kind = rows.schema["x"].dataType
+    assert [r[0] for r in rows.select(matches(F.col("x"), kind, Condition("x", "gt", 0))).collect()] == [True, False]
+    assert rows.where(~matches(F.col("x"), kind, Condition("x", "gt", 0))).count() == 1
+
+
+@pytest.mark.parametrize("text", ["+1", ".5", "1.", "01", "1e", "NaN", "0x1", " 1", "1" * 5000, "1e5000"])
+def test_operands_follow_json(text):
+    with pytest.raises(PlanError):
+        operand(text)
+
+
+def test_good_operands():
+    assert [str(operand(x)) for x in ("-0.10", "1e3", 2.5, 7)] == ["-0.10", "1E+3", "2.5", "7"]

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -26,11 +27,47 @@ def test_lexemes():
             R.number_lexemes(bad)
 
 
-def test_chunks_cover_the_text():
-    text = "x" * 500 + "\n" + "y" * 900
-    chunks = R.split_chunks(text)
-    assert chunks[0][1] == 501 and chunks[-1][1] == len(text)
-    assert all(a[1] > b[0] for a, b in zip(chunks, chunks[1:], strict=False))
+def plain_chunks(text, limit=900, overlap=100):
+    ends = [i + 1 for i, c in enumerate(text) if c in "\n。"]
+    out, start = [], 0
+    while start < len(text):
+        end = min(start + limit, len(text))
+        if end < len(text):
+            end = max([e for e in ends if start + limit // 2 + 1 < e <= end], default=end)
+        out.append((start, end, text[start:end]))
+        if end == len(text):
+            break
+        start = max(start + 1, end - overlap)
+    return out
+
+
+def test_chunks(spark):
+    rng = random.Random(2)
+    texts = ["", "a", "x" * 500 + "\n" + "y" * 900, "\n" * 2000, "z" * 5000, "句。" * 800, *["".join(rng.choice("ab \n。温") if rng.random() < 0.05 else "c" for _ in range(rng.randint(0, 4000))) for _ in range(20)]]
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "i int, t string")
+    got = {}
+    for r in R.chunked(rows, "i", "t").orderBy("i", "place").collect():
+        got.setdefault(r["i"], []).append((r["start"], r["stop"], r["chunk"]))
+    assert got == {i: plain_chunks(t) for i, t in enumerate(texts) if t}
+
+
+def test_paragraph_chunks(spark):
+    text = "p" * 701 + "\n\n" + "q" * 50 + "\n \n" + "r  \t s" + "\n\n\n"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, " \n\n "), (4, "a" * 350 + "\n\n" + "b" * 348 + "\n\nc")], "i int, t string")
+    got = {}
+    for r in R.paragraph_chunks(rows, "i", "t").orderBy("i", "place").collect():
+        got.setdefault(r["i"], []).append(r["chunk"])
+    assert got == {1: ["p" * 700, "p" * 81, "q" * 50 + "\nr s"], 4: ["a" * 350 + "\n" + "b" * 348, "c"]}
+
+
+def test_mesh():
+    square = "v 0 0 0\nv 2 0 0\nv 2 2 0\nv 0 2 0\n"
+    assert R.mesh_properties(square + "f 1 2 3 4")["area"] == pytest.approx(4)
+    dart = "v 0 0 0\nv 2 1 0\nv 0 2 0\nv 1 1 0\nf 1 2 3 4"
+    assert R.mesh_properties(dart)["area"] == pytest.approx(1)  # a fan from the first corner gives more
+    for bad in (square + "f 1 3 2 4", square + "f 1 2 9", "v 0 0 0\nv 1 0 0\nv 1 1 1\nv 0 1 0\nf 1 2 3 4", square + "f 1 2"):
+        with pytest.raises(ValueError):
+            R.mesh_properties(bad)
 
 
 def test_workbook():

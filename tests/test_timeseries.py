@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.operators import timeseries as T
 
@@ -55,7 +56,6 @@ def test_equal_and_conflicting_copies(spark):
 @given(st.lists(st.floats(-100, 100), min_size=2, max_size=30))
 def test_warping(values):
     assert T.warped_distance(np.array(values), np.array(values)) == 0
-    assert abs(np.linalg.norm(T.shape(np.array(values))) - 1) < 1e-9
 
 
 def test_warping_against_plain_loops():
@@ -69,3 +69,39 @@ def test_warping_against_plain_loops():
             for j in range(max(1, i - w), min(len(y), i + w) + 1):
                 cost[i, j] = abs(x[i - 1] - y[j - 1]) + min(cost.get((i - 1, j), np.inf), cost.get((i, j - 1), np.inf), cost.get((i - 1, j - 1), np.inf))
         assert T.warped_distance(a, b) == pytest.approx(cost[len(x), len(y)] / max(len(x), len(y)))
+
+
+def plain_shape(v):
+    v = np.array(v, float)
+    if not len(v):
+        return [0.0] * 12
+    z = (v - v.mean()) / (v.std() or 1.0)
+    lean = np.polyfit(np.arange(len(v)) / (len(v) - 1), z, 1)[0] if len(v) > 1 else 0.0
+    d = np.abs(np.diff(z))
+    f = np.array([*(np.quantile(z, q) for q in T.QUANTILES), lean, d.mean() if len(d) else 0, d.max() if len(d) else 0, np.log(len(v) + 1) / 10, v.std() / (abs(v.mean()) + v.std() + 1e-9)])
+    return (f / (np.linalg.norm(f) or 1.0)).tolist()
+
+
+def test_shapes(spark):
+    rng = np.random.default_rng(4)
+    curves = [[], [5.0], [2.0, 2.0, 2.0], *[rng.normal(3, 2, n).tolist() for n in (2, 3, 8, 50, 128)]]
+    rows = spark.createDataFrame(list(enumerate(curves)), "i int, values array<double>")
+    for r in rows.select("i", T.shape(F.col("values")).alias("shape")).collect():
+        assert r["shape"] == pytest.approx(plain_shape(curves[r["i"]]), abs=1e-9)
+
+
+def test_similar_curves(spark):
+    rng = np.random.default_rng(5)
+    query = np.sin(np.arange(16) / 3).tolist()
+    curves = [(i, "m", 0, (np.array(query) * (1 + i) + rng.normal(0, 0.02 * i, 16)).tolist()) for i in range(5)] + [(9, "m", 0, rng.normal(size=16).tolist())]
+    found = T.similar_curves(spark.createDataFrame(curves, "entity long, metric string, start int, values array<double>"), query, 3).collect()
+    want = sorted((T.warped_distance(np.array(v), np.array(query)), i) for i, _, _, v in curves)[:3]
+    assert [(r["distance"], r["entity"]) for r in found] == [(pytest.approx(x), i) for x, i in want]
+
+
+def test_exact_thresholds():
+    from decimal import Decimal
+
+    for text in ("0.1", "80", "80.0000000000000000001", "79.9999999999999999999", "1e-400", "-0.3"):
+        limit = T._operand(Decimal(text))
+        assert Decimal(limit) <= Decimal(text) < Decimal(np.nextafter(limit, np.inf).item())

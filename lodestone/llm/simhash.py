@@ -26,7 +26,7 @@ from .shared import components, joined, partitions_for, saved, sorted_groups
 RADIUS = 2
 #: Differing bits, of a half and of the whole, for near copies. Sets of five-word shingles of similarity 0.8 have
 #: fingerprints over three-word shingles that differ in some 8 bits.
-HALF_RADIUS, NEAR_RADIUS = 5, 13
+HALF_RADIUS, NEAR_RADIUS, EVERY = 5, 13, 16
 
 
 def covering_masks() -> list[int]:
@@ -128,9 +128,11 @@ def half_masks(radius: int = HALF_RADIUS) -> list[int]:
     return kept + [m << 32 for m in kept]
 
 
-def near_edges(nodes: DataFrame, n: int) -> DataFrame:
-    """Edges (u, v) that join nodes (fp, h) of one bucket whose fingerprints differ in at most NEAR_RADIUS bits."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in half_masks()]
+def near_edges(nodes: DataFrame, n: int, family: list[int] | None = None) -> DataFrame:
+    """Edges (u, v) that join nodes (fp, h) of one bucket whose fingerprints differ in at most NEAR_RADIUS bits.
+
+    Rows with one h are one node. family holds the masks; all of half_masks() by default."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in family or half_masks()]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.array(masks, np.int64)
@@ -150,9 +152,11 @@ def near_edges(nodes: DataFrame, n: int) -> DataFrame:
             small = np.repeat(np.where(size <= 16, np.arange(len(size)), -1), size)
             for by in range(1, min(16, int(size.max()))):
                 a = np.flatnonzero((small[by:] == small[:-by]) & (small[by:] >= 0))
-                a = a[np.bitwise_count(fp[a] ^ fp[a + by]) <= NEAR_RADIUS]
+                a = a[(np.bitwise_count(fp[a] ^ fp[a + by]) <= NEAR_RADIUS) & (h[a] != h[a + by])]
                 found.append(np.stack([h[a], h[a + by]], 1))
-            found += [np.array(e, np.int64) for s, k in zip(starts[:-1][size > 16], size[size > 16], strict=True) if (e := _forest(fp[s : s + k], h[s : s + k], NEAR_RADIUS))]
+            for s, k in zip(starts[:-1][size > 16], size[size > 16], strict=True):
+                if h[s] != h[s + k - 1]:  # sorted
+                    found.append(np.array([e for e in _forest(fp[s : s + k], h[s : s + k], NEAR_RADIUS) if e[0] != e[1]], np.int64).reshape(-1, 2))
             if found and len(e := np.unique(np.concatenate(found), axis=0)):
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
 
@@ -161,6 +165,18 @@ def near_edges(nodes: DataFrame, n: int) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(of, "u long, v long")  # the least h of a bucket is its root, so that buckets agree
 
 
+def _candidate_groups(nodes: DataFrame, n: int) -> DataFrame:
+    """(h, comp): the nodes (h, fp) that edges connect with others, by group.
+
+    A few masks come first. What they connect is one node for all masks, so that a large group of near copies, which meets
+    in nearly every bucket, isn't connected anew in each."""
+    first = components(near_edges(nodes, n, half_masks()[::EVERY]))
+    labelled = saved(nodes.join(first, nodes["h"] == first["node"], "left").select("h", "fp", F.coalesce("component", "h").alias("label"), F.col("component").isNotNull().alias("met")))
+    rest = components(near_edges(labelled.select("fp", F.col("label").alias("h")).distinct(), n))
+    found = labelled.join(rest, labelled["label"] == rest["node"], "left").where("met or component is not null")
+    return saved(found.select("h", F.coalesce("component", "label").alias("comp")))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row (id, component) for each row of docs with an id: the smallest id reachable over near copies.
 
@@ -180,7 +196,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = saved(texts.mapInArrow(of, "id long, fp long, h long, n int"))
     nodes = saved(rows.groupBy("h").agg(F.min("fp").alias("fp")))
-    groups = saved(components(near_edges(nodes, nodes.count())).select(F.col("node").alias("h"), F.col("component").alias("comp")))
+    groups = _candidate_groups(nodes, nodes.count())
     links = components(near_copies.verified(groups, texts, rows, words, similarity))
     owners = rows.groupBy("h").agg(F.min("id").alias("least")).join(links, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("c"))
     owners = saved(owners)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, relational, retrieval, sources, structured, timeseries  # noqa: F401
+from . import quality, relational, retrieval, scalars, snapshot, sources, structured, timeseries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -70,6 +70,19 @@ def typed_order(number: Column, text: Column, tie: Column, descending: bool = Fa
     return [(number.isNull() & text.isNull()).asc(), way(kind), way(number), way(F.lower(text)), tie.asc()]
 
 
+def order_status(unit: Column) -> Column:
+    """Whether numbers of these units can be put in order."""
+    return F.when(F.count_distinct(unit) > 1, "NEEDS_UNIT_MAPPING").otherwise("OK")
+
+
+def receipts(df: DataFrame, keys: list[str], value: str, most: int = 512) -> DataFrame:
+    """(keys, n, inputs): how many inputs each total has, and the first of them in order, at most so many.
+
+    Inputs are ranked before they are collected, so that no row holds more."""
+    ranked = df.withColumn("_r", F.row_number().over(W.Window.partitionBy(*keys).orderBy(value)))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.col(value)))).alias("inputs"))
+
+
 def profile(df: DataFrame, key: str | None = None, preview: int = 200) -> DataFrame:
     """A row for each column: type, rows, nulls, distinct values, first values in order, whether that list is cut.
 

@@ -48,6 +48,13 @@ def totals(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def running_total(facts: DataFrame, key: str) -> DataFrame:
+    """(key, total) by adding days up to days: sums of each day first, then the last of their running sum."""
+    days = facts.groupBy(key, F.date_trunc("day", "ts").alias("day")).agg(F.sum("value").alias("s"))
+    run = days.withColumn("total", F.sum("s").over(Window.partitionBy(key).orderBy("day")))
+    return run.groupBy(key).agg(F.max_by("total", "day").alias("total"))
+
+
 def resampled(facts: DataFrame, unit: str) -> DataFrame:
     """Totals, first and last of each hour, day or other unit that has samples."""
     order = F.struct("ts", "row")

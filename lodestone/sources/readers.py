@@ -238,6 +238,33 @@ def read_xlsx(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(of, "path string, sheet string, row int, column int, value string, formula string")
 
 
+def flattened(records: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Fields of records (VARIANT) as columns under their dotted paths; what isn't there is null."""
+    return records.select(*[F.try_variant_get("record", "$." + p, kind).alias(p) for p, kind in fields.items()])
+
+
+def sample_workbook(name: str, number: Column) -> Column:
+    """A small workbook with one sheet, for tests of the reader: two headings, a shared text, a formula with its value."""
+
+    @F.pandas_udf(T.BinaryType())
+    def made(names: pd.Series, numbers: pd.Series) -> pd.Series:
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+        def of(n: str, k: int) -> bytes:
+            buf = io.BytesIO()
+            with zipfile.ZipFile(buf, "w") as z:
+                z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="r"><sheets><sheet name="{n}" r:id="rId1"/></sheets></workbook>')
+                z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+                z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><t>{n}</t></si></sst>")
+                cells = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>k</t></is></c></row>'
+                z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData>{cells}<row r="2"><c r="A2" t="s"><v>1</v></c><c r="AB2"><f>B2*2</f><v>{2 * k}</v></c></row></sheetData></worksheet>')
+            return buf.getvalue()
+
+        return pd.Series([of(n, k) for n, k in zip(names, numbers, strict=True)])
+
+    return made(name, number)
+
+
 def mesh_of(text: str) -> tuple[np.ndarray, list[list[int]]]:
     """Vertices and faces of an OBJ text; faces count vertices from 0."""
     vertices, faces = [], []

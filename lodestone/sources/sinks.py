@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+
 
 def write_facts(facts: DataFrame, path: str, by: tuple[str, ...] = ("metric",)) -> None:
     """Facts partitioned by metric, so that a plan's metric prunes files. Each metric is dealt to several tasks by time."""
@@ -12,7 +14,16 @@ def write_facts(facts: DataFrame, path: str, by: tuple[str, ...] = ("metric",))
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").parquet(path)
+    """Records as Parquet, and beside them a row for each field: its name, type and whether it may be null."""
+    records.write.mode("overwrite").parquet(f"{path}/records")
+    fields = [(f.name, f.dataType.simpleString(), f.nullable) for f in records.schema.fields]
+    records.sparkSession.createDataFrame(fields, "field string, type string, nullable boolean").write.mode("overwrite").json(f"{path}/fields")
+
+
+def write_vectors(vectors: DataFrame, id_col: str, vec_col: str, space: str, path: str) -> None:
+    """Vectors of length one, partitioned by their space, so that a search reads one space only. Zero vectors are left out."""
+    size = V.norm(F.col(vec_col))
+    vectors.where(size > 0).select(id_col, space, V.unit(F.transform(vec_col, lambda x: x.cast("double"))).alias(vec_col)).write.partitionBy(space).mode("overwrite").parquet(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -170,6 +170,16 @@ def dropped(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables of stored() whose rows wait to be written, by session.
+HELD: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Drops the tables that rows of substring_dedup.cleaned() are read from; call it once these have been written."""
+    while HELD:
+        dropped(*HELD.pop())
+
+
 def _of_group(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], pa.Table]:
     t = t.take(pa.array(np.argsort(t["row"].to_numpy(), kind="stable")))
     docs = t["doc"].fill_null(2**63 - 1).to_numpy()  # rows without an id come last
@@ -267,7 +277,7 @@ def _repeated_anchors(kind: Kind, texts: DataFrame, buckets: int) -> DataFrame:
         return pa.table([t["g"], t["bucket"], pa.array([answer[cut[i] : cut[i + 1]].tobytes() for i in range(len(blobs))], pa.binary())], names=["g", "bucket", "data"])
 
     anchors = texts.select("g", "row", "doc", "text").groupBy("g").applyInArrow(sent, REPLY)
-    return anchors.groupBy("bucket").applyInArrow(answered, REPLY)
+    return anchors.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answered, REPLY)
 
 
 def _snippets(kind: Kind, docs: np.ndarray, texts: list[bytes], answer: np.ndarray, contents: bool = True) -> tuple[list[Step], dict]:
@@ -353,7 +363,7 @@ def _window_answers(kind: Kind, texts: DataFrame, anchors: DataFrame, buckets: i
         return pa.table([t["g"], t["bucket"], pa.array([np.packbits(b, axis=1).tobytes() for b in bits], pa.binary())], names=["g", "bucket", "data"])
 
     snippets = texts.select("g", "row", "doc", "text").groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(sent, REPLY)
-    return snippets.groupBy("bucket").applyInArrow(answered, REPLY)
+    return snippets.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answered, REPLY)
 
 
 def _joined(replies: pa.Table) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import PRIME, STEP_BYTES, U, Kind, covered, dropped, mixed, span_hashes
+from .repeats import HELD, PRIME, STEP_BYTES, U, Kind, covered, dropped, mixed, span_hashes
 from .shared import saved
 
 WINDOW, SUBTREE = 13, 400_000
@@ -158,7 +158,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated words taken out of their texts; texts without any stay as they are. Cases as in removed().
 
-    The rows are computed where they are written; until then their texts lie in a table of the checkpoint folder."""
+    The rows are computed where they are written; until then their texts lie in a table of the checkpoint folder, which repeats.release() drops."""
     names = docs.columns
     at = names.index(text_col)
     columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(names)]
@@ -170,5 +170,6 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         cols = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else t[f"keep_c{i}"] for i in range(len(names))]
         return pa.table(cols, names=[f"c{i}" for i in range(len(names))])
 
-    found, _ = covered(Words(), docs.select(*columns), f"c{names.index(id_col)}", f"c{at}", finish, schema, keep)
+    found, texts = covered(Words(), docs.select(*columns), f"c{names.index(id_col)}", f"c{at}", finish, schema, keep)
+    HELD.append((docs.sparkSession, texts))
     return found.toDF(*names)

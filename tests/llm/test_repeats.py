@@ -61,6 +61,7 @@ def sizes(request, monkeypatch):
 
 
 def test_substrings(spark, corpus, documents, sizes):
+    repeats.release()
     got = sorted((tuple(r) for r in substring_dedup.removed(documents).collect()), key=str)
     assert got == brute_words(corpus)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("lodestone_")]

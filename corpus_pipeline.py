@@ -1,7 +1,10 @@
 """Training data from documents: five stages, each written and read again as the next one's input.
 
 Documents that the quality classifier or the quality rules reject go; one document of each group of near-duplicates
-stays; repeated passages are taken out of the texts; what is left is packed into sequences."""
+stays; repeated passages are taken out of the texts; what is left is packed into sequences.
+
+The last stage gives the pieces of documents with their places in sequences; their words are those of the fourth stage's
+texts, from start on."""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, quality_model, quality_rules, simhash, substring_dedup
+from lodestone.llm import packing, quality_model, quality_rules, repeats, simhash, substring_dedup
 from lodestone.llm.shared import checkpoint_dir
 
 
@@ -51,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        repeats.release()
         docs = spark.read.parquet(f"{base}/{i}")
     return docs

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import joined, saved
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -107,7 +107,7 @@ def judged(docs: DataFrame, text_col: str = "text", host: str | Column = "source
     rows = docs.select(*keep, F.coalesce(host, F.lit("")).alias("_host"), F.col(text_col).alias("_text"))
     d = measured(rows, "_text").drop("_text")
     d = saved(d.withColumns({f"_f_{r}": c for r, c in _failures(limits).items()}))
-    d = d.join(host_rates(d, limits), "_host")
+    d = joined(d, host_rates(d, limits), "_host", "_word_chars")  # a host with very many documents is dealt over tasks
     habit = F.lit(False)
     for r in RULES:
         habit = habit | (F.col(f"_f_{r}") & (F.col(f"_rate_{r}") > limits.host_rate))

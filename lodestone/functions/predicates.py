@@ -91,10 +91,20 @@ def matches(column: Column, kind: T.DataType, condition: Condition, present: Col
     return found if present is None else present & found
 
 
+def field_of(record: Column, path: str) -> Column:
+    """The field of a VARIANT record under a dotted path, as VARIANT; null if there is none.
+
+    A key that holds the dots itself comes first; a step of digits is a place in a list, or else a key."""
+    steps = path.split(".")
+    found = [F.try_variant_get(record, "$" + "".join(f"['{x}']" for x in steps), "variant")]
+    if any(x.isdigit() for x in steps):
+        found.insert(0, F.try_variant_get(record, "$" + "".join(f"[{x}]" if x.isdigit() else f"['{x}']" for x in steps), "variant"))
+    return F.coalesce(F.try_variant_get(record, f"$['{path}']", "variant"), *found)
+
+
 def variant_matches(record: Column, condition: Condition) -> Column:
     """condition on a field of a VARIANT record, whose rows may hold it, hold null, or not hold it; types vary by row."""
-    path = "$." + condition.field
-    raw = F.try_variant_get(record, path, "variant")
+    raw = field_of(record, condition.field)
     missing, null = raw.isNull(), F.is_variant_null(raw)
     op, value = condition.op, condition.value
     if op == "is_null":
@@ -107,12 +117,12 @@ def variant_matches(record: Column, condition: Condition) -> Column:
 
     def compare(x: Any, how: str) -> Column:
         k = _kind(x)
-        got = F.try_variant_get(record, path, as_type[k])
+        got = F.try_variant_get(raw, "$", as_type[k])
         test = {"eq": got == x, "gt": got > x, "gte": got >= x, "lt": got < x, "lte": got <= x}[how]
         return of_kind[k] & F.coalesce(test, F.lit(False))
 
     if op == "contains":
-        items = F.try_variant_get(record, path, "array<variant>")
+        items = F.try_variant_get(raw, "$", "array<variant>")
         k = _kind(value)
         same = F.exists(items, lambda v: F.coalesce(F.try_variant_get(v, "$", as_type[k]) == value, F.lit(False)) & {"boolean": F.schema_of_variant(v) == "BOOLEAN", "number": F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "string": F.schema_of_variant(v) == "STRING"}[k])
         return F.coalesce(same, F.lit(False))

@@ -23,19 +23,22 @@ def filtered(df: DataFrame, conditions: list[Condition], units: dict[str, str] |
 def exact_aggregate(df: DataFrame, field: str, unit: Column | None = None, target: str | None = None) -> DataFrame:
     """One row: matched rows, numbers among them and others, exact sum, min, max and average, and a status.
 
-    Sums are decimal, so they don't depend on the order of rows. Rows of more than one unit give NEEDS_UNIT_MAPPING."""
-    value = F.col(field).cast(DECIMAL)
+    Sums are decimal, so they don't depend on the order of rows. Rows of more than one unit give NEEDS_UNIT_MAPPING.
+    A number that the decimals can't hold is a number all the same, and gives EXACT_RANGE_EXCEEDED instead of totals."""
+    value, number = F.col(field).try_cast(DECIMAL), F.col(field).try_cast("double")
+    finite = F.coalesce(~F.isnan(number) & (F.abs(number) < float("inf")), F.lit(False))
     units = F.count_distinct(unit) if unit is not None else F.lit(1).cast("long")
     found = df.agg(
         F.count(F.lit(1)).alias("matched"),
-        F.count(value).alias("numbers"),
+        F.count_if(finite | value.isNotNull()).alias("numbers"),
+        F.count_if(finite & value.isNull()).alias("beyond"),
         units.alias("units"),
         F.sum(value).alias("total"),
         F.min(value).alias("least"),
         F.max(value).alias("most"),
     )
-    mixed = F.col("units") > 1
-    number = lambda c: F.when(~mixed, c.cast("double"))
+    mixed, beyond = F.col("units") > 1, (F.col("beyond") > 0) | ((F.col("numbers") > 0) & F.col("total").isNull())
+    number = lambda c: F.when(~mixed & ~beyond, c.cast("double"))
     return found.select(
         "matched",
         "numbers",
@@ -44,7 +47,7 @@ def exact_aggregate(df: DataFrame, field: str, unit: Column | None = None, targe
         number(F.col("least")).alias("min_value"),
         number(F.col("most")).alias("max_value"),
         number(F.col("total") / F.col("numbers")).alias("average_value"),
-        status(F.col("numbers"), F.col("total"), mixed).alias("status"),
+        F.when(~mixed & beyond, "EXACT_RANGE_EXCEEDED").otherwise(status(F.col("numbers"), F.col("total"), mixed)).alias("status"),
     )
 
 

@@ -373,7 +373,10 @@ def affine(text: str) -> np.ndarray:
             turn = np.array([[np.cos(t), -np.sin(t), 0], [np.sin(t), np.cos(t), 0], [0, 0, 1]])
             to = np.array([[1, 0, x[1]], [0, 1, x[2]], [0, 0, 1]]) if len(x) > 2 else np.eye(3)
             step = to @ turn @ np.linalg.inv(to)
-        elif name == "matrix":
+        elif name in ("skewX", "skewY"):
+            lean = np.tan(np.radians(x[0]))
+            step = [[1, lean, 0], [0, 1, 0], [0, 0, 1]] if name == "skewX" else [[1, 0, 0], [lean, 1, 0], [0, 0, 1]]
+        elif name == "matrix" and len(x) == 6:
             step = [[x[0], x[2], x[4]], [x[1], x[3], x[5]], [0, 0, 1]]
         else:
             raise ValueError(f"transform {name}")

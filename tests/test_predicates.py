@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import units
 from lodestone.functions.predicates import Condition, matches, variant_matches
-from lodestone.operators.structured import filtered
+from lodestone.operators.structured import exact_aggregate, filtered
 from lodestone.plans.model import PlanError, QueryPlan, TimeRange, operand
 
 
@@ -97,3 +97,17 @@ def test_operands_follow_json(text):
 
 def test_good_operands():
     assert [str(operand(x)) for x in ("-0.10", "1e3", 2.5, 7)] == ["-0.10", "1E+3", "2.5", "7"]
+
+
+def test_paths_of_records(spark):
+    rows = ['{"a.b":1,"a":{"b":2}}', '{"a":{"b":1}}', '{"a":[5,{"b":1}]}', '{"a":{"1":{"b":1}}}', '{"a":1}']
+    assert found(spark, rows, Condition("a.b", "eq", 1)) == [1, 2]
+    assert found(spark, rows, Condition("a.1.b", "eq", 1)) == [3, 4]
+
+
+def test_numbers_beyond_the_decimals(spark):
+    rows = spark.createDataFrame([(1.5,), (2e30,), (None,), (float("nan"),)], "x double")
+    r = exact_aggregate(rows, "x").first()
+    assert (r["matched"], r["numbers"], r["excluded"], r["sum_value"], r["status"]) == (4, 2, 2, None, "EXACT_RANGE_EXCEEDED")
+    r = exact_aggregate(rows.where("x < 2"), "x").first()
+    assert (r["sum_value"], r["average_value"], r["status"]) == (1.5, 1.5, "OK")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import relations as R
 from ..plans.compile import dependent
+from ..sources import readers
 from .registry import load, query
 
 
@@ -232,10 +234,14 @@ def read_table(spark, d):
     return R.page(x, ["l_orderkey", "l_linenumber", "l_partkey"], F.col("l_orderkey") * 10 + F.col("l_linenumber"), 32)
 
 
-@query("SELECT k AS cell, p_size AS size, p_partkey IS NULL AS missing FROM (SELECT unnest(range(195, 2600, 100)) AS k) LEFT JOIN part ON p_partkey = k")
+@query("SELECT n_name AS book, unnest(['A2', 'B9', 'AB2']) AS cell, unnest([n_name, NULL, (n_nationkey * 2)::VARCHAR]) AS value, unnest([false, true, false]) AS missing FROM nation")
 def read_workbook_cells(spark, d):
-    wanted = spark.range(195, 2600, 100).select(F.col("id").alias("cell"))
-    return wanted.join(load(spark, d, "part"), F.col("cell") == F.col("p_partkey"), "left").select("cell", F.col("p_size").alias("size"), F.col("p_partkey").isNull().alias("missing"))
+    """Named cells of each workbook; one that isn't there is listed as missing, not as zero."""
+    books = load(spark, d, "nation").select(F.col("n_name").alias("path"), readers.sample_workbook("n_name", F.col("n_nationkey")).alias("content"))
+    wanted = books.select(F.col("path").alias("book"), F.explode(F.array(*map(F.lit, ("A2", "B9", "AB2")))).alias("cell")).withColumn("at", X.cell_place(F.col("cell")))
+    cells = readers.read_xlsx(books)
+    found = wanted.join(cells, (F.col("book") == F.col("path")) & (F.col("at.row") == F.col("row")) & (F.col("at.col") == F.col("column")), "left")
+    return found.select("book", "cell", "value", F.col("path").isNull().alias("missing"))
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_linenumber = 2 AND l_quantity < 20 AND l_quantity + 5 > 12 AND l_discount * 100 < 6 AND l_discount * 100 + 2 > 3 ORDER BY id LIMIT 256")

@@ -219,6 +219,19 @@ def scan_xlsx(spark, d):
     return readers.read_xlsx(books).select("sheet", "row", F.col("column").alias("col"), "value", "formula")
 
 
+@query("SELECT n_name AS sheet, 2 AS row, unnest([1, 28]) AS col, unnest([n_name, (n_nationkey * 2)::VARCHAR]) AS value FROM nation")
+def xlsx_chart_cells(spark, d):
+    """The cells of the range that each workbook's chart draws."""
+    books = load(spark, d, "nation").select(F.col("n_name").alias("path"), readers.sample_workbook("n_name", F.col("n_nationkey")).alias("content"))
+    return readers.read_chart_cells(books).select("sheet", "row", F.col("column").alias("col"), "value")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR regexp_matches(coalesce(text, ''), '[\\x{4e00}-\\x{9fff}]') THEN 'zh' ELSE 'en' END AS lang FROM documents")
+def language_guess(spark, d):
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" 温"))).otherwise(F.coalesce("text", F.lit("")))
+    return load(spark, d, "documents").select("doc_id", X.language_guess(text).alias("lang"))
+
+
 @query("SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation")
 def json_flatten_legacy(spark, d):
     """Objects of a list as rows, with the fields of inner objects under dotted names."""

@@ -107,12 +107,6 @@ def profile(df: DataFrame, key: str | None = None, preview: int = 200) -> DataFr
     )
 
 
-def unique_match(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs once; others are left for unmatched()."""
-    once = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
-    return rows.join(once, keys, "left_semi")
-
-
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """df with the place of each row in an order, from 0 on.
 

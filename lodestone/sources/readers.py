@@ -256,6 +256,7 @@ def sample_workbook(name: str, number: Column) -> Column:
                 z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="r"><sheets><sheet name="{n}" r:id="rId1"/></sheets></workbook>')
                 z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
                 z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><t>{n}</t></si></sst>")
+                z.writestr("xl/charts/chart1.xml", f"<c><ser><f>'{n}'!$A$2:$AB$3</f></ser></c>")
                 cells = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>k</t></is></c></row>'
                 z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData>{cells}<row r="2"><c r="A2" t="s"><v>1</v></c><c r="AB2"><f>B2*2</f><v>{2 * k}</v></c></row></sheetData></worksheet>')
             return buf.getvalue()
@@ -265,6 +266,28 @@ def sample_workbook(name: str, number: Column) -> Column:
     return made(name, number)
 
 
+def chart_ranges(content: bytes) -> Iterator[tuple[str, str, int, int, int, int]]:
+    """(chart, sheet, first row, first column, last row, last column) of the ranges that a workbook's charts draw."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for name in sorted(n for n in z.namelist() if re.fullmatch(r"xl/charts/[^/]+\.xml", n)):
+            for e in ElementTree.fromstring(z.read(name)).iter():
+                if e.tag.rpartition("}")[2] == "f" and (m := re.fullmatch(r"'?(.+?)'?!\$?([A-Z]+)\$?(\d+)(?::\$?([A-Z]+)\$?(\d+))?", e.text or "")):
+                    first, last = cell_place(m[2] + m[3]), cell_place((m[4] or m[2]) + (m[5] or m[3]))
+                    yield name, m[1].replace("''", "'"), *first, *last
+
+
+def read_chart_cells(files: DataFrame) -> DataFrame:
+    """(path, chart, sheet, row, column, value): the cells that charts of workbooks draw; empty cells have no row."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, *c) for p, content in zip(b["path"], b["content"], strict=True) for c in chart_ranges(content)], columns=["path", "chart", "sheet", "r0", "c0", "r1", "c1"])
+
+    ranges = files.select("path", "content").mapInPandas(of, "path string, chart string, sheet string, r0 int, c0 int, r1 int, c1 int")
+    inside = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("column").between(F.col("c0"), F.col("c1"))
+    return ranges.join(read_xlsx(files), ["path", "sheet"]).where(inside).select("path", "chart", "sheet", "row", "column", "value")
+
+
 def mesh_of(text: str) -> tuple[np.ndarray, list[list[int]]]:
     """Vertices and faces of an OBJ text; faces count vertices from 0."""
     vertices, faces = [], []

@@ -56,3 +56,24 @@ def test_nearest_lattice_point():
     p = E.decode(x, 1)[:, 0] / 2
     assert ((p % 1 == 0).all(1) | ((p - 0.5) % 1 == 0).all(1)).all() and (p.sum(1) % 2 == 0).all()
     assert (np.linalg.norm(x - p, axis=1) <= 1 + 1e-9).all()
+
+
+def test_equal_vectors_in_bulk(spark):
+    rng = np.random.default_rng(9)
+    v, w = rng.normal(size=16).tolist(), rng.normal(size=16).tolist()
+    rows = [(i, v if i % 3 else w, 1) for i in range(1500)]
+    found = {r["id"]: (r["n_links"], r["component"]) for r in E.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(7)).collect()}
+    assert found == {i: (999, 1) if i % 3 else (499, 0) for i in range(1500)}
+
+
+def test_signs_are_near_for_links():
+    rng = np.random.default_rng(3)
+    for d in (8, 64, 300):
+        u = rng.normal(size=(2000, d))
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        w = rng.normal(size=u.shape)
+        w -= (w * u).sum(1)[:, None] * u
+        w /= np.linalg.norm(w, axis=1)[:, None]
+        apart = np.bitwise_count(E.signs(u).view(np.uint64) ^ E.signs(0.98 * u + np.sqrt(1 - 0.98**2) * w).view(np.uint64)).sum(1)
+        assert (apart <= E.SIGNS).mean() >= 0.999
+    assert E.most_signs(0.98) == E.SIGNS and E.most_signs(1.0) == 0

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import released
+
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -155,7 +157,7 @@ class Scorer:
 def fitted(sizes: np.ndarray, bucket: np.ndarray, share: np.ndarray, target: np.ndarray, rate: float = 0.1, decay: float = 1e-5) -> Model:
     """Logistic regression by Adam over all rows at once; row i has sizes[i] of the buckets and shares. Both classes weigh the same."""
     weights, bias, n = np.zeros(BUCKETS), 0.0, len(sizes)
-    at = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    at = np.repeat(np.arange(n, dtype=np.int32), sizes)  # of each bucket, its row
     weight = np.where(target > 0.5, 1 / max(target.sum(), 1), 1 / max((1 - target).sum(), 1))
     weight = weight / weight.mean()
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
@@ -195,17 +197,22 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
         for b in batches:
             texts = b.column(0).to_pylist()
             found = [features(t, of) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32())), pa.array([pattern(votes(t)) for t in texts], pa.int64()), b.column(1)], ["b", "s", "pattern", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32())), pa.array([pattern(votes(t)) for t in texts], pa.int64())], ["b", "s", "pattern"])
 
-    near = rows.where(F.shiftrightunsigned("h", 11) < int(share * 2**53))
-    taken = near.select("text", "h").mapInArrow(featured, "b array<int>, s array<float>, pattern long, h long").orderBy("h").limit(sample).toArrow()
-    taken = taken.combine_chunks()
+    drawn = np.sort(rows.where(F.shiftrightunsigned("h", 11) < int(share * 2**53)).select("h").toArrow()["h"].to_numpy().view(np.uint64))  # some more than sample
+    last = int(drawn[:sample][-1:].view(np.int64)[0]) if len(drawn) else 0
+    near = rows.where(F.shiftrightunsigned("h", 1) <= F.shiftrightunsigned(F.lit(last), 1)) if len(drawn) else rows.limit(0)
+    taken = near.select("text").mapInArrow(featured, "b array<int>, s array<float>, pattern long").toArrow()
+    taken = taken.slice(0, sample).combine_chunks()
     target = np.array([known[p] for p in taken["pattern"].to_pylist()])
     if min(target.sum(), (1 - target).sum()) < 1:
         return None, known
     sizes = taken["b"].combine_chunks().value_lengths().to_numpy()
     flat = [taken[c].combine_chunks().flatten().to_numpy() for c in ("b", "s")]
-    return fitted(sizes, *flat, target), known
+    model = fitted(sizes, *flat, target)
+    del taken, sizes, flat
+    released()  # the driver has it back
+    return model, known
 
 
 class Judge:

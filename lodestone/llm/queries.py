@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, packing, pieces, quality_model, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import embedding_dedup, html_text, packing, periodic_runs, pieces, quality_model, quality_rules, simhash, substring_dedup, suffix_dedup
 from .shared import table
 
 #: The SentencePiece model of the registered queries.
@@ -57,6 +59,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"_{x}").alias(x) for x in names])
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op11: those of about a tenth of the documents repeat from a place on with a period that their id gives."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detected(table(spark, sf_dir, "documents"), edit=planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    rows = found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.array_join(lines, "").alias("lines"), "collapsed")
+    start, length, period = (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period")
+    exponent = F.expr("1000 * best.length div -best.period").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", start, length, period, exponent, F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -92,7 +115,7 @@ FROM embeddings LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON vec_i
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_substring_dedup, op4_html_extraction, op5_sentencepiece, op6_token_counts, op7_embedding_near_dedup, op8_quality_classifier, op9_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_substring_dedup, op4_html_extraction, op5_sentencepiece, op6_token_counts, op7_embedding_near_dedup, op8_quality_classifier, op9_quality_rules, op10_simhash_near_dedup, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict:

@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, packing, periodic_runs, pieces, quality_model, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import divergence, embedding_dedup, html_text, mixing, packing, periodic_runs, pieces, quality_model, quality_rules, simhash, substring_dedup, suffix_dedup
 from .shared import table
 
 #: The SentencePiece model of the registered queries.
@@ -80,6 +80,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", start, length, period, exponent, F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -114,9 +122,44 @@ FROM embeddings LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON vec_i
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT s.lang, s.source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source) t ON s.lang = t.lang AND s.source = t.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v) AS p
+    FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (n + v) AS q FROM (SELECT lang, term, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY lang) AS n FROM c GROUP BY lang, term) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, (p.p - r.p) * (p.p - r.p) // r.p AS f
+    FROM p JOIN p r USING (lang, term), LATERAL (SELECT p.lang, p.source) a, LATERAL (SELECT r.source) b WHERE p.source <> r.source),
+s AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT lang, source, item, sum(f) AS value FROM pairs GROUP BY ALL) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+t AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM s UNION ALL FROM t))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+x AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE AS y
+    FROM s WINDOW b AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, max(y) OVER () AS level FROM x),
+t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, level * w) AS target, floor(least((3 * source_size)::DOUBLE, level * w) + 0.5)::BIGINT AS tokens FROM l),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || size), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d WHERE size > 0)
+SELECT d.doc_id, d.size, source_size, target, 0::BIGINT AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size = 0
+UNION ALL SELECT doc_id, size, source_size, target, (tokens // source_size * size + greatest(0, least(a + size, tokens % source_size) - a))::BIGINT
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_substring_dedup, op4_html_extraction, op5_sentencepiece, op6_token_counts, op7_embedding_near_dedup, op8_quality_classifier, op9_quality_rules, op10_simhash_near_dedup, op11_periodic_runs)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_substring_dedup, op4_html_extraction, op5_sentencepiece, op6_token_counts, op7_embedding_near_dedup, op8_quality_classifier, op9_quality_rules, op10_simhash_near_dedup, op11_periodic_runs, op12_source_divergence, op13_source_mixing)}
 
 
 def oracle_sql() -> dict:
-    return {"op7_embedding_near_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op7_embedding_near_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op12_source_divergence": OP12_SQL, "op13_source_mixing": OP13_SQL}

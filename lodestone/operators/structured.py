@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions.predicates import Condition, all_of, test
+from .relations import checkpoint_dir
 
 SAFE_INTEGER = 2**53 - 1
 DECIMAL = "decimal(38,12)"
@@ -110,13 +111,19 @@ def profile(df: DataFrame, key: str | None = None, preview: int = 200) -> DataFr
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """df with the place of each row in an order, from 0 on.
 
-    Rows are dealt to ranges of the order, numbered inside each, and moved on by the counts of the ranges before, of which
-    there is one for each partition; no task sees all rows. Equal rows get different numbers."""
-    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    Rows are dealt to ranges of the order, sorted inside each, and written once with the id that Spark gives them there,
+    which holds the range and the place in it. Both the sizes of ranges and the rows are read from what was written, so
+    they speak of the same ranges. Rows are moved on by the counts of the ranges before, one row for each partition; no
+    task sees all rows. Equal rows get different numbers: the whole row's hash, then where it was read, part the ties,
+    so that a key that very many rows share is spread over ranges too."""
+    checkpoint_dir(df.sparkSession)
+    ties = df.withColumns({"_h": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), "_r": F.monotonically_increasing_id()})
+    by = [*order, "_h", "_r"]
+    placed = ties.repartitionByRange(*by).sortWithinPartitions(*by).drop("_h", "_r").withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND(F.lit(2**33 - 1))}).drop("_m")
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = sizes.select("_p", (F.sum("_c").over(W.Window.orderBy("_p")) - F.col("_c")).alias("_before"))
-    inside = dealt.withColumn("_i", F.row_number().over(W.Window.partitionBy("_p").orderBy(*order)))
-    return inside.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_p", "_before", "_i")  # a row for each partition
+    return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_before", "_i")  # a row for each partition
 
 
 def pages(df: DataFrame, order: list[str], size: int = 128) -> DataFrame:
@@ -125,10 +132,21 @@ def pages(df: DataFrame, order: list[str], size: int = 128) -> DataFrame:
 
 
 def digest(df: DataFrame, order: list[str], text: Column, block: int = 1000) -> DataFrame:
-    """(digest, n) of all rows in an order: SHA-256 over the digests of blocks of rows, in order."""
-    parts = numbered(df.select(*order, text.alias("_t")), order, "_n").groupBy(F.floor(F.col("_n") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("rows"), F.count(F.lit(1)).alias("n"))
-    hashes = parts.select("b", "n", F.sha2(F.array_join(F.transform("rows", lambda r: r["_t"]), ","), 256).alias("h"))
-    return hashes.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda r: r["h"]), ","), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"))
+    """(digest, n) of all rows in an order, as a tree: SHA-256 over a block of rows, then over a block of digests, and so on.
+
+    There are two levels at least, and as many more as it takes until one digest is left, so that no row and no task
+    holds more than a block. A null text counts as empty; no rows give the digest of an empty block."""
+    level = numbered(df.select(*order, F.coalesce(text, F.lit("")).alias("_t")), order, "_n").select("_n", "_t")
+    n = left = level.count()
+    while True:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_t"))), lambda r: r["_t"])
+        level = level.groupBy(F.floor(F.col("_n") / block).alias("_b")).agg(F.sha2(F.array_join(ordered, ","), 256).alias("_t")).withColumnRenamed("_b", "_n")
+        if left <= block:
+            break
+        left = -(-left // block)
+    blank = F.sha2(F.sha2(F.lit(""), 256), 256)
+    top = level if n > block else level.select("_n", F.sha2("_t", 256).alias("_t"))
+    return top.agg(F.coalesce(F.max("_t"), blank).alias("digest")).withColumn("n", F.lit(n).cast("long"))
 
 
 def conflicts(facts: DataFrame, key: list[str], value: str = "value", top: int = 20) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
+from fractions import Fraction
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +57,16 @@ def linear(source: str, target: str) -> tuple[Decimal, Decimal] | None:
     return None
 
 
+def rational(source: str, target: str) -> tuple[Fraction, Fraction] | None:
+    """linear() without rounding: seconds are a 3600th of an hour."""
+    source, target = SPELLINGS.get(source, source), SPELLINGS.get(target, target)
+    for sizes in FACTORS.values():
+        if source in sizes and target in sizes:
+            return Fraction(sizes[source]) / Fraction(sizes[target]), Fraction(0)
+    found = linear(source, target)
+    return found and (Fraction(found[0]), Fraction(found[1]))
+
+
 def known_units() -> list[str]:
     return [*SPELLINGS, "C", "K", *[u for sizes in FACTORS.values() for u in sizes]]
 
@@ -113,21 +127,38 @@ def record_base(unit: Column) -> Column:
     return chosen
 
 
-def record_value(value: Column, unit: Column) -> Column:
-    """value in its unit's base, in decimals; null if the unit isn't registered."""
-    chosen = F.when(F.lit(False), F.lit(0).cast("decimal(38,12)"))
-    for scales in RECORD_UNITS.values():
-        for name, scale in scales.items():
-            offset = F.lit(RECORD_OFFSETS.get(name, "0")).cast("decimal(9,2)")
-            chosen = chosen.when(unit == name, (value.cast("decimal(24,6)") * F.lit(scale).cast("decimal(13,6)") + offset).cast("decimal(38,12)"))
-    return chosen
+def record_fraction(text: str | None, unit: str | None) -> Fraction | None:
+    """A number's text in its unit's base, exactly; null if it is no number in the budget, or the unit isn't registered."""
+    scale = next((scales[unit] for scales in RECORD_UNITS.values() if unit in scales), None)
+    if text is None or scale is None or not BUDGET.fullmatch(text.strip()):
+        return None
+    return Fraction(text.strip()) * Fraction(scale) + Fraction(RECORD_OFFSETS.get(unit, "0"))
+
+
+#: Up to 4096 digits and an exponent of four.
+BUDGET = re.compile(r"[+-]?(?=\.?\d)\d{0,4096}\.?\d{0,4096}([eE][+-]?0*\d{1,4})?")
 
 
 def record_values_equal(values: list[tuple[Column, Column]]) -> Column:
-    """Whether (value, unit) of two to four sources are the same, each compared with the first; null if units don't compare."""
+    """Whether (value, unit) of two to four sources are the same, each compared with the first; null if units don't compare.
+
+    Numbers are compared as rationals in Arrow batches: 4e-7 kg isn't 0 kg, and a value that isn't a number compares with nothing."""
     (first, unit), *rest = values
-    same, fit = F.lit(True), record_base(unit).isNotNull()
-    for value, other in rest:
-        same = same & (record_value(value, other) == record_value(first, unit))
+    fit = record_base(unit).isNotNull()
+    for _, other in rest:
         fit = fit & (record_base(other) == record_base(unit))
-    return F.when(F.coalesce(fit, F.lit(False)), same)
+    texts, units = F.array(*[v.cast("string") for v, _ in values]), F.array(*[u for _, u in values])
+    return F.when(F.coalesce(fit, F.lit(False)), _same()(texts, units))
+
+
+@lru_cache(maxsize=1)
+def _same():
+    @F.arrow_udf("boolean")
+    def same(texts: pa.Array, units: pa.Array) -> pa.Array:
+        out = []
+        for ts, us in zip(texts.to_pylist(), units.to_pylist(), strict=True):
+            xs = [record_fraction(t, u) for t, u in zip(ts or [], us or [], strict=True)]
+            out.append(None if not xs or None in xs else all(x == xs[0] for x in xs))
+        return pa.array(out, pa.bool_())
+
+    return same

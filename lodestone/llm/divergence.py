@@ -16,14 +16,13 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import released, saved
 
-UNIT, LEAST_DOCS, TERMS = 1_000_000_000, 3, 200
+UNIT, LEAST_DOCS, TERMS, PARTS = 1_000_000_000, 3, 200, 32
 FLUSH, STRETCH = 200_000, 1 << 20
 #: Bytes of terms stay, A-Z as a-z; all others part terms.
 TABLE = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -45,14 +44,13 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Rows (lang, source, term, count, docs): occurrences, and documents that hold the term; a null term for each group.
+    """Rows (lang, source, term, count, docs): occurrences, and documents that hold the term; several for a term.
 
     Tasks add up what they have read and pass it on whenever that holds FLUSH terms, so that memory is bounded."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: defaultdict[tuple, Counter] = defaultdict(Counter)
         holders: defaultdict[tuple, Counter] = defaultdict(Counter)
-        groups: set[tuple] = set()
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for group, found in counts.items():
@@ -67,7 +65,6 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
         for b in batches:
             for lang, source, text in zip(*(b.column(i).to_pylist() for i in (0, 1)), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 group = lang, source
-                groups.add(group)
                 found, own = counts[group], set()
                 before = len(found)
                 for terms in terms_of(text):
@@ -79,10 +76,6 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
                     yield from flushed()
                     waiting = 0
         yield from flushed()
-        if groups:
-            n = len(groups)
-            names = [pa.array([g[i] for g in groups], pa.string()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*names, pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64))], ["lang", "source", "term", "count", "docs"])
 
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text"))
@@ -104,52 +97,75 @@ def level(count: str) -> Column:
     return F.floor(F.log2(F.col(count)) * 8).cast("int")
 
 
-def best_terms(postings: DataFrame, most: int = TERMS) -> DataFrame:
-    """Rows (lang, source, item, value, rank) of the terms with most f, from rows (lang, source, term, count, p, q).
+def best_terms(kept: DataFrame, groups: DataFrame, most: int = TERMS) -> DataFrame:
+    """Rows (lang, source, item, value, rank) of the terms with most f of each group, from the rows of kept_terms().
 
-    Best-first over buckets; see above. Each wave reads the postings of its buckets alone, and takes twice as many terms."""
+    Best-first over buckets; see above. A wave reads the postings of its buckets, named in the row of their group, and
+    takes four times as many terms as the one before. Values are ranked in parts of a group first, so that no task
+    gets more than PARTS times most of a group."""
     group = ["lang", "source"]
-    rows = postings.where("p > q").withColumn("bucket", level("count"))
+    rows = postings(kept, groups).where("p > q").withColumn("bucket", level("count"))
     buckets = rows.groupBy(*group, "bucket").agg(F.max("p").alias("p"), F.min("q").alias("q"), F.count(F.lit(1)).alias("terms"))
     ahead = Window.partitionBy(*group).orderBy(F.desc("bound"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = saved(buckets.withColumn("bound", apart("p", "q")).withColumn("before", F.coalesce(F.sum("terms").over(ahead), F.lit(0))).select(*group, "bucket", "terms", "bound", "before"))
-    top = Window.partitionBy(*group).orderBy(F.desc("value"), "item")
+    buckets = saved(buckets.withColumn("bound", apart("p", "q")).withColumn("before", F.coalesce(F.sum("terms").over(ahead), F.lit(0))).select(*group, "bucket", "bound", "before"))
+    order = (F.desc("value"), F.col("item"))
     best, seen, want = None, -1, most
     while True:
         wave = buckets.where((F.col("before") < want) & (F.col("before") > seen))
         if best is not None:  # what the values so far can't rule out
-            kth = best.where(F.col("rank") == most).select(*group, F.col("value").alias("kth"))
-            wave = wave.join(kth, group, "left").where("kth is null or bound >= kth").drop("kth")
-        values = rows.join(wave.select(*group, "bucket"), [*group, "bucket"]).select(*group, F.col("term").alias("item"), apart("p", "q").alias("value"))
+            wave = _open(wave, best, most)
+        chosen = wave.groupBy(*group).agg(F.collect_list("bucket").alias("chosen"))
+        values = postings(kept, groups.join(chosen, group)).where("p > q").withColumn("bucket", level("count")).where(F.array_contains("chosen", F.col("bucket")))
+        values = values.select(*group, F.col("term").alias("item"), apart("p", "q").alias("value"), F.pmod(F.xxhash64("term"), F.lit(PARTS)).alias("part"))
+        values = values.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "part").orderBy(*order))).where(F.col("rank") <= most).drop("part", "rank")
         values = values if best is None else values.unionByName(best.drop("rank"))
-        best = saved(values.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= most))
+        best = saved(values.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= most))
         seen, want = want - 1, 4 * want
-        last = best.where(F.col("rank") == most).select(*group, F.col("value").alias("kth"))
-        if buckets.where(F.col("before") > seen).join(last, group, "left").where("kth is null or bound >= kth").isEmpty():
+        if _open(buckets.where(F.col("before") > seen), best, most).isEmpty():
             return best
 
 
-def pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
+def _open(buckets: DataFrame, best: DataFrame, most: int) -> DataFrame:
+    """The buckets whose bound isn't strictly below the last of the values that their group has, if it has as many as are wanted."""
+    kth = best.where(F.col("rank") == most).select("lang", "source", F.col("value").alias("kth"))
+    return buckets.join(kth, ["lang", "source"], "left").where("kth is null or bound >= kth").drop("kth")
+
+
+def pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows (lang, source, item, value): f summed over all kept terms, for each two sources of a language.
 
-    postings: (lang, source, term, count, p); groups: (lang, source, v, p0), v the number of terms, p0 the share of none."""
+    groups has v, the number of terms of the language, and p0, the share of a term that doesn't occur. Two postings of a
+    term meet in its row, so only sums by pairs of sources are shuffled."""
     a, b = groups.select("lang", "source", "v", "p0"), groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     both = a.join(b, "lang").where("source <> item")
-    counts = postings.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("n"))
-    other = groups.select("lang", F.col("source").alias("other"), F.col("p0").alias("z"))
-    alone = counts.join(other, "lang").where("source <> other")
-    none_p, none_q = apart("z", "own0"), apart("own0", "z")
-    alone = alone.join(groups.select("lang", "source", F.col("p0").alias("own0")), ["lang", "source"])
-    mine = alone.select("lang", "source", F.col("other").alias("item"), (F.col("n") * (apart("p", "z") - none_q)).alias("d"))
-    theirs = alone.select("lang", F.col("other").alias("source"), F.col("source").alias("item"), (F.col("n") * (apart("z", "p") - none_p)).alias("d"))
-    held = postings.join(groups.select("lang", "source", "p0"), ["lang", "source"]).select("lang", "term", "source", "p", "p0")
-    meet = held.join(held.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0")), ["lang", "term"]).where("source <> item")
+    held = postings(kept, groups)
+    counts = held.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("n"))
+    alone = counts.join(b, "lang").where("source <> item")
+    mine = alone.select("lang", "source", "item", (F.col("n") * (apart("p", "q0") - apart("p0", "q0"))).alias("d"))
+    theirs = alone.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), (F.col("n") * (apart("q0", "p") - apart("q0", "p0"))).alias("d"))
+    meet = held.select("lang", "source", "p", "p0", F.explode("held").alias("o")).select("lang", "source", "p", "p0", F.col("o.source").alias("item"), F.col("o.count").alias("other")).where("source <> item")
+    meet = meet.join(groups.select("lang", F.col("source").alias("item"), "n", "v", F.col("p0").alias("q0")), ["lang", "item"]).withColumn("q", share("other", "n", "v"))
     meet = meet.select("lang", "source", "item", (apart("p", "q") - apart("p", "q0") - apart("p0", "q") + apart("p0", "q0")).alias("d"))
     changes = mine.union(theirs).union(meet).groupBy("lang", "source", "item").agg(F.sum("d").alias("d"))
     value = F.col("v") * apart("p0", "q0") + F.coalesce(F.col("d"), F.lit(0))
     return both.join(changes, ["lang", "source", "item"], "left").select("lang", "source", "item", F.when(F.col("v") > 0, value).otherwise(F.lit(0)).cast("long").alias("value"))
 
 
+def kept_terms(found: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """Rows (lang, term, all, held) of the terms that languages keep: occurrences, and those of each source.
+
+    The counts are dealt once, by language and term; a row holds a number for each source of the language at most."""
+    by_source = found.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    terms = by_source.groupBy("lang", "term").agg(F.sum("count").alias("all"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "count")).alias("held"))
+    return terms.where(F.col("docs") >= least_docs).drop("docs")
+
+
+def postings(kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (lang, source, term, count, p, q, p0) for each source of a term, with the term's held and the group's columns."""
+    rows = kept.select("lang", "term", "all", "held", F.explode("held").alias("_h")).select("lang", F.col("_h.source").alias("source"), "term", F.col("_h.count").alias("count"), "all", "held")
+    return rows.join(groups, ["lang", "source"]).withColumns({"p": share("count", "n", "v"), "q": share("all", "lang_n", "v")})
+
+
 def audited(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", most: int = TERMS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Rows (lang, source, part, item, value, rank) of each group of documents of a language and a source.
 
@@ -159,16 +175,12 @@ def audited(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     empty; a group without terms has its pairs, a language of one source no pair, one without kept terms pairs of value 0.
     Texts are whole, however long, and are read a stretch at a time. Equal values are ranked by item. Other columns are not
     looked at. An empty table gives an empty result."""
-    found = saved(counted(docs, text_col, lang_col, source_col).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")))
-    kept = saved(found.where("term is not null").groupBy("lang", "term").agg(F.sum("count").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term", "all"))
+    kept = saved(kept_terms(counted(docs, text_col, lang_col, source_col), least_docs))
     langs = kept.groupBy("lang").agg(F.sum("all").alias("lang_n"), F.count(F.lit(1)).alias("v"))
-    counts = saved(found.where("term is not null").join(kept, ["lang", "term"]).select("lang", "source", "term", "count", "all"))
-    sums = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    groups = found.where("term is null").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
-    groups = groups.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), "lang_n")
+    sums = kept.select("lang", F.explode("held").alias("h")).groupBy("lang", F.col("h.source").alias("source")).agg(F.sum("h.count").alias("n"))
+    named = docs.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source")).distinct()
+    groups = named.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), "lang_n")
     groups = saved(groups.withColumn("p0", F.when(F.col("v") > 0, share("0", "n", "v")).otherwise(F.lit(1))))
-    shares = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "count", share("count", "n", "v").alias("p"), share("all", "lang_n", "v").alias("q"))
-    postings = saved(shares)
-    ranked = pairs(postings, groups).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
+    ranked = pairs(kept, groups).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     out = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))
-    return out(ranked, "pair").union(out(best_terms(postings, most), "term"))
+    return out(ranked, "pair").union(out(best_terms(kept, groups, most), "term"))

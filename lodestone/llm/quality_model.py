@@ -175,7 +175,8 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     """The scorer, and the posterior of each vote pattern.
 
     The votes of all documents are counted. At most sample of them train the scorer, the first by a hash of id, text and
-    place in the input, so that rows that repeat are sampled like any others. There is no scorer if the sample holds less
+    place in the input, so that rows that repeat are sampled like any others; one task fits it, and the driver gets the
+    weights alone. There is no scorer if the sample holds less
     than one document's weight of good or of bad ones; then the posteriors judge."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text, F.monotonically_increasing_id()).alias("h"))
@@ -197,22 +198,30 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
         for b in batches:
             texts = b.column(0).to_pylist()
             found = [features(t, of) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32())), pa.array([pattern(votes(t)) for t in texts], pa.int64())], ["b", "s", "pattern"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32())), pa.array([pattern(votes(t)) for t in texts], pa.int64())], ["h", "b", "s", "pattern"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = pa.Table.from_batches(list(batches))
+        if not taken.num_rows:
+            return
+        order = np.argsort(taken["h"].to_numpy().view(np.uint64), kind="stable")[:sample]
+        taken = taken.take(pa.array(order)).combine_chunks()
+        target = np.array([known[p] for p in taken["pattern"].to_pylist()])
+        if min(target.sum(), (1 - target).sum()) < 1:
+            return
+        sizes = taken["b"].combine_chunks().value_lengths().to_numpy()
+        model = fitted(sizes, *[taken[c].combine_chunks().flatten().to_numpy() for c in ("b", "s")], target)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+        del taken, model
+        released()
 
     drawn = np.sort(rows.where(F.shiftrightunsigned("h", 11) < int(share * 2**53)).select("h").toArrow()["h"].to_numpy().view(np.uint64))  # some more than sample
-    last = int(drawn[:sample][-1:].view(np.int64)[0]) if len(drawn) else 0
-    near = rows.where(F.shiftrightunsigned("h", 1) <= F.shiftrightunsigned(F.lit(last), 1)) if len(drawn) else rows.limit(0)
-    taken = near.select("text").mapInArrow(featured, "b array<int>, s array<float>, pattern long").toArrow()
-    taken = taken.slice(0, sample).combine_chunks()
-    target = np.array([known[p] for p in taken["pattern"].to_pylist()])
-    if min(target.sum(), (1 - target).sum()) < 1:
+    if not len(drawn):
         return None, known
-    sizes = taken["b"].combine_chunks().value_lengths().to_numpy()
-    flat = [taken[c].combine_chunks().flatten().to_numpy() for c in ("b", "s")]
-    model = fitted(sizes, *flat, target)
-    del taken, sizes, flat
-    released()  # the driver has it back
-    return model, known
+    last = int(drawn[:sample][-1:].view(np.int64)[0])
+    near = rows.where(F.shiftrightunsigned("h", 1) <= F.shiftrightunsigned(F.lit(last), 1))
+    found = near.mapInArrow(featured, "h long, b array<int>, s array<float>, pattern long").repartition(1).mapInArrow(fit, "weights binary, bias double").collect()
+    return (Model(np.frombuffer(found[0]["weights"]), found[0]["bias"]) if found else None), known
 
 
 class Judge:
@@ -234,7 +243,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     """Rows (id, weak, score, kept) for each row of docs: posterior of its votes, probability of the scorer, verdict.
 
     A null or empty text counts as one without words: it scores 0 and isn't kept. Rows that repeat are scored as often
-    as they come; other columns are not looked at. An empty table gives an empty result."""
+    as they come; texts are whole, however long; other columns are not looked at. An empty table gives an empty result."""
     model, known = trained(docs, id_col, text_col, sample)
     shared = docs.sparkSession.sparkContext.broadcast((model, known))
 
@@ -250,7 +259,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns."""
+    """The rows of docs that the classifier keeps, with all their columns, whatever their names. Cases as in scored()."""
     shared, at = docs.sparkSession.sparkContext.broadcast(trained(docs, id_col, text_col, sample)), docs.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,8 +100,8 @@ def judged(docs: DataFrame, text_col: str = "text", host: str | Column = "source
     """Columns keep, the measures, _base_failed and _kept for each row of docs.
 
     A null text counts as empty and so fails for its length; rows with a null host form one host; rows that repeat
-    are judged, and returned, as often as they come; other columns are not looked at. An empty table gives an empty
-    result."""
+    are judged, and returned, as often as they come; texts are whole, however long; other columns are not looked at. An
+    empty table gives an empty result."""
     limits = limits or Limits()
     host = F.col(host) if isinstance(host, str) else host
     rows = docs.select(*keep, F.coalesce(host, F.lit("")).alias("_host"), F.col(text_col).alias("_text"))
@@ -116,7 +116,13 @@ def judged(docs: DataFrame, text_col: str = "text", host: str | Column = "source
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    key = [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")]
-    good = judged(docs.select(*key, F.col(text_col).alias("_t"), (F.col(host) if isinstance(host, str) else host).alias("_src")), "_t", "_src", ("_id", "_hash")).where("_kept").select("_id", "_hash").distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(good["_id"]) & (F.xxhash64(docs[text_col]) == good["_hash"]), "left_semi")
+    """The rows of docs that the rules keep, with all their columns. Cases as in judged(); texts are whole, however long.
+
+    A verdict depends on a row's text and host alone. Rows are found again by two hashes of id, text and host, so that
+    rows with equal ids, or equal texts on other hosts, have each their own verdict, and copies are spread by their ids."""
+    host = F.col(host) if isinstance(host, str) else host
+    parts = [F.col(id_col).cast("string"), F.col(text_col), host]
+    mark = [x for p in parts for x in (p.isNull(), p)]
+    key = [F.xxhash64(*mark).alias("_k1"), F.xxhash64(F.lit("second"), *mark).alias("_k2")]
+    good = judged(docs.select(*key, F.col(text_col).alias("_t"), host.alias("_src")), "_t", "_src", ("_k1", "_k2")).where("_kept").select("_k1", "_k2").distinct()
+    return docs.join(good, (key[0] == good["_k1"]) & (key[1] == good["_k2"]), "left_semi")

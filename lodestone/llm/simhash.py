@@ -104,7 +104,7 @@ def bucket_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(distinct.sparkSession, 25 * len(covering_masks()) * distinct.count(), 64 << 20)
     return rows.repartition(parts, "t", "key").sortWithinPartitions("t", "key").mapInArrow(of, "u long, v long")
 
 
@@ -177,13 +177,8 @@ def _candidate_groups(nodes: DataFrame, n: int) -> DataFrame:
     return saved(found.select("h", F.coalesce("component", "label").alias("comp")))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row (id, component) for each row of docs with an id: the smallest id reachable over near copies.
-
-    Texts link if their sets of shingles of so many words, in lower case, have at least that Jaccard similarity and
-    their fingerprints connect. A null text counts as empty, and empty texts are copies of each other; a text of fewer
-    words is one shingle. Rows that repeat are copies. Other columns of docs are not looked at. An empty table gives
-    an empty result."""
+def _near_rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, t, h) for each row with an id, t a hash of its text and h of its set; and (h, c) with the group of each set."""
     texts = near_copies.texts_of(docs, id_col, text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,22 +187,39 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             raw = b.column(1).to_pylist()
             sets = [near_copies.shingles(t, seen, words) for t in raw]
             cols = [[fingerprint(t) for t in raw], [near_copies.set_hash(s) for s in sets]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array([len(s) for s in sets], pa.int32())], ["id", "fp", "h", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in cols), pa.array([len(s) for s in sets], pa.int32())], ["id", "t", "fp", "h", "n"])
 
-    rows = saved(texts.mapInArrow(of, "id long, fp long, h long, n int"))
+    rows = saved(texts.withColumn("t", F.xxhash64("text")).mapInArrow(of, "id long, t long, fp long, h long, n int"))
     nodes = saved(rows.groupBy("h").agg(F.min("fp").alias("fp")))
     groups = _candidate_groups(nodes, nodes.count())
     links = components(near_copies.verified(groups, texts, rows, words, similarity))
-    owners = rows.groupBy("h").agg(F.min("id").alias("least")).join(links, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("c"))
-    owners = saved(owners)
-    named = joined(owners, owners.groupBy("c").agg(F.min("least").alias("component")), "c", "h").select("h", "component")
-    return joined(rows.select("id", "h"), named, "h", "id").select("id", "component")
+    owners = rows.select("h").distinct().join(links, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("c"))
+    return rows.select("id", "t", "h"), saved(owners)
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row (id, component) for each row of docs with an id: the smallest id reachable over near copies.
+
+    Texts link if their sets of shingles of so many words, in lower case, have at least that Jaccard similarity and
+    their fingerprints connect. A null text counts as empty, and empty texts are copies of each other; a text of fewer
+    words is one shingle. Rows that repeat are copies; texts are whole, however long. Other columns of docs are not
+    looked at. An empty table gives an empty result."""
+    rows, owners = _near_rows(docs, id_col, text_col, words, similarity)
+    sets = rows.groupBy("h").agg(F.min("id").alias("least")).join(owners, "h")
+    named = joined(owners, sets.groupBy("c").agg(F.min("least").alias("component")), "c", "h").select("h", "component")
+    return joined(rows, named, "h", "id").select("id", "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay: one of each group of near copies, that with the smallest id.
 
-    Where rows with one id differ, one stays if any is its group's smallest id; rows without an id stay."""
-    found = near_components(docs, id_col, text_col, words, similarity).where("id = component").select(F.col("id").alias("_kept_id")).distinct()
-    kept = docs.join(found, docs[id_col] == found["_kept_id"], "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    Rows with one id and different texts are rows like others: each stays unless it is a near copy of an earlier one. Of
+    equal ids in a group the one whose text has the least hash stays, of rows with equal ids and texts any one; rows
+    without an id stay."""
+    rows, owners = _near_rows(docs, id_col, text_col, words, similarity)
+    sets = rows.groupBy("h").agg(F.min(F.struct("id", "t")).alias("least")).join(owners, "h")
+    found = sets.groupBy("c").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_kept_id"), F.col("least.t").alias("_kept_text"))
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    kept = docs.join(found, (docs[id_col] == found["_kept_id"]) & (mark == found["_kept_text"]), "left_semi")
+    name = "_".join([*docs.columns, "mark"])  # no column's name
+    return kept.withColumn(name, mark).dropDuplicates([id_col, name]).drop(name).unionByName(docs.where(F.col(id_col).isNull()))

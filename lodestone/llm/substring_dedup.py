@@ -9,7 +9,9 @@ deep are the repeats, and the least of the documents below one tells which of it
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -17,25 +19,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import HELD, PRIME, STEP_BYTES, U, Kind, covered, dropped, mixed, span_hashes
+from .repeats import HELD, PRIME, STEP_BYTES, U, Kind, covered, dropped, mixed
 from .shared import saved
 
 WINDOW, SUBTREE = 13, 400_000
 BLANK = b" \t\n\x0b\x0c\r"
 
 
+class Numbers(dict):
+    """64-bit numbers of words, keyed BLAKE2b, each made once while the table is small."""
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[w] = h = int.from_bytes(blake2b(w, digest_size=8, key=self.key).digest(), "little")
+        return h
+
+
 class Words(Kind):
+    """Words as numbers that a key of the run gives them: no text is so made that two of its words get one number."""
+
     size, gram, own_starts = WINDOW, 5, False
 
+    def __init__(self, key: bytes | None = None):
+        self.key = key or os.urandom(16)
+
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        blank = np.empty(len(data) + 1, bool)
-        blank[0] = True
-        blank[1:] = (data == 32) | ((data >= 9) & (data <= 13))
-        edge = np.flatnonzero(blank[1:] != blank[:-1])
-        starts, ends = edge[::2], edge[1::2]
-        text_at = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        return span_hashes(data, starts, ends), np.searchsorted(starts, text_at)
+        numbers, parts = Numbers(self.key), []
+        for t in texts:
+            w = t.split()
+            parts.append(np.fromiter(map(numbers.__getitem__, w), U, len(w)))
+        return (np.concatenate(parts) if parts else np.zeros(0, U)), np.cumsum([0, *map(len, parts)])
 
     def grams(self, symbols: np.ndarray) -> np.ndarray:
         n = max(len(symbols) - self.gram + 1, 0)

@@ -96,3 +96,11 @@ def test_shared_counts():
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(50)]
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert near_copies.shared_counts(sets).tolist() == want
+
+
+def test_equal_ids_with_different_texts(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(1, one, "x"), (1, two, "y"), (2, one + " more", "z"), (3, two, "u"), (1, one, "again"), (None, one, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _mark string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicated(df).collect()), key=str)
+    assert kept == sorted([(1, one), (1, two), (None, one)], key=str)

@@ -96,3 +96,14 @@ def test_against_labels(spark):
     out = M.scored(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet").withColumnRenamed("doc_id", "id"), "id").select("quality", "kept").collect()
     bad, good = [r["kept"] for r in out if r["quality"] == 0], [r["kept"] for r in out if r["quality"] == 1]
     assert len(bad) > 20 and len(good) > 20 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
+def test_each_row_has_its_own_verdict(spark):
+    """Rows with equal ids and texts on a good and on a bad host, and rows that differ in what is null."""
+    clean = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    junk = " ".join(w + "###" for w in clean.split())
+    rows = [(i, junk, "bad") for i in range(60)] + [(i, clean, "good") for i in range(400)] + [(1, junk, "good"), (None, clean, None), (7, None, "good"), (None, junk, "bad")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, _k1 int, _host int")
+    kept = Q.accepted(df).collect()
+    assert (1, junk, "good") in {tuple(r)[:3] for r in kept} and not any(r["source"] == "bad" for r in kept)
+    assert len(kept) == 402 and (None, clean, None) in {tuple(r)[:3] for r in kept}

@@ -131,3 +131,12 @@ def test_stretches(lengths, step):
         whole = kind.read([text])[0]
         assert np.concatenate([parts[0], *(p[kind.size - 1 :] for p in parts[1:])]).tolist() == whole.tolist()
         assert all(p[: kind.size - 1].tolist() == q[1 - kind.size :].tolist() for q, p in zip(parts, parts[1:], strict=False))
+
+
+def test_words_that_a_polynomial_takes_for_equal(spark):
+    """A Thue-Morse word and its complement: equal under any polynomial modulo a power of two."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.removed(rows).orderBy("id").collect()] == [0, 0, 13]

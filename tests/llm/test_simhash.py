@@ -51,8 +51,10 @@ def test_chains_link(spark):
 
 def test_deduplicated(documents, no_documents):
     kept = simhash.deduplicated(documents)
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == documents.columns and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    ids = [i for i, _ in rows]
+    assert kept.columns == documents.columns and len(rows) == len(set(rows))
+    assert ids.count(5) == 2  # two rows with one id and different texts
     assert 4 in ids and 61 not in ids
     assert simhash.deduplicated(no_documents).collect() == [] and simhash.simhash_components(no_documents).collect() == []
 

@@ -4,7 +4,12 @@ Documents that the quality classifier or the quality rules reject go; one docume
 stays; repeated passages are taken out of the texts; what is left is packed into sequences.
 
 The last stage gives the pieces of documents with their places in sequences; their words are those of the fourth stage's
-texts, from start on."""
+texts, from start on.
+
+Documents need the columns doc_id, text, source and n_chars; any others, whatever their names, are carried through the first
+four stages. A null or empty text has no words: the classifier and the rules reject it. Rows that repeat are near copies,
+of which one stays; rows with one id and different texts are different documents; a null source is a host of its own.
+Texts are whole, however long. An empty table gives empty results at every stage."""
 
 from __future__ import annotations
 

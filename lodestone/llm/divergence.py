@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import released, saved
 
 UNIT, LEAST_DOCS, TERMS, PARTS = 1_000_000_000, 3, 200, 32
-FLUSH, STRETCH = 200_000, 1 << 20
+FLUSH, STRETCH, FEW_GROUPS = 500_000, 1 << 20, 20_000
 #: Bytes of terms stay, A-Z as a-z; all others part terms.
 TABLE = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -83,8 +83,9 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
 
 
 def share(count: str, n: str, v: str) -> Column:
-    """1 + floor(UNIT x (count + 1) / (n + v)); exact for any counts."""
-    return F.expr(f"1L + (CAST({UNIT} AS DECIMAL(38,0)) * ({count} + 1L)) div ({n} + {v})")
+    """1 + floor(UNIT x (count + 1) / (n + v)); exact for any counts: what a long can't hold is done in decimals."""
+    exact = f"(CAST({UNIT} AS DECIMAL(38,0)) * ({count} + 1L)) div ({n} + {v})"
+    return F.expr(f"1L + CASE WHEN {count} < {(2**63 - 1) // UNIT - 1}L THEN ({UNIT}L * ({count} + 1L)) div ({n} + {v}) ELSE {exact} END")
 
 
 def apart(p: str, q: str) -> Column:
@@ -97,7 +98,7 @@ def level(count: str) -> Column:
     return F.floor(F.log2(F.col(count)) * 8).cast("int")
 
 
-def best_terms(kept: DataFrame, groups: DataFrame, most: int = TERMS) -> DataFrame:
+def best_terms(kept: DataFrame, groups: DataFrame, most: int = TERMS, few: bool = False) -> DataFrame:
     """Rows (lang, source, item, value, rank) of the terms with most f of each group, from the rows of kept_terms().
 
     Best-first over buckets; see above. A wave reads the postings of its buckets, named in the row of their group, and
@@ -115,7 +116,8 @@ def best_terms(kept: DataFrame, groups: DataFrame, most: int = TERMS) -> DataFra
         if best is not None:  # what the values so far can't rule out
             wave = _open(wave, best, most)
         chosen = wave.groupBy(*group).agg(F.collect_list("bucket").alias("chosen"))
-        values = postings(kept, groups.join(chosen, group)).where("p > q").withColumn("bucket", level("count")).where(F.array_contains("chosen", F.col("bucket")))
+        named = groups.join(chosen, group)
+        values = postings(kept, F.broadcast(named) if few else named).where("p > q").withColumn("bucket", level("count")).where(F.array_contains("chosen", F.col("bucket")))
         values = values.select(*group, F.col("term").alias("item"), apart("p", "q").alias("value"), F.pmod(F.xxhash64("term"), F.lit(PARTS)).alias("part"))
         values = values.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "part").orderBy(*order))).where(F.col("rank") <= most).drop("part", "rank")
         values = values if best is None else values.unionByName(best.drop("rank"))
@@ -143,9 +145,13 @@ def pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     alone = counts.join(b, "lang").where("source <> item")
     mine = alone.select("lang", "source", "item", (F.col("n") * (apart("p", "q0") - apart("p0", "q0"))).alias("d"))
     theirs = alone.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), (F.col("n") * (apart("q0", "p") - apart("q0", "p0"))).alias("d"))
-    meet = held.select("lang", "source", "p", "p0", F.explode("held").alias("o")).select("lang", "source", "p", "p0", F.col("o.source").alias("item"), F.col("o.count").alias("other")).where("source <> item")
+    later = F.slice("held", F.col("i") + 2, F.size("held"))  # each two postings of a term once
+    meet = held.select("lang", "source", "p", "p0", F.explode(later).alias("o")).select("lang", "source", "p", "p0", F.col("o.source").alias("item"), F.col("o.count").alias("other"))
     meet = meet.join(groups.select("lang", F.col("source").alias("item"), "n", "v", F.col("p0").alias("q0")), ["lang", "item"]).withColumn("q", share("other", "n", "v"))
-    meet = meet.select("lang", "source", "item", (apart("p", "q") - apart("p", "q0") - apart("p0", "q") + apart("p0", "q0")).alias("d"))
+    change = lambda p, q, p0, q0: F.sum(apart(p, q) - apart(p, q0) - apart(p0, q) + apart(p0, q0))
+    meet = meet.groupBy("lang", "source", "item").agg(change("p", "q", "p0", "q0").alias("d"), change("q", "p", "q0", "p0").alias("back"))
+    ways = F.explode(F.array(F.struct("source", "item", "d"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("d"))))
+    meet = meet.select("lang", ways.alias("w")).select("lang", "w.*")
     changes = mine.union(theirs).union(meet).groupBy("lang", "source", "item").agg(F.sum("d").alias("d"))
     value = F.col("v") * apart("p0", "q0") + F.coalesce(F.col("d"), F.lit(0))
     return both.join(changes, ["lang", "source", "item"], "left").select("lang", "source", "item", F.when(F.col("v") > 0, value).otherwise(F.lit(0)).cast("long").alias("value"))
@@ -161,8 +167,9 @@ def kept_terms(found: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 
 def postings(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (lang, source, term, count, p, q, p0) for each source of a term, with the term's held and the group's columns."""
-    rows = kept.select("lang", "term", "all", "held", F.explode("held").alias("_h")).select("lang", F.col("_h.source").alias("source"), "term", F.col("_h.count").alias("count"), "all", "held")
+    """Rows (lang, source, term, count, p, q, p0) for each source of a term, with the term's held, the source's place i in
+    it, and the group's columns. Groups are broadcast if they are few."""
+    rows = kept.select("lang", "term", "all", "held", F.posexplode("held").alias("i", "_h")).select("lang", F.col("_h.source").alias("source"), "term", F.col("_h.count").alias("count"), "all", "held", "i")
     return rows.join(groups, ["lang", "source"]).withColumns({"p": share("count", "n", "v"), "q": share("all", "lang_n", "v")})
 
 
@@ -181,6 +188,8 @@ def audited(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     named = docs.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source")).distinct()
     groups = named.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), "lang_n")
     groups = saved(groups.withColumn("p0", F.when(F.col("v") > 0, share("0", "n", "v")).otherwise(F.lit(1))))
+    few = groups.count() <= FEW_GROUPS  # then a row for each, with its buckets, some 1000 bytes, goes to all tasks
+    groups = F.broadcast(groups) if few else groups
     ranked = pairs(kept, groups).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     out = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))
-    return out(ranked, "pair").union(out(best_terms(kept, groups, most), "term"))
+    return out(ranked, "pair").union(out(best_terms(kept, groups, most, few), "term"))

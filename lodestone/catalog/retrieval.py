@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import postings as P
 from ..operators import retrieval as R
 from .registry import load, query
 
@@ -39,7 +40,30 @@ BM25 = f"""WITH t AS (SELECT item_id, {_tokens_sql('text')} AS w FROM benchmark)
 
 @query(BM25 + "SELECT item_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, item_id LIMIT 20")
 def bm25(spark, d):
-    return R.bm25(load(spark, d, "benchmark"), "item_id", "text", QUESTION).orderBy(F.desc("score"), "item_id").limit(20).withColumn("score", F.round("score", 6))
+    return P.bm25(load(spark, d, "benchmark"), "item_id", "text", QUESTION).orderBy(F.desc("score"), "item_id").limit(20).withColumn("score", F.round("score", 6))
+
+
+#: The tokens of all documents, one a row; runs of characters by windows, as substrings of long texts are slow in SQL.
+DOC_TOKENS = f"""c AS MATERIALIZED (SELECT doc_id, unnest(string_split({COMPACT.format(t="text")}, '')) AS ch, generate_subscripts(string_split({COMPACT.format(t="text")}, ''), 1) AS i FROM documents),
+    g AS MATERIALIZED (SELECT doc_id, ch || lead(ch) OVER w AS two, ch || lead(ch) OVER w || lead(ch, 2) OVER w AS three FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    h AS MATERIALIZED (SELECT doc_id, unnest({WORDS.format(t="text")}) AS token FROM documents UNION ALL SELECT doc_id, two FROM g WHERE two IS NOT NULL UNION ALL SELECT doc_id, three FROM g WHERE three IS NOT NULL)"""
+
+
+@query(f"""WITH {DOC_TOKENS}, l AS (SELECT doc_id, count(token) AS n FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id), a AS (SELECT count(*) AS docs, avg(n) AS avg_n FROM l),
+    q AS (SELECT token, count(*) AS times FROM (SELECT unnest({_tokens_sql("'" + QUESTION + "'")}) AS token) GROUP BY token),
+    f AS (SELECT doc_id, token, count(*) AS tf FROM h JOIN q USING (token) GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM f GROUP BY token)
+    SELECT doc_id, round(sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avg_n))), 6) AS score FROM f JOIN d USING (token) JOIN q USING (token) JOIN l USING (doc_id), a GROUP BY doc_id""")
+def bm25_documents(spark, d):
+    """Every document that shares a token with the question."""
+    return P.bm25(load(spark, d, "documents"), "doc_id", "text", QUESTION).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {DOC_TOKENS}, k AS (SELECT token, doc_id, count(*) AS tf FROM h GROUP BY ALL)
+    SELECT token, count(*) AS holders, sum(tf)::BIGINT AS occurrences, max(tf) AS most FROM k GROUP BY token""")
+def stored_postings(spark, d):
+    """What the index of all documents holds for each token."""
+    held = P.index(load(spark, d, "documents"), "doc_id", "text").postings
+    return held.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"))
 
 
 TOP = """SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {q})), 6) AS score FROM embeddings{where}) ORDER BY rank LIMIT {k}"""
@@ -76,7 +100,7 @@ def rrf_fusion(spark, d):
     u AS (SELECT item_id, rank FROM a WHERE rank <= 10 UNION ALL SELECT item_id, rank FROM b WHERE rank <= 10) SELECT item_id, round(sum(1.0 / (60 + rank)), 8)::DOUBLE AS score, count(*) AS channels FROM u GROUP BY item_id""".replace(", a AS NOT MATERIALIZED", ", z AS").replace("FROM a WHERE", "FROM z WHERE"))
 def rrf_dual_merge(spark, d):
     docs = load(spark, d, "benchmark")
-    lexical = R.ranked(R.bm25(docs, "item_id", "text", QUESTION).withColumn("score", F.round("score", 6)), "score", "item_id", 10)
+    lexical = R.ranked(P.bm25(docs, "item_id", "text", QUESTION).withColumn("score", F.round("score", 6)), "score", "item_id", 10)
     length = R.ranked(docs.select("item_id", F.size(X.tokens(F.col("text"))).alias("score")), "score", "item_id", 10)
     return R.fused([lexical, length], "item_id").withColumn("score", F.round("score", 8))
 
@@ -143,7 +167,7 @@ def redundancy_jaccard(spark, d):
 @query()
 def greedy_mmr(spark, d):
     docs = load(spark, d, "documents")
-    scores = R.ranked(R.bm25(docs, "doc_id", "text", "the and of"), "score", "doc_id", 40)
+    scores = R.ranked(P.bm25(docs, "doc_id", "text", "the and of"), "score", "doc_id", 40)
     terms = F.array_distinct(X.words(F.col("text"))).alias("terms")
     c = scores.join(docs, "doc_id").select(F.lit("q").alias("query"), F.col("doc_id").alias("id"), (F.col("score") / 100).alias("relevance"), F.col("source").alias("format"), terms)
     return R.selected(c)

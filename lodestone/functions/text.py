@@ -16,19 +16,27 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """Runs of n characters of the text in lower case without white space; linear in its length."""
-    compact = F.regexp_replace(F.lower(text), r"\s+", "")
-    chars = F.filter(F.split(compact, ""), lambda c: c != "")
+def with_value(value: Column, of) -> Column:
+    """of(value), with the value computed once however often of names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def characters(text: Column) -> Column:
+    """The characters of the text in lower case without white space."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"\s+", ""), ""), lambda c: c != "")
+
+
+def ngrams(chars: Column, n: int) -> Column:
+    """Runs of n of the characters; linear in their number."""
     runs = chars
     for i in range(1, n):
         runs = F.zip_with(runs, F.slice(chars, F.lit(i + 1), F.greatest(F.size(chars) - i, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.filter(runs, lambda c: c.isNotNull())
+    return F.slice(runs, F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(0)))
 
 
 def tokens(text: Column) -> Column:
     """Words, then runs of two and of three characters."""
-    return F.concat(words(text), ngrams(text, 2), ngrams(text, 3))
+    return F.concat(words(text), with_value(characters(text), lambda c: F.concat(ngrams(c, 2), ngrams(c, 3))))
 
 
 def query_tokens(text: str) -> list[str]:

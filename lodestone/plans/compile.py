@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import retrieval, structured, timeseries
+from ..operators import postings, retrieval, structured, timeseries
 from .model import PlanError, QueryPlan
 
 
@@ -56,7 +56,7 @@ def run_retriever(plan: QueryPlan, name: str, df: DataFrame, row_id: str | None
     if name == "timeseries":
         return timeseries.run(plan, df)
     if name == "text":
-        found = retrieval.bm25(df, row_id or "doc_id", "text", plan.query_text)
+        found = postings.bm25_of(df, row_id or "doc_id", "text", plan.query_text)
         return found.orderBy(F.desc("score"), row_id or "doc_id").limit(plan.top_k)
     if name == "geometry":
         rows = structured.filtered(df, plan.hard_conditions)

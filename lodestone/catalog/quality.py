@@ -10,8 +10,8 @@ from ..operators import quality as Q
 from ..operators import structured as S
 from .registry import load, query
 
-CHECK = """SELECT '{rule}' AS rule, CASE WHEN count(*) = 0 THEN 'NOT_APPLICABLE' WHEN sum(ok::INT) < count(*) THEN 'FAIL' ELSE 'PASS' END AS status, {critical} AS critical, count(*) AS denominator, sum(ok::INT)::BIGINT AS passed,
-    (count(*) - sum(ok::INT))::BIGINT AS n_issues, coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT i FROM x WHERE NOT ok ORDER BY i LIMIT 100)), '') AS issues FROM x"""
+CHECK = """SELECT '{rule}' AS rule, CASE WHEN coalesce(sum(ok::INT), 0) < count(ok) THEN 'FAIL' WHEN count(ok) > 0 THEN 'PASS' WHEN count(*) > 0 THEN 'NOT_ASSESSED' ELSE 'NOT_APPLICABLE' END AS status, {critical} AS critical, count(ok) AS denominator, coalesce(sum(ok::INT), 0)::BIGINT AS passed,
+    (count(ok) - coalesce(sum(ok::INT), 0))::BIGINT AS n_issues, count(*) - count(ok) AS unassessed, coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT i FROM x WHERE NOT ok ORDER BY i LIMIT 100)), '') AS issues FROM x"""
 
 
 def _sql(rule: str, rows: str, critical: str = "false") -> str:
@@ -33,12 +33,14 @@ def dq_nulls(spark, d):
     return Q.check(load(spark, d, "events"), "nulls", Q.null_ok(value, nullable, why), k)
 
 
-@query(_sql("time", "SELECT o_orderkey::VARCHAR AS i, CASE o_orderkey % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false ELSE false END AS ok FROM orders"))
+@query(_sql("time", """SELECT o_orderkey::VARCHAR AS i, CASE o_orderkey % 8 WHEN 0 THEN false WHEN 3 THEN false WHEN 4 THEN NULL WHEN 5 THEN day(o_orderdate) <= 12 WHEN 7 THEN false ELSE true END AS ok FROM orders"""))
 def dq_time(spark, d):
-    """Five kinds: no time at all, a day where days are declared, a zoned instant, one whose zone doesn't exist, and one finer than declared."""
-    k, day = F.col("o_orderkey") % 5, F.date_format("o_orderdate", "yyyy-MM-dd")
-    text = F.when(k == 0, "31/31/99").when(k == 1, day).when(k == 2, F.concat(day, F.lit("T10:00:00+02:00"))).when(k == 3, F.concat(day, F.lit("T10:00:00"))).otherwise(F.concat(day, F.lit("T10:00:30Z")))
-    zone, grain = F.when(k == 3, "Mars/Olympus"), F.when(k == 1, "day").when(k == 4, "minute").otherwise("second")
+    """No time at all, a day, a zoned instant, a declared zone that doesn't exist, a time without any zone, a day with day and
+    month exchanged, a time in a declared zone, and an instant where days are declared."""
+    k, day = F.col("o_orderkey") % 8, F.date_format("o_orderdate", "yyyy-MM-dd")
+    clock = F.concat(day, F.lit("T10:00"))
+    text = F.when(k == 0, "31/31/99").when(k == 1, day).when(k == 2, F.concat(clock, F.lit("Z"))).when(k == 5, F.date_format("o_orderdate", "yyyy-dd-MM")).when(k == 7, F.concat(clock, F.lit(":30+02:00"))).otherwise(clock)
+    zone, grain = F.when(k == 3, "Mars/Olympus").when(k == 6, "Asia/Shanghai"), F.when(k.isin(1, 7), "day")
     return Q.check(load(spark, d, "orders"), "time", Q.time_ok(text, zone, grain), F.col("o_orderkey"))
 
 

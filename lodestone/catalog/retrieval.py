@@ -133,16 +133,15 @@ def dimension_match(spark, d):
     return load(spark, d, "orders").select("o_orderkey", R.same_dimensions(F.array(a, b), F.array(b + 1, a), 0.01).alias("same"))
 
 
-ADMISSION = "(0.68, 0.0, 0.0, false), (0.6799, 0.0, 0.0, false), (0.51, 0.0, 0.0, true), (0.5099, 0.13, 20.0, true), (0.1, 0.14, 0.0, true), (0.1, 0.48, 12.0, false), (0.1, 0.48, 11.99, false), (0.1, 0.4799, 30.0, false), (-0.5, 1.0, 0.0, true), (0.99, 1.0, 50.0, true)"
-
-
-@query(f"""WITH c AS (SELECT row_number() OVER () AS id, * FROM (VALUES {ADMISSION}) AS t(cosine, coverage, b, a)), w AS (SELECT * FROM (VALUES (1, 'SEMANTIC', 0.442), (2, 'BELOW_FLOOR', 0.441935), (3, 'ANCHORED_SEMANTIC', 0.4115), (4, 'BELOW_FLOOR', 0.456935), (5, 'ANCHORED_LEXICAL', 0.194),
-    (6, 'LEXICAL', 0.233), (7, 'BELOW_FLOOR', 0.233), (8, 'BELOW_FLOOR', 0.232965), (9, 'ANCHORED_LEXICAL', 0.43), (10, 'ANCHORED_SEMANTIC', 0.98)) AS t(id, reason, relevance)) SELECT id::BIGINT AS id, reason, relevance::DOUBLE AS relevance FROM w JOIN c USING (id)""")
+@query("""WITH s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 4) AS c, (vec_id % 60) / 100 AS v, (vec_id * 7 % 300) / 20 AS b, vec_id % 3 = 0 AS a FROM embeddings)
+    SELECT vec_id, CASE WHEN a AND c >= 0.51 THEN 'ANCHORED_SEMANTIC' WHEN c >= 0.68 THEN 'SEMANTIC' WHEN a AND v >= 0.14 THEN 'ANCHORED_LEXICAL' WHEN v >= 0.48 AND b >= 12 THEN 'LEXICAL' ELSE 'BELOW_FLOOR' END AS reason,
+    round(least(0.98, 0.65 * greatest(0, c) + 0.35 * v + 0.08 * a::INT), 9)::DOUBLE AS relevance FROM s""")
 def admission_policy(spark, d):
-    """Candidates at, just under and above each floor."""
-    rows = [(i, *(float(x) if x.strip() not in ("true", "false") else x.strip() == "true" for x in r.split(","))) for i, r in enumerate(ADMISSION[1:-1].split("), ("), 1)]
-    c = spark.createDataFrame(rows, "id long, cosine double, coverage double, b double, a boolean")
-    return c.select("id", R.admission(F.col("cosine"), F.col("coverage"), F.col("b"), F.col("a")).alias("reason"), F.round(R.relevance(F.col("cosine"), F.col("coverage"), F.col("a")), 6).alias("relevance"))
+    """Vectors as candidates: cosine to one of them, a coverage and a lexical score by id, every third one anchored."""
+    k = F.col("vec_id")
+    array = F.array(*[F.lit(float(x)) for x in _vector(spark, d, 7)])
+    c = load(spark, d, "embeddings").select("vec_id", F.round(V.cosine(F.col("embedding"), array), 4).alias("c"), (k % 60 / 100).alias("v"), (k * 7 % 300 / 20).alias("b"), (k % 3 == 0).alias("a"))
+    return c.select("vec_id", R.admission(F.col("c"), F.col("v"), F.col("b"), F.col("a")).alias("reason"), F.round(R.relevance(F.col("c"), F.col("v"), F.col("a")), 9).alias("relevance"))
 
 
 @query("SELECT doc_id, sha256(text) AS fact, first AS kept_id, doc_id = first AS kept, n FROM documents JOIN (SELECT text, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY text) USING (text)")

@@ -54,43 +54,43 @@ def sort_unit_guard(spark, d):
     SELECT k, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, round(greatest(0, least(max(x1), 30) - greatest(min(x0), 10)) * greatest(0, least(max(y1), 6) - greatest(min(y0), 2)), 6) AS shared FROM b GROUP BY k""")
 def bbox_union_overlap(spark, d):
     x0, y0 = F.col("l_quantity"), F.col("l_discount") * 100
-    box = F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + 5).alias("x1"), (y0 + 3).alias("y1"))
-    x = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(J.box_union(F.collect_list(box)).alias("u"))
+    x = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(J.box_around(x0, y0, x0 + 5, y0 + 3).alias("u"))
     page = F.struct(*[F.lit(v).alias(n) for n, v in (("x0", 10.0), ("y0", 2.0), ("x1", 30.0), ("y1", 6.0))])
     return x.select("k", "u.*", F.round(J.box_overlap(F.col("u"), page), 6).alias("shared"))
 
 
 @query("SELECT user_id AS k, round(avg(exp(-value / 100)), 6) AS confidence FROM events GROUP BY 1")
 def token_confidence(spark, d):
-    x = load(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.collect_list(-F.col("value") / 100).alias("lp"))
-    return x.select("k", F.round(J.confidence(F.col("lp")), 6).alias("confidence"))
+    return load(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.round(J.mean_probability(-F.col("value") / 100), 6).alias("confidence"))
 
 
-RECORDS = """{"id": 1, "a": {"b": [{"c": 1}, {"c": null}, {"d": 2}]}, "t": ["x", "y"]}
-{"id": 2, "a": {"b": []}, "u": {"v": {"w": "z \\"q\\""}}}
-{"id": 3, "a": null, "t": [1, "k", {"m": "n"}]}
-{"id": 4}"""
+def _records(spark, d):
+    """A record of each part: lists of objects with a field that is set, null or missing by size, tags, deep and odd places."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    one = F.when(size % 3 == 0, F.lit('{"c":null}')).when(size % 3 == 1, F.concat(F.lit('{"c":'), size.cast("string"), F.lit("}"))).otherwise(F.lit('{"d":2}'))
+    b = F.array_join(F.transform(F.sequence(F.lit(1), k % 4 + 1), lambda i: one), ",")
+    named = F.to_json(F.struct(F.col("p_name").alias("name"), F.array(F.col("p_brand"), F.lit('z "q"\\')).alias("tags")))
+    deep = F.when(k % 5 == 0, F.lit(',"u":{"v":{"w":{"x":{"y":{"z":"end"}}}}}')).otherwise("")
+    text = F.concat(F.lit('{"a":{"b":['), b, F.lit("]}"), deep, F.lit(',"m":'), named, F.lit("}"))
+    return load(spark, d, "part").select(k.alias("id"), text.alias("text")).withColumn("record", F.parse_json("text"))
 
 
-def _records(spark):
-    return spark.createDataFrame([(i, t) for i, t in enumerate(RECORDS.splitlines(), 1)], "id int, text string").withColumn("record", F.parse_json("text"))
-
-
-@query("SELECT * FROM (VALUES (1, 2, 1), (2, 0, 0), (3, 0, 0), (4, 0, 0)) AS t(id, n, nulls)")
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 < 2 THEN p_partkey % 4 + 1 ELSE 0 END::INT AS n, CASE WHEN p_size % 3 = 0 THEN p_partkey % 4 + 1 ELSE 0 END::INT AS nulls FROM part")
 def declared_nested_path(spark, d):
     """Values and nulls under a.b[].c: a missing field isn't a null."""
-    x = _records(spark).select("id", J.nested(F.col("record"), "a.b[].c").alias("v"))
+    x = _records(spark, d).select("id", J.nested(F.col("record"), "a.b[].c").alias("v"))
     return x.select("id", F.size("v").alias("n"), F.size(F.filter("v", lambda v: F.is_variant_null(v))).alias("nulls"))
 
 
-@query("SELECT * FROM (VALUES ('id', 4::BIGINT), ('a', 3), ('a.b', 2), ('a.b[].c', 1), ('a.b[].d', 1), ('t', 2), ('t[].m', 1), ('u', 1), ('u.v', 1), ('u.v.w', 1)) AS t(path, n)")
+@query("""SELECT path, n FROM (SELECT unnest(['a', 'a.b', 'm', 'm.name', 'm.tags']) AS path, count(*) AS n FROM part UNION ALL SELECT 'a.b[].c', sum((p_size % 3 < 2)::INT)::BIGINT FROM part UNION ALL SELECT 'a.b[].d', sum((p_size % 3 = 2)::INT)::BIGINT FROM part
+    UNION ALL SELECT unnest(['u', 'u.v', 'u.v.w', 'u.v.w.x', 'u.v.w.x.y', 'u.v.w.x.y.z']), sum((p_partkey % 5 = 0)::INT)::BIGINT FROM part) WHERE n > 0""")
 def observed_field_paths(spark, d):
-    return J.field_paths(_records(spark), "record", 5)
+    return J.field_paths(_records(spark, d), "record")
 
 
-@query("SELECT * FROM (VALUES (1, 'x|y'), (2, 'z \"q\"'), (3, 'k|n'), (4, '')) AS t(id, leaves)")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'end|' ELSE '' END || p_name || '|' || p_brand || '|z "q"\\' AS leaves FROM part""".replace("\\\\", "\\"))
 def string_leaves(spark, d):
-    return _records(spark).select("id", F.array_join(J.string_leaves(F.col("text")), "|").alias("leaves"))
+    return _records(spark, d).select("id", F.array_join(J.string_leaves(F.col("text")), "|").alias("leaves"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_type FROM events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import readers, sinks
+from ..sources import readers, registry, sinks
 from ..streaming.resample import resampled_stream
 from .registry import load, query, scratch
 from .timeseries import facts
@@ -66,6 +66,19 @@ def scan_csv(spark, d):
     return rows.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_retailprice")
 
 
+@query("""SELECT ext AS extension, 'root' AS "table", count(*) AS n, sum(p_partkey)::BIGINT AS keys, count(p_name) AS n_names, sum(p_partkey % 2)::BIGINT AS n_broken, 0::BIGINT AS n_issues FROM part, (SELECT unnest(['csv', 'json']) AS ext) GROUP BY ext""")
+def parser_registry(spark, d):
+    """A folder with delimited and JSON-lines files, read by the parser of each extension; some names hold line breaks."""
+    path = scratch(spark)
+    name = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit('two "lines",\n'), "p_name")).otherwise(F.col("p_name"))
+    p = load(spark, d, "part").select("p_partkey", name.alias("p_name"), "p_size")
+    p.write.csv(f"{path}/a", header=True, escape='"', quoteAll=True)
+    p.write.json(f"{path}/b/c")
+    rows = registry.read_files(spark, path, registry.standard().register(["json"], registry.json_lines))
+    v = F.col("values")
+    return rows.groupBy("extension", "table").agg(F.count(F.lit(1)).alias("n"), F.sum(v["p_partkey"].cast("long")).alias("keys"), F.count(v["p_name"]).alias("n_names"), F.count_if(v["p_name"].contains('"lines",\n')).alias("n_broken"), F.count("issue").alias("n_issues"))
+
+
 @query("SELECT n_name AS series, 'v' AS field, count(*) AS n, round(sum(x), 6)::DOUBLE AS total FROM nation, LATERAL (SELECT unnest([1.5, 2.5, 4.0]) * n_nationkey AS x) GROUP BY n_name")
 def scan_tsv_measurement(spark, d):
     k = F.col("n_nationkey")

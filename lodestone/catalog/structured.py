@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import times, units
 from ..functions.predicates import Condition, variant_matches
+from ..operators import exact as E
 from ..operators import structured as S
 from ..sources import readers
 from ..plans.compile import run_plan
@@ -161,6 +162,27 @@ def agg_input_digest(spark, d):
     return S.digest(load(spark, d, "orders"), ["o_orderkey"], F.col("o_orderkey").cast("string"))
 
 
+@query("""SELECT l_returnflag AS flag, count(*) AS matched, count(*) AS numbers, s / 100 AS sum_value, (s // gcd(s, 100))::VARCHAR || CASE WHEN s % 100 = 0 THEN '' ELSE '/' || (100 // gcd(s, 100))::VARCHAR END AS sum_ratio,
+    (s // gcd(s, 100 * count(*)))::VARCHAR || CASE WHEN s % (100 * count(*)) = 0 THEN '' ELSE '/' || (100 * count(*) // gcd(s, 100 * count(*)))::VARCHAR END AS average_ratio, min(l_extendedprice) AS min_value, max(l_extendedprice) AS max_value, 'OK' AS status
+    FROM (SELECT *, sum(round(l_extendedprice * 100)::BIGINT) OVER (PARTITION BY l_returnflag)::BIGINT AS s FROM lineitem) GROUP BY l_returnflag, s""")
+def agg_exact_ratio(spark, d):
+    """Totals as ratios of whole numbers, of any size; SQL can check those that fit its integers."""
+    x = E.exact_totals(load(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), F.col("l_extendedprice"), ["flag"])
+    return x.select("flag", "matched", "numbers", "sum_value", "sum_ratio", "average_ratio", "min_value", "max_value", "status")
+
+
+@query("""SELECT k, CASE k WHEN 1 THEN 'INTEGER_PRECISION_SEE_EXACT_VALUE' WHEN 2 THEN 'UNDERFLOW_SEE_DECIMAL_VALUE' WHEN 3 THEN 'OVERFLOW_SEE_DECIMAL_VALUE' ELSE 'OK' END AS sum_status, CASE WHEN k = 0 THEN sum(event_id)::DOUBLE END AS sum_value,
+    CASE WHEN k IN (1, 3) THEN sum(event_id)::VARCHAR || repeat('0', 400) || CASE WHEN k = 3 THEN '.5' ELSE '' END END AS exact_start FROM (SELECT event_id % 4 AS k, event_id FROM events) GROUP BY k""")
+def agg_exact_extremes(spark, d):
+    """Sums that a double can't hold: whole ones, ones too small, and ones too large with a fraction; none is rounded."""
+    k, text = F.col("event_id") % 4, F.col("event_id").cast("string")
+    shape = F.when(k == 0, text).when(k == 1, F.concat(text, F.lit("e400"))).when(k == 2, F.concat(text, F.lit("e-400"))).otherwise(F.concat(text, F.lit("e+400")))
+    rows = load(spark, d, "events").select(k.alias("k"), shape.alias("t"))
+    half = spark.range(1).select(F.lit(3).cast("long").alias("k"), F.lit("0.5").alias("t"))
+    x = E.exact_totals(rows.unionByName(half), F.col("t"), ["k"])
+    return x.select("k", "sum_status", "sum_value", F.when(F.col("k").isin(1, 3), F.when(F.col("k") == 1, F.col("sum_ratio")).otherwise(F.concat(F.expr("substring_index(sum_decimal_value, '.', 1)"), F.lit(".5")))).alias("exact_start"))
+
+
 MIXED = "CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS num, CASE WHEN p_size % 10 = 0 THEN p_name END AS txt"
 
 

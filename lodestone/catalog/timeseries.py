@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import exact as E
 from ..operators import timeseries as T
 from ..plans.compile import run_plan
 from ..plans.model import QueryPlan, TimeRange
@@ -103,6 +104,13 @@ def time_weighted_average(spark, d):
     return rounded(rounded(x, "weighted_average"), "covered_seconds", "seconds_above", to=3)
 
 
+@query(INTERVALS + """SELECT entity, metric, round(sum((v + (v2 - v) * (b - t) / (t2 - t) + v + (v2 - v) * (f - t) / (t2 - t)) * sec / 2) / sum(sec), 6) AS mean, (sum(f - b) // gcd(sum(f - b), 1000000))::BIGINT AS seconds_above_line FROM r WHERE why IS NULL GROUP BY entity, metric""")
+def time_weighted_average_exact(spark, d):
+    """The mean as a ratio of whole numbers, here as its double, and the numerator of the seconds that it covers."""
+    x = E.exact_interval_mean(_interval_facts(spark, d), START, END)
+    return x.select(*T.KEY, F.round(F.col("mean_value"), 6).alias("mean"), F.substring_index("seconds_ratio", "/", 1).cast("long").alias("seconds_above_line"))
+
+
 @query("""WITH q AS (SELECT user_id AS entity, event_type AS metric, epoch_us(ts) AS t, value AS v, lead(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS t2 FROM events),
     k AS (SELECT entity, metric, quantile_cont(t2 - t, 0.25) AS q25 FROM q GROUP BY ALL),
     i AS (SELECT q.*, (least(t2, epoch_us(TIMESTAMP '2024-01-20')) - greatest(t, epoch_us(TIMESTAMP '2024-01-05'))) / 1e6 AS sec, NOT (q25 > 0 AND t2 - t > 3 * q25) AS used FROM q JOIN k USING (entity, metric) WHERE t2 IS NOT NULL)
@@ -195,16 +203,17 @@ def latest_per_group(spark, d):
         CASE WHEN n > 1 THEN (SELECT regr_slope(u.y, u.i) FROM (SELECT unnest(z) AS y, unnest(list_transform(range(n), lambda k: k / (n - 1))) AS i) u) ELSE 0 END, coalesce(list_avg(d), 0), coalesce(list_max(d), 0), ln(1 + n) / 10, s / (abs(m) + s + 1e-9)] AS f FROM d)
     SELECT entity, unnest(range(12))::INT AS place, unnest(list_transform(f, lambda y: round(y / sqrt(list_dot_product(f, f)), 6))) AS value FROM f""")
 def shape12(spark, d):
-    """The twelve numbers of each user's curve."""
-    curve = F.transform(F.array_sort(F.collect_list(F.struct("ts", "row", "value"))), lambda s: s["value"])
-    x = facts(spark, d).groupBy("entity").agg(curve.alias("values"))
-    return x.select("entity", F.posexplode(T.shape(F.col("values"))).alias("place", "value")).withColumn("value", F.round("value", 6))
+    """The twelve numbers of each user's curve, by aggregates: no row holds a curve."""
+    return T.shapes(facts(spark, d), "entity").select("entity", F.posexplode("shape").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
-@query(INTERVALS.replace("CASE WHEN event_id % 17 <> 0 THEN value END", "value").replace("event_id % 13 <> 0", "true") + """SELECT entity, metric, round(sum((v + v2) * sec / 2) / sum(sec), 6) AS weighted_average, round(sum(CASE WHEN v > 50 THEN sec ELSE 0 END), 3) AS seconds_above FROM
-    (SELECT entity, metric, v, v2, (t2 - t) / 1e6 AS sec FROM q WHERE t2 > t AND t >= epoch_us(TIMESTAMP '2024-01-05') AND t2 < epoch_us(TIMESTAMP '2024-01-20')) GROUP BY ALL""")
+@query("""WITH s AS (SELECT user_id AS entity, event_type AS metric, value AS v, lead(value) OVER w AS v2, nullif(greatest(lead(epoch_us(ts)) OVER w - epoch_us(ts), 0), 0) AS step FROM events
+        WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+    k AS (SELECT *, quantile_cont(step, 0.25) OVER (PARTITION BY entity, metric) AS q25 FROM s), g AS (SELECT *, coalesce(step > 3 * q25, false) AS gap, CASE WHEN NOT step > 3 * q25 THEN step / 1e6 END AS sec FROM k)
+    SELECT entity, metric, round(CASE WHEN count(*) = 1 THEN min(v) ELSE sum((v + v2) * sec / 2) / sum(sec) END, 6) AS weighted_average, round(coalesce(sum(CASE WHEN v > 50 THEN sec END), 0), 3) AS seconds_above,
+    sum(gap::INT)::BIGINT AS gaps, CASE WHEN count(*) = 1 THEN 'TIME_WEIGHTING_UNDETERMINED' WHEN sum(gap::INT) > 0 THEN 'GAPS_EXCLUDED' ELSE '' END AS flags FROM g GROUP BY ALL""")
 def legacy_interval_statistics(spark, d):
-    """The older rule: samples of the window only, trapezoids between them, gaps and window edges not looked at."""
+    """The older rule: samples of the window only, trapezoids between them, long gaps left out, window edges not looked at."""
     x = T.legacy_statistics(facts(spark, d), START, END, 50.0)
     return rounded(rounded(x, "weighted_average"), "seconds_above", to=3)
 

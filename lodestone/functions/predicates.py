@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rationals import is_number, order_key
 from .units import converted, in_source_unit
 
 OPS = ("eq", "in", "gt", "gte", "lt", "lte", "between", "is_null", "not_null", "contains")
@@ -96,10 +97,30 @@ def field_of(record: Column, path: str) -> Column:
 
     A key that holds the dots itself comes first; a step of digits is a place in a list, or else a key."""
     steps = path.split(".")
-    found = [F.try_variant_get(record, "$" + "".join(f"['{x}']" for x in steps), "variant")]
+    found = [_at(record, [_key(x) for x in steps])]
     if any(x.isdigit() for x in steps):
-        found.insert(0, F.try_variant_get(record, "$" + "".join(f"[{x}]" if x.isdigit() else f"['{x}']" for x in steps), "variant"))
-    return F.coalesce(F.try_variant_get(record, f"$['{path}']", "variant"), *found)
+        found.insert(0, _at(record, [f"[{x}]" if x.isdigit() else _key(x) for x in steps]))
+    return F.coalesce(_at(record, [_key(path)]), *found)
+
+
+def _key(name: str) -> str | None:
+    """A step of a path to a key; a name with both kinds of quotes has none."""
+    quote = '"' if "'" in name else "'"
+    return None if quote in name else f"[{quote}{name}{quote}]"
+
+
+def _at(record: Column, steps: list[str | None]) -> Column:
+    return F.lit(None).cast("variant") if None in steps else F.try_variant_get(record, "$" + "".join(steps), "variant")
+
+
+def _number_compares(raw: Column, x: int | float, how: str) -> Column:
+    """A VARIANT number against an operand, exactly: as longs where both are, else by their digits."""
+    way = {"eq": lambda a, b: a == b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}[how]
+    text = F.try_variant_get(raw, "$", "string")
+    by_digits = F.when(is_number(text), way(order_key(text), order_key(F.lit(repr(x)))))
+    if isinstance(x, int) and abs(x) < 2**63:
+        return F.when(F.schema_of_variant(raw) == "BIGINT", way(F.try_variant_get(raw, "$", "bigint"), F.lit(x).cast("long"))).otherwise(by_digits)
+    return by_digits
 
 
 def variant_matches(record: Column, condition: Condition) -> Column:
@@ -117,6 +138,8 @@ def variant_matches(record: Column, condition: Condition) -> Column:
 
     def compare(x: Any, how: str) -> Column:
         k = _kind(x)
+        if k == "number":
+            return of_kind[k] & F.coalesce(_number_compares(raw, x, how), F.lit(False))
         got = F.try_variant_get(raw, "$", as_type[k])
         test = {"eq": got == x, "gt": got > x, "gte": got >= x, "lt": got < x, "lte": got <= x}[how]
         return of_kind[k] & F.coalesce(test, F.lit(False))
@@ -124,7 +147,8 @@ def variant_matches(record: Column, condition: Condition) -> Column:
     if op == "contains":
         items = F.try_variant_get(raw, "$", "array<variant>")
         k = _kind(value)
-        same = F.exists(items, lambda v: F.coalesce(F.try_variant_get(v, "$", as_type[k]) == value, F.lit(False)) & {"boolean": F.schema_of_variant(v) == "BOOLEAN", "number": F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "string": F.schema_of_variant(v) == "STRING"}[k])
+        equal = (lambda v: _number_compares(v, value, "eq")) if k == "number" else (lambda v: F.try_variant_get(v, "$", as_type[k]) == value)
+        same = F.exists(items, lambda v: F.coalesce(equal(v), F.lit(False)) & {"boolean": F.schema_of_variant(v) == "BOOLEAN", "number": F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "string": F.schema_of_variant(v) == "STRING"}[k])
         return F.coalesce(same, F.lit(False))
     if op == "in":
         return reduce(lambda a, b: a | b, [compare(x, "eq") for x in value])

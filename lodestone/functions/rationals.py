@@ -32,8 +32,30 @@ def in_budget(text: Column) -> Column:
     return (digits <= DIGITS) & (F.abs(point) <= EXPONENT)
 
 
+PLAIN = r"^[+-]?\d{1,18}(\.\d{1,18})?$"
+
+
+def plain(text: Column) -> Column:
+    """A number of up to 18 digits before and after its point as a decimal; null for others, which need limbs."""
+    return F.when(text.rlike(PLAIN), text.cast("decimal(38,18)"))
+
+
 def limbs(text: Column) -> Column:
     """The number as an array of structs (place, limb): the sum of limb x 10 ** (LIMB x place)."""
+    return F.when(text.rlike(PLAIN), _plain_limbs(text.cast("decimal(38,18)"))).otherwise(_cut(text))
+
+
+def _plain_limbs(d: Column) -> Column:
+    sign, size = F.when(d < 0, -1).otherwise(1).cast("long"), F.abs(d)
+    whole = F.floor(size)
+    part, base = ((size - whole) * F.lit(10**18).cast("decimal(19,0)")).cast("long"), F.lit(10**LIMB)
+    whole = whole.cast("long")
+    at = lambda place, x: F.named_struct(F.lit("place"), F.lit(place), F.lit("limb"), sign * x)
+    above = lambda x: F.call_function("div", x, base)
+    return F.array(at(-2, part % base), at(-1, above(part)), at(0, whole % base), at(1, above(whole)))
+
+
+def _cut(text: Column) -> Column:
     sign = F.when(_part(text, 1) == "-", -1).otherwise(1)
     point = F.coalesce(_part(text, 4).try_cast("int"), F.lit(0)) - F.length(_part(text, 3))
     low = F.floor(point / LIMB).cast("int")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +24,35 @@ def nested(record: Column, path: str) -> Column:
     return found
 
 
-def field_paths(records: DataFrame, record: str, depth: int = 16) -> DataFrame:
-    """(path, n): every field that some record holds, and how many records hold it; lists add [] to a path.
+def paths_of(record) -> set[str]:
+    """Every field path of a decoded JSON record, however deep; lists add [] to a path."""
+    found: set[str] = set()
+    waiting = [("", record)]
+    while waiting:
+        path, v = waiting.pop()
+        if isinstance(v, dict):
+            inner = [(f"{path}.{k}" if path else k, x) for k, x in v.items()]
+            found.update(p for p, _ in inner)
+            waiting += inner
+        elif isinstance(v, list):
+            waiting += [(f"{path}[]", x) for x in v if isinstance(x, (dict, list))]
+    return found
+
+
+def field_paths(records: DataFrame, record: str) -> DataFrame:
+    """(path, n): every field that some record (VARIANT) holds, and how many records hold it.
+
+    Each record is walked once, to any depth; tasks add up what they have seen before it is shuffled."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n: Counter = Counter()
+            for text in b.column(0).to_pylist():
+                if text is not None:
+                    n.update(paths_of(json.loads(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["path", "n"])
 
-    Objects and lists are opened level by level, down to depth levels."""
-    now = records.select(F.monotonically_increasing_id().alias("r"), F.lit("").alias("path"), F.col(record).cast("variant").alias("v"))
-    every = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        fields = now.where(kind.startswith("OBJECT")).select("r", "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")))
-        fields = fields.select("r", F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key")).alias("path"), F.col("value").alias("v"))
-        items = now.where(kind.startswith("ARRAY")).select("r", F.concat("path", F.lit("[]")).alias("path"), F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v"))
-        now = fields.unionByName(items)
-        every = fields.select("r", "path") if every is None else every.unionByName(fields.select("r", "path"))
-    return every.distinct().groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return records.select(F.to_json(record).alias("t")).mapInArrow(of, "path string, n long").groupBy("path").agg(F.sum("n").alias("n"))
 
 
 def decoded_cells(columns: dict[str, Column]) -> dict[str, Column]:
@@ -60,10 +80,9 @@ def compact_decimal(value: Column) -> Column:
     return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
 
 
-def box_union(boxes: Column) -> Column:
-    """(x0, y0, x1, y1) around a list of such boxes."""
-    side = lambda name, of: of(F.transform(boxes, lambda b: b[name])).alias(name)
-    return F.struct(side("x0", F.array_min), side("y0", F.array_min), side("x1", F.array_max), side("y1", F.array_max))
+def box_around(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """(x0, y0, x1, y1) around the boxes of a group, as an aggregate."""
+    return F.struct(F.min(x0).alias("x0"), F.min(y0).alias("y0"), F.max(x1).alias("x1"), F.max(y1).alias("y1"))
 
 
 def box_overlap(a: Column, b: Column) -> Column:
@@ -72,9 +91,9 @@ def box_overlap(a: Column, b: Column) -> Column:
     return side("x0", "x1") * side("y0", "y1")
 
 
-def confidence(log_probabilities: Column) -> Column:
-    """The mean probability of tokens; null without tokens."""
-    return F.when(F.size(log_probabilities) > 0, F.aggregate(log_probabilities, F.lit(0.0), lambda s, x: s + F.exp(x)) / F.size(log_probabilities))
+def mean_probability(log_probability: Column) -> Column:
+    """The mean probability of a group's tokens, as an aggregate; null without tokens."""
+    return F.avg(F.exp(log_probability))
 
 
 def without_output_instructions(text: Column, phrases: list[str]) -> Column:
@@ -86,8 +105,9 @@ def without_output_instructions(text: Column, phrases: list[str]) -> Column:
 
 
 def dates_in(text: Column) -> Column:
-    """Distinct ISO dates that a text names, in order."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{4}-\d\d-\d\d)(?!\d)"), F.lit(1))))
+    """Distinct ISO dates that a text names, in order; what no calendar has isn't one."""
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{4}-\d\d-\d\d)(?!\d)"), F.lit(1)))
+    return F.array_sort(F.filter(named, lambda x: x.try_cast("date").isNotNull()))
 
 
 def declared_zone(text: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+ZONES = tuple(sorted(available_timezones()))
+
+
 def instant(text: Column) -> Column:
     """ISO text as a timestamp; without a zone it counts as UTC (the session's zone); null if it is no time."""
     return F.try_to_timestamp(text)
@@ -26,7 +31,9 @@ TIME_COLUMN = 0.75
 def strict_clock(text: Column, zone: Column) -> Column:
     """ISO text as microseconds since 1970; a text without a zone takes the given one.
 
-    Null if neither names a zone, if it is finer than microseconds, or if the local time doesn't exist or is ambiguous."""
+    Seconds may be missing. Null if neither names a zone, if the named one doesn't exist, if it is finer than microseconds, or if the local time doesn't exist or is ambiguous."""
+    text = F.regexp_replace(text, r"([T ]\d\d:\d\d)((?:[Zz]|[+-]\d\d:?\d\d)?)$", "$1:00$2")
+    zone = F.when(zone.isin("UTC", "Z", *ZONES) | zone.rlike(r"^[+-](0\d|1[0-7]):[0-5]\d$"), zone)
     fine = text.rlike(r"[T ]\d\d:\d\d:\d\d\.\d{6}0*[1-9]")
     own = text.rlike(r"([Zz]|[+-]\d\d:?\d\d)$")
     local = F.regexp_replace(text, r"(\.\d{6})\d+", "$1").try_cast("timestamp_ntz")

@@ -35,39 +35,44 @@ def _finished(found: DataFrame, keys: list[str], schema: str, of: Callable[[dict
 def exact_totals(df: DataFrame, number: Column, keys: list[str] | None = None, unit: Column | None = None, target: str | None = None) -> DataFrame:
     """For each key: matched, numbers, excluded, status, and sum, min, max and average as rationals (see serialised()).
 
-    number is the text of a number as its source has it; nulls and other texts are excluded. Limbs are summed by key, unit
-    and place, so that a hot key is added up in all tasks; the few sums of a key meet in one row. Numbers of other units are
+    number is the text of a number as its source has it; nulls and other texts are excluded. Numbers of up to 18 digits on
+    each side of the point are summed as decimals, others as limbs by place, so that a hot key is added up in all tasks; the few sums of a key meet in one row. Numbers of other units are
     taken into target by exact factors: a unit that doesn't convert gives UNIT_UNKNOWN or UNIT_INCOMPATIBLE, and a number of
     more than 4096 digits or with such an exponent SOURCE_NUMERIC_PRECISION_LIMIT, instead of totals. Without a key there is
     one row, also of an empty table."""
     keys = keys or []
-    text = F.when(R.is_number(F.col("_t")), F.col("_t"))
-    rows = df.select(*keys, number.cast("string").alias("_t"), (F.lit(None).cast("string") if unit is None else unit).alias("_u")).withColumn("_t", text)
-    rows = rows.withColumn("_beyond", F.col("_t").isNotNull() & ~R.in_budget(F.col("_t")))
+    rows = df.select(*keys, number.cast("string").alias("_t"), (F.lit(None).cast("string") if unit is None else unit).alias("_u")).withColumn("_d", R.plain(F.col("_t")))
+    other = F.col("_d").isNull() & R.is_number(F.col("_t"))
+    rows = rows.withColumn("_t", F.when(other, F.col("_t"))).withColumn("_beyond", F.when(F.col("_t").isNotNull(), ~R.in_budget(F.col("_t"))).otherwise(False))
     cut = F.when(F.col("_t").isNotNull() & ~F.col("_beyond"), R.limbs(F.col("_t")))
-    each = rows.select(*keys, "_t", "_u", "_beyond", F.posexplode_outer(cut).alias("_i", "_l"))
+    each = rows.select(*keys, "_t", "_d", "_u", "_beyond", F.posexplode_outer(cut).alias("_i", "_l"))
     first = F.coalesce(F.col("_i"), F.lit(0)) == 0  # once for each row
     lead = F.when(first & ~F.col("_beyond"), F.col("_t"))
+    order = F.when(lead.isNotNull(), R.order_key(lead))
+    whole = F.floor("_d")
     sums = each.groupBy(*keys, "_u", F.col("_l.place").alias("place")).agg(
-        F.sum(F.col("_l.limb").cast("decimal(20,0)")).alias("s"), F.count_if(first).alias("matched"), F.count_if(first & F.col("_t").isNotNull()).alias("numbers"), F.count_if("_beyond").alias("beyond"),
-        F.min_by(lead, F.when(lead.isNotNull(), R.order_key(lead))).alias("least"), F.max_by(lead, F.when(lead.isNotNull(), R.order_key(lead))).alias("most"),
+        F.sum(F.col("_l.limb").cast("decimal(20,0)")).alias("s"), F.sum(whole.cast("decimal(20,0)")).alias("whole"), F.sum((F.col("_d") - whole).cast("decimal(19,18)")).alias("part"),
+        F.count_if(first).alias("matched"), F.count_if(first & (F.col("_t").isNotNull() | F.col("_d").isNotNull())).alias("numbers"), F.count_if("_beyond").alias("beyond"),
+        F.min("_d").cast("string").alias("low"), F.max("_d").cast("string").alias("high"), F.min_by(lead, order).alias("least"), F.max_by(lead, order).alias("most"),
     )
-    found = sums.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_u").alias("unit"), "place", "s", "matched", "numbers", "beyond", "least", "most")).alias("parts"))
+    kept = ("place", "s", "whole", "part", "matched", "numbers", "beyond", "low", "high", "least", "most")
+    found = sums.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_u").alias("unit"), *kept)).alias("parts"))
 
     def of(row: dict) -> dict:
         parts = row["parts"]
         out = {n: int(sum(p[n] for p in parts)) for n in ("matched", "numbers")}
         status, by_unit, ends, total = "OK", defaultdict(list), [], Fraction(0)
         for p in parts:
-            if p["numbers"] or p["s"] is not None:
+            if p["numbers"] or p["s"] is not None:  # a place, or what has none
                 by_unit[p["unit"]].append(p)
         for u, ps in by_unit.items():
             how = (Fraction(1), Fraction(0)) if target is None else rational(u, target) if u else None
             if how is None:
                 status = "UNIT_INCOMPATIBLE" if u else "UNIT_UNKNOWN"
                 continue
-            total += how[0] * R.total([(p["place"], p["s"]) for p in ps if p["s"] is not None]) + how[1] * sum(p["numbers"] for p in ps)
-            ends += [Fraction(t.strip()) * how[0] + how[1] for p in ps for t in (p["least"], p["most"]) if t is not None]
+            plain = sum((Fraction(x) for p in ps for x in (p["whole"], p["part"]) if x is not None), Fraction(0))
+            total += how[0] * (plain + R.total([(p["place"], p["s"]) for p in ps if p["s"] is not None])) + how[1] * sum(p["numbers"] for p in ps)
+            ends += [Fraction(t.strip()) * how[0] + how[1] for p in ps for t in (p["low"], p["high"], p["least"], p["most"]) if t is not None]
         if any(p["beyond"] for p in parts):
             status = "SOURCE_NUMERIC_PRECISION_LIMIT"
         if status == "OK" and target is None and len({p["unit"] for p in parts if p["numbers"]}) > 1:

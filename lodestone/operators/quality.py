@@ -56,19 +56,35 @@ def null_ok(value: Column, nullable: Column, explanation: Column) -> Column:
     return F.when(nullable, ~blank(explanation)).otherwise(~blank(value))
 
 
-#: What is left of an instant beyond each declared granularity, in microseconds.
-GRAINS = {"day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1000}
+def zone_ok(zone: Column) -> Column:
+    """Whether a declared time zone exists; null if none is declared."""
+    offset = zone.rlike(r"^[+-]([01]\d|2[0-3]):[0-5]\d$")
+    return F.when(~blank(zone), F.coalesce(offset | zone.isin("Z", *ZONES), F.lit(False)))
+
+
+#: A time of day, with a zone of its own or without.
+CLOCK = r"^\d{4}-\d\d-\d\d[T ]\d\d(:?\d\d(:?\d\d([.,]\d{1,6})?)?)?"
+OWN_ZONE = r"([Zz]|[+-]\d\d:?\d\d)$"
+DAYS = ("date", "day", "daily", "日期", "日")
 
 
 def time_ok(text: Column, zone: Column, grain: Column) -> Column:
-    """Whether text is a time that is no finer than its granularity, with a zone that exists if one is declared."""
-    at = F.try_to_timestamp(text)
-    rest = F.unix_micros(at)
-    finer = F.when(F.lit(False), F.lit(False))
-    for name, size in GRAINS.items():
-        finer = finer.when(grain == name, rest % size != 0)
-    exists = zone.isNull() | zone.rlike(r"^(UTC|Z|[+-]\d\d:\d\d)$") | zone.isin(*ZONES)
-    return at.isNotNull() & exists & ~F.coalesce(finer, F.lit(False))
+    """Whether text is a time; null, not assessed, if it has no zone and none is declared.
+
+    A declared zone that doesn't exist is wrong whatever the text. A blank text is fine. Where days are declared, or no
+    granularity is and the text is a day, the text must be a day and needs no zone."""
+    known, t = zone_ok(zone), F.trim(text)
+    day = t.rlike(r"^\d{4}-\d\d-\d\d$")
+    by_day = F.coalesce(grain.isin(*DAYS), F.lit(False)) | (blank(grain) & day)
+    date = F.coalesce(day & t.try_cast("date").isNotNull(), F.lit(False))
+    own = t.rlike(CLOCK + OWN_ZONE)
+    at = F.coalesce((day | t.rlike(CLOCK + OWN_ZONE[:-1] + "?$")) & F.substring(t, 1, 10).try_cast("date").isNotNull() & (F.try_to_timestamp(_with_minutes(t)).isNotNull() | day), F.lit(False))
+    return F.when(known == F.lit(False), False).when(blank(text), True).when(by_day, date).when(~at, False).when(own, True).otherwise(known)
+
+
+def _with_minutes(t: Column) -> Column:
+    """A clock that stops at hours or minutes, with zeros for the rest."""
+    return F.regexp_replace(F.regexp_replace(t, r"([T ]\d\d)((?:[Zz]|[+-]\d\d:?\d\d)?)$", "$1:00$2"), r"([T ]\d\d:\d\d)((?:[Zz]|[+-]\d\d:?\d\d)?)$", "$1:00$2")
 
 
 def coverage(seen: DataFrame, declared: DataFrame) -> DataFrame:
@@ -84,18 +100,20 @@ def declarations(published: DataFrame, requested: DataFrame) -> DataFrame:
 
 
 def check(df: DataFrame, rule: str, ok: Column, issue: Column, critical: bool = False) -> DataFrame:
-    """One row for a rule over all rows of df: status, cases, passed, and the first issues in order."""
-    fails = ~F.coalesce(ok, F.lit(False))
-    found = df.select(ok.isNotNull().alias("measured"), fails.alias("fails"), issue.cast("string").alias("issue"))
-    top = found.where("fails").select(F.lit(rule).alias("rule"), "issue").orderBy("issue").limit(ISSUES).groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("issue")), ",").alias("issues"))
-    sums = found.agg(F.count(F.lit(1)).alias("denominator"), F.count_if(~F.col("fails")).alias("passed"))
+    """One row for a rule over all rows of df: status, cases, passed, how many aren't assessed, and the first issues in order.
+
+    A case whose test is null isn't assessed: it neither passes nor fails. The rule is NOT_ASSESSED if there are no others."""
+    found = df.select(ok.alias("ok"), issue.cast("string").alias("issue"))
+    top = found.where("not ok").select(F.lit(rule).alias("rule"), "issue").orderBy("issue").limit(ISSUES).groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("issue")), ",").alias("issues"))
+    sums = found.agg(F.count("ok").alias("denominator"), F.count_if("ok").alias("passed"), F.count_if(F.col("ok").isNull()).alias("unassessed"))
     row = sums.withColumn("rule", F.lit(rule)).join(top, "rule", "left")
-    status = F.when(F.col("denominator") == 0, "NOT_APPLICABLE").when(F.col("passed") < F.col("denominator"), "FAIL").otherwise("PASS")
-    return row.select("rule", status.alias("status"), F.lit(critical).alias("critical"), "denominator", "passed", (F.col("denominator") - F.col("passed")).alias("n_issues"), F.coalesce("issues", F.lit("")).alias("issues"))
+    status = F.when(F.col("passed") < F.col("denominator"), "FAIL").when(F.col("denominator") > 0, "PASS").when(F.col("unassessed") > 0, "NOT_ASSESSED").otherwise("NOT_APPLICABLE")
+    return row.select("rule", status.alias("status"), F.lit(critical).alias("critical"), "denominator", "passed", (F.col("denominator") - F.col("passed")).alias("n_issues"), "unassessed", F.coalesce("issues", F.lit("")).alias("issues"))
 
 
 def not_assessed(df: DataFrame, rule: str) -> DataFrame:
-    return df.sparkSession.range(1).select(F.lit(rule).alias("rule"), F.lit("NOT_ASSESSED").alias("status"), F.lit(False).alias("critical"), F.lit(0).cast("long").alias("denominator"), F.lit(0).cast("long").alias("passed"), F.lit(0).cast("long").alias("n_issues"), F.lit("").alias("issues"))
+    zero = F.lit(0).cast("long")
+    return df.sparkSession.range(1).select(F.lit(rule).alias("rule"), F.lit("NOT_ASSESSED").alias("status"), F.lit(False).alias("critical"), zero.alias("denominator"), zero.alias("passed"), zero.alias("n_issues"), zero.alias("unassessed"), F.lit("").alias("issues"))
 
 
 def key_check(df: DataFrame, key: list[str], row: str) -> DataFrame:
@@ -120,7 +138,7 @@ def scored(checks: DataFrame) -> DataFrame:
         F.sum(F.when(measured, F.col("denominator"))).alias("measured"),
         F.sum(F.when(measured, F.col("passed"))).alias("passed"),
         F.count_if(F.col("critical") & ~F.col("status").isin("PASS", "NOT_APPLICABLE")).alias("blocking"),
-        F.count_if(F.col("status") == "NOT_ASSESSED").alias("unassessed"),
+        F.count_if((F.col("status") == "NOT_ASSESSED") | (F.col("unassessed") > 0)).alias("unassessed"),
     )
     verdict = F.when((F.col("blocking") > 0) | (F.col("passed") < F.col("measured")), "FAILED").when(F.col("unassessed") > 0, "PARTIAL").otherwise("PASSED")
     return x.select("measured", "passed", "blocking", "unassessed", F.round(100 * F.col("passed") / F.col("measured"), 4).alias("score"), verdict.alias("verdict"))

@@ -73,10 +73,11 @@ def dated_records(records: DataFrame, references: DataFrame, anchors: list[Condi
 def uncalculable_guarded(df: DataFrame, conditions: list[Column], number: Column, eligible: Column) -> DataFrame:
     """The rows that meet all conditions and the test on number, which must be calculable wherever the others hold.
 
-    The first row that meets the others and whose cell isn't calculable fails the query."""
+    The first row that meets the others and whose cell isn't calculable fails the query. Test and guard are one expression
+    that isn't split, so neither a source's statistics nor a pushed filter can take the test first and pass over the row."""
     others = reduce(lambda a, b: a & b, conditions, F.lit(True))
-    checked = F.when(eligible, F.lit(True)).otherwise(F.raise_error(F.lit("a cell that the plan needs can't be calculated")))
-    return df.where(others).where(checked).where(number)
+    failed = F.raise_error(F.lit("SOURCE_CELL_NOT_CALCULABLE")).cast("boolean")
+    return df.where(others).where(F.when(F.coalesce(eligible, F.lit(False)), number).otherwise(failed))
 
 
 def searched(catalog: DataFrame, status: str | None = None, business: str | None = None, modality: str | None = None, keyword: str | None = None, text: tuple[str, ...] = ("name", "description")) -> DataFrame:

@@ -122,12 +122,41 @@ def interval_statistics(facts: DataFrame, start: str, end: str, threshold: float
 
 def legacy_statistics(facts: DataFrame, start: str, end: str, threshold: float) -> DataFrame:
     """The older rule for each series: mean by trapezoids between the window's samples, and seconds for which a value over the
-    threshold holds until the next sample; neither gaps nor the window's edges count."""
+    threshold holds until the next sample. Window edges don't count; a step is left out as a gap if it is over three times the
+    first quartile of the window's positive steps. A single sample is its own mean, and no time is above.
+
+    flags says what that leaves open: TIME_WEIGHTING_UNDETERMINED, GAPS_EXCLUDED, or nothing."""
     w = Window.partitionBy(*KEY).orderBy("ts")
     us = F.unix_micros("ts")
-    x = facts.where(in_range(F.col("ts"), start, end)).select(*KEY, "value", F.lead("value").over(w).alias("next"), ((F.lead(us).over(w) - us) / 1e6).alias("sec")).where("sec > 0")
-    area = F.sum((F.col("value") + F.col("next")) * F.col("sec") / 2)
-    return x.groupBy(*KEY).agg((area / F.sum("sec")).alias("weighted_average"), F.sum(F.when(F.col("value") > threshold, F.col("sec")).otherwise(0.0)).alias("seconds_above"))
+    x = facts.where(in_range(F.col("ts"), start, end)).select(*KEY, "value", F.lead("value").over(w).alias("next"), (F.lead(us).over(w) - us).alias("step"))
+    x = x.withColumn("step", F.when(F.col("step") > 0, F.col("step"))).withColumn("q25", F.percentile("step", 0.25).over(Window.partitionBy(*KEY)))
+    gap = F.col("step") > 3 * F.col("q25")
+    used = F.when(F.col("step").isNotNull() & ~gap, F.col("step") / 1e6)
+    found = x.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.first("value").alias("only"), F.count_if(F.coalesce(gap, F.lit(False))).alias("gaps"),
+        (F.sum((F.col("value") + F.col("next")) * used / 2) / F.sum(used)).alias("mean"), F.coalesce(F.sum(F.when(F.col("value") > threshold, used)), F.lit(0.0)).alias("seconds_above"),
+    )
+    single = F.col("n") == 1
+    flags = F.when(single, "TIME_WEIGHTING_UNDETERMINED").when(F.col("gaps") > 0, "GAPS_EXCLUDED").otherwise("")
+    return found.select(*KEY, F.when(single, F.col("only")).otherwise(F.col("mean")).alias("weighted_average"), "seconds_above", "gaps", flags.alias("flags"))
+
+
+def shapes(facts: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """(key, shape): the twelve numbers of shape() for the whole curve of each key, in the order of ts and row.
+
+    Quantiles, slope and steps of the scaled values come from those of the raw ones by mean and deviation, so aggregates do."""
+    w = Window.partitionBy(key).orderBy("ts", "row")
+    rows = facts.select(key, F.col(value).alias("x"), (F.row_number().over(w) - 1).alias("i"), F.abs(F.col(value) - F.lag(value).over(w)).alias("step"))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    x = rows.groupBy(key).agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.coalesce(F.stddev_pop("x"), F.lit(0.0)).alias("s"), F.percentile("x", F.array(*map(F.lit, shares))).alias("q"), F.coalesce(F.regr_slope("x", "i"), F.lit(0.0)).alias("k"), F.coalesce(F.avg("step"), F.lit(0.0)).alias("d"), F.coalesce(F.max("step"), F.lit(0.0)).alias("top"))
+    unit = F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
+    raw = F.concat(
+        F.transform("q", lambda v: (v - F.col("m")) / unit),
+        F.array(F.col("k") * (F.col("n") - 1) / unit, F.col("d") / unit, F.col("top") / unit, F.log(F.lit(1.0) + F.col("n")) / 10, F.col("s") / (F.abs("m") + F.col("s") + 1e-9)),
+    )
+    x = x.select(key, raw.alias("raw"))
+    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda t, v: t + v * v))
+    return x.select(key, F.transform("raw", lambda v: v / F.when(length > 0, length).otherwise(1.0)).alias("shape"))
 
 
 def sampling(facts: DataFrame) -> DataFrame:

@@ -35,13 +35,17 @@ def unique_headers(names: list[str]) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Strict delimited text as strings; rows with more fields than the header fail, missing ones at the end are null."""
-    header = spark.read.text(path).limit(1).first()
-    names = unique_headers(next(iter(csv.reader([header[0].lstrip("﻿")], delimiter=sep)))) if header else []
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.csv(path, sep=sep, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
-    extra = F.size(F.split(F.col("_corrupt"), re.escape(sep))) > len(names)
-    return rows.withColumn("_checked", F.when(extra, F.raise_error(F.concat(F.lit("too many fields: "), "_corrupt"))).otherwise(F.lit(True))).where("_checked").drop("_corrupt", "_checked")
+    """Strict delimited text as strings; rows with more fields than the header fail, missing ones at the end are null.
+
+    Fields are those that the parser finds, so quoted separators and line breaks are text, in headings too. Empty fields
+    are null. A file that may hold line breaks in quotes is read by one task; use many files, not one large one."""
+    layout = {"sep": sep, "multiLine": True, "quote": '"', "escape": '"', "nullValue": "\x01", "emptyValue": ""}
+    header = spark.read.csv(path, **layout).limit(1).first()
+    names = unique_headers([(x or "").lstrip("\ufeff") for x in header]) if header else []
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("extra", T.StringType())])
+    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **layout)
+    fits = F.when(F.col("extra").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("too many fields: "), F.to_json(F.struct(*schema.names)))).cast("boolean"))
+    return rows.where(fits).select(*[F.nullif(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def numbers_inferred(df: DataFrame) -> DataFrame:
@@ -304,41 +308,41 @@ def mesh_of(text: str) -> tuple[np.ndarray, list[list[int]]]:
     return v, faces
 
 
-def triangles(vertices: np.ndarray, face: list[int]) -> list[list[int]]:
-    """A flat simple polygon, concave or not, cut into triangles one ear at a time.
-
-    An ear is a corner that points outwards and whose triangle holds no other corner. Raises where there is none, as in
-    polygons that cross themselves, and for faces that aren't flat or repeat a corner."""
-    if len(face) == 3:
-        return [face]
-    p = vertices[face]
-    normal = np.cross(p - p[0], np.roll(p, -1, axis=0) - p[0]).sum(0)
-    length, span = np.linalg.norm(normal), np.linalg.norm(np.ptp(p, axis=0))
-    if len(set(face)) < len(face) or length <= 1e-14 * max(1.0, span * span):
-        raise ValueError("a face repeats a corner or has no area")
-    normal /= length
-    if np.abs((p - p[0]) @ normal).max() > max(1e-9, 1e-7 * span):
+# How far a corner may lie off its face's plane, absolutely and as a share of the face's size; the least area.
+OFF_PLANE, OFF_PLANE_SHARE, LEAST_AREA = 1e-9, 1e-7, 1e-14
+
+
+def face_area(corners: np.ndarray) -> np.ndarray:
+    """The area of a flat simple polygon as a vector along its normal: half the sum of its corners' cross products.
+
+    No triangles are needed: Stokes' theorem gives the area from the edges, whether the polygon is convex or not. Raises
+    for polygons without area, with corners off their plane, or whose edges cross or touch."""
+    at = corners - corners[0]
+    area = np.cross(at, np.roll(at, -1, axis=0)).sum(0) / 2
+    if len(at) == 3:
+        return area
+    size, span = float(np.linalg.norm(area)), float(np.linalg.norm(np.ptp(at, axis=0)))
+    if 2 * size <= LEAST_AREA * max(1.0, span**2):
+        raise ValueError("a face has no area")
+    normal = area / size
+    if np.abs(at @ normal).max() > max(OFF_PLANE, OFF_PLANE_SHARE * span):
         raise ValueError("a face isn't flat")
-    side = lambda a, b, c: np.cross(b - a, c - a) @ normal  # noqa: E731  positive if a, b, c turn the polygon's way
-    small = max(1e-14, 1e-12 * span * span)
-    edges = [(i, (i + 1) % len(p)) for i in range(len(p))]
-    for k, (a, b) in enumerate(edges):
-        for c, d in edges[k + 1 :]:
-            if not {a, b} & {c, d} and side(p[a], p[b], p[c]) * side(p[a], p[b], p[d]) < -(small**2) and side(p[c], p[d], p[a]) * side(p[c], p[d], p[b]) < -(small**2):
-                raise ValueError("a face crosses itself")
-    ring, out = list(range(len(face))), []
-    while len(ring) > 3:
-        for k in range(len(ring)):
-            a, b, c = ear = [ring[k - 1], ring[k], ring[(k + 1) % len(ring)]]
-            others = p[[i for i in ring if i not in ear]]
-            inside = np.all([[side(p[x], p[y], o) >= -small for o in others] for x, y in ((a, b), (b, c), (c, a))], axis=0)
-            if side(p[a], p[b], p[c]) > small and not inside.any():
-                break
-        else:
-            raise ValueError("a face has no ear")
-        out.append([face[i] for i in ear])
-        del ring[k]
-    return [*out, [face[i] for i in ring]]
+    flat = np.delete(at, np.abs(normal).argmax(), axis=1) / (span or 1.0)  # its shadow along the steepest axis, of size one
+    if edges_meet(flat):
+        raise ValueError("a face crosses itself")
+    return area
+
+
+def edges_meet(p: np.ndarray) -> bool:
+    """Whether two edges of a plane polygon that aren't neighbours have a point in common."""
+    q, n = np.roll(p, -1, axis=0), len(p)
+    turn = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+    a, b, c, d = p[:, None], q[:, None], p[None], q[None]
+    sides = [np.where(np.abs(t) < 1e-12, 0, np.sign(t)) for t in (turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b))]
+    apart = (np.maximum(p, q)[:, None] < np.minimum(p, q)[None] - 1e-12).any(2)
+    meet = (sides[0] * sides[1] <= 0) & (sides[2] * sides[3] <= 0) & ~apart & ~apart.T
+    gap = np.abs(np.arange(n)[:, None] - np.arange(n))
+    return bool((meet & (gap > 1) & (gap < n - 1)).any())
 
 
 def mesh_properties(text: str) -> dict:
@@ -348,15 +352,18 @@ def mesh_properties(text: str) -> dict:
     logarithms of the numbers of faces and of bodies, and closedness."""
     v, faces = mesh_of(text)
     size = np.ptp(v, axis=0) if len(v) else np.zeros(3)
-    f = np.array([t for face in faces for t in triangles(v, face)], int).reshape(-1, 3)
-    a, b, c = (v[f[:, i]] - v.mean(0) for i in range(3))
-    areas = np.linalg.norm(np.cross(b - a, c - a), axis=1) / 2
+    middle = v.mean(0) if len(v) else np.zeros(3)
     repeats = any(len(set(face)) < len(face) for face in faces)
+    if any(len(face) > 3 and len(set(face)) < len(face) for face in faces):
+        raise ValueError("a face repeats a corner")
+    sided = np.array([face_area(v[face]) for face in faces]).reshape(-1, 3)
+    areas = np.linalg.norm(sided, axis=1)
     degenerate = repeats or bool((areas <= np.finfo(float).eps * max(float(size @ size), 1e-20)).any())
     edges = np.array([(face[i - 1], face[i]) for face in faces for i in range(len(face))], int).reshape(-1, 2)
     closed = bool(len(edges)) and bool((np.unique(np.sort(edges, axis=1), axis=0, return_counts=True)[1] == 2).all())
     oriented = closed and bool((np.unique(edges, axis=0, return_counts=True)[1] == 1).all())
-    volume = abs(float(np.einsum("ij,ij->i", a, np.cross(b, c)).sum() / 6)) if closed and oriented and not degenerate else None
+    pyramids = np.einsum("ij,ij->i", v[[face[0] for face in faces]] - middle, sided) / 3 if faces else np.zeros(0)  # over each face, to the middle
+    volume = abs(float(pyramids.sum())) if closed and oriented and not degenerate else None
     moments = np.sort(np.linalg.eigvalsh(np.cov((v - v.mean(0)).T)))[::-1] if len(v) > 2 else np.zeros(3)
     total = float(moments.sum())
     scale = total**0.5 if total > 0 else float(np.linalg.norm(size)) or 1.0

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..operators import structured as S
-from .registry import load, query
+from ..streaming.derived import refreshed
+from .registry import load, query, scratch
 
 CHECK = """SELECT '{rule}' AS rule, CASE WHEN coalesce(sum(ok::INT), 0) < count(ok) THEN 'FAIL' WHEN count(ok) > 0 THEN 'PASS' WHEN count(*) > 0 THEN 'NOT_ASSESSED' ELSE 'NOT_APPLICABLE' END AS status, {critical} AS critical, count(ok) AS denominator, coalesce(sum(ok::INT), 0)::BIGINT AS passed,
     (count(ok) - coalesce(sum(ok::INT), 0))::BIGINT AS n_issues, count(*) - count(ok) AS unassessed, coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT i FROM x WHERE NOT ok ORDER BY i LIMIT 100)), '') AS issues FROM x"""
@@ -149,3 +150,16 @@ def incremental_reuse(spark, d):
     return docs.join(done, ["doc_id", "sha", "version"], "left_anti").select("doc_id")
 
 
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT count(*) AS n, count(DISTINCT t) AS d FROM t WHERE doc_id % 2 = 0), b AS (SELECT count(*) AS n, count(DISTINCT t) FILTER (t NOT IN (SELECT t FROM t WHERE doc_id % 2 = 0)) AS d FROM t)
+    SELECT 1 AS run, a.n AS n_rows, a.d AS parsed FROM a UNION ALL SELECT 2, 0, 0 UNION ALL SELECT 3, b.n, b.d FROM b""")
+def content_reuse(spark, d):
+    """Documents put into a folder by halves, with a run after each and one between: rows read, and contents parsed."""
+    files, store = scratch(spark), scratch(spark)
+    docs = load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    runs = []
+    for part in (docs.where("path % 2 = 0"), None, docs):
+        if part is not None:
+            part.write.mode("append").parquet(files)
+        found = refreshed(spark, files, store, "1", lambda new: new.select("sha", F.size(F.split("content", " ")).alias("words")))
+        runs.append((len(runs) + 1, found["rows"], found["parsed"]))
+    return spark.createDataFrame(runs, "run int, n_rows long, parsed long")

@@ -101,6 +101,48 @@ def graph_closure_sku(spark, d):
     return R.reachable(edges, p.select(F.col("p_partkey").alias("start"))).groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("root"))
 
 
+@query("""WITH RECURSIVE b AS (SELECT 'b' || s_suppkey AS id, 'p' || s_suppkey AS part, 's' || s_nationkey AS sku FROM supplier), own AS (SELECT 's' || n_nationkey AS id, 's' || n_nationkey AS sku FROM nation UNION SELECT id, sku FROM b UNION SELECT part, sku FROM b WHERE part IN (SELECT 'p' || p_partkey FROM part)),
+    e AS (SELECT 'c' || c_custkey AS id, t AS target FROM customer, LATERAL (SELECT unnest(CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_custkey IN (SELECT p_partkey FROM part) THEN ['p' || c_custkey] ELSE ['b' || (c_custkey % 7 + 1)] END WHEN 1 THEN ['c' || (c_custkey + 1)] ELSE ['c' || (c_custkey - 1), 'c' || (c_custkey + 1)] END) AS t) u
+        WHERE t IN (SELECT 'p' || p_partkey FROM part UNION ALL SELECT id FROM b UNION ALL SELECT 'c' || c_custkey FROM customer) UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)),
+    r(id, sku) AS (SELECT id, sku FROM own UNION SELECT e.id, r.sku FROM r JOIN e ON r.id = e.target) SELECT id AS entity_id, sku AS product FROM r""")
+def product_tiers(spark, d):
+    """Nations as products, suppliers as bills of materials, parts, customers as batches and orders as lines of them.
+
+    A batch names a part and a bill: the part's tier comes first where the part is known, though most parts are in no bill.
+    Other batches name each other in circles, and take what the batch beside the circle has."""
+    k = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
+    fields = lambda **xs: F.create_map(*[x for n, v in xs.items() for x in (F.lit(n), v)])
+    entity = lambda table, i, key, f: load(spark, d, table).select(i.alias("entity_id"), F.lit(key).alias("primary_key"), f.alias("fields"))
+    c = F.col("c_custkey")
+    batch = F.when(c % 3 == 0, fields(part_id=F.array(k("p", c)), bom_id=F.array(k("b", c % 7 + 1)))).when(c % 3 == 1, fields(finished_batch_id=F.array(k("c", c + 1)))).otherwise(fields(manufacturing_batch_id=F.array(k("c", c - 1), k("c", c + 1))))
+    rows = [
+        entity("nation", k("s", "n_nationkey"), "sku_id", fields(sku_id=F.array(k("s", "n_nationkey")))),
+        entity("supplier", k("b", "s_suppkey"), "bom_id", fields(bom_id=F.array(k("b", "s_suppkey")), part_id=F.array(k("p", "s_suppkey")), sku_id=F.array(k("s", "s_nationkey")))),
+        entity("part", k("p", "p_partkey"), "part_id", fields(part_id=F.array(k("p", "p_partkey")))),
+        entity("customer", k("c", c), "batch_id", batch),
+        entity("orders", k("o", "o_orderkey"), "line_id", fields(supplier_batch_id=F.array(k("c", "o_custkey")))),
+    ]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return R.product_links(every)
+
+
+@query("""WITH w AS (SELECT l_orderkey AS page, l_linenumber AS line, unnest(range(3)) AS col, 100.0 * unnest(range(3)) + (l_partkey % 4) * 0.75 AS x0, 20.0 * l_linenumber AS y0 FROM lineitem)
+    SELECT page, coalesce(header, '') AS header, count(*) AS n FROM (SELECT page, CASE WHEN line = 0 THEN NULL WHEN x0 - 100 * col <= 1.5 THEN ['qty', 'price', 'tax'][col + 1] END AS header FROM w UNION ALL SELECT DISTINCT page, NULL FROM w UNION ALL SELECT DISTINCT page, NULL FROM w UNION ALL SELECT DISTINCT page, NULL FROM w) GROUP BY ALL""")
+def band_columns(spark, d):
+    """Orders as pages: a line of headings, and a line of words for each item, some of them too far to the right."""
+    i, lines = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("col"), load(spark, d, "lineitem")
+    w = lines.select(F.col("l_orderkey").alias("page"), F.monotonically_increasing_id().alias("row"), "l_linenumber", "l_partkey", i)
+    heads = lines.select(F.col("l_orderkey").alias("page")).distinct().select("page", i)
+    box = lambda block, key, x, y, text: (block.cast("long").alias("block"), key.alias("id"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (y + 8).cast("double").alias("y1"), text.alias("text"))
+    items = w.select("page", *box(F.col("row") + 1, F.col("row") * 3 + F.col("col") + 3, F.col("col") * 100 + F.col("l_partkey") % 4 * 0.75, F.col("l_linenumber") * 20, F.lit("x"))).withColumn("block", F.lit(None).cast("long"))
+    names = F.element_at(F.array(*map(F.lit, ("qty", "price", "tax"))), F.col("col") + 1)
+    top = heads.select("page", *box(F.lit(0), -F.col("col") - 1, F.col("col") * 100, F.lit(0), names))
+    found = R.band_columns(top.unionByName(items))
+    return found.groupBy("page", F.coalesce("header", F.lit("")).alias("header")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""WITH a AS (SELECT o_custkey AS k, min(o_orderstatus) AS v0 FROM orders GROUP BY 1 HAVING count(*) = 1), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'P' END AS v1 FROM customer),
     c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'F' ELSE 'P' END AS v2 FROM customer), e AS (SELECT c_custkey AS k, 'F' AS v3 FROM customer)
     SELECT k, v0, v1, v2, v3, v0 = v1 AND v0 = v2 AND v0 = v3 AS agree FROM a JOIN b USING (k) JOIN c USING (k) JOIN e USING (k)""")

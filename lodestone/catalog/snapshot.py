@@ -49,6 +49,25 @@ def temporal_record_filter(spark, d):
     return S.dated_records(records, references, [Condition("customer_id", "in", ["c1", "c2", "c3", "c5", "c8"])], dates).select("record_id")
 
 
+@query("""SELECT DISTINCT 'o' || o_orderkey AS binding, 'o' || o_orderkey AS record_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 2 AND l_partkey % 10 = 1 AND l_partkey < 1000 AND o_orderdate >= DATE '1994-01-01' AND o_orderstatus IN ('F', 'O')""")
+def binding_records(spark, d):
+    """An order and its first two lines are a binding; orders of a period that lead to one of some parts inside it.
+
+    Lines beyond the second hold references too, but aren't in the binding, and orders of one customer are tied through
+    their customer, who is in none."""
+    k = lambda p, *cs: F.concat_ws("-", F.concat(F.lit(p), F.col(cs[0]).cast("string")), *[F.col(c).cast("string") for c in cs[1:]])
+    o, li = load(spark, d, "orders"), load(spark, d, "lineitem")
+    order, line, part = k("o", "l_orderkey"), k("l", "l_orderkey", "l_linenumber"), k("p", "l_partkey")
+    near = li.where("l_linenumber <= 2")
+    bindings = o.select(k("o", "o_orderkey").alias("binding"), k("o", "o_orderkey").alias("entity_id")).unionByName(near.select(order.alias("binding"), line.alias("entity_id"))).unionByName(near.select(order.alias("binding"), part.alias("entity_id")))
+    customer = k("c", "o_custkey")
+    references = li.select(order.alias("source"), line.alias("target")).unionByName(li.select(line.alias("source"), part.alias("target"))).unionByName(o.select(k("o", "o_orderkey").alias("source"), customer.alias("target")))
+    records = o.select(k("o", "o_orderkey").alias("record_id"), F.create_map(F.lit("event.ordered"), F.col("o_orderdate").cast("timestamp")).alias("dates"), F.col("o_orderstatus").alias("stage"))
+    keys = bindings.select("entity_id", F.concat(F.substring("entity_id", 1, 1), F.lit("_id")).alias("primary_key")).distinct()
+    wanted = [f"p{i}" for i in range(1, 1000, 10)]
+    return S.bound_records(bindings, references, records, keys, [Condition("part_id", "in", wanted)], [Condition("event.ordered", "gte", "1994-01-01")], ["F", "O"])
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <> 7 AND l_quantity > 40")
 def pred_fail_uncalculable(spark, d):
     """Cells of line 7 aren't calculable; rows that other conditions leave out may hold such cells."""

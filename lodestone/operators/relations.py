@@ -38,22 +38,68 @@ def verified_edges(edges: DataFrame, entities: DataFrame, entity: str) -> DataFr
     return edges.join(known.withColumnRenamed(entity, "source"), "source", "left_semi").join(known.withColumnRenamed(entity, "target"), "target", "left_semi")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(start, node) for every node that edges (source, target) lead to from a start, which is reachable itself.
+def closure(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), max_rounds: int = 10_000) -> DataFrame:
+    """(by, start, node): what seeds (by, start, node) reach over edges (by, source, target), seeds included.
 
-    A round joins only what the round before has found, and is checkpointed, so plans stay short."""
+    With columns by, an edge is open only to seeds with the same values. Semi-naive: a round joins what the round before
+    has found for the first time, and what is found is a union of checkpointed rounds, so plans stay short and each pair
+    is joined once. Null ends lead nowhere."""
     checkpoint_dir(edges.sparkSession)
-    found = starts.select("start", F.col("start").alias("node")).distinct().checkpoint()
-    new = found
+    pair = [*by, "start", "node"]
+    new = seeds.select(*pair).where("node is not null").distinct().checkpoint()
+    found = new
+    way = edges.select(*by, F.col("source").alias("node"), "target").where("node is not null and target is not null").distinct()
     for _ in range(max_rounds):
-        step = new.join(edges, new["node"] == edges["source"]).select("start", F.col("target").alias("node")).distinct()
-        new = step.join(found, ["start", "node"], "left_anti").checkpoint()
+        step = new.join(way, [*by, "node"]).select(*by, "start", F.col("target").alias("node")).distinct()
+        new = step.join(found, pair, "left_anti").checkpoint()
         if new.isEmpty():
             return found
         found = found.unionByName(new).checkpoint()
     raise RuntimeError(f"the closure needs more than {max_rounds} rounds")
 
 
+def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(start, node) for every node that edges (source, target) lead to from a start, which is reachable itself."""
+    return closure(edges, starts.select("start", F.col("start").alias("node")), max_rounds=max_rounds)
+
+
+# The key of products, the fields that name products, those of a bill of materials, and the foreign keys
+# through which other records belong to products, by tiers: the first tier with a known target holds.
+PRODUCT, PRODUCT_FIELDS, BOM = "sku_id", ("sku_id", "sku_ids_json"), ("bom_id", "part_id")
+TIERS = (
+    ("part_id", "part_ids_json"), ("bom_id", "bom_version_id"), ("finished_batch_id", "manufacturing_batch_id"), ("assembly_work_order_id", "work_order_id"),
+    ("supplier_batch_id", "supplier_batch_ids_json"), ("purchase_line_id", "order_line_id", "sales_line_id"), ("serial_id",), ("qc_id", "inspection_id"),
+)
+
+
+def product_links(entities: DataFrame, tiers: tuple[tuple[str, ...], ...] = TIERS) -> DataFrame:
+    """(entity_id, product): the products that each entity belongs to.
+
+    entities has entity_id, primary_key (the field that is its key) and fields, a map of lists of text. An entity names
+    products itself, or is a part that a bill of materials puts in one. Any other takes the products of the entities that
+    its foreign keys name: of its tiers, the first that names a known entity other than itself holds, also if that one
+    has no product, and those after it don't count. Products travel along these references round by round, through
+    cycles too."""
+    facts = entities.select("entity_id", F.explode("fields").alias("field", "values")).select("entity_id", "field", F.explode("values").alias("value")).where("value <> ''")
+    products = entities.where((F.col("primary_key") == PRODUCT) & F.array_contains(F.col("fields")[PRODUCT], F.col("entity_id"))).select(F.col("entity_id").alias("value")).distinct()
+    named = facts.where(F.col("field").isin(*PRODUCT_FIELDS)).join(products, "value", "left_semi").select("entity_id", F.col("value").alias("product"))
+    bom, part = BOM
+    listed = facts.where(F.col("field") == bom).select("entity_id").distinct()
+    used = facts.where(F.col("field") == part).join(listed, "entity_id", "left_semi").select("entity_id", F.col("value").alias("part"))
+    sold = facts.where(F.col("field") == PRODUCT).join(products, "value", "left_semi").select("entity_id", F.col("value").alias("product"))
+    parts = entities.where(F.col("primary_key") == part).select(F.col("entity_id").alias("part")).distinct()
+    usage = used.join(sold, "entity_id").join(parts, "part", "left_semi").select(F.col("part").alias("entity_id"), "product")
+    checkpoint_dir(entities.sparkSession)
+    own = named.unionByName(usage).distinct().checkpoint()
+    tier = F.create_map(*[F.lit(x) for i, names in enumerate(tiers) for n in names for x in (n, i)])[F.col("field")]
+    known = entities.select(F.col("entity_id").alias("value")).distinct()
+    keys = facts.withColumn("tier", tier).where("tier is not null and value <> entity_id").join(known, "value", "left_semi").join(own, "entity_id", "left_anti")
+    first = keys.groupBy("entity_id").agg(F.min("tier").alias("tier"))
+    references = keys.join(first, ["entity_id", "tier"]).select(F.col("value").alias("source"), F.col("entity_id").alias("target"))
+    found = closure(references, own.select(F.col("product").alias("start"), F.col("entity_id").alias("node")))
+    return found.select(F.col("node").alias("entity_id"), F.col("start").alias("product"))
+
+
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """old with the rows of new put in or replaced; inserted tells which are new keys."""
     known = old.select(*key).distinct().withColumn("_known", F.lit(True))
@@ -95,6 +141,28 @@ def band_join(boxes: DataFrame, width: float = 1.5, tallest: float = 64.0) -> Da
     return left.join(right, ["page", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("a0") - F.col("b0")) <= width) & (F.abs(F.col("a1") - F.col("b1")) <= width)).select("page", "a", "b")
 
 
+def band_columns(words: DataFrame, width: float = 1.5, tallest: float = 64.0) -> DataFrame:
+    """(page, id, header): the heading of each word of a page's rows that stands under exactly one, or null.
+
+    words has page, block, id, x0, y0, y1 and text. A block with words at two places or more (to a tenth) can be a line of
+    headings. A word belongs to the lowest such block that ends above its own top, of equal ones the first, and to the
+    heading in it whose left edge is within width of its own; one under several headings, or that is taller than tallest,
+    has none. Blocks and words of a page are put in order of height, so that none meets all others; headings are met in
+    buckets of the left edge."""
+    lines = words.groupBy("page", "block").agg(F.max("y1").alias("y"), F.count_distinct(F.round("x0", 1)).alias("places")).where("places >= 2").select("page", "y", "block")
+    tops = lines.groupBy("page", "y").agg(F.min("block").alias("head"))
+    marks = tops.select("page", "y", F.lit(0).alias("kind"), "head", F.lit(None).cast(words.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("x0"))
+    rows = words.where((F.col("y1") > F.col("y0")) & (F.col("y1") - F.col("y0") <= tallest)).select("page", F.col("y0").alias("y"), F.lit(-1).alias("kind"), F.lit(None).cast(words.schema["block"].dataType).alias("head"), "id", F.col("x0").cast("double"))
+    above = Window.partitionBy("page").orderBy("y", "kind").rowsBetween(Window.unboundedPreceding, -1)  # a block that ends at a word's top isn't above it
+    placed = marks.unionByName(rows).withColumn("head", F.last("head", ignorenulls=True).over(above)).where("kind = -1 and head is not null")
+    bucket = F.floor(F.col("x0") / width)
+    asked = placed.select("page", "head", "id", "x0", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"))
+    heads = words.select("page", F.col("block").alias("head"), F.col("x0").alias("h0"), F.col("text").alias("header"), bucket.alias("bucket")).join(lines.select("page", F.col("block").alias("head")), ["page", "head"], "left_semi")
+    under = asked.join(heads, ["page", "head", "bucket"]).where(F.abs(F.col("x0") - F.col("h0")) <= width)
+    one = under.groupBy("page", "id").agg(F.count(F.lit(1)).alias("n"), F.min("header").alias("header")).where("n = 1").drop("n")
+    return words.select("page", "id").join(one, ["page", "id"], "left")
+
+
 def page(rows: DataFrame, order: list[str], mark: Column, size: int) -> DataFrame:
     """The first size rows in an order, with in_page, has_more and next_row, the mark of the first row after them."""
     top = rows.withColumn("_mark", mark).orderBy(*order).limit(size + 1)

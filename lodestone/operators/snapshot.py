@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import Condition, matches, variant_matches
 from ..plans.model import QueryPlan
-from .relations import reachable
+from .relations import PRODUCT, closure, reachable
 
 TEMPORAL = ("event.", "context.")
 
@@ -70,6 +70,38 @@ def dated_records(records: DataFrame, references: DataFrame, anchors: list[Condi
     return found
 
 
+def bound_records(bindings: DataFrame, references: DataFrame, records: DataFrame, keys: DataFrame, anchors: list[Condition], dates: list[Condition], stages: list[str] | None = None, products: DataFrame | None = None) -> DataFrame:
+    """(binding, record_id): the records of each binding that meet all date conditions and are tied to each anchor inside it.
+
+    bindings has (binding, entity_id), records (record_id, dates map<string, timestamp>, stage), keys (entity_id, primary_key).
+    Only references (source, target) between two entities of one binding count: a chain that leaves the binding ties
+    nothing, and two bindings can't lend each other a link. A record is tied to an anchor's value if the one leads to the
+    other, in either direction; a record of the value's own kind only if it is the value. An anchor on the product key is
+    met by the record's products (see product_links) instead. A record must be of one of the stages, where these are
+    given. All of a binding's conditions speak of one record."""
+    kind = records.schema["dates"].dataType.valueType
+    ok = reduce(lambda a, b: a & b, [matches(F.try_element_at("dates", F.lit(c.field)), kind, c) for c in dates], F.lit(True))
+    rows = records.where(ok if stages is None else ok & F.col("stage").isin(*stages)).select("record_id")
+    inside = bindings.select("binding", "entity_id").distinct()
+    found = inside.join(rows, F.col("entity_id") == F.col("record_id"), "left_semi").select("binding", F.col("entity_id").alias("record_id"))
+    source, target = (inside.select("binding", F.col("entity_id").alias(n)) for n in ("source", "target"))
+    edges = references.select("source", "target").distinct().join(source, "source").join(target, ["binding", "target"]).where("source <> target")
+    back = edges.select("binding", F.col("target").alias("source"), F.col("source").alias("target"))
+    for c in anchors:
+        values = [str(x) for x in _selected(c)]
+        if c.field == PRODUCT:
+            met = products.where(F.col("product").isin(*values)).select(F.col("entity_id").alias("record_id")).distinct()
+            found = found.join(met, "record_id", "left_semi")
+            continue
+        seeds = inside.where(F.col("entity_id").isin(*values)).select("binding", F.col("entity_id").alias("start"), F.col("entity_id").alias("node"))
+        tied = closure(edges, seeds, ("binding",)).unionByName(closure(back, seeds, ("binding",))).distinct()
+        of = lambda name: keys.select(F.col("entity_id").alias(name), F.col("primary_key").alias(f"{name}_key"))
+        tied = tied.join(of("start"), "start", "left").join(of("node"), "node", "left")
+        met = tied.where((F.col("start") == F.col("node")) | F.coalesce(F.col("start_key") != F.col("node_key"), F.lit(True))).select("binding", F.col("node").alias("record_id")).distinct()
+        found = found.join(met, ["binding", "record_id"], "left_semi")
+    return found.select("binding", "record_id")
+
+
 def uncalculable_guarded(df: DataFrame, conditions: list[Column], number: Column, eligible: Column) -> DataFrame:
     """The rows that meet all conditions and the test on number, which must be calculable wherever the others hold.
 

@@ -5,8 +5,10 @@ length and commas to their parent, half to the grandparent and a third to the ne
 by the share of its text that is links. The best container is kept with those siblings that look like more of it.
 
 Elements that look like menus, headers, footers, sidebars, notices, adverts, forms or readers' comments by tag, class,
-id or role are left out, unless one holds most of the page's points: then it wraps the article. Time and memory are
-linear in the page, whatever its tags."""
+id or role are left out. A name speaks for itself if all its parts do (sidebar, related-posts); one that also says
+something else (related-work, share-prices) is only suspect, and inside the article its text decides. An element that holds
+most of the page's points around a container that is nothing of the kind wraps the article, and stays; a notice or an
+advert never does. Time and memory are linear in the page, whatever its tags."""
 
 from __future__ import annotations
 
@@ -33,6 +35,16 @@ UNLIKELY = frozenset(
         "widget alert overlay"
     ).split()
 )
+#: Of these, those that never wrap an article.
+NOTICES = frozenset("ad ads advert adverts advertisement advertising adsense adbox consent cookie cookies gdpr modal newsletter notice notification popup promo promotion signup sponsor sponsored subscribe alert overlay".split())
+HEADERS, HEADINGS = frozenset("head header masthead".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a name that say where an element stands or what it is made of, not what it is about.
+NEUTRAL = frozenset(
+    (
+        "area article articles bar block body bottom box btn button buttons column container content entry global group icon icons inner item items left link links list "
+        "main message more news outer page pane panel post posts primary region right row secondary section site slot stories story text title top unit wrap wrapper"
+    ).split()
+)
 READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
 #: A word after one of these tells how a page looks, not what an element is.
 MODIFIERS = frozenset("has no with without is not".split())
@@ -45,8 +57,11 @@ CLOSES = {tag: (closed.split(), stops.split()) for tag, (closed, stops) in CLOSE
 BONUS = {"article": 25, "main": 25, "section": 2, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
 NO_POINTS = frozenset("h1 h2 h3 h4 h5 h6 th figcaption".split())
 #: What an element is, and the share of the page's points from which it must be the article's wrapper all the same.
-PLAIN, NAMED, OTHER, COMMENTS, HIDDEN = 0, 1, 2, 3, 4
-WRAPS = {NAMED: 0.5, OTHER: 0.9, COMMENTS: 0.97}
+PLAIN, SUSPECT, NAMED, OTHER, COMMENTS, NOTICE, HIDDEN = range(7)
+WRAPS = {SUSPECT: 0.5, NAMED: 0.5, OTHER: 0.9, COMMENTS: 0.97}
+CONTAINERS = frozenset("div section article main td center form".split())
+#: A suspect element of the article stays if less of its text than this is links, and it earns points.
+FEW_LINKS = 0.3
 
 
 def _kind(tag: str, attrs: str, in_article: bool) -> int:
@@ -69,8 +84,9 @@ def _kind(tag: str, attrs: str, in_article: bool) -> int:
                     continue
                 if not READERS.isdisjoint(w):
                     kind = max(kind, COMMENTS)
-                elif tag != "article" and not UNLIKELY.isdisjoint(w):
-                    kind = max(kind, NAMED)
+                elif tag != "article" and tag not in HEADINGS and not UNLIKELY.isdisjoint(w) and not (in_article and HEADERS.issuperset(UNLIKELY.intersection(w))):
+                    own = all(x in UNLIKELY or x in NEUTRAL or x.isdigit() for x in w)
+                    kind = max(kind, SUSPECT if not own else NAMED if NOTICES.isdisjoint(w) else NOTICE)
     return kind
 
 
@@ -152,7 +168,7 @@ def _blocks(html: str) -> tuple[list[str], list[int], list[int], list[tuple[int,
             pop_to(depth_of("a"))
         tags.append(tag)
         parents.append(stack[-1])
-        kinds.append(_kind(tag, attrs, bool(opens.get("article"))))
+        kinds.append(_kind(tag, attrs, bool(opens.get("article") or opens.get("main"))))
         if not attrs.endswith("/") or tag in INLINE or tag in SAFE or tag in ("p", "article"):
             if tag not in INLINE:
                 walls.append(len(stack))
@@ -169,34 +185,47 @@ def _gain(tag: str, text: str, links: int) -> float:
     return (1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)) * (1 - links / len(text))
 
 
-def _dropped(tags: list[str], parents: list[int], kinds: list[int], blocks: list[tuple[int, str, int]]) -> list[bool]:
-    """Which elements lie in an unlikely one. One that holds most of the page's points wraps the article and stays.
+def _unlikely(tags: list[str], parents: list[int], kinds: list[int], blocks: list[tuple[int, str, int]]) -> tuple[list[bool], list[bool]]:
+    """Which elements go for what they are, and which of these only look suspect but read like text.
 
-    That can't be if an article or main element with text stands outside of all unlikely ones."""
+    One that holds most of the page's points wraps the article and stays, if it does so around a container that is nothing
+    unlikely, or if there are no other points. That can't be if an article or main element with text stands outside of
+    all unlikely ones; inside such an element, suspect ones that read like text stay."""
     n = len(tags)
-    held, full, under = [0.0] * n, [False] * n, [False] * n
+    held, size, linked, inner, inside, under = [0.0] * n, [0] * n, [0] * n, [0.0] * n, [False] * n, [False] * n
     for block, text, links in blocks:
         held[block] += _gain(tags[block], text, links)
-        full[block] = True
+        size[block] += len(text)
+        linked[block] += links
     for i in range(n - 1, 0, -1):
         if kinds[i] == HIDDEN:
-            held[i], full[i] = 0.0, False
-        held[parents[i]] += held[i]
-        full[parents[i]] |= full[i]
-    for i in range(1, n):
-        under[i] = under[parents[i]] or kinds[i] != PLAIN
-    if any(tags[i] in ("article", "main") and full[i] and not under[i] for i in range(1, n)):
-        return under
-    out = [False] * n
+            held[i] = size[i] = linked[i] = 0
+        for x in (held, size, linked):
+            x[parents[i]] += x[i]
+        inner[parents[i]] = max(inner[parents[i]], inner[i], held[i] if kinds[i] == PLAIN and tags[i] in CONTAINERS else 0.0)
+    reads = [k == SUSPECT and held[i] > 0 and linked[i] < FEW_LINKS * size[i] for i, k in enumerate(kinds)]
     for i in range(1, n):
-        out[i] = out[parents[i]] or kinds[i] != PLAIN and (kinds[i] == HIDDEN or held[i] <= WRAPS[kinds[i]] * held[0])
+        inside[i] = inside[parents[i]] or tags[parents[i]] in ("article", "main")
+        under[i] = under[parents[i]] or kinds[i] != PLAIN and not (reads[i] and inside[i])
+    if any(tags[i] in ("article", "main") and size[i] and not under[i] for i in range(1, n)):
+        return [k != PLAIN and not (reads[i] and inside[i]) for i, k in enumerate(kinds)], reads
+    wraps = lambda i: kinds[i] in WRAPS and held[i] > WRAPS[kinds[i]] * held[0] and (2 * inner[i] >= held[i] or held[i] >= 0.999 * held[0])
+    return [k != PLAIN and not wraps(i) for i, k in enumerate(kinds)], reads
+
+
+def _below(parents: list[int], own: list[bool]) -> list[bool]:
+    """Which elements are marked, or lie in one that is."""
+    out = own[:1]
+    for i in range(1, len(own)):
+        out.append(own[i] or out[parents[i]])
     return out
 
 
 def main_text(html: str) -> str:
     """The page's main text: its blocks in page order, one to a line; empty if there is none."""
     tags, parents, kinds, blocks = _blocks(html)
-    dropped = _dropped(tags, parents, kinds, blocks)
+    unlikely, reads = _unlikely(tags, parents, kinds, blocks)
+    dropped, every = _below(parents, unlikely), blocks
     blocks = [b for b in blocks if not dropped[b[0]]]
     if not blocks:
         return ""
@@ -234,11 +263,13 @@ def main_text(html: str) -> str:
                 alone = tags[i] == "p" and (length[i] > 80 and density[i] < 0.25 or length[i] <= 80 and not linked[i] and length[i] > 25)
                 if score[i] >= need and density[i] < 0.5 or alone:
                     kept.add(i)
+    held = _below(parents, [i in kept for i in range(n)])
+    dropped = _below(parents, [u and not (reads[i] and held[i]) for i, u in enumerate(unlikely)])  # what only looked suspect, inside the article
     inside = [False] * n
     for i in range(n):
         menu = i not in kept and tags[i] in ("ul", "ol", "table", "dl") and count[i] > 1 and density[i] > 0.8
         inside[i] = (i in kept or i > 0 and inside[parents[i]]) and not menu
-    return "\n".join(text for block, text, _ in blocks if inside[block])
+    return "\n".join(text for block, text, _ in every if inside[block] and not dropped[block])
 
 
 def extracted(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

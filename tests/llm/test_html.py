@@ -51,6 +51,28 @@ def test_a_short_article_beats_a_long_advert():
     assert H.main_text(f'<div class="ad">{P1}</div><article><h1>T</h1><p>Short.</p></article><footer>{P2}</footer>') == "T\nShort."
 
 
+LONG = "A long and winding notice, with many commas, so that it earns points, and more points, than the short text beside it does, whatever else is said, here or elsewhere."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<article><div class="entry-header"><h1>Title</h1></div><p>{P1}</p></article>', f"Title\n{P1}"),
+        (f'<div class="content"><h2 class="section-header">Sub</h2><p>{P1}</p><p>{P2}</p></div>', f"Sub\n{P1}\n{P2}"),
+        *[(f"<{outer}><p>{P1}</p><{tag}><h2>S</h2><p>{P2}</p></{tag.split()[0]}></{outer.split()[0]}>", f"{P1}\nS\n{P2}") for outer in ("article", "main", 'div class="content"') for tag in ('section class="related-work"', 'section id="share-prices"', 'section id="search-algorithms"', 'div class="social-history"', 'div class="legal-analysis"')],
+        *[(f"<{outer}><p>{P1}</p><p>{P2}</p><{tag}><p>{P2}</p></div></{outer.split()[0]}>", f"{P1}\n{P2}") for outer in ("article", 'div class="content"') for tag in ('div class="related-posts"', 'div class="share-buttons"', 'div id="newsletter"', 'div class="post-footer"', 'div class="ad-slot-2"')],
+        (f'<article><p>{P1}</p><div class="related-work"><a href=1>{P1}</a> <a href=2>{P2}</a></div></article>', P1),
+        (f'<div class="cookie-consent"><p>{LONG}</p><p>{LONG}</p></div><div><p>{P1}</p></div>', P1),
+        (f'<div class="cookie-consent"><div><p>{LONG}</p><p>{LONG}</p></div></div><div><p>{P1}</p></div>', P1),
+        (f'<div class="sidebar"><p>{LONG}</p><p>{LONG}</p></div><div><p>{P1}</p></div>', P1),
+        (f'<div class="sidebar-layout"><div class="content"><p>{P1}</p><p>{P2}</p></div></div><p>Short.</p>', f"{P1}\n{P2}"),
+        (f'<div class="menu"><p>{P1}</p><p>{P2}</p></div>', f"{P1}\n{P2}"),
+    ],
+)
+def test_names_and_wrappers(html, text):
+    assert H.main_text(html) == text
+
+
 def plain_best(tree):
     """The element of the highest score, by walking a tree of (tag, children or text) as the method says."""
     scores, order = {}, []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
@@ -96,19 +97,39 @@ def rrf_fusion(spark, d):
     return R.fused([_scored(spark, d, 7, 50), _scored(spark, d, 11, 50)], "vec_id").withColumn("score", F.round("score", 8))
 
 
-@query(BM25 + """, a AS NOT MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY round(score, 6) DESC, item_id) AS rank FROM s), b AS (SELECT item_id, row_number() OVER (ORDER BY n DESC, item_id) AS rank FROM l),
-    u AS (SELECT item_id, rank FROM a WHERE rank <= 10 UNION ALL SELECT item_id, rank FROM b WHERE rank <= 10) SELECT item_id, round(sum(1.0 / (60 + rank)), 8)::DOUBLE AS score, count(*) AS channels FROM u GROUP BY item_id""".replace(", a AS NOT MATERIALIZED", ", z AS").replace("FROM a WHERE", "FROM z WHERE"))
+@query(BM25 + """, z AS (SELECT item_id, row_number() OVER (ORDER BY round(score, 6) DESC, item_id) AS rank, round(score, 6) AS score, 0 AS channel, 'text' AS source FROM s), y AS (SELECT item_id, row_number() OVER (ORDER BY n DESC, item_id) AS rank, n / 1000 AS score, 1 AS channel, 'length' AS source FROM l),
+    u AS (FROM z WHERE rank <= 10 UNION ALL FROM y WHERE rank <= 10), m AS (SELECT item_id, sum(1.0 / (60 + rank)) AS rrf, max(u.score) AS score, CASE WHEN count(DISTINCT source) > 1 THEN 'search_dual_match' ELSE min(source) END AS source, min((channel, rank)) AS first FROM u GROUP BY item_id)
+    SELECT item_id, round(rrf, 8)::DOUBLE AS rrf, m.score::DOUBLE AS score, source, row_number() OVER (ORDER BY m.rrf DESC, m.score DESC, first)::INT AS place FROM m ORDER BY place LIMIT 12""")
 def rrf_dual_merge(spark, d):
+    """Two channels merged: shares by rank, the score of the better row, and whether both channels name it."""
     docs = load(spark, d, "benchmark")
     lexical = R.ranked(P.bm25(docs, "item_id", "text", QUESTION).withColumn("score", F.round("score", 6)), "score", "item_id", 10)
-    length = R.ranked(docs.select("item_id", F.size(X.tokens(F.col("text"))).alias("score")), "score", "item_id", 10)
-    return R.fused([lexical, length], "item_id").withColumn("score", F.round("score", 8))
+    length = R.ranked(docs.select("item_id", (F.size(X.tokens(F.col("text"))) / 1000).alias("score")), "score", "item_id", 10)
+    return R.merged({"text": lexical, "length": length}, "item_id", 12).withColumn("rrf", F.round("rrf", 8))
 
 
-@query("""WITH q AS (SELECT ['the', 'of', 'and', 'license'] AS w) SELECT item_id, round(len(list_intersect(w, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')))) / 4, 6) AS score FROM benchmark, q""")
+BUNDLE = "the and license of 温度传感"
+
+
+@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+') || regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN '温度传感' WHEN doc_id % 3 = 1 THEN '温度' END, '温度|度传|传感') || CASE WHEN doc_id % 3 = 0 THEN ['度传'] ELSE [] END) AS w FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, round(len(list_intersect(w, ['the', 'and', 'license', 'of', '温度', '度传', '传感'])) / 7, 6) AS score FROM t WHERE len(list_intersect(w, ['the', 'and', 'license', 'of', '温度', '度传', '传感'])) > 0 ORDER BY score DESC, doc_id LIMIT 50""")
 def bundle_overlap(spark, d):
-    wanted = F.array(*map(F.lit, ["the", "of", "and", "license"]))
-    return load(spark, d, "benchmark").select("item_id", F.round(X.overlap(wanted, X.words(F.col("text"))), 6).alias("score"))
+    """The share of a question's words and pairs of CJK characters that a text holds; some texts get CJK of their own."""
+    k = F.col("doc_id") % 3
+    text = F.concat("text", F.when(k == 0, " 温，度传 感").when(k == 1, " 温度").otherwise(""))
+    wanted = X.question_terms(F.lit(BUNDLE))
+    scored = load(spark, d, "documents").select("doc_id", F.round(X.overlap(wanted, X.question_terms(text)), 6).alias("score")).where("score > 0")
+    return scored.orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+@query("""WITH h AS (SELECT label, vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS score, vec_id % 4 AS txt FROM embeddings ORDER BY score DESC, vec_id LIMIT 40),
+    b AS (SELECT label, txt, max(score) AS s, min(vec_id) AS t FROM h GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, t) AS r FROM b), f AS (SELECT label, min(vec_id) AS first FROM h GROUP BY label)
+    SELECT label, max(s) AS score, string_agg(txt::VARCHAR, ',' ORDER BY r) AS texts FROM r JOIN f USING (label) WHERE r <= 3 GROUP BY label, first ORDER BY score DESC, first LIMIT 8""")
+def collapse_top_assets(spark, d):
+    """The best eight groups among the best forty hits."""
+    array = F.array(*[F.lit(float(x)) for x in _vector(spark, d, 7)])
+    hits = load(spark, d, "embeddings").select("label", "vec_id", F.round(V.dot(F.col("embedding"), array), 6).alias("score"), (F.col("vec_id") % 4).cast("string").alias("txt"))
+    return R.collapsed_top(hits, "label", "score", "txt", "vec_id", 8).withColumn("texts", F.array_join("texts", ","))
 
 
 @query("""WITH h AS (SELECT label, vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS score, vec_id % 4 AS txt FROM embeddings),
@@ -133,6 +154,15 @@ def dimension_match(spark, d):
     return load(spark, d, "orders").select("o_orderkey", R.same_dimensions(F.array(a, b), F.array(b + 1, a), 0.01).alias("same"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN abs(p_size * 10 - p_size * 10.05) <= 0.01 * p_size * 10.05 WHEN 2 THEN false END AS same FROM part""")
+def dimension_match_units(spark, d):
+    """Sizes in millimetres against centimetres, in another order; a little off; far off; and in a unit that isn't one of length."""
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("double")
+    a = F.array(size * 10, size * 20)
+    b = F.array(size * 2, F.when(k == 1, size * 1.005).when(k == 2, size * 3).otherwise(size))
+    return load(spark, d, "part").select("p_partkey", R.same_dimensions_in(a, F.lit("mm"), b, F.when(k == 3, "kg").otherwise("cm"), 0.01).alias("same"))
+
+
 @query("""WITH s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 4) AS c, (vec_id % 60) / 100 AS v, (vec_id * 7 % 300) / 20 AS b, vec_id % 3 = 0 AS a FROM embeddings)
     SELECT vec_id, CASE WHEN a AND c >= 0.51 THEN 'ANCHORED_SEMANTIC' WHEN c >= 0.68 THEN 'SEMANTIC' WHEN a AND v >= 0.14 THEN 'ANCHORED_LEXICAL' WHEN v >= 0.48 AND b >= 12 THEN 'LEXICAL' ELSE 'BELOW_FLOOR' END AS reason,
     round(least(0.98, 0.65 * greatest(0, c) + 0.35 * v + 0.08 * a::INT), 9)::DOUBLE AS relevance FROM s""")
@@ -154,13 +184,22 @@ def evidence_identity_dedup(spark, d):
     return docs.join(facts, "fact").select("doc_id", "fact", "kept_id", (F.col("doc_id") == F.col("kept_id")).alias("kept"), "n")
 
 
-@query("""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark)
-    SELECT a.item_id AS x, b.item_id AS y, round(len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(a.w || b.w)), 1), 6) AS jaccard FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
+@query("""WITH t AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS w, length(coalesce(text, '')) % 2 AS a FROM conversations),
+    p AS (SELECT *, row_number() OVER o AS r, lag(w) OVER o AS w2, lag(a) OVER o AS a2, lag(turn) OVER o AS turn2 FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, array_to_string(w, ' ')))
+    SELECT conv_id, turn, r::BIGINT AS place, round(CASE WHEN turn % 5 > 0 AND turn2 % 5 > 0 AND a = a2 AND (turn % 3 > 0 OR turn2 % 3 = 0 AND turn % 2 = turn2 % 2) THEN 1 WHEN turn % 5 > 0 AND turn2 % 5 > 0 THEN least(0.79, len(list_intersect(w, w2)) / greatest(len(list_distinct(w || w2)), 1))
+        ELSE len(list_intersect(w, w2)) / greatest(len(list_distinct(w || w2)), 1) END, 6)::DOUBLE AS redundancy FROM p WHERE r > 1""")
 def redundancy_jaccard(spark, d):
-    w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))
-    t = load(spark, d, "benchmark").select("item_id", w.alias("w"))
-    other = t.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("y"), F.col("w").alias("w2"))
-    return t.join(other, "item_id").select(F.col("item_id").alias("x"), "y", F.round(X.jaccard(F.col("w"), F.col("w2")), 6).alias("jaccard"))
+    """Each turn beside the one before it: a claim about the conversation with one field or two, every fifth turn with none."""
+    t = F.coalesce("text", F.lit(""))
+    turn = F.col("turn")
+    fields = F.map_concat(F.create_map(F.lit("a"), (F.length(t) % 2).cast("string")), F.when(turn % 3 == 0, F.create_map(F.lit("b"), (turn % 2).cast("string"))).otherwise(F.create_map().cast("map<string,string>")))
+    claim = F.struct(F.lit("conversation").alias("type"), F.col("conv_id").cast("string").alias("key"), F.lit(None).cast("string").alias("range"), fields.alias("fields"))
+    claims = F.when(turn % 5 > 0, F.array(claim)).otherwise(F.slice(F.array(claim), 1, 0))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9_]+"), F.lit(0)))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", F.array_join("w", " "))
+    rows = load(spark, d, "conversations").select("conv_id", "turn", "role", claims.alias("c"), words.alias("w"))
+    rows = rows.withColumns({"place": F.row_number().over(w), "c2": F.lag("c").over(w), "w2": F.lag("w").over(w)}).where("place > 1")
+    return rows.select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.round(R.redundancy(F.col("c"), F.col("c2"), F.col("w"), F.col("w2")), 6).alias("redundancy"))
 
 
 @query()

@@ -12,8 +12,9 @@ from ..functions.predicates import Condition, variant_matches
 from ..operators import exact as E
 from ..operators import structured as S
 from ..sources import readers
+from ..plans import analyse as A
 from ..plans.compile import run_plan
-from ..plans.model import QueryPlan
+from ..plans.model import QueryPlan, TimeRange
 from .registry import load, query
 
 LINE = "l_orderkey, l_linenumber"
@@ -312,3 +313,37 @@ def cell_column(spark, d):
     return load(spark, d, "part").select("p_partkey", at["col"].alias("col"), at["row"].alias("row"))
 
 
+@query("""SELECT event_type AS metric, unit, CASE WHEN unit <> CASE WHEN length(event_type) % 2 = 0 THEN 'kW' ELSE 's' END THEN 'the series isn''t measured in ' || unit ELSE '' END AS problems FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(['kW', 's']) AS unit)
+    UNION ALL SELECT 'none', 's', 'the snapshot has no such series'""")
+def plan_capability(spark, d):
+    """A plan for each metric and unit, checked against the catalog of the series before any of it runs."""
+    e = load(spark, d, "events")
+    unit = F.when(F.length("event_type") % 2 == 0, "kW").otherwise("s")
+    series = e.select(F.lit("events").alias("asset_id"), F.lit("all").alias("series_id"), F.col("event_type").alias("metric"), unit.alias("unit")).distinct()
+    assets = spark.createDataFrame([("events", None, "parquet")], "asset_id string, scope string, format string")
+    catalog = A.Catalog(A.fields_of(e, "events"), series.persist(), assets)
+    rows = []
+    for metric in [r["metric"] for r in series.select("metric").distinct().collect()] + ["none"]:  # the metrics of a snapshot are few
+        for u in ("kW", "s") if metric != "none" else ("s",):
+            plan = QueryPlan(task_intent="mean", retrievers=["timeseries"], operation="average", metric=metric, unit=u, target_entity="all", time_range=TimeRange("2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z"))
+            rows.append((metric, u, "; ".join(A.problems(plan, catalog))))
+    return spark.createDataFrame(rows, "metric string, unit string, problems string")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'clock 03:04|clock 03:04:05|date ' || day || '|datetime ' || day || 'T03:04:05+00:00' WHEN 1 THEN 'clock 09:30|date ' || day WHEN 2 THEN 'date ' || day ELSE '' END AS found
+    FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)""")
+def time_literals(spark, d):
+    """A timestamp, a Chinese date with a clock of one digit, a date beside one that no calendar has, and numbers that are none."""
+    k, at = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    day = F.date_format(at, "yyyy-MM-dd")
+    text = F.when(k == 0, F.concat(F.lit("at "), day, F.lit("T03:04:05Z."))).when(k == 1, F.concat(F.date_format(at, "yyyy年M月d日"), F.lit(" 9:30"))).when(k == 2, F.concat(day, F.lit(" or 2024-13-45"))).otherwise("ratio 25:61, code A12:30, 12024-01-01")
+    return load(spark, d, "orders").select("o_orderkey", F.array_join(times.literals(text), "|").alias("found"))
+
+
+@query("SELECT 'made_time' AS column_name, round(least(1, 0.8 * sum((o_orderkey % 4 > 0)::INT) / count(*) + 0.25), 6)::DOUBLE AS score FROM orders")
+def time_column_older(spark, d):
+    """A column with a name that speaks for it and some texts that aren't times beats numbers, and texts that are times less often."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    rows = load(spark, d, "orders").select("o_orderkey", F.when(k % 3 > 0, day).otherwise("?").alias("note"), F.when(k % 4 > 0, day).otherwise("soon").alias("made_time"), (k * 1_000_000).alias("size"))
+    name, score = times.older_time_column(rows)
+    return spark.createDataFrame([(name, round(score, 6))], "column_name string, score double")

@@ -45,6 +45,13 @@ def query_tokens(text: str) -> list[str]:
     return re.findall(WORDS, text.lower()) + [compact[i : i + n] for n in (2, 3) for i in range(len(compact) - n + 1)]
 
 
+def question_terms(text: Column) -> Column:
+    """Distinct Latin words and pairs of CJK characters that follow each other, other characters between them or not."""
+    low = F.lower(text)
+    pairs = lambda c: F.slice(F.zip_with(c, F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
+    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), with_value(F.regexp_extract_all(low, F.lit("[一-鿿]"), F.lit(0)), pairs)))
+
+
 def has_identifier(text: Column, identifier: str) -> Column:
     """Whether the identifier stands in the text as a whole token, not inside a longer one."""
     return text.rlike(f"(?i)(?<![{OUTSIDE}]){re.escape(identifier)}(?![{OUTSIDE}])")

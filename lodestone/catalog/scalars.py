@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import records as J
 from ..functions import text as X
 from ..functions import times, units
+from ..operators import exact as E
 from ..operators import structured as S
 from ..operators import timeseries as T
 from ..sources import readers, sinks
@@ -140,23 +141,24 @@ def output_instructions(spark, d):
     return load(spark, d, "orders").select("o_orderkey", bare.alias("question"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN strftime(o_orderdate, '%Y-%m-%d') < '1996-02-03' THEN ',1996-02-03' ELSE '' END AS up, CASE o_orderkey % 3 WHEN 0 THEN 'Asia/Shanghai' WHEN 1 THEN '+08:00' END AS zone, CASE o_orderkey % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'context' END AS role FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '1996-02-03'")
+@query("SELECT o_orderkey, array_to_string(list_sort(list_distinct([strftime(o_orderdate, '%Y-%m-%d'), '1996-02-03'])), ',') AS up, CASE o_orderkey % 3 WHEN 0 THEN 'Asia/Shanghai' WHEN 1 THEN '+08:00' END AS zone, CASE o_orderkey % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'context' END AS role FROM orders")
 def temporal_literals(spark, d):
     """Dates that a text names, the zone that a sheet declares, and what a date field tells of."""
     day, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 3
     text = F.concat(F.lit("due 1996-02-03, placed "), day, F.lit(" (not 11996-02-031), again "), day)
     zone = F.when(k == 0, "Time zone: Asia/Shanghai").when(k == 1, "时区：+08:00").otherwise("zone unknown")
     field = F.when(k == 0, "shipped_at").when(k == 1, "contract_valid_to").otherwise("amount")
-    return load(spark, d, "orders").where(day < "1996-02-03").select("o_orderkey", F.array_join(J.dates_in(text), ",").alias("up"), J.declared_zone(zone).alias("zone"), J.date_role(field).alias("role"))
+    return load(spark, d, "orders").select("o_orderkey", F.array_join(J.dates_in(text), ",").alias("up"), J.declared_zone(zone).alias("zone"), J.date_role(field).alias("role"))
 
 
-@query("SELECT event_type AS metric, count(*) AS n, true AS same FROM events GROUP BY 1")
+@query("SELECT event_type AS metric, count(*) AS n, round(sum(value::DECIMAL(38,12))::DOUBLE, 6) AS once, round(sum(value::DECIMAL(38,12))::DOUBLE, 6) AS again, round(sum(value::DECIMAL(38,12))::DOUBLE, 6) AS exact FROM events GROUP BY 1")
 def exact_ts_recompute(spark, d):
-    """Totals in decimals, and again as the last of a running sum: two formulations that must agree."""
+    """Totals in decimals, as the last of a running sum, and as a rational: three ways that must come to the same."""
     f = facts(spark, d)
-    once = T.totals(f, ["metric"]).select("metric", "n", "sum_value")
-    again = T.running_total(f, "metric")
-    return once.join(again, "metric").select("metric", "n", (F.abs(F.col("sum_value") - F.col("total")) < 1e-6).alias("same"))
+    once = T.totals(f, ["metric"]).select("metric", "n", F.round("sum_value", 6).alias("once"))
+    again = T.running_total(f, "metric").select("metric", F.round("total", 6).alias("again"))
+    exact = E.exact_totals(f, F.col("value"), ["metric"]).select("metric", F.round("sum_value", 6).alias("exact"))
+    return once.join(again, "metric").join(exact, "metric")
 
 
 @query("SELECT o_custkey AS k, count(*) AS n, least(count(*), 5) AS kept, count(*) > 5 AS cut, (list(o_orderkey ORDER BY o_orderkey) [1:5])::VARCHAR AS inputs FROM orders GROUP BY 1")
@@ -202,14 +204,14 @@ def write_id_map(spark, d):
     return spark.read.parquet(path).select("vec_id", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT label, count(*) AS n, true AS unit FROM embeddings GROUP BY 1")
+@query("SELECT label, count(*) AS n, round(sum(e[1] / sqrt(list_dot_product(e, e))), 6) AS first_sum, round(sum(list_dot_product(e, e) / list_dot_product(e, e)), 6) AS squares FROM (SELECT label, embedding::DOUBLE[] AS e FROM embeddings) WHERE list_dot_product(e, e) > 0 GROUP BY 1")
 def write_vector_index(spark, d):
     """Vectors of length one by space, written and read back."""
     path = scratch(spark)
     sinks.write_vectors(load(spark, d, "embeddings"), "vec_id", "embedding", "label", path)
     x = spark.read.parquet(path)
     length = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
-    return x.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.abs(length - 1) < 1e-6).alias("unit"))
+    return x.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("embedding", 0)), 6).alias("first_sum"), F.round(F.sum(length), 6).alias("squares"))
 
 
 @query("SELECT n_name AS sheet, 1 AS row, 1 AS col, 'name' AS value, NULL::VARCHAR AS formula FROM nation UNION ALL SELECT n_name, 1, 2, 'k', NULL FROM nation UNION ALL SELECT n_name, 2, 1, n_name, NULL FROM nation UNION ALL SELECT n_name, 2, 28, (n_nationkey * 2)::VARCHAR, 'B2*2' FROM nation")

@@ -143,6 +143,23 @@ def manifest(spark, d):
     return files.select(F.regexp_extract("path", "folder=([0-9]+)", 1).alias("folder"), "sha256", "size")
 
 
+@query("""SELECT p_brand AS folder, CASE b % 5 WHEN 1 THEN 'SHA256_MISMATCH' WHEN 2 THEN 'SIZE_MISMATCH' WHEN 3 THEN 'MISSING' WHEN 4 THEN 'UNLISTED' ELSE 'OK' END AS status, CASE WHEN b % 5 = 0 THEN sum(strlen(p_name) + 1)::BIGINT END AS n_bytes
+    FROM (SELECT *, string_split(p_brand, '#')[-1]::INT AS b FROM part) GROUP BY p_brand, b""")
+def verified_objects(spark, d):
+    """A file for each brand, listed and then changed: some in their letters, some in their size, some gone, some not listed."""
+    path, p = scratch(spark), load(spark, d, "part")
+    kind = F.substring_index("p_brand", "#", -1).cast("int") % 5
+    lines = p.select(F.col("p_brand").alias("folder"), F.col("p_name").alias("value"), kind.alias("kind"))
+    put = lambda rows, to: rows.repartition(8, "folder").select("folder", "value").write.partitionBy("folder").mode("append").text(f"{path}/{to}")
+    put(lines, "before")
+    folder = F.regexp_extract(F.url_decode("path"), "folder=([^/]+)", 1)
+    listed = sinks.manifest(spark, f"{path}/before").select(F.concat(F.lit("/"), folder).alias("path"), "sha256", "size")
+    listed = listed.where(F.substring_index("path", "#", -1).cast("int") % 5 != 4)
+    put(lines.where("kind <> 3").withColumn("value", F.when(F.col("kind") == 1, F.reverse("value")).when(F.col("kind") == 2, F.concat("value", F.lit("!"))).otherwise(F.col("value"))), "after")
+    found = sinks.verified(spark, f"{path}/after", listed, folder=F.concat(F.lit("/"), folder))
+    return found.select(F.substring("path", 2, 100).alias("folder"), "status", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
 @query("SELECT CASE page_id % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'table' WHEN 2 THEN 'geometry' WHEN 3 THEN 'json' WHEN 4 THEN 'text' ELSE 'other' END AS kind, count(*) AS n FROM pages GROUP BY 1")
 def asset_kinds(spark, d):
     names = F.array(*[F.lit(x) for x in ("/a.PNG", "/b.xlsx", "/c.stp", "/d.JSON", "/e.pdf", "/f.html")])

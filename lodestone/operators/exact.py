@@ -128,3 +128,29 @@ def _weighted(x: DataFrame) -> DataFrame:
 
     schema = ", ".join(f"mean_{c}" for c in R.RESULT.split(", ")) + ", seconds_ratio string"
     return _finished(found.select(*KEY, "parts", "micros"), KEY, schema, of)
+
+
+def guarded_counts(rows: DataFrame, start: str, end: str, unit: str | None = None, closed: bool = False) -> DataFrame:
+    """For each series of a window: records, samples, records without a number, repeated samples, and why they can't be counted.
+
+    rows has entity, metric, ts, number (text), unit, position (of the record in its source) and eligible. Records are
+    rows, whatever they hold. Samples are distinct instants with a number: equal ones, whatever their digits look like,
+    count once. The status is COUNTED, or the first that applies: two records at one position, a number that can't be
+    calculated or is beyond 4096 digits, a unit other than the one asked for, or two numbers or units at one instant;
+    then there are no samples."""
+    inside = (F.col("ts") >= F.lit(start).cast("timestamp")) & ((F.col("ts") <= F.lit(end).cast("timestamp")) if closed else (F.col("ts") < F.lit(end).cast("timestamp")))
+    text = F.when(R.is_number(F.col("number")), F.col("number"))
+    x = rows.where(inside).select(*KEY, "ts", "position", "unit", text.alias("t"), (~F.col("eligible")).alias("blocked"))
+    x = x.withColumns({"beyond": F.coalesce(~R.in_budget(F.col("t")), F.lit(False)), "other": F.col("t").isNotNull() & ~F.col("unit").eqNullSafe(F.lit(unit)) if unit else F.lit(False)})
+    places = rows.groupBy(*KEY, "position").agg(F.count(F.lit(1)).alias("n")).groupBy(*KEY).agg(F.max("n").alias("most"))
+    sign = F.when(F.col("t").isNotNull() & ~F.col("beyond"), F.struct(R.order_key(F.col("t")).alias("n"), F.coalesce("unit", F.lit("")).alias("u")))
+    at = x.groupBy(*KEY, "ts").agg(
+        F.count(F.lit(1)).alias("records"), F.count("t").alias("numbers"), (F.min(sign) != F.max(sign)).alias("conflict"),
+        *[F.bool_or(c).alias(c) for c in ("blocked", "beyond", "other")], F.min(F.when(F.col("t").isNotNull(), F.coalesce("unit", F.lit("")))).alias("u0"), F.max(F.when(F.col("t").isNotNull(), F.coalesce("unit", F.lit("")))).alias("u1"),
+    )
+    found = at.groupBy(*KEY).agg(
+        F.sum("records").alias("n_records"), F.count_if(F.col("numbers") > 0).alias("samples"), F.sum(F.col("records") - F.col("numbers")).alias("n_excluded"), F.sum(F.greatest(F.col("numbers") - 1, F.lit(0))).alias("n_repeats"),
+        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("blocked", "beyond", "other", "conflict")], F.min("u0").alias("u0"), F.max("u1").alias("u1"),
+    ).join(places, KEY)
+    status = F.when(F.col("most") > 1, "COUNT_DUPLICATE_PHYSICAL_ROW").when(F.col("blocked"), "COUNT_METRIC_NOT_CALCULABLE").when(F.col("beyond"), "COUNT_SOURCE_PRECISION_LIMIT").when(F.col("other"), "COUNT_MEASUREMENT_UNIT_MISMATCH").when(F.col("conflict"), "COUNT_DUPLICATE_SAMPLE_CONFLICT").otherwise("COUNTED")
+    return found.withColumn("status", status).select(*KEY, "n_records", F.when(F.col("status") == "COUNTED", F.col("samples")).alias("n_samples"), "n_excluded", "n_repeats", F.when(F.col("u0") == F.col("u1"), F.nullif(F.col("u0"), F.lit(""))).alias("unit"), "status")

@@ -101,3 +101,20 @@ def test_interval_mean(spark, window):
     assert [(r["mean_ratio"], r["seconds_ratio"]) for r in got] == ([(shown(area / covered), shown(covered / 1_000_000))] if covered else [])
     near = T.interval_statistics(df, *window).first()
     assert not covered or near["weighted_average"] == pytest.approx(float(area / covered), rel=1e-6)
+
+
+def test_guarded_counts(spark):
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    rows = [  # entity, second, number, unit, position, eligible
+        ("fine", 0, "1.50", "m", 1, True), ("fine", 0, "+15e-1", "m", 2, True), ("fine", 1, None, None, 3, True), ("fine", 1, "x", "m", 4, True), ("fine", 2, "-0", "m", 5, True), ("fine", 2, "0.000", "m", 6, True), ("fine", 90, "1", "s", 7, True),
+        ("value", 0, "1", "m", 1, True), ("value", 0, "1.0000000000000000000000001", "m", 2, True), ("unit", 0, "1", "m", 1, True), ("unit", 0, "1", None, 2, True), ("place", 0, "1", "m", 1, True), ("place", 1, "1", "m", 1, True),
+        ("cell", 0, "1", "m", 1, False), ("long", 0, "1e5000", "m", 1, True), ("none", 0, None, "m", 1, True),
+    ]
+    df = spark.createDataFrame([(e, "x", at(s), n, u, p, ok) for e, s, n, u, p, ok in rows], "entity string, metric string, ts timestamp, number string, unit string, position int, eligible boolean")
+    got = {r["entity"]: tuple(r)[2:] for r in E.guarded_counts(df, "2024-01-01T00:00:00Z", "2024-01-01T00:01:00Z").collect()}
+    assert got["fine"] == (6, 2, 2, 2, "m", "COUNTED") and got["none"] == (1, 0, 1, 0, None, "COUNTED")
+    assert {k: got[k][-1] for k in ("value", "unit", "place", "cell", "long")} == {"value": "COUNT_DUPLICATE_SAMPLE_CONFLICT", "unit": "COUNT_DUPLICATE_SAMPLE_CONFLICT", "place": "COUNT_DUPLICATE_PHYSICAL_ROW", "cell": "COUNT_METRIC_NOT_CALCULABLE", "long": "COUNT_SOURCE_PRECISION_LIMIT"}
+    asked = {r["entity"]: r["status"] for r in E.guarded_counts(df, "2024-01-01T00:00:00Z", "2024-01-01T00:01:30Z", "m", closed=True).collect()}
+    assert asked["fine"] == "COUNT_MEASUREMENT_UNIT_MISMATCH" and asked["none"] == "COUNTED"

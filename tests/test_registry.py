@@ -59,3 +59,17 @@ def test_an_extension_has_one_parser():
         with pytest.raises(ValueError, match="registered already"):
             p.register(taken, registry.json_lines)
     assert "new" not in p.of
+
+
+def test_files_are_verified_as_they_are_read(spark, tmp_path):
+    import hashlib
+
+    from lodestone.sources import sinks
+
+    for name, text in (("ok", "a"), ("long", "ab"), ("other", "b"), ("extra", "x")):
+        (tmp_path / name).write_text(text)
+    base = f"file:{tmp_path}"
+    sha = hashlib.sha256(b"a").hexdigest()
+    listed = spark.createDataFrame([(f"{base}/{n}", sha.upper() if n == "ok" else sha, 1) for n in ("ok", "long", "other", "gone")], "path string, sha256 string, size long")
+    got = {r["path"].rpartition("/")[2]: (r["status"], r["content"]) for r in sinks.verified(spark, str(tmp_path), listed).collect()}
+    assert got == {"ok": ("OK", bytearray(b"a")), "long": ("SIZE_MISMATCH", None), "other": ("SHA256_MISMATCH", None), "extra": ("UNLISTED", None), "gone": ("MISSING", None)}

@@ -155,9 +155,26 @@ class Encoder:
         if n > done:
             yield path(n)
 
+    def short(self, part: str) -> tuple[int, ...]:
+        """The same for a part inside one window all of whose characters are pieces: nothing is unknown or committed early."""
+        n = len(part)
+        score, start, piece = [0.0] + [float("-inf")] * n, [0] * (n + 1), [0] * (n + 1)
+        for end, (length, s, one) in self.automaton.iter(part):
+            end += 1
+            at = end - length
+            if (now := score[at] + s) > score[end]:
+                score[end], start[end], piece[end] = now, at, one
+        out = []
+        while n:
+            out.append(piece[n])
+            n = start[n]
+        return tuple(out[::-1])
+
     def part(self, part: str) -> tuple[int, ...]:
         if self.lone_break and len(part) > 1 and part[0] == "\n":
             return self.cache["\n"] + self.cache[part[1:]]
+        if len(part) <= self.v.longest and self.singles.issuperset(part):
+            return self.short(part)
         return tuple(chain.from_iterable(self.stream(part)))
 
     def ids(self, text: str) -> list[int]:
@@ -189,9 +206,22 @@ class Counter(Encoder):
             score[at], count[at] = best, n
         return count[len(part) % size]
 
+    def short(self, part: str) -> int:
+        """The same for a part inside one window all of whose characters are pieces."""
+        n = len(part)
+        score, count = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        for end, (length, s, _) in self.automaton.iter(part):
+            end += 1
+            at = end - length
+            if (now := score[at] + s) > score[end]:
+                score[end], count[end] = now, count[at] + 1
+        return count[n]
+
     def part(self, part: str) -> int:
         if self.lone_break and len(part) > 1 and part[0] == "\n":
             return self.cache["\n"] + self.cache[part[1:]]
+        if len(part) <= self.v.longest and self.singles.issuperset(part):
+            return self.short(part)
         return self.window(part)
 
     def count(self, text: str) -> int:
@@ -200,16 +230,20 @@ class Counter(Encoder):
 
 
 class Cache(dict):
-    """part -> result, for parts of usual length; emptied when full, so that memory is bounded."""
+    """part -> result, for parts of usual length. When it is full, what it holds becomes old, and what was old is forgotten:
+    memory is bounded, and frequent parts stay."""
 
     def __init__(self, of, longest: int = 64):
         super().__init__()
-        self.of, self.longest = of, longest
+        self.of, self.longest, self.old = of, longest, {}
 
     def __missing__(self, part: str):
-        found = self.of(part)
+        found = self.old.get(part)
+        if found is None:
+            found = self.of(part)
         if len(part) <= self.longest:
             if len(self) >= CACHED:
+                self.old = dict(self)
                 self.clear()
             self[part] = found
         return found

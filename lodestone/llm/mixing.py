@@ -8,7 +8,9 @@ slot of a source takes its block r, and starts over at the end.
 
 The points of a grid of 2**b are the reversed bits of its slots, so a source's slots come from its own part of the grid
 and need no search. Ranks and offsets are sums over buckets of bounded size with the sums of the buckets before: no
-source goes through one task. Only totals come to the driver. The table of sources, a row each, is numbered in one task."""
+source goes through one task. Joins with what grows with the documents are merges: blocks and slots compress so well that
+their shuffled size would take them for small. Only totals come to the driver. The table of sources, a row each, is
+numbered in one task."""
 
 from __future__ import annotations
 
@@ -48,7 +50,7 @@ def running(rows: DataFrame, key: str, bucket: str, order: list[str], value: Col
     over = parts.groupBy(key, "_over").agg(F.sum("_s").alias("_s")).select(key, "_over", before([key], "_over").alias("_base"))
     starts = parts.withColumn("_in", before([key, "_over"], bucket)).join(over, [key, "_over"]).select(key, bucket, (F.col("_base") + F.col("_in")).alias("_start"))
     inside = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(starts, [key, bucket]).withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_start")
+    return rows.join(starts.hint("merge"), [key, bucket]).withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_start")
 
 
 def shares(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -116,7 +118,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source: str | Column = "sourc
     slots = scheduled(plan, mix)
     cut = laid.join(plan.select("key", "length"), "key").select("key", "from", (F.col("from") + F.col("size")).alias("to"), F.explode(F.sequence(F.expr("`from` div length"), F.expr("(`from` + size - 1) div length"))).alias("block"))
     low, high = F.greatest("from", "begin"), F.least("to", "end")
-    parts = cut.join(slots, ["key", "block"]).where(low < high).select("slot", "epoch", "block", "key", "from", (low - F.col("from")).alias("start"), (high - low).alias("n_tokens"))
+    parts = cut.join(slots.hint("merge"), ["key", "block"]).where(low < high).select("slot", "epoch", "block", "key", "from", (low - F.col("from")).alias("start"), (high - low).alias("n_tokens"))
     return Mixed(laid.unionByName(sizes.where("size <= 0").withColumn("from", F.lit(None).cast("long"))), plan, slots, parts)
 
 
@@ -127,5 +129,5 @@ def taken(docs: DataFrame, id_col: str = "doc_id", source: str | Column = "sourc
     m = mixed(docs, id_col, source, size, mix)
     sums = m.parts.groupBy("key", "from").agg(F.sum("n_tokens").alias("taken"))
     zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
-    rows = m.rows.join(sums, ["key", "from"], "left").join(m.plan.select("key", "source_size", "target"), "key", "left")
+    rows = m.rows.join(sums.hint("merge"), ["key", "from"], "left").join(m.plan.select("key", "source_size", "target"), "key", "left")
     return rows.select("id", "size", zero("source_size", "long"), zero("target", "double"), zero("taken", "long"))

@@ -27,16 +27,22 @@ BLANK = b" \t\n\x0b\x0c\r"
 
 
 class Numbers(dict):
-    """64-bit numbers of words, keyed BLAKE2b, each made once while the table is small."""
+    """64-bit numbers of words, keyed BLAKE2b, made once for each word; what a full table holds is kept as old for as long again."""
 
-    def __init__(self, key: bytes):
+    def __init__(self, key: bytes, most: int = 200_000):
         super().__init__()
-        self.key = key
+        self.base, self.most, self.old = blake2b(digest_size=8, key=key), most, {}
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 200_000:
+        h = self.old.get(w)
+        if h is None:
+            of = self.base.copy()
+            of.update(w)
+            h = int.from_bytes(of.digest(), "little")
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[w] = h = int.from_bytes(blake2b(w, digest_size=8, key=self.key).digest(), "little")
+        self[w] = h
         return h
 
 
@@ -46,13 +52,18 @@ class Words(Kind):
     size, gram, own_starts = WINDOW, 5, False
 
     def __init__(self, key: bytes | None = None):
-        self.key = key or os.urandom(16)
+        self.key, self.numbers = key or os.urandom(16), None
+
+    def __getstate__(self) -> dict:
+        return {"key": self.key, "numbers": None}  # each task numbers words anew
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        numbers, parts = Numbers(self.key), []
+        if self.numbers is None:
+            self.numbers = Numbers(self.key)
+        parts = []
         for t in texts:
             w = t.split()
-            parts.append(np.fromiter(map(numbers.__getitem__, w), U, len(w)))
+            parts.append(np.fromiter(map(self.numbers.__getitem__, w), U, len(w)))
         return (np.concatenate(parts) if parts else np.zeros(0, U)), np.cumsum([0, *map(len, parts)])
 
     def grams(self, symbols: np.ndarray) -> np.ndarray:

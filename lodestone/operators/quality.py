@@ -9,7 +9,6 @@ from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 ISSUES, ZONES = 100, tuple(sorted(available_timezones()))
 # Units that a data dictionary may declare.
@@ -117,11 +116,15 @@ def not_assessed(df: DataFrame, rule: str) -> DataFrame:
 
 
 def key_check(df: DataFrame, key: list[str], row: str) -> DataFrame:
-    """Primary key present and unique: each later row with the same key names the first row that has it."""
-    w = Window.partitionBy(*key)
-    rows = df.select(*key, F.col(row).alias("_row"), F.min(row).over(w).alias("_first"))
+    """Primary key present and unique: each later row with the same key names the first row that has it.
+
+    First rows are found by an aggregate and joined back, so that a key that very many rows share is split where Spark splits
+    a skewed join; rows whose key is null or blank are wrong for that, whatever else has it."""
+    rows = df.select(*key, F.col(row).alias("_row"))
+    first = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min("_row").alias("_first"))
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(first[f"_k{i}"]) for i, k in enumerate(key)])
     filled = reduce(lambda a, b: a & b, [~blank(F.col(k)) for k in key])
-    return check(rows, "primary_key", filled & (F.col("_row") == F.col("_first")), F.concat_ws(":", F.col("_row"), F.col("_first")), True)
+    return check(rows.join(first, same), "primary_key", filled & (F.col("_row") == F.col("_first")), F.concat_ws(":", F.col("_row"), F.col("_first")), True)
 
 
 def reference_check(df: DataFrame, field: str, target: DataFrame, target_field: str, nullable: bool = True) -> DataFrame:

@@ -79,12 +79,18 @@ def order_status(unit: Column) -> Column:
     return F.when(F.count_distinct(unit) > 1, "NEEDS_UNIT_MAPPING").otherwise("OK")
 
 
-def receipts(df: DataFrame, keys: list[str], value: str, most: int = 512) -> DataFrame:
+def receipts(df: DataFrame, keys: list[str], value: str, most: int = 512, parts: int = 64) -> DataFrame:
     """(keys, n, inputs): how many inputs each total has, and the first of them in order, at most so many.
 
-    Inputs are ranked before they are collected, so that no row holds more."""
-    ranked = df.withColumn("_r", F.row_number().over(W.Window.partitionBy(*keys).orderBy(value)))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.col(value)))).alias("inputs"))
+    The inputs of a key are ranked in parts first, of which each keeps the first ones alone, so that no task orders all of
+    a key's inputs, and no row holds more than most."""
+    part = F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), F.lit(parts))
+    counted = df.select(*keys, F.col(value).alias("_v"), part.alias("_p"))
+    near = counted.withColumn("_r", F.row_number().over(W.Window.partitionBy(*keys, "_p").orderBy("_v"))).where(F.col("_r") <= most)
+    first = near.withColumn("_r", F.row_number().over(W.Window.partitionBy(*keys).orderBy("_v"))).where(F.col("_r") <= most)
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast(f"array<{df.schema[value].dataType.simpleString()}>").alias("inputs"))
+    lists = first.groupBy(*keys).agg(F.lit(None).cast("long").alias("n"), F.array_sort(F.collect_list("_v")).alias("inputs"))
+    return sizes.unionByName(lists).groupBy(*keys).agg(F.max("n").alias("n"), F.coalesce(F.first("inputs", ignorenulls=True), F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")).alias("inputs"))
 
 
 def profile(df: DataFrame, key: str | None = None, preview: int = 200) -> DataFrame:

@@ -5,7 +5,6 @@ one for each file, and are parsed by Arrow batches in the tasks."""
 
 from __future__ import annotations
 
-import csv
 import io
 import json
 import re

@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .readers import header_row, unique_headers, workbook_cells
 

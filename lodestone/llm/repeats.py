@@ -49,11 +49,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for spans of bytes."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of data[start:end] for spans of symbols; table, if given, has a number for each byte."""
     up, down = _powers(1 << max(20, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
+    np.cumsum((data.astype(U) + U(1) if table is None else table[data]) * up[: len(data)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 

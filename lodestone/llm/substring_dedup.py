@@ -19,52 +19,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import HELD, PRIME, STEP_BYTES, U, Kind, covered, dropped, mixed
+from .repeats import HELD, PRIME, STEP_BYTES, U, Kind, covered, dropped, mixed, span_hashes
 from .shared import saved
 
-WINDOW, SUBTREE = 13, 400_000
+WINDOW, SUBTREE, SHORT = 13, 400_000, 64
 BLANK = b" \t\n\x0b\x0c\r"
 
 
-class Numbers(dict):
-    """64-bit numbers of words, keyed BLAKE2b, made once for each word; what a full table holds is kept as old for as long again."""
-
-    def __init__(self, key: bytes, most: int = 200_000):
-        super().__init__()
-        self.base, self.most, self.old = blake2b(digest_size=8, key=key), most, {}
-
-    def __missing__(self, w: bytes) -> int:
-        h = self.old.get(w)
-        if h is None:
-            of = self.base.copy()
-            of.update(w)
-            h = int.from_bytes(of.digest(), "little")
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[w] = h
-        return h
-
-
 class Words(Kind):
-    """Words as numbers that a key of the run gives them: no text is so made that two of its words get one number."""
+    """Words as 64-bit numbers under a key of the run, so that no text can be made to clash.
+
+    A word of up to SHORT bytes is a polynomial over secret numbers of its bytes. Longer ones, for which there are words that
+    any polynomial modulo 2**64 takes for equal, are hashed by keyed BLAKE2b."""
 
     size, gram, own_starts = WINDOW, 5, False
 
     def __init__(self, key: bytes | None = None):
-        self.key, self.numbers = key or os.urandom(16), None
-
-    def __getstate__(self) -> dict:
-        return {"key": self.key, "numbers": None}  # each task numbers words anew
+        self.key = key or os.urandom(16)
+        self.table = np.frombuffer(b"".join(blake2b(bytes([i]), digest_size=8, key=self.key, person=b"bytes").digest() for i in range(256)), U)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if self.numbers is None:
-            self.numbers = Numbers(self.key)
-        parts = []
-        for t in texts:
-            w = t.split()
-            parts.append(np.fromiter(map(self.numbers.__getitem__, w), U, len(w)))
-        return (np.concatenate(parts) if parts else np.zeros(0, U)), np.cumsum([0, *map(len, parts)])
+        whole = b"\n".join([*texts, b""])
+        data = np.frombuffer(whole, np.uint8)
+        blank = np.empty(len(data) + 1, bool)
+        blank[0] = True
+        blank[1:] = (data == 32) | ((data >= 9) & (data <= 13))
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        text_at = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        out = span_hashes(data, starts, ends, self.table)
+        for i in np.flatnonzero(ends - starts > SHORT).tolist():
+            out[i] = int.from_bytes(blake2b(whole[starts[i] : ends[i]], digest_size=8, key=self.key).digest(), "little")
+        return out, np.searchsorted(starts, text_at)
 
     def grams(self, symbols: np.ndarray) -> np.ndarray:
         n = max(len(symbols) - self.gram + 1, 0)

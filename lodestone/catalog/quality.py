@@ -91,7 +91,7 @@ def dq_integrity(spark, d):
 def dq_manifest_digest(spark, d):
     """The digest of blocks of a thousand files in order, and of their digests; counts come along."""
     files = load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.octet_length("text").cast("long").alias("bytes"))
-    return S.digest(files, ["doc_id"], F.col("h")).crossJoin(F.broadcast(files.agg(F.sum("bytes").alias("bytes"))))  # one row each
+    return S.two_level_digest(files, ["doc_id"], F.col("h")).crossJoin(F.broadcast(files.agg(F.sum("bytes").alias("bytes"))))  # one row each
 
 
 @query(_sql("catalog", "SELECT item_id::VARCHAR AS i, item_id % 6 <> 5 AS ok FROM benchmark"))

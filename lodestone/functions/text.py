@@ -39,6 +39,25 @@ def tokens(text: Column) -> Column:
     return F.concat(words(text), with_value(characters(text), lambda c: F.concat(ngrams(c, 2), ngrams(c, 3))))
 
 
+def tokens_in(words: Column, characters: Column) -> Column:
+    """How many tokens a text of so many words and characters has."""
+    return words + F.greatest(characters - 1, F.lit(0)) + F.greatest(characters - 2, F.lit(0))
+
+
+def token_count(text: Column) -> Column:
+    """The size of tokens(text), which are not made."""
+    low = F.lower(text)
+    return tokens_in(F.regexp_count(low, F.lit(WORDS)), F.char_length(F.regexp_replace(low, r"\s+", "")))
+
+
+def occurrences(text: Column, run: str) -> Column:
+    """How often a run of characters stands in the text; places may overlap."""
+    if any(run[:i] == run[-i:] for i in range(1, len(run))):
+        return F.regexp_count(text, F.lit(f"(?={re.escape(run)})"))
+    left = F.octet_length(F.replace(text, F.lit(run), F.lit("")))
+    return ((F.octet_length(text) - left) / len(run.encode())).cast("int")
+
+
 def query_tokens(text: str) -> list[str]:
     """The tokens of one short text, on the driver."""
     compact = re.sub(r"\s+", "", text.lower())

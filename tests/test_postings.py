@@ -59,3 +59,24 @@ def test_index_follows_its_files(spark, corpus, tmp_path):
     two = P.index(spark.read.parquet(str(tmp_path / "t")), "id", "text", at)
     assert (one.n, two.n) == (10, 11) and one.path != two.path
     assert two.postings.where(F.col("id") == 999).count() == len(set(X.query_tokens("alpha")))
+
+
+def test_lists_hold_what_is_counted(spark, monkeypatch):
+    rows = [(1, "aaa AaA a_b"), (2, None), (3, ""), (4, "温度 温度\u000b的x"), (5, "once"), (5, "once more"), (6, "the end 𝄞𝄞𝄞"), (7, "a"), (None, "no id"), (8, "İ ß")]
+    monkeypatch.setattr(P, "SLICE", 12)
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    flat = P.listed(docs, "id", "text").select("token", F.explode(F.arrays_zip("ids", "lengths", "tfs")).alias("p")).select("p.ids", "p.lengths", "token", "p.tfs")
+    want = P.counted(docs, "id", "text")
+    assert flat.exceptAll(want).isEmpty() and want.exceptAll(flat).isEmpty()
+    sizes = docs.select((X.token_count(F.coalesce("text", F.lit(""))) == F.size(X.tokens(F.coalesce("text", F.lit(""))))).alias("same"))
+    assert sizes.where("not same").isEmpty()
+
+
+def test_texts_are_not_turned_into_tokens(spark, corpus):
+    """A query without an index counts its own tokens; making those of every text took too long at 1 GB."""
+    at, rows = corpus
+    docs = spark.createDataFrame([(1, "aaaa aba"), (2, "ababa"), (2, "ababa"), (3, None), (4, "b")], "id long, text string")
+    found = {r["id"]: r["score"] for r in P.bm25_of(docs, "id", "text", "aba aa").collect()}
+    assert set(found) == {1, 2} and docs.select(X.occurrences(F.col("text"), "aba")).first()[0] == 1
+    assert [r[0] for r in docs.select(X.occurrences(F.col("text"), "aa")).collect()] == [3, 0, 0, None, 0]
+    assert docs.where("id = 2").select(X.occurrences(F.col("text"), "aba")).first()[0] == 2

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+MERGED = 8  # rounds of a closure that are written as one
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names. Only a local session, as in tests, gets a temporary one where none is set."""
     sc = spark.sparkContext
@@ -43,24 +47,53 @@ def closure(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), max_ro
 
     With columns by, an edge is open only to seeds with the same values. Semi-naive: a round joins what the round before
     has found for the first time, and what is found is a union of checkpointed rounds, so plans stay short and each pair
-    is joined once. Null ends lead nowhere."""
+    is joined once. Edges are made once for all rounds, and of rounds as many as MERGED are written again as one. Null
+    ends lead nowhere."""
     checkpoint_dir(edges.sparkSession)
     pair = [*by, "start", "node"]
     new = seeds.select(*pair).where("node is not null").distinct().checkpoint()
-    found = new
-    way = edges.select(*by, F.col("source").alias("node"), "target").where("node is not null and target is not null").distinct()
+    held = [(0, new)]
+    way = edges.select(*by, F.col("source").alias("node"), "target").where("node is not null and target is not null").distinct().checkpoint()
     for _ in range(max_rounds):
-        step = new.join(way, [*by, "node"]).select(*by, "start", F.col("target").alias("node")).distinct()
-        new = step.join(found, pair, "left_anti").checkpoint()
+        found = _union([x for _, x in held])
+        step = new.join(way.hint("merge"), [*by, "node"]).select(*by, "start", F.col("target").alias("node")).distinct()
+        new = step.join(found.hint("merge"), pair, "left_anti").checkpoint()
         if new.isEmpty():
             return found
-        found = found.unionByName(new).checkpoint()
+        held.append((0, new))
+        while len(same := [x for level, x in held if level == held[-1][0]]) == MERGED:
+            held = [*held[:-MERGED], (held[-1][0] + 1, _union(same).checkpoint())]
     raise RuntimeError(f"the closure needs more than {max_rounds} rounds")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(start, node) for every node that edges (source, target) lead to from a start, which is reachable itself."""
-    return closure(edges, starts.select("start", F.col("start").alias("node")), max_rounds=max_rounds)
+    """(start, node) for every node that edges (source, target) lead to from a start, which is reachable itself.
+
+    Where every source is a start, all that is found starts somewhere too, and paths are doubled: a round joins the pairs
+    whose shortest path is the longest so far with all pairs, so that paths of n edges take log2(n) rounds."""
+    checkpoint_dir(edges.sparkSession)
+    way = edges.select("source", "target").where("source is not null and target is not null").distinct().checkpoint()
+    first = starts.select("start").where("start is not null").distinct().checkpoint()
+    if not way.join(first, way["source"] == first["start"], "left_anti").isEmpty():
+        return closure(way, first.select("start", F.col("start").alias("node")), max_rounds=max_rounds)
+    none = first.select("start", F.col("start").alias("node"), F.lit(0).alias("n"))
+    known = [none, way.where("source <> target").select(F.col("source").alias("start"), F.col("target").alias("node"), F.lit(1).alias("n"))]
+    length = 1
+    for _ in range(max_rounds):
+        every = _union(known)
+        last = every.where(F.col("n") == length).select("start", F.col("node").alias("via"))
+        on = every.where("n > 0").select(F.col("start").alias("via"), "node", "n")
+        step = last.join(on.hint("merge"), "via").groupBy("start", "node").agg((F.min("n") + length).alias("n"))
+        new = step.join(every.select("start", "node").hint("merge"), ["start", "node"], "left_anti").checkpoint()
+        if new.isEmpty():
+            return every.select("start", "node")
+        known.append(new)
+        length *= 2
+    raise RuntimeError(f"the closure needs more than {max_rounds} rounds")
 
 
 # The key of products, the fields that name products, those of a bill of materials, and the foreign keys

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import Condition, matches, variant_matches
 from ..plans.model import QueryPlan
-from .relations import PRODUCT, closure, reachable
+from .relations import PRODUCT, checkpoint_dir, closure, reachable
 
 TEMPORAL = ("event.", "context.")
 
@@ -82,18 +82,21 @@ def bound_records(bindings: DataFrame, references: DataFrame, records: DataFrame
     kind = records.schema["dates"].dataType.valueType
     ok = reduce(lambda a, b: a & b, [matches(F.try_element_at("dates", F.lit(c.field)), kind, c) for c in dates], F.lit(True))
     rows = records.where(ok if stages is None else ok & F.col("stage").isin(*stages)).select("record_id")
-    inside = bindings.select("binding", "entity_id").distinct()
+    checkpoint_dir(bindings.sparkSession)
+    inside = bindings.select("binding", "entity_id").distinct().checkpoint()
     found = inside.join(rows, F.col("entity_id") == F.col("record_id"), "left_semi").select("binding", F.col("entity_id").alias("record_id"))
-    source, target = (inside.select("binding", F.col("entity_id").alias(n)) for n in ("source", "target"))
-    edges = references.select("source", "target").distinct().join(source, "source").join(target, ["binding", "target"]).where("source <> target")
-    back = edges.select("binding", F.col("target").alias("source"), F.col("source").alias("target"))
     for c in anchors:
         values = [str(x) for x in _selected(c)]
         if c.field == PRODUCT:
             met = products.where(F.col("product").isin(*values)).select(F.col("entity_id").alias("record_id")).distinct()
             found = found.join(met, "record_id", "left_semi")
             continue
-        seeds = inside.where(F.col("entity_id").isin(*values)).select("binding", F.col("entity_id").alias("start"), F.col("entity_id").alias("node"))
+        anchored = inside.where(F.col("entity_id").isin(*values)).join(found.select("binding").distinct(), "binding", "left_semi").select("binding", F.col("entity_id").alias("start")).checkpoint()
+        seeds = anchored.select("binding", "start", F.col("start").alias("node"))
+        held = inside.join(anchored.select("binding").distinct(), "binding", "left_semi").checkpoint()  # others hold no seed
+        source, target = (held.select("binding", F.col("entity_id").alias(n)) for n in ("source", "target"))
+        edges = references.select("source", "target").join(source, "source").join(target, ["binding", "target"]).where("source <> target").distinct().checkpoint()
+        back = edges.select("binding", F.col("target").alias("source"), F.col("source").alias("target"))
         tied = closure(edges, seeds, ("binding",)).unionByName(closure(back, seeds, ("binding",))).distinct()
         of = lambda name: keys.select(F.col("entity_id").alias(name), F.col("primary_key").alias(f"{name}_key"))
         tied = tied.join(of("start"), "start", "left").join(of("node"), "node", "left")

@@ -121,3 +121,39 @@ def test_a_second_run_reads_and_parses_nothing(spark, tmp_path):
     assert sorted(r["n"] for r in derived.held(spark, store, "1").where("n is not null").collect()) == [2, 3, 4]
     assert derived.held(spark, store, "1", what="names").count() == 6
     assert run("2") == {"rows": 6, "parsed": 4} and derived.held(spark, store, "3") is None
+
+
+def test_paths_are_doubled(spark):
+    """A chain of 600 edges took 600 rounds; every source is a start here, so ten are enough."""
+    edges = spark.range(600).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    from lodestone.operators import relations
+
+    found = relations.reachable(edges, spark.range(601).select(F.col("id").alias("start")), max_rounds=11)
+    assert found.count() == found.distinct().count() == 601 * 602 // 2
+
+
+def test_doubled_paths_with_circles(spark):
+    import random
+
+    from lodestone.operators import relations
+
+    rng = random.Random(3)
+    pairs = [(rng.randint(0, 40), rng.randint(0, 60)) for _ in range(70)] + [(i, i + 1) for i in range(80, 100)] + [(100, 80), (7, 7)]
+    to: dict = {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+
+    def plain(start):
+        seen, waiting = {start}, [start]
+        while waiting:
+            for b in to.get(waiting.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    waiting.append(b)
+        return {(start, b) for b in seen}
+
+    starts = [*to, 500]
+    edges = spark.createDataFrame([*pairs, (None, 1), (2, None)], "source long, target long")
+    for chosen in (starts, starts[::3]):  # doubled, and round by round
+        found = [tuple(r) for r in relations.reachable(edges, spark.createDataFrame([(i,) for i in chosen], "start long")).collect()]
+        assert len(found) == len(set(found)) and set(found) == set().union(*map(plain, chosen))

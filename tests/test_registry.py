@@ -73,3 +73,19 @@ def test_files_are_verified_as_they_are_read(spark, tmp_path):
     listed = spark.createDataFrame([(f"{base}/{n}", sha.upper() if n == "ok" else sha, 1) for n in ("ok", "long", "other", "gone")], "path string, sha256 string, size long")
     got = {r["path"].rpartition("/")[2]: (r["status"], r["content"]) for r in sinks.verified(spark, str(tmp_path), listed).collect()}
     assert got == {"ok": ("OK", bytearray(b"a")), "long": ("SIZE_MISMATCH", None), "other": ("SHA256_MISMATCH", None), "extra": ("UNLISTED", None), "gone": ("MISSING", None)}
+
+
+def test_rows_of_a_file_leave_in_batches(spark, tmp_path, monkeypatch):
+    """A file's rows were one list of Python objects and one batch; a fault behind the first batch still refuses the file."""
+    from lodestone.sources import registry
+
+    lines = [f'{i},"a\u2028b"' for i in range(25_000)]
+    (tmp_path / "good.csv").write_text("k,v\r\n" + "\r\n".join(lines) + "\r\n")
+    (tmp_path / "bad.csv").write_text("k,v\n" + "\n".join(lines) + "\n1,2,3\n")
+    (tmp_path / "l.jsonl").write_bytes(b'\xef\xbb\xbf{"k": 1}\r\n\n{"k": 2}\x0b{"k": 3}\r{"k": 4}')
+    found = registry.read_files(spark, str(tmp_path))
+    good = found.where("path like '%good.csv'")
+    assert good.count() == 25_000 and good.where("line_start <> values['k'] + 2 or values['v'] <> 'a\u2028b'").isEmpty()
+    assert [r["issue"] for r in found.where("path like '%bad.csv'").collect()] == ["ValueError: line 25002: 3 fields under 2 headings"]
+    assert [(r["row"], r["values"]["k"]) for r in found.where("extension = 'jsonl'").orderBy("row").collect()] == [(1, "1"), (3, "2"), (4, "3"), (5, "4")]
+    assert registry.BATCH == 10_000

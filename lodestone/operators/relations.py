@@ -180,17 +180,18 @@ def band_columns(words: DataFrame, width: float = 1.5, tallest: float = 64.0) ->
     words has page, block, id, x0, y0, y1 and text. A block with words at two places or more (to a tenth) can be a line of
     headings. A word belongs to the lowest such block that ends above its own top, of equal ones the first, and to the
     heading in it whose left edge is within width of its own; one under several headings, or that is taller than tallest,
-    has none. Blocks and words of a page are put in order of height, so that none meets all others; headings are met in
-    buckets of the left edge."""
-    lines = words.groupBy("page", "block").agg(F.max("y1").alias("y"), F.count_distinct(F.round("x0", 1)).alias("places")).where("places >= 2").select("page", "y", "block")
+    has none. Blocks and words of a page are put in order of height, so that none meets all others; headings, fewer
+    than words, are met in buckets of the left edge and of its neighbours."""
+    place = F.round("x0", 1)
+    lines = words.where("block is not null").groupBy("page", "block").agg(F.max("y1").alias("y"), (F.min(place) < F.max(place)).alias("several")).where("several").select("page", "y", "block")
     tops = lines.groupBy("page", "y").agg(F.min("block").alias("head"))
     marks = tops.select("page", "y", F.lit(0).alias("kind"), "head", F.lit(None).cast(words.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("x0"))
     rows = words.where((F.col("y1") > F.col("y0")) & (F.col("y1") - F.col("y0") <= tallest)).select("page", F.col("y0").alias("y"), F.lit(-1).alias("kind"), F.lit(None).cast(words.schema["block"].dataType).alias("head"), "id", F.col("x0").cast("double"))
     above = Window.partitionBy("page").orderBy("y", "kind").rowsBetween(Window.unboundedPreceding, -1)  # a block that ends at a word's top isn't above it
     placed = marks.unionByName(rows).withColumn("head", F.last("head", ignorenulls=True).over(above)).where("kind = -1 and head is not null")
     bucket = F.floor(F.col("x0") / width)
-    asked = placed.select("page", "head", "id", "x0", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"))
-    heads = words.select("page", F.col("block").alias("head"), F.col("x0").alias("h0"), F.col("text").alias("header"), bucket.alias("bucket")).join(lines.select("page", F.col("block").alias("head")), ["page", "head"], "left_semi")
+    asked = placed.select("page", "head", "id", "x0", bucket.alias("bucket"))
+    heads = words.where("block is not null").select("page", F.col("block").alias("head"), F.col("x0").alias("h0"), F.col("text").alias("header"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket")).join(lines.select("page", F.col("block").alias("head")), ["page", "head"], "left_semi")
     under = asked.join(heads, ["page", "head", "bucket"]).where(F.abs(F.col("x0") - F.col("h0")) <= width)
     one = under.groupBy("page", "id").agg(F.count(F.lit(1)).alias("n"), F.min("header").alias("header")).where("n = 1").drop("n")
     return words.select("page", "id").join(one, ["page", "id"], "left")

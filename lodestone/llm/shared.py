@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -105,26 +105,90 @@ def joined(rows: DataFrame, table: DataFrame, key: str, spread: str, n: int | No
     return dealt.join(copied, [key, "_part"], how).drop("_part")
 
 
+#: Edges that a task connects at once; left edges that one task connects, whatever the input was.
+CHUNK, REST = 1 << 19, 1 << 18
+
+
+def _rank(x: np.ndarray, level: int) -> np.ndarray:
+    """An order of 64-bit numbers, another one for each level, without ties."""
+    r = (x.view(np.uint64) ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    r = (r ^ (r >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return r ^ (r >> np.uint64(29))
+
+
+def _rooted(u: np.ndarray, v: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (u, v), and for each the node of least rank that it is connected with."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    order = np.argsort(_rank(nodes, level))
+    place = np.empty(len(nodes), np.int64)
+    place[order] = part = np.arange(len(nodes))
+    a, b = place[at[: len(u)]], place[at[len(u) :]]
+    while len(a):
+        np.minimum.at(part, np.maximum(a, b), np.minimum(a, b))
+        while (part[part] != part).any():
+            part = part[part]
+        a, b = part[a], part[b]
+        a, b = a[a != b], b[a != b]
+    return nodes[order], nodes[order[part]]
+
+
+def _stars(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """(x, r): each node of a chunk of edges and its root in the chunk; a root is its own."""
+    held, n = [], 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        yield from pa.table(dict(zip("xr", _rooted(t["u"].to_numpy(), t["v"].to_numpy(), level), strict=True))).to_batches(1 << 16)
+
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= CHUNK:
+            yield from rows()
+            held, n = [], 0
+    if n:
+        yield from rows()
+
+
+def _met(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """Of the roots r of a node x, edges (u, v, true) that join them to the least; (x, least, false) if x is no root."""
+    for t, starts in sorted_groups(batches, ["x"]):
+        x, r = t["x"].to_numpy(), t["r"].to_numpy()
+        rank, group = _rank(r, level), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        order = np.lexsort((rank, group))
+        x, r, group, starts = x[order], r[order], group[order], starts[:-1]
+        least, alone = r[starts], ~np.logical_or.reduceat(x == r, starts)
+        new = (r != least[group]) & np.append(True, (r[1:] != r[:-1]) | (group[1:] != group[:-1]))
+        cols = [np.concatenate([r[new], x[starts][alone]]), np.concatenate([least[group][new], least[alone]]), np.arange(new.sum() + alone.sum()) < new.sum()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["u", "v", "open"])
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Rows (node, component): the smallest node reachable over edges (u, v), for each node on an edge.
 
-    Alternates the large-star and small-star steps: each hooks neighbours to the smallest one, so that no step holds a
-    component in one task, and the edges of a node with many are dealt over tasks. Null ends and loops are left out; an
-    empty input gives no rows. Raises if it hasn't converged after max_rounds, which chains of 2**max_rounds nodes would
-    need."""
-    now = saved(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    count = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = count(now)
-    for _ in range(max_rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = joined(both, low, "u", "v", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large if 2 * seen[0] <= SMALL else saved(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = joined(large, low, "u", "v", 2 * seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = saved(small)
-        state = count(now)
-        if state == seen or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = state
-    raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+    In each round tasks connect the edges they hold, which gives every node a root in each task, and the roots of one node
+    meet. A node that is nowhere a root is settled: it goes where its least root goes. Edges between roots are left for the
+    next round, which ranks nodes anew, so that a third of a chain is settled in each, however its ids are ordered. A node has
+    a row for each task that holds it, so no step has the edges of a frequent node, or a component, in one task; at most REST
+    edges that are left after a round are connected by one task. Settled nodes then follow their roots, round by round
+    backwards. Null ends and loops are left out; an empty input gives no rows. Raises if edges are left after max_rounds."""
+    now, settled = edges.where("u is not null and v is not null and u <> v").select("u", "v"), []
+    for level in range(max_rounds):
+        met = now.mapInArrow(lambda b, k=level: _stars(b, k), "x long, r long").repartition("x").sortWithinPartitions("x").mapInArrow(lambda b, k=level: _met(b, k), "u long, v long, open boolean")
+        seen = Observation()
+        met = saved(met.observe(seen, F.count_if("open").alias("open"), F.count_if(~F.col("open")).alias("settled")))
+        settled.append((met.where("not open").select(F.col("u").alias("node"), F.col("v").alias("root")), seen.get["settled"]))
+        now = met.where("open").select("u", "v")
+        if not seen.get["open"]:
+            break
+        if seen.get["open"] <= REST:
+            now = now.repartition(1)
+    else:
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+    found, n = settled.pop()
+    while settled:
+        rows, more = settled.pop()
+        ends = found.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        found, n = saved(joined(rows, ends, "root", "node", more, "left").select("node", F.coalesce("end", "root").alias("root")).union(found)), n + more
+    least = found.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("component"))
+    return joined(found, least, "root", "node", n).select("node", "component").union(least.select(F.col("root").alias("node"), "component"))

@@ -16,7 +16,7 @@ from .shared import saved, sorted_groups
 
 #: Bytes of sets of a block of a group, and sets from the first to the second number. Shingles of up to FEW sets are
 #: counted pair by pair, others as a matrix.
-BLOCK_BYTES, BLOCK, FULL, FEW, COLUMNS = 16 << 20, 256, 2048, 16, 4096
+BLOCK_BYTES, BLOCK, FULL, FEW, COLUMNS = 16 << 20, 512, 2048, 16, 4096
 MARKS, MARK_BLOCK = 1 << 23, 1 << 15  # Spark's bitmaps hold 2**15 bits
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,11 +117,11 @@ def _links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
 
 
-def verified(groups: DataFrame, texts: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (u, v) inside groups (h, comp) of set hashes; rows (id, h, n) has the id and size of each text.
+def verified(groups: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) inside groups (h, comp) of set hashes; nodes (h, id, n) has the id of a text and the size of each set.
 
     Texts are read again, and sets made of those that may be in a group, so that only these are moved."""
-    members = saved(rows.groupBy("h").agg(F.min("id").alias("id"), F.max("n").alias("n")).join(groups, "h"))
+    members = saved(nodes.join(groups, "h"))
     marks = texts.sparkSession.sparkContext.broadcast(_marks(members.select("id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -178,7 +178,7 @@ def _candidate_groups(nodes: DataFrame, n: int) -> DataFrame:
 
 
 def _near_rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, t, h) for each row with an id, t a hash of its text and h of its set; and (h, c) with the group of each set."""
+    """Rows (id, h) for each row with an id, h a hash of its set; and (h, least, c): of each set the least (id, t), t a hash of the text, and its group."""
     texts = near_copies.texts_of(docs, id_col, text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +190,11 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str, words: int, similari
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in cols), pa.array([len(s) for s in sets], pa.int32())], ["id", "t", "fp", "h", "n"])
 
     rows = saved(texts.withColumn("t", F.xxhash64("text")).mapInArrow(of, "id long, t long, fp long, h long, n int"))
-    nodes = saved(rows.groupBy("h").agg(F.min("fp").alias("fp")))
+    nodes = saved(rows.groupBy("h").agg(F.min("fp").alias("fp"), F.min(F.struct("id", "t")).alias("least"), F.max("n").alias("n")))
     groups = _candidate_groups(nodes, nodes.count())
-    links = components(near_copies.verified(groups, texts, rows, words, similarity))
-    owners = rows.select("h").distinct().join(links, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("c"))
-    return rows.select("id", "t", "h"), saved(owners)
+    links = components(near_copies.verified(groups, texts, nodes.select("h", F.col("least.id").alias("id"), "n"), words, similarity))
+    owners = nodes.join(links, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("c"))
+    return rows.select("id", "h"), saved(owners)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -205,8 +205,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words is one shingle. Rows that repeat are copies; texts are whole, however long. Other columns of docs are not
     looked at. An empty table gives an empty result."""
     rows, owners = _near_rows(docs, id_col, text_col, words, similarity)
-    sets = rows.groupBy("h").agg(F.min("id").alias("least")).join(owners, "h")
-    named = joined(owners, sets.groupBy("c").agg(F.min("least").alias("component")), "c", "h").select("h", "component")
+    named = joined(owners.select("h", "c"), owners.groupBy("c").agg(F.min("least.id").alias("component")), "c", "h").select("h", "component")
     return joined(rows, named, "h", "id").select("id", "component")
 
 
@@ -216,9 +215,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with one id and different texts are rows like others: each stays unless it is a near copy of an earlier one. Of
     equal ids in a group the one whose text has the least hash stays, of rows with equal ids and texts any one; rows
     without an id stay."""
-    rows, owners = _near_rows(docs, id_col, text_col, words, similarity)
-    sets = rows.groupBy("h").agg(F.min(F.struct("id", "t")).alias("least")).join(owners, "h")
-    found = sets.groupBy("c").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_kept_id"), F.col("least.t").alias("_kept_text"))
+    _, owners = _near_rows(docs, id_col, text_col, words, similarity)
+    found = owners.groupBy("c").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_kept_id"), F.col("least.t").alias("_kept_text"))
     mark = F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
     kept = docs.join(found, (docs[id_col] == found["_kept_id"]) & (mark == found["_kept_text"]), "left_semi")
     name = "_".join([*docs.columns, "mark"])  # no column's name

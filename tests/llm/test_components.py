@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lodestone.llm import shared
+from lodestone.llm import shared, simhash
 
 
 def plain(edges):
@@ -69,3 +69,12 @@ def test_a_chain_takes_few_jobs(spark, jobs):
     edges = [(i, i + 1) for i in range(2000)]
     found, n = jobs(lambda: shared.components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect())
     assert len(found) == 2001 and {r["component"] for r in found} == {0} and n <= 20
+
+
+def test_near_copies_take_few_jobs(spark, jobs):
+    rng = random.Random(2)
+    base = [[f"w{rng.randrange(500)}" for _ in range(80)] for _ in range(40)]
+    texts = [" ".join([*b, *[f"x{k}"] * (k > 0)]) for b in base for k in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept, n = jobs(lambda: simhash.deduplicated(docs).collect())
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 160, 4)) and n <= 90

@@ -171,7 +171,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     next round, which ranks nodes anew, so that a third of a chain is settled in each, however its ids are ordered. A node has
     a row for each task that holds it, so no step has the edges of a frequent node, or a component, in one task; at most REST
     edges that are left after a round are connected by one task. Settled nodes then follow their roots, round by round
-    backwards. Null ends and loops are left out; an empty input gives no rows. Raises if edges are left after max_rounds."""
+    backwards, in joins that are dealt beyond SMALL rows (see joined). Null ends and loops are left out; an empty input gives no rows. Raises if edges are left after max_rounds."""
     now, settled = edges.where("u is not null and v is not null and u <> v").select("u", "v"), []
     for level in range(max_rounds):
         met = now.mapInArrow(lambda b, k=level: _stars(b, k), "x long, r long").repartition("x").sortWithinPartitions("x").mapInArrow(lambda b, k=level: _met(b, k), "u long, v long, open boolean")

@@ -21,6 +21,15 @@ MARKS, MARK_BLOCK = 1 << 23, 1 << 15  # Spark's bitmaps hold 2**15 bits
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _mixed(s: np.ndarray) -> np.ndarray:
+    s = (s ^ (s >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    s = (s ^ (s >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return s ^ (s >> np.uint64(31))
+
+
+TURNS = _mixed(np.arange(1, 65, dtype=np.uint64) * ODD) | np.uint64(1)
+
+
 class _Words(dict):
     """Hashes of words, each made once while the table is small."""
 
@@ -43,9 +52,15 @@ def shingles(text: bytes, seen: dict, words: int) -> np.ndarray:
     s = np.zeros(len(h) - width + 1, np.uint64)
     for i in range(width):
         s = s * ODD + h[i : len(h) - width + 1 + i]
-    s = (s ^ (s >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    s = (s ^ (s >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(s ^ (s >> np.uint64(31)))
+    return np.unique(_mixed(s))
+
+
+def sketch(s: np.ndarray) -> int:
+    """One bit of the least hash of a set under each of 64 hashes, as a signed number; sets of similarity j differ in some 32 (1 - j) bits."""
+    least = np.full(64, 2**64 - 1, np.uint64)
+    for lo in range(0, len(s), 1024):
+        least = np.minimum(least, (s[lo : lo + 1024, None] * TURNS).min(0))
+    return int.from_bytes(np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool)).tobytes(), "big", signed=True)
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -138,7 +153,7 @@ def verified(groups: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
     each = F.least(F.greatest(F.col("many") / 32, F.lit(BLOCK)), F.lit(FULL))
     blocks = size.select("comp", F.ceil(F.greatest(F.col("size") / BLOCK_BYTES, F.col("many") / each)).cast("int").alias("blocks"))
     placed = saved(members.join(blocks, "comp").select("id", "h", "comp", "blocks"))
-    own = texts.mapInArrow(sets, "id long, h long, shingles binary").join(placed, ["id", "h"]).dropDuplicates(["h"])
+    own = texts.mapInArrow(sets, "id long, h long, shingles binary").join(placed, ["id", "h"]).dropDuplicates(["id", "h"])  # as the join deals them
     x = own.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = x.select("comp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "h", "shingles")
     by = ["comp", "a", "b"]

@@ -9,7 +9,9 @@ large a group of copies is. Equal fingerprints are one row before any bucket is
 
 Near copies by shingle sets differ in more bits. For them the bits are halved: of up to 2 r + 1 differing bits one half
 has at most r, and vectors m(i) of r + 1 bits cover these in 2**(r + 1) - 1 masks. Each bucket reports a tree of the
-fingerprints that are near; the connected groups are candidates, and near_copies compares their sets."""
+fingerprints that are near; the connected groups are candidates, and near_copies compares their sets. One in a million
+pairs of unrelated texts is within that radius, so beyond a million texts chance alone would connect nearly all of them to
+one group: a second sketch, of the shingle sets, must be near as well."""
 
 from __future__ import annotations
 
@@ -27,6 +29,9 @@ RADIUS = 2
 #: Differing bits, of a half and of the whole, for near copies. Sets of five-word shingles of similarity 0.8 have
 #: fingerprints over three-word shingles that differ in some 8 bits.
 HALF_RADIUS, NEAR_RADIUS, EVERY = 5, 13, 16
+#: Differing bits of sketches: 6.4 are expected at similarity 0.8, and one of some 100 000 such pairs has over 18; of unrelated
+#: pairs one of some 3200 has no more. Up to so many rows of a bucket are compared pair by pair.
+SKETCH_RADIUS, PAIRED = 18, 64
 
 
 def covering_masks() -> list[int]:
@@ -69,14 +74,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(of, "id long, fp long")
 
 
-def _forest(fps: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that join what is linked inside one bucket: a tree for each linked part, not all its pairs."""
+def _forest(fps: np.ndarray, ids: np.ndarray, radius: int, sketches: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that join what is linked inside one bucket: a tree for each linked part, not all its pairs.
+
+    Sketches, if given, must be near as well."""
     left, edges = np.arange(len(fps)), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
             near = np.bitwise_count(fps[left] ^ fps[at]) <= radius
+            if sketches is not None:
+                near &= np.bitwise_count(sketches[left] ^ sketches[at]) <= SKETCH_RADIUS
             if near.any():
                 found = left[near]
                 edges += [(int(ids[at]), int(ids[x])) for x in found]
@@ -131,7 +140,8 @@ def half_masks(radius: int = HALF_RADIUS) -> list[int]:
 def near_edges(nodes: DataFrame, n: int, family: list[int] | None = None) -> DataFrame:
     """Edges (u, v) that join nodes (fp, h) of one bucket whose fingerprints differ in at most NEAR_RADIUS bits.
 
-    Rows with one h are one node. family holds the masks; all of half_masks() by default."""
+    Rows with one h are one node. A column sketch, if there is one, must be within SKETCH_RADIUS bits as well. family holds
+    the masks; all of half_masks() by default."""
     masks = [m - (1 << 64) if m >> 63 else m for m in family or half_masks()]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,37 +152,41 @@ def near_edges(nodes: DataFrame, n: int, family: list[int] | None = None) -> Dat
                 b = whole.slice(lo, 2000)
                 fp = b.column(0).to_numpy()
                 key = ((fp[:, None] & at).view(np.uint64) + np.arange(1, len(at) + 1, dtype=np.uint64)) * turn
-                key = (key ^ (key >> np.uint64(32))) * turn
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), *(pa.array(np.repeat(b.column(i).to_numpy(), len(at))) for i in (0, 1))], ["key", "fp", "h"])
+                key = ((key ^ (key >> np.uint64(32))) * turn >> np.uint64(32)).astype(np.uint32)  # half a hash: buckets that share one are compared in vain
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int32).ravel()), *(pa.array(np.repeat(b.column(i).to_numpy(), len(at))) for i in range(3))], ["key", "fp", "h", "sketch"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in sorted_groups(batches, ["key"]):
-            fp, h = t.column("fp").to_numpy().view(np.uint64), t.column("h").to_numpy()
-            size, found = np.diff(starts), []
-            small = np.repeat(np.where(size <= 16, np.arange(len(size)), -1), size)
-            for by in range(1, min(16, int(size.max()))):
-                a = np.flatnonzero((small[by:] == small[:-by]) & (small[by:] >= 0))
-                a = a[(np.bitwise_count(fp[a] ^ fp[a + by]) <= NEAR_RADIUS) & (h[a] != h[a + by])]
-                found.append(np.stack([h[a], h[a + by]], 1))
-            for s, k in zip(starts[:-1][size > 16], size[size > 16], strict=True):
+            fp, h, sketch = t.column("fp").to_numpy().view(np.uint64), t.column("h").to_numpy(), t.column("sketch").to_numpy().view(np.uint64)
+            size, found, by = np.diff(starts), [], 1
+            after = np.repeat(np.where(size <= PAIRED, starts[1:], 0), size) - np.arange(1, len(h) + 1)  # rows of the bucket that follow
+            a = np.flatnonzero(after >= by)
+            while len(a):
+                x = a[np.bitwise_count(fp[a] ^ fp[a + by]) <= NEAR_RADIUS]
+                x = x[(np.bitwise_count(sketch[x] ^ sketch[x + by]) <= SKETCH_RADIUS) & (h[x] != h[x + by])]
+                found.append(np.stack([h[x], h[x + by]], 1))
+                by += 1
+                a = a[after[a] >= by]
+            for s, k in zip(starts[:-1][size > PAIRED], size[size > PAIRED], strict=True):
                 if h[s] != h[s + k - 1]:  # sorted
-                    found.append(np.array([e for e in _forest(fp[s : s + k], h[s : s + k], NEAR_RADIUS) if e[0] != e[1]], np.int64).reshape(-1, 2))
+                    found.append(np.array([e for e in _forest(fp[s : s + k], h[s : s + k], NEAR_RADIUS, sketch[s : s + k]) if e[0] != e[1]], np.int64).reshape(-1, 2))
             if found and len(e := np.unique(np.concatenate(found), axis=0)):
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
 
-    parts = partitions_for(nodes.sparkSession, 24 * len(masks) * n, 64 << 20)
-    rows = nodes.select("fp", "h").mapInArrow(placed, "key long, fp long, h long")
+    parts = partitions_for(nodes.sparkSession, 28 * len(masks) * n, 64 << 20)
+    sketch = "sketch" if "sketch" in nodes.columns else F.lit(0).cast("long").alias("sketch")
+    rows = nodes.select("fp", "h", sketch).mapInArrow(placed, "key int, fp long, h long, sketch long")
     return rows.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(of, "u long, v long")  # the least h of a bucket is its root, so that buckets agree
 
 
 def _candidate_groups(nodes: DataFrame, n: int) -> DataFrame:
-    """(h, comp): the nodes (h, fp) that edges connect with others, by group.
+    """(h, comp): the nodes (h, fp, sketch) that edges connect with others, by group.
 
     A few masks come first. What they connect is one node for all masks, so that a large group of near copies, which meets
     in nearly every bucket, isn't connected anew in each."""
     first = components(near_edges(nodes, n, half_masks()[::EVERY]))
-    labelled = saved(nodes.join(first, nodes["h"] == first["node"], "left").select("h", "fp", F.coalesce("component", "h").alias("label"), F.col("component").isNotNull().alias("met")))
-    rest = components(near_edges(labelled.select("fp", F.col("label").alias("h")).distinct(), n))
+    labelled = saved(nodes.join(first, nodes["h"] == first["node"], "left").select("h", "fp", "sketch", F.coalesce("component", "h").alias("label"), F.col("component").isNotNull().alias("met")))
+    rest = components(near_edges(labelled.select("fp", "sketch", F.col("label").alias("h")).distinct(), n))
     found = labelled.join(rest, labelled["label"] == rest["node"], "left").where("met or component is not null")
     return saved(found.select("h", F.coalesce("component", "label").alias("comp")))
 
@@ -186,11 +200,11 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str, words: int, similari
         for b in batches:
             raw = b.column(1).to_pylist()
             sets = [near_copies.shingles(t, seen, words) for t in raw]
-            cols = [[fingerprint(t) for t in raw], [near_copies.set_hash(s) for s in sets]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in cols), pa.array([len(s) for s in sets], pa.int32())], ["id", "t", "fp", "h", "n"])
+            cols = [[fingerprint(t) for t in raw], [near_copies.set_hash(s) for s in sets], [near_copies.sketch(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in cols), pa.array([len(s) for s in sets], pa.int32())], ["id", "t", "fp", "h", "sketch", "n"])
 
-    rows = saved(texts.withColumn("t", F.xxhash64("text")).mapInArrow(of, "id long, t long, fp long, h long, n int"))
-    nodes = saved(rows.groupBy("h").agg(F.min("fp").alias("fp"), F.min(F.struct("id", "t")).alias("least"), F.max("n").alias("n")))
+    rows = saved(texts.withColumn("t", F.xxhash64("text")).mapInArrow(of, "id long, t long, fp long, h long, sketch long, n int"))
+    nodes = saved(rows.groupBy("h").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min(F.struct("id", "t")).alias("least"), F.max("n").alias("n")))
     groups = _candidate_groups(nodes, nodes.count())
     links = components(near_copies.verified(groups, texts, nodes.select("h", F.col("least.id").alias("id"), "n"), words, similarity))
     owners = nodes.join(links, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("c"))

@@ -91,6 +91,34 @@ def test_every_pair_in_the_radius_is_a_candidate(spark):
     assert edges == {(2 * i, 2 * i + 1) for i in range(200)}
 
 
+def test_chance_makes_no_candidates(spark, monkeypatch):
+    """Texts whose fingerprints are near, as among millions by chance, while their sets have nothing in common."""
+    rng = random.Random(6)
+    few = lambda t, words=3: sum(1 << b for b in range(4) if len(t) >> b & 1)
+    monkeypatch.setattr(simhash, "fingerprint", few)
+    base = [[f"w{k}x{i}" for i in range(120)] for k in range(150)]
+    texts = [" ".join([*b, *rng.choices(b, k=n)]) for b in base for n in (0, 2)]
+    seen, verified = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda groups, *more: seen.append(groups) or verified(groups, *more))
+    found = simhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert sorted(tuple(r) for r in found.collect()) == [(i, i - i % 2) for i in range(300)]
+    sizes = [r["count"] for r in seen[0].groupBy("comp").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 8
+
+
+def test_sketches_tell_similarity():
+    rng = np.random.default_rng(4)
+    apart = {0.8: [], 0: []}
+    for _ in range(400):
+        x = near_copies._mixed(rng.integers(0, 2**63, 400, np.uint64))
+        for j, (a, b) in {0.8: (x[:90], x[10:100]), 0: (x[:100], x[200:])}.items():
+            apart[j].append((near_copies.sketch(np.unique(a)) ^ near_copies.sketch(np.unique(b))) % 2**64)
+    bits = {j: [n.bit_count() for n in found] for j, found in apart.items()}
+    assert 5.5 < np.mean(bits[0.8]) < 7.3 and max(bits[0.8]) <= simhash.SKETCH_RADIUS
+    assert 31 < np.mean(bits[0]) < 33 and sum(n <= simhash.SKETCH_RADIUS for n in bits[0]) <= 3
+    assert near_copies.sketch(np.zeros(0, np.uint64)) == -1
+
+
 def test_shared_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(50)]
